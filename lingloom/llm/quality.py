@@ -32,22 +32,20 @@ def text_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "s
         *keep,
         F.filter(F.split(text, _SPACES), lambda w: w != "").alias("_words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("_lines"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, SYMBOLS.replace("[", "[^") + "+", "")).cast("long").alias("n_symbols"),
     )
-    n = F.size("_words")
-    gram = lambda i: F.struct(F.concat_ws(" ", F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]).alias("g"), i.alias("i"))
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), gram)).otherwise(F.array().cast("array<struct<g:string,i:int>>"))
-    parts = parts.select("*", n.cast("long").alias("n_words"), F.array_sort(grams).alias("_grams"))
-    # places of 3-word windows that have an equal neighbour in sorted order, in text order; then the words they cover
-    repeated = F.expr("""
-        aggregate(
-            array_sort(transform(filter(_grams, (x, k) -> (k > 0 AND x.g = _grams[k - 1].g) OR (k < size(_grams) - 1 AND x.g = _grams[k + 1].g)), x -> x.i)),
-            named_struct('n', 0L, 'last', -1),
+    # 3-word windows as (hash, place), sorted: a window repeats where a neighbour has its hash and its three words
+    parts = parts.withColumn("_grams", F.expr("sort_array(transform(slice(_words, 1, greatest(0, size(_words) - 2)), (x, i) -> struct(xxhash64(x, _words[i + 1], _words[i + 2]) AS g, i AS i)))"))
+    equal = "x.g = get(_grams, {k}).g AND _words[x.i] = _words[get(_grams, {k}).i] AND _words[x.i + 1] = _words[get(_grams, {k}).i + 1] AND _words[x.i + 2] = _words[get(_grams, {k}).i + 2]"
+    places = f"sort_array(transform(filter(_grams, (x, k) -> (k > 0 AND {equal.format(k='k - 1')}) OR ({equal.format(k='k + 1')})), x -> x.i))"
+    # the words they cover, each once
+    repeated = F.expr(f"""
+        aggregate({places}, named_struct('n', 0L, 'last', -1),
             (a, i) -> named_struct('n', a.n + i + 2 - greatest(a.last, i - 1), 'last', i + 2),
             a -> a.n)""")
     return parts.select(
         *keep,
-        "n_words",
+        F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("_lines").cast("long").alias("n_lines"),
