@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
 from .secrets import scan_secrets
+from .suffix_array import drop_repeated_bytes
 from .suffix_tree import drop_repeated_words
 from .tokens import vocabulary
 from .topk import exact_top_k, quantised, usable
@@ -26,6 +27,10 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_words(documents(spark, sf_dir)).drop("kept")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary())
 
@@ -53,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op3_packing, op4_mixing, op5_topk, op8_quality, op9_binary, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op8_quality, op9_binary, op10_secrets)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
