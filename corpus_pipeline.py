@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingloom.llm.common import shared_dir
+from lingloom.llm.jaccard import jaccard_components
 from lingloom.llm.mixing import mix_sources
 from lingloom.llm.packing import pack_documents
 from lingloom.llm.quality import quality_rules
@@ -21,6 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of every group of near copies; documents without words or id stay."""
+    groups = jaccard_components(docs)
+    copies = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind."""
     return redact_secrets(docs)
@@ -38,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary())
 
 
-STAGES = [("quality", quality), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
 
 #: Tokenisation is beyond SQL.
 ORACLE_SQL = None
