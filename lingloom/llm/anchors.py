@@ -48,13 +48,14 @@ def anchor_runs(anchor: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.
     return anchor[new], window[new], window[np.r_[new[1:] - 1, len(anchor) - 1]]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and UTF-8 texts of the documents, in blocks of about size bytes; rows without id or text are left out."""
+def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, empty: bool = False) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and UTF-8 texts of the documents, in blocks of about size bytes; unless empty is set, rows without id or text
+    are left out."""
     ids, texts, total = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            if i is not None and t:
-                raw = t.encode()
+            if empty or i is not None and t:
+                raw = (t or "").encode()
                 ids.append(i)
                 texts.append(raw)
                 total += len(raw)

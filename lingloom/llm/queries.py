@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .binary import read_tokens, write_tokens
 from .common import shared_dir
 from .jaccard import jaccard_components
+from .lm import score_documents
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
@@ -45,6 +46,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
@@ -63,7 +68,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op7_jaccard, op8_quality, op9_binary, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
