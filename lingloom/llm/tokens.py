@@ -8,14 +8,14 @@ distinct piece goes to the library once for a worker process, as long as its cac
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: White space as the pre-tokeniser's pattern knows it.
 _S = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Entries of a worker's cache, about 150 bytes each; it is emptied when full.
-CACHE = 1_000_000
+#: Entries of each of a worker's two caches, about 150 bytes each. When the young one is full it becomes the old one, and
+#: what is asked for again moves back.
+CACHE = 600_000
 
 _CODERS: dict[str, Coder] = {}
 
@@ -37,20 +37,26 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         pieces = _PIECE.findall(text or "")
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return b"".join(map(self.young.__getitem__, pieces))
         except KeyError:
             pass
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({p for p in pieces if p not in self.known})
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for p in {p for p in pieces if p not in young}:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+            else:
+                new.append(p)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+            young[p] = array("I", e.ids).tobytes()
+        return b"".join(map(young.__getitem__, pieces))
 
 
 def coder(path: str) -> Coder:
