@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text of the documents that one block of map-side work holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
@@ -48,12 +48,19 @@ def anchor_runs(anchor: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.
     return anchor[new], window[new], window[np.r_[new[1:] - 1, len(anchor) - 1]]
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """(doc_id, text) of a batch's rows, of which only a few are Python objects at a time."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, empty: bool = False) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids and UTF-8 texts of the documents, in blocks of about size bytes; unless empty is set, rows without id or text
     are left out."""
     ids, texts, total = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for i, t in rows_of(batch):
             if empty or i is not None and t:
                 raw = (t or "").encode()
                 ids.append(i)

@@ -33,7 +33,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")  # rows with whole texts or sets
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,34 +58,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+_BASE = 0x5851F42D4C957F2D
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes hashed at a time.
+_STRETCH = 1 << 18
 
-    base = np.uint64(0x5851F42D4C957F2D)
-    inverse = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, step in (("up", self.base), ("down", self.inverse)):
-                a = np.full(size, step, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base, and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, step in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            a = np.full(n, np.uint64(step), np.uint64)
+            a[0] = 1
+            _POWERS[k] = np.multiply.accumulate(a)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte range [start, end) of buf; equal ranges have equal hashes wherever they stand."""
-    up, down = _POWERS.get(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of every byte range [start, end) of buf (in order, not overlapping); equal ranges have equal hashes
+    wherever they stand. Worked out in stretches, which keeps it in the cache and in little memory."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _STRETCH)))
+        low, high = int(starts[i]), int(ends[j - 1])
+        up, down = _powers(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((buf[low:high].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
