@@ -25,9 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         new = stored(small, "edges")
         # stars: no node is both above and below an edge, and none has two edges down
-        crossing = new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        twice = new.groupBy("u").count().where("count > 1").limit(1).count()
+        above, below = new.groupBy("u").count(), new.select(F.col("v").alias("u")).distinct()
         e = new
-        if not crossing and not twice:
+        if not above.where("count > 1").select("u").union(above.join(below, "u", "left_semi").select("u")).limit(1).count():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

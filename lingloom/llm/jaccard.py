@@ -40,6 +40,10 @@ FILTER_BITS = 1 << 23
 #: The dividing size is looked for below this.
 LARGEST_LIGHT = 40
 _PIECE = 1 << 14
+#: Places where a task marks the shingles that it has met, a byte each.
+SEEN = 1 << 24
+#: Text of a block of documents.
+BLOCK = 2 << 20
 
 
 def required(n: int) -> int:
@@ -134,14 +138,14 @@ def _table(columns: list, types: list[pa.DataType], names: list[str]) -> pa.Reco
 
 def _described(docs: DataFrame) -> DataFrame:
     """One row a document with text: doc_id, n, sid, sketch; and rows of doc_id null: the counters of a task in pieces
-    (n: the number of the piece). Only shingles that a block of documents repeats are counted."""
+    (n: the number of the piece). A task counts the shingles that it has met before, in another set."""
     types, names = [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "n", "sid", "sketch"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        counters = np.zeros(COUNTERS, np.uint32)
-        for ids, texts in blocks(batches):
+        counters, seen = np.zeros(COUNTERS, np.uint32), np.zeros(SEEN, bool)
+        for ids, texts in blocks(batches, BLOCK):
             sets = shingle_sets(texts)
             known: dict[int, bytes] = {}
             sids = [set_id(s) for s in sets]
@@ -152,7 +156,10 @@ def _described(docs: DataFrame) -> DataFrame:
                 sketches.append(known[i])
             first = list({i: s for i, s in zip(sids, sets)}.values())
             values = np.sort(np.concatenate(first)) if first else np.zeros(0, np.uint64)
-            again = values[1:][values[1:] == values[:-1]]
+            repeats = np.r_[False, values[1:] == values[:-1]]
+            place = (values >> np.uint64(20) & np.uint64(SEEN - 1)).astype(np.int64)
+            again = values[repeats | seen[place]]
+            seen[place] = True
             counters += np.bincount((again & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             yield _table([ids, [len(s) for s in sets], sids, sketches], types, names)
         pack = zstandard.ZstdCompressor(level=1)
@@ -180,15 +187,16 @@ def _counters(described: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, divide: int, counters: np.ndarray) -> DataFrame:
-    """key, sid, n: the subsets and the list entries of every set, once for a block of documents."""
+    """key, sid, n, pos: the subsets and the list entries of every set, with their place in the set's order (0 of subsets),
+    once for a block of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # COUNTERS * 4 bytes
     both_from = required(divide + 1)
-    types, names = [pa.int64(), pa.int64(), pa.int32()], ["key", "sid", "n"]
+    types, names = [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["key", "sid", "n", "pos"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for _, texts in blocks(batches):
-            keys, sids, sizes = [], [], []
+        for _, texts in blocks(batches, BLOCK):
+            keys, sids, sizes, places = [], [], [], []
             seen = set()
             for s in shingle_sets(texts):
                 n = len(s)
@@ -205,14 +213,18 @@ def _keys(docs: DataFrame, divide: int, counters: np.ndarray) -> DataFrame:
                 if n > divide or n >= both_from:
                     order = np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))
                     own.append(s[order[: prefix_length(n)]])
+                place = np.zeros(sum(map(len, own)), np.int32)
+                if n > divide or n >= both_from:
+                    place[-len(own[-1]) :] = np.arange(len(own[-1]))
                 own = np.concatenate(own)
+                places.append(place)
                 keys.append(own)
                 sids.append(np.full(len(own), i, np.int64))
                 sizes.append(np.full(len(own), n, np.int32))
             if keys:
-                yield _table([np.concatenate(keys).view(np.int64), np.concatenate(sids), np.concatenate(sizes)], types, names)
+                yield _table([np.concatenate(keys).view(np.int64), np.concatenate(sids), np.concatenate(sizes), np.concatenate(places)], types, names)
 
-    return docs.mapInArrow(emit, "key long, sid long, n int")
+    return docs.mapInArrow(emit, "key long, sid long, n int, pos int")
 
 
 def _filtered(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -239,7 +251,7 @@ def _sets_of(docs: DataFrame, sids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches):
+        for _, texts in blocks(batches, BLOCK):
             own = {set_id(s): s for s in shingle_sets(texts) if len(s)}
             yield _table([list(own), [s.tobytes() for s in own.values()]], [pa.int64(), pa.binary()], ["sid", "members"])
 
@@ -288,7 +300,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple
     Each set is compared with one candidate at a time, as long as that leaves fewer pairs; then all pairs left are.
     """
     roots = components(links) if links is not None else None
-    for last in (False, False, True):
+    for last in (False, True):
         pairs = stored(_crossing(pairs, roots), "pairs")
         one = pairs if last else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         new = stored(_similar(one, sets), "links")
@@ -314,26 +326,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sketches = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sizes = {r["n"]: r["count"] for r in found.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     keys = _keys(texts, dividing_size(sizes), _counters(described)).repartition("key").dropDuplicates(["key", "sid"])
-    shared = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min(F.struct("n", "sid")).alias("least")).where("in_list > 1")
-    lists = stored(keys.join(shared, "key").select("key", "sid", "n", F.col("least.sid").alias("a"), F.col("least.n").alias("n_a")), "lists")
-    close = lambda x, y: DEN * F.col(x) >= NUM * F.col(y)  # noqa: E731  sizes of similar sets, the smaller first
+    shared = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min(F.struct("n", "sid", "pos")).alias("least")).where("in_list > 1")
+    lists = stored(keys.join(shared, "key").select("key", "sid", "n", "pos", F.col("least.sid").alias("a"), F.col("least.n").alias("n_a"), F.col("least.pos").alias("p_a")), "lists")
+
+    def may_meet(n_a: str, n_b: str, p_a: str, p_b: str):
+        """Sizes of similar sets, the smaller first, that share an entry within what both have to look at: of n shingles
+        in one order, the first n + 1 less what the two must share."""
+        least = F.ceil((F.col(n_a) + F.col(n_b)) * NUM / (NUM + DEN) - 1e-6)
+        return (DEN * F.col(n_a) >= NUM * F.col(n_b)) & (F.col(p_a) <= F.col(n_a) - least) & (F.col(p_b) <= F.col(n_b) - least)
 
-    first = lists.where((F.col("sid") != F.col("a")) & close("n_a", "n")).select("a", F.col("sid").alias("b")).distinct()
+    first = lists.where((F.col("sid") != F.col("a")) & may_meet("n_a", "n", "p_a", "pos")).select("a", F.col("sid").alias("b")).distinct()
     first = stored(_filtered(first, sketches), "pairs")
     sets = stored(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "members")
     links, roots = _linked(first, sets, None)
 
     # what is left of the lists: pairs of sets in different components
-    member = lists.select("key", "sid", "n")
+    member = lists.select("key", "sid", "n", "pos")
     if roots is not None:
-        member = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("root"))
+        member = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
     else:
         member = member.withColumn("root", F.col("sid"))
     several = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     member = stored(member.join(several, "key"), "lists")
-    x = member.select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    y = member.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    across = x.join(y, "key").where((F.col("r_a") != F.col("r_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & close("n_a", "n_b"))
+    x = member.select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
+    y = member.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
+    across = x.join(y, "key").where((F.col("r_a") != F.col("r_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & may_meet("n_a", "n_b", "p_a", "p_b"))
     second = across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     second = stored(_filtered(second, sketches), "pairs")
     sets = stored(_sets_of(texts, second.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "members")
