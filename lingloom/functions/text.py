@@ -92,8 +92,9 @@ def cache_key(src_lang: Column | str, tgt_lang: Column | str, fmt: Column | str,
 def occurrences(text: Column, part: Column, overlapping: bool = True) -> Column:
     """1-based places of part in text, as an array. Non-overlapping ones are taken from the left."""
     if overlapping:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(part) + 1, F.lit(1)))
-        return F.filter(places, lambda i: F.substring(text, i, F.length(part)) == part)
+        pieces = F.split(text, F.concat(F.lit(r"(?=\Q"), part, F.lit(r"\E)")), -1)  # cut where an occurrence begins
+        starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.lit(1)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+        return F.when(F.startswith(text, part), starts).otherwise(F.slice(starts, 2, F.size(starts)))
     pieces = F.split(text, F.concat(F.lit(r"\Q"), part, F.lit(r"\E")), -1)
     ends = F.aggregate(pieces, F.array(F.lit(1)).cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + F.length(part))))
     return F.transform(F.slice(ends, 2, F.size(pieces) - 1), lambda e: e - F.length(part))
@@ -105,6 +106,18 @@ def windows(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def long_windows(text: Column, n: int, piece: int = 256) -> Column:
+    """All windows of n characters of a long text, by way of overlapping pieces: substring() counts from the beginning."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1), F.lit(piece))
+    cut = F.transform(starts, lambda p: F.substring(text, p, F.lit(piece + n - 1)))
+    return F.when(F.length(text) >= n, F.flatten(F.transform(cut, lambda s: windows(s, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def next_chars(text: Column, part: Column) -> Column:
+    """The character after every occurrence of part, overlapping ones too; '' at the end."""
+    return F.regexp_extract_all(text, F.concat(F.lit(r"(?s)(?=\Q"), part, F.lit(r"\E(.?))")), F.lit(1))
+
+
 def windows_between(text: Column, least: int, most: int) -> Column:
     """All windows of least to most characters, as an array."""
     return F.flatten(F.array(*[windows(text, n) for n in range(least, most + 1)]))

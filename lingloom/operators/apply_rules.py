@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import long_windows
+
 #: A table of more rules (or bigrams) than this is not sent whole to every task; each text gets the ones that occur in it.
 LARGEST_TABLE = 1_000_000
 #: Characters of context on each side of a hit.
@@ -125,12 +127,9 @@ def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str =
     keyed = df.withColumn("_id", F.monotonically_increasing_id()).persist()
     sizes = [r[0] for r in rules.select(F.length("wrong")).distinct().collect()]
 
-    def windows(n: int):
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    held = keyed.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*[windows(n) for n in sizes or [1]])))).alias("wrong"))
+    held = keyed.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*[long_windows(F.col(text), n) for n in sizes or [1]])))).alias("wrong"))
     own = held.join(rules.select("wrong", "right", "manual"), "wrong").groupBy("_id").agg(F.collect_list(F.struct("wrong", "right", "manual")).alias("_rules"))
-    pairs = keyed.select("_id", F.explode(F.array_distinct(windows(2))).alias("bg")).join(bigrams.select("bg"), "bg").groupBy("_id").agg(F.collect_list("bg").alias("_bigrams"))
+    pairs = keyed.select("_id", F.explode(F.array_distinct(long_windows(F.col(text), 2))).alias("bg")).join(bigrams.select("bg"), "bg").groupBy("_id").agg(F.collect_list("bg").alias("_bigrams"))
 
     @F.pandas_udf(schema)
     def rewrite_own(texts: pd.Series, bounds: pd.Series, own_rules: pd.Series, own_bigrams: pd.Series) -> pd.DataFrame:

@@ -65,9 +65,9 @@ def occurrence_contexts(entities: DataFrame, segments: DataFrame, profile: Scrip
     grams = windows_between(F.col("run"), profile.ngram_min, profile.ngram_max)
     # an occurrence and the character before it lie in one run, as convertible characters belong to the script
     held = runs.select("book_id", "run", F.explode(F.array_distinct(grams)).alias("ngram")).join(entities.select("book_id", "ngram"), ["book_id", "ngram"])
-    cls = col_class(convertible)
-    pattern = F.concat(F.lit(rf"(?s)(?<=({cls}))\Q"), F.col("ngram"), F.lit(r"\E|\Q"), F.col("ngram"), F.lit(r"\E"))
-    prev = F.explode(F.regexp_extract_all(F.col("run"), pattern, F.lit(1)))
+    pieces = F.split("run", F.concat(F.lit(r"\Q"), F.col("ngram"), F.lit(r"\E")), -1)  # each but the last ends where an occurrence begins
+    last = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.right(x, F.lit(1)))
+    prev = F.explode(F.transform(last, lambda c: F.when(c.rlike(col_class(convertible)), c).otherwise("")))
     return held.select("book_id", "ngram", prev.alias("prev")).groupBy("book_id", "ngram", "prev").agg(F.count("*").alias("n"))
 
 

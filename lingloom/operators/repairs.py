@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import convert_primary, occurrences, windows
+from ..functions.text import convert_primary, long_windows, next_chars
 from .consistency import Forms, apply_replacements
 
 # Fixed value: particles whose loss is no error.
@@ -64,7 +64,7 @@ def safe_repairs(repairs: DataFrame, pairs: DataFrame, primary: dict[str, str])
     if not sizes:
         return repairs
     both = pairs.select("book_id", F.col("tgt"), convert_primary(F.col("src"), primary).alias("e"))
-    same = [F.filter(F.transform(F.arrays_zip(windows(F.col("tgt"), n).alias("x"), windows(F.col("e"), n).alias("y")), lambda w: F.when(w["x"] == w["y"], w["x"])), lambda w: w.isNotNull()) for n in sizes]
+    same = [F.filter(F.transform(F.arrays_zip(long_windows(F.col("tgt"), n).alias("x"), long_windows(F.col("e"), n).alias("y")), lambda w: F.when(w["x"] == w["y"], w["x"])), lambda w: w.isNotNull()) for n in sizes]
     same = F.flatten(F.array(*same))
     standing = both.select("book_id", F.explode(F.array_distinct(same)).alias("wrong"))
     return repairs.join(standing, ["book_id", "wrong"], "left_anti")
@@ -82,7 +82,7 @@ def fixed_word_candidates(headwords: DataFrame, forms: Forms, pairs: DataFrame,
     sizes = [r[0] for r in words.select(F.length("word")).distinct().collect()]
     if not sizes:
         return pairs.select("book_id", F.col("src").alias("word")).limit(0)
-    grams = F.flatten(F.array(*[windows(F.col("src"), n) for n in sizes]))
+    grams = F.flatten(F.array(*[long_windows(F.col("src"), n) for n in sizes]))
     seen = pairs.select("book_id", F.explode(F.array_distinct(grams)).alias("word"))
     return seen.join(words, "word", "left_semi").select("book_id", "word").distinct()
 
@@ -100,8 +100,7 @@ def fixed_word_contexts(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     last_pos = pairs.groupBy("book_id").agg(F.max("pair_pos").alias("_last"))
     held = _pair_words(candidates, pairs, "prefix").join(last_pos, "book_id")
     text = F.when(F.col("pair_pos") < F.col("_last"), F.concat("src", F.lit("\n"))).otherwise(F.col("src"))
-    nexts = F.transform(occurrences(text, F.col("prefix")), lambda p: F.substring(text, p + F.length("prefix"), F.lit(1)))
-    after = F.transform(occurrences(F.col("src"), F.col("word")), lambda p: F.substring(F.col("src"), p + F.length("word"), F.lit(1)))
+    nexts, after = next_chars(text, F.col("prefix")), next_chars(F.col("src"), F.col("word"))
     rows = held.select("book_id", "word", F.filter(nexts, lambda c: (c != "") & (c != F.right("word", F.lit(1)))).alias("x"), F.filter(after, lambda c: c != "").alias("y"))
     each = lambda c: rows.select("book_id", "word", F.explode(F.array_distinct(c)).alias(c)).groupBy("book_id", "word").agg(F.array_sort(F.collect_set(c)).alias(c))
     out = candidates.join(each("x"), ["book_id", "word"], "left").join(each("y"), ["book_id", "word"], "left")
@@ -114,7 +113,7 @@ def fixed_word_tallies(contexts: DataFrame, pairs: DataFrame, headwords: DataFra
     has; false if the prefix and the next character are a headword, truncated before a known follower, else substituted,
     the end of the target included."""
     held = _pair_words(contexts, pairs, "word").where(~F.contains("tgt", F.col("word")))
-    nexts = F.transform(occurrences(F.col("tgt"), F.col("prefix")), lambda p: F.substring(F.col("tgt"), p + F.length("prefix"), F.lit(1)))
+    nexts = next_chars(F.col("tgt"), F.col("prefix"))
     rows = held.select("book_id", "word", "prefix", "followers", F.explode(nexts).alias("c")).withColumn("other", F.concat("prefix", "c"))
     rows = rows.join(headwords.select(F.col("word").alias("other"), F.lit(True).alias("_h")).distinct(), "other", "left")
     false = (F.col("c") != "") & F.coalesce("_h", F.lit(False))
