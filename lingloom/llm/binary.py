@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, c
         from pyspark import TaskContext
 
         file_no = TaskContext.get().partitionId()
-        pack, encode = zstandard.ZstdCompressor(level=3), coder(vocabulary).encode
+        pack, encode_rows = zstandard.ZstdCompressor(level=3), coder(vocabulary).encode_rows
         waiting, doc_ids, doc_starts, total, done = bytearray(), [], [], 0, 0
 
         def row(ids: np.ndarray) -> pa.RecordBatch:
@@ -77,8 +77,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, c
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _TYPES)], names=_NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in encode_rows(batch):
+                ids += end
                 doc_ids.append(doc_id)
                 doc_starts.append(total)
                 total += len(ids) // 4

@@ -116,11 +116,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, step:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(vocabulary).encode
+        encode_rows = coder(vocabulary).encode_rows
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
+            for doc_id, ids in encode_rows(batch):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(room, n - at), zlib.crc32(ids[4 * at : 4 * (at + room)]), n) for at in range(0, n, room)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 5, schema)], schema=schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 #: White space as the pre-tokeniser's pattern knows it.
 _S = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -41,22 +42,29 @@ class Coder:
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
-        pieces = _PIECE.findall(text or "")
-        try:
-            return b"".join(map(self.young.__getitem__, pieces))
-        except KeyError:
-            pass
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what is new in all of them goes to the library in one call."""
+        pieces = [_PIECE.findall(t or "") for t in texts]
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []
-        for p in {p for p in pieces if p not in young}:
+        for p in set().union(*pieces) - young.keys():
             if (ids := old.get(p)) is not None:
                 young[p] = ids
             else:
                 new.append(p)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             young[p] = array("I", e.ids).tobytes()
-        return b"".join(map(young.__getitem__, pieces))
+        known = young.__getitem__
+        return [b"".join(map(known, p)) for p in pieces]
+
+    def encode_rows(self, batch, step: int = 64) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) of a record batch's rows, in order."""
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            yield from zip(part.column("doc_id").to_pylist(), self.encode_many(part.column("text").to_pylist()))
 
 
 def coder(path: str) -> Coder:
