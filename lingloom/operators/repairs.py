@@ -77,14 +77,14 @@ def apply_repairs(segments: DataFrame, repairs: DataFrame, text: str = "text") -
 
 def fixed_word_candidates(headwords: DataFrame, forms: Forms, pairs: DataFrame, least: int = 4) -> DataFrame:
     """book_id, word: headwords of least characters or more without convertible ones that stand in a source of the book.
-    Sources are looked up by their windows of the headwords' lengths."""
-    words = headwords.select("word").distinct().where((F.length("word") >= least) & forms.all_fixed(F.col("word")))
-    sizes = [r[0] for r in words.select(F.length("word")).distinct().collect()]
-    if not sizes:
+    Every place of a source is looked up by its first least characters, and compared with the words that begin so."""
+    words = headwords.select("word").distinct().where((F.length("word") >= least) & forms.all_fixed(F.col("word"))).withColumn("_k", F.left("word", F.lit(least)))
+    longest = words.agg(F.max(F.length("word"))).first()[0]
+    if longest is None:
         return pairs.select("book_id", F.col("src").alias("word")).limit(0)
-    grams = F.flatten(F.array(*[long_windows(F.col("src"), n) for n in sizes]))
-    seen = pairs.select("book_id", F.explode(F.array_distinct(grams)).alias("word"))
-    return seen.join(words, "word", "left_semi").select("book_id", "word").distinct()
+    padded = F.concat("src", F.lit("\0" * (longest - least)))
+    seen = pairs.select("book_id", F.explode(F.array_distinct(long_windows(padded, longest))).alias("_w")).withColumn("_k", F.left("_w", F.lit(least)))
+    return seen.join(words, "_k").where(F.startswith("_w", F.col("word"))).select("book_id", "word").distinct()
 
 
 def _pair_words(candidates: DataFrame, pairs: DataFrame, part: str) -> DataFrame:
