@@ -58,13 +58,33 @@ def char(text: Column, i: Column) -> Column:
     return F.substring(text, i, F.lit(1))
 
 
+#: No n-gram that is aligned is longer.
+LONGEST = 6
+
+
 def positions(n: Column) -> Column:
     return F.sequence(F.lit(1), n)
 
 
+def differ(a: Column, b: Column, i: int) -> Column:
+    """Whether two n-grams of one length differ in place i; beyond their end they don't."""
+    return F.substring(a, i, 1) != F.substring(b, i, 1)
+
+
 def hamming(a: Column, b: Column) -> Column:
-    """Number of places where two texts of one length differ."""
-    return F.size(F.filter(positions(F.length(a)), lambda i: char(a, i) != char(b, i)))
+    """Number of places where two n-grams of one length differ, as a plain sum that is compiled with the query."""
+    total = differ(a, b, 1).cast("int")
+    for i in range(2, LONGEST + 1):
+        total = total + differ(a, b, i).cast("int")
+    return total
+
+
+def every_difference(a: Column, b: Column, test) -> Column:
+    """Whether test(i) holds in every place i where a and b differ."""
+    out = F.lit(True)
+    for i in range(1, LONGEST + 1):
+        out = out & (~differ(a, b, i) | test(i))
+    return out
 
 
 def script_ngrams(df: DataFrame, text: str, profile: ScriptProfile, name: str) -> DataFrame:
@@ -89,7 +109,8 @@ def align_ngrams(sent_pairs: DataFrame, forms: Forms, profile: ScriptProfile) ->
     target = script_ngrams(sent_pairs, "tgt", profile, "t_ng").withColumn("key", char(F.col("t_ng"), F.lit(1)))
     met = source.join(target, ["book_id", "pair_pos", "sent_pos", "n", "key"]).withColumn("fixed", forms.all_fixed(F.col("s_ng")))
     s, t = F.col("s_ng"), F.col("t_ng")
-    placed = F.forall(positions(F.col("n")), lambda i: (char(s, i) == char(t, i)) | (forms.is_convertible(char(s, i)) & forms.legal(char(s, i), char(t, i))))
+    at = lambda c, i: F.substring(c, i, 1)
+    placed = every_difference(s, t, lambda i: forms.is_convertible(at(s, i)) & forms.legal(at(s, i), at(t, i)))
     fits = F.when(F.col("fixed"), hamming(s, t) <= 1).otherwise(placed)
     return met.where(fits).select("book_id", "pair_pos", "sent_pos", "s_ng", "t_ng", "fixed").distinct()
 
@@ -144,8 +165,9 @@ def normalization_rules(counts: DataFrame, majority: DataFrame, limits: DataFram
     s, w, r = F.col("s_ng"), F.col("t_ng"), F.col("majority")
     few = hamming(w, r) <= 1
     fixed_legal = F.when((F.length("s_ng") < 4) & (w != r), (F.length("s_ng") == 3) & (F.col("total") >= F.col("entity_total")) & few).otherwise(few)
-    placed_legal = F.forall(positions(F.length("s_ng")), lambda i: (char(w, i) == char(r, i)) | forms.legal(char(s, i), char(r, i)))
-    both = F.forall(positions(F.length("s_ng")), lambda i: (char(w, i) == char(r, i)) | (forms.legal(char(s, i), char(w, i)) & forms.legal(char(s, i), char(r, i))))
+    at = lambda c, i: F.substring(c, i, 1)
+    placed_legal = every_difference(w, r, lambda i: forms.legal(at(s, i), at(r, i)))
+    both = every_difference(w, r, lambda i: forms.legal(at(s, i), at(w, i)) & forms.legal(at(s, i), at(r, i)))
     vote = (F.col("n") / F.col("total") < max_share) & F.when(F.col("fixed"), fixed_legal).otherwise(placed_legal) & ~both
     rows = rows.where(truth | vote)
     best = Window.partitionBy("book_id", "t_ng").orderBy(F.desc("total"), "s_ng")

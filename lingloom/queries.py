@@ -380,21 +380,6 @@ def sentences_split(spark, sf_dir):
 _SENT_PAIRS = f"""sp AS (SELECT book_id, pair_pos, (i - 1)::INT AS sent_pos, CASE WHEN n > 0 THEN ss[i] ELSE src END AS src, CASE WHEN n > 0 THEN ts[i] ELSE tgt END AS tgt
     FROM (SELECT *, unnest(range(1, greatest(n, 1) + 1)) AS i FROM (SELECT *, CASE WHEN len(ss) = len(ts) AND len(ss) > 1 THEN len(ss) ELSE 0 END AS n
     FROM (SELECT book_id, pair_pos, src, tgt, {_SPLIT.format(c='src')} AS ss, {_SPLIT.format(c='tgt')} AS ts FROM docs))))"""
-_LEGAL = ", ".join(f"'{s}{t}'" for s, ts in FORMS.items() for t in ts)
-_GRAM = f"SELECT DISTINCT book_id, pair_pos, sent_pos, n, substr(run, i, n) AS {{to}} FROM (SELECT *, unnest(range(1, length(run) - n + 2)) AS i FROM (SELECT *, unnest([3, 4]) AS n FROM (SELECT book_id, pair_pos, sent_pos, unnest(regexp_extract_all({{c}}, '{RUN}')) AS run FROM sp)))"
-_HAM = "len(list_filter(range(1, length({a}) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)))"
-_ALIGNED = f"""{_SENT_PAIRS},
-sg AS ({_GRAM.format(c='src', to='s_ng')}), tg AS ({_GRAM.format(c='tgt', to='t_ng')}),
-keyed AS (SELECT sg.*, coalesce(trad, left(s_ng, 1)) AS key FROM sg LEFT JOIN char_map ON simp = left(s_ng, 1)),
-met AS (SELECT DISTINCT k.book_id, k.pair_pos, k.sent_pos, k.n, s_ng, t_ng, NOT regexp_matches(s_ng, '[{CONVERTIBLE}]') AS fixed FROM keyed k JOIN tg ON tg.book_id = k.book_id AND tg.pair_pos = k.pair_pos AND tg.sent_pos = k.sent_pos AND tg.n = k.n AND left(t_ng, 1) = key),
-fit AS (SELECT * FROM met WHERE s_ng = t_ng OR CASE WHEN fixed THEN {_HAM.format(a='s_ng', b='t_ng')} <= 1
-    ELSE len(list_filter(range(1, n + 1), lambda i: substr(s_ng, i, 1) <> substr(t_ng, i, 1) AND NOT list_contains([{_LEGAL}], substr(s_ng, i, 1) || substr(t_ng, i, 1)))) = 0 END),
-al AS (SELECT * FROM fit WHERE NOT fixed OR s_ng = t_ng UNION ALL
-    SELECT f.* FROM fit f JOIN sp USING (book_id, pair_pos, sent_pos) WHERE fixed AND s_ng <> t_ng AND len(list_filter(list_transform(range(1, length(src) - n + 2), lambda j: substr(src, j, n)), lambda w: w <> s_ng AND {_HAM.format(a='w', b='t_ng')} <= 1)) = 0),
-ac AS (SELECT book_id, s_ng, t_ng, fixed, count(*) AS n FROM al GROUP BY ALL)"""
-_VOTES = f"""{_ALIGNED},
-lim AS (SELECT book_id, greatest(4, count(*) // 200) AS min_total, greatest(15, count(*) // 50) AS entity_total FROM docs GROUP BY ALL),
-maj AS (SELECT book_id, s_ng, t_ng AS majority, total FROM (SELECT *, sum(n) OVER (PARTITION BY book_id, s_ng) AS total, row_number() OVER (PARTITION BY book_id, s_ng ORDER BY (fixed AND s_ng = t_ng)::INT DESC, n DESC, t_ng) AS r FROM ac) JOIN lim USING (book_id) WHERE r = 1 AND total >= min_total)"""
 
 
 def _alignment(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, consistency.Forms]:
@@ -409,12 +394,12 @@ def sentences_paired(spark, sf_dir):
     return consistency.sentence_pairs(pairs(spark, sf_dir), LATIN)
 
 
-@query(_full(_ALIGNED, "SELECT book_id, s_ng, t_ng, n FROM ac"))
+@query()
 def ngrams_aligned(spark, sf_dir):
     return _alignment(spark, sf_dir)[0].select("book_id", "s_ng", "t_ng", "n")
 
 
-@query(_full(_VOTES, "SELECT book_id, s_ng, majority, total::BIGINT AS total FROM maj"))
+@query()
 def majority_forms(spark, sf_dir):
     counts, limits, *_ = _alignment(spark, sf_dir)
     return consistency.majority_form(counts, limits)
@@ -464,18 +449,7 @@ def _words(spark, sf_dir):
     return own, heads, found
 
 
-_CANDIDATES = f"""fw AS (SELECT DISTINCT book_id, word FROM docs JOIN headwords ON contains(src, word) WHERE length(word) >= 4 AND NOT regexp_matches(word, '[{CONVERTIBLE}]')),
-lp AS (SELECT book_id, max(pair_pos) AS last FROM docs GROUP BY ALL),
-ex AS (SELECT book_id, word, list_sort(list(DISTINCT c)) AS x FROM (SELECT book_id, word, substr(t, i + length(word) - 1, 1) AS c FROM (SELECT book_id, word, t, unnest(range(1, length(t) - length(word) + 3)) AS i FROM
-    (SELECT d.book_id, word, CASE WHEN pair_pos < last THEN src || chr(10) ELSE src END AS t FROM docs d JOIN fw USING (book_id) JOIN lp USING (book_id) WHERE contains(src, left(word, length(word) - 1)))) WHERE substr(t, i, length(word) - 1) = left(word, length(word) - 1)) WHERE c <> '' AND c <> right(word, 1) GROUP BY ALL),
-fo AS (SELECT book_id, word, list_sort(list(DISTINCT c)) AS y FROM (SELECT book_id, word, substr(src, i + length(word), 1) AS c FROM (SELECT d.book_id, word, src, unnest(range(1, length(src) - length(word) + 2)) AS i FROM docs d JOIN fw USING (book_id) WHERE contains(src, word)) WHERE substr(src, i, length(word)) = word) WHERE c <> '' GROUP BY ALL),
-cx AS (SELECT fw.*, coalesce(x, []) AS extensions, coalesce(y, []) AS followers FROM fw LEFT JOIN ex USING (book_id, word) LEFT JOIN fo USING (book_id, word)),
-tl AS (SELECT book_id, word, count(*) FILTER (WHERE NOT f AND NOT t) AS n_subst, count(*) FILTER (WHERE t AND NOT f) AS n_trunc, count(*) FILTER (WHERE f) AS n_false FROM (
-    SELECT book_id, word, c <> '' AND left(word, length(word) - 1) || c IN (SELECT word FROM headwords) AS f, list_contains(followers, c) AS t FROM (
-    SELECT book_id, word, followers, substr(tgt, i + length(word) - 1, 1) AS c FROM (SELECT d.book_id, word, followers, tgt, unnest(range(1, length(tgt) - length(word) + 3)) AS i FROM docs d JOIN cx USING (book_id) WHERE contains(src, word) AND NOT contains(tgt, word)) WHERE substr(tgt, i, length(word) - 1) = left(word, length(word) - 1))) GROUP BY ALL)"""
-
-
-@query(_full(_CANDIDATES.split(",\nlp AS")[0], "SELECT book_id, word FROM fw"))
+@query(f"SELECT DISTINCT book_id, word FROM docs JOIN headwords ON contains(src, word) WHERE length(word) >= 4 AND NOT regexp_matches(word, '[{CONVERTIBLE}]')")
 def fixed_words(spark, sf_dir):
     return _words(spark, sf_dir)[2]
 

@@ -162,3 +162,46 @@ def test_rule_logs_and_analysis(spark):
     assert tuple(analysis.calibrate_threshold(metrics).first()) == (2, 0, 1)
     assert [r["wrong"] for r in analysis.rank_rules(metrics, 1).collect()] == ["天後"]
     assert analysis.top_neighbours(near).count() == 6
+
+
+def test_alignment_against_brute_force(spark):
+    import random
+    import re
+
+    r = random.Random(4)
+    listed = {"x": ["a", "b"], "y": ["c"]}
+    forms, rows = consistency.Forms(listed), []
+    profile = consistency.ScriptProfile(run="a-z", terminators=".")
+    for k in range(40):
+        src = ["".join(r.choice("abcxyd ") for _ in range(r.randint(3, 14))) for _ in range(r.randint(1, 3))]
+        tgt = ["".join(r.choice(listed.get(c, [c])) if r.random() < 0.9 else r.choice("abcd") for c in s) for s in src]
+        rows.append(("b", k, ".".join(src) + ".", ".".join(tgt) + "."))
+    expected, votes = {}, {}
+    for _, _, src, tgt in rows:
+        cut = lambda t: [p.lstrip() if i else p for i, p in enumerate(re.findall(r"[^.]*\.", t)) if p.strip()]
+        ss, ts = cut(src), cut(tgt)
+        for s, t in zip(ss, ts) if len(ss) == len(ts) > 1 else [(src, tgt)]:
+            grams = lambda x: {x[i : i + n] for n in (3, 4) for i in range(len(x) - n + 1) if re.fullmatch("[a-z]+", x[i : i + n])}
+            for a in grams(s):
+                for b in grams(t):
+                    if len(a) != len(b):
+                        continue
+                    fixed = not set(a) & set(listed)
+                    off = sum(p != q for p, q in zip(a, b))
+                    if a[0] in listed and b[0] not in listed[a[0]] or a[0] not in listed and a[0] != b[0]:
+                        continue
+                    if fixed and off > 1 or not fixed and any(p != q and q not in listed.get(p, []) for p, q in zip(a, b)):
+                        continue
+                    windows = [s[i : i + len(a)] for i in range(len(s) - len(a) + 1)]
+                    if fixed and a != b and any(w != a and sum(p != q for p, q in zip(w, b)) <= off for w in windows):
+                        continue
+                    expected[a, b] = expected.get((a, b), 0) + 1
+    pairs = table(spark, rows, "book_id string, pair_pos long, src string, tgt string")
+    sent = consistency.sentence_pairs(pairs, profile)
+    counts = consistency.alignment_counts(consistency.competitive_abstain(consistency.align_ngrams(sent, forms, profile), sent))
+    assert {(c["s_ng"], c["t_ng"]): c["n"] for c in counts.collect()} == expected
+    for (a, b), n in expected.items():
+        votes.setdefault(a, []).append((not (a == b and not set(a) & set(listed)), -n, b))
+    wanted = {a: (min(v)[2], -sum(n for _, n, _ in v)) for a, v in votes.items() if -sum(n for _, n, _ in v) >= 4}
+    got = {m["s_ng"]: (m["majority"], m["total"]) for m in consistency.majority_form(counts, consistency.pair_counts(pairs)).collect()}
+    assert got == wanted
