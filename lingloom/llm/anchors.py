@@ -73,11 +73,11 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, empty: bo
         yield ids, texts
 
 
-def spans_of(docs: DataFrame, exchange: Callable, meet: Callable, parts: int) -> DataFrame:
+def spans_of(docs: DataFrame, exchange: Callable, meet: Callable, parts: int, block: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, s, e (as often as found): exchange gives (part, blob) rows of a block, meet the spans of a part's blobs."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
+        for ids, texts in blocks(batches, block):
             rows = exchange(ids, texts, parts)
             for at in range(0, len(rows), 256):
                 part, blob = zip(*rows[at : at + 256])

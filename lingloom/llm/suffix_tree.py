@@ -20,7 +20,9 @@ from .anchors import anchor_runs, sliding_anchor, spans_of, with_spans
 from .common import merged, mix64, range_hashes, ranges, tasks, word_bounds
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
+#: Text of a block of documents, and how hard its blobs are compressed; larger and harder ones make a smaller shuffle.
+BLOCK, LEVEL = 6 << 20, 9
 #: Words of all suffixes that one step of the tree's growth looks at.
 STEPS = ((0, 4), (4, 8), (8, WINDOW))
 
@@ -64,7 +66,7 @@ def exchange(ids: list[int], texts: list[bytes], parts: int, window: int = WINDO
     by_part = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(part[by_part].astype(np.int64)) != 0, True])
     doc_ids = np.array(ids, np.int64)
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=LEVEL)
     rows = []
     for a, b in zip(edges[:-1], edges[1:]):
         own = by_part[a:b]
@@ -181,8 +183,8 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """doc_id, s, e: runs of words covered by windows of docs (doc_id, text) that also start in a smaller doc_id."""
-    parts = parts or 8 * tasks(docs.sparkSession)
-    return spans_of(docs, lambda ids, texts, n: exchange(ids, texts, n, window, min(GRAM, window)), lambda blobs: meet(blobs, window), parts)
+    parts = parts or 4 * tasks(docs.sparkSession)
+    return spans_of(docs, lambda ids, texts, n: exchange(ids, texts, n, window, min(GRAM, window)), lambda blobs: meet(blobs, window), parts, BLOCK)
 
 
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
