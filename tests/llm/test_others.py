@@ -249,6 +249,6 @@ def test_gradient():
     wide = flat.astype(np.float64)
     for k in np.argsort(-np.abs(grad))[:: len(grad) // 60][:20].tolist() + np.argsort(-np.abs(grad))[:20].tolist():
         up, down = wide.copy(), wide.copy()
-        up[k] += 1e-5
-        down[k] -= 1e-5
-        assert (loss(up) - loss(down)) / 2e-5 == pytest.approx(grad[k], abs=2e-3)
+        up[k] += 1e-2
+        down[k] -= 1e-2
+        assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(grad[k], abs=2e-3)
