@@ -122,7 +122,8 @@ def competitive_abstain(aligned: DataFrame, sent_pairs: DataFrame) -> DataFrame:
     s, t, n = F.col("s_ng"), F.col("t_ng"), F.length("s_ng")
     own = hamming(s, t)
     windows = F.transform(F.sequence(F.lit(1), F.length("src") - n + 1), lambda i: F.substring(F.col("src"), i, n))
-    rival = F.exists(windows, lambda w: (w != s) & (hamming(w, t) <= own))
+    # a target that stands in the source as it is has a rival there; the windows are compared for the others only
+    rival = F.contains("src", t) | F.exists(windows, lambda w: (w != s) & (hamming(w, t) <= own))
     return aligned.where(~doubtful).unionByName(rows.where(~rival).select(aligned.columns))
 
 
