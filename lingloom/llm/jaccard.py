@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import blocks
-from .common import mix64, range_hashes, ranges, stored, word_bounds
+from .common import mix64, range_hashes, stored, word_bounds
 from .graph import components
 
 SHINGLE = 3
