@@ -50,7 +50,7 @@ class Coder:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []
-        for p in set().union(*pieces) - young.keys():
+        for p in set().union(*pieces).difference(young):
             if (ids := old.get(p)) is not None:
                 young[p] = ids
             else:
