@@ -11,14 +11,14 @@ from lingloom.llm.common import shared_dir
 from lingloom.llm.jaccard import jaccard_components
 from lingloom.llm.mixing import mix_sources
 from lingloom.llm.packing import pack_documents
-from lingloom.llm.quality import quality_rules
+from lingloom.llm.quality import adaptive_fences, quality_rules
 from lingloom.llm.secrets import redact_secrets
 from lingloom.llm.tokens import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
-    verdicts = quality_rules(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    verdicts = quality_rules(docs, limits=adaptive_fences).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 

@@ -7,6 +7,8 @@ beyond the quartile fences of its own group, so that no fixed share of a clean g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ METRICS = {
     "length": ("word_chars", "n_words", 12.0, 2.5),
 }
 FENCE = 3.0
+#: Least distance of the quartiles by which adaptive fences are widened: where a clean group's values are all equal.
+SPREAD = {"symbols": 0.01, "lines": 0.05, "repeats": 0.05, "length": 0.25}
+#: Groups of fewer documents with words are judged by their language alone.
+SMALL = 20
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -71,13 +77,19 @@ def merge_sketches(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), metrics: dict = METRICS) -> DataFrame:
-    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance."""
+def quartiles(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, metric, q1, q3, of: quartiles and number of values of each sketch."""
     order = Window.partitionBy(*by, "metric").orderBy(F.col("bin").asc_nulls_first())
     rows = sketches.withColumn("upto", F.sum("n").over(order)).withColumn("of", F.sum("n").over(Window.partitionBy(*by, "metric")))
     value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin").cast("double")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), value))
-    rows = rows.groupBy(*by, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return rows.groupBy(*by, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("of").alias("of"))
+
+
+def fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), metrics: dict = METRICS) -> DataFrame:
+    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance, but never inside the
+    fixed floors of METRICS."""
+    rows = quartiles(sketches, by)
     out = []
     for m, (_, _, high, low) in metrics.items():
         span = FENCE * (F.col("q3") - F.col("q1"))
@@ -87,15 +99,41 @@ def fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), metric
     return rows.groupBy(*by).agg(*out)
 
 
-def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """doc_id, the features, base_failed and kept for every row of docs (doc_id, text and the columns in by).
+def adaptive_fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), pool: tuple[str, ...] = ("lang",), metrics: dict = METRICS) -> DataFrame:
+    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance (SPREAD at least).
+
+    No fence is wider than that of the sketches pooled by the columns in pool, so that a group full of junk does not set
+    its own; groups below SMALL documents have the pooled fence alone.
+    """
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.create_map(*[F.lit(x) for m in metrics for x in (m, SPREAD[m])])[F.col("metric")])
+    widened = lambda rows, by, lo, hi: rows.select(*by, "metric", "of", (F.col("q1") - FENCE * spread).alias(lo), (F.col("q3") + FENCE * spread).alias(hi))
+    own = widened(quartiles(sketches, by), by, "lo", "hi").alias("o")
+    whole = widened(quartiles(merge_sketches(sketches, pool), pool), pool, "pool_lo", "pool_hi").alias("w")
+    same = F.col("o.metric") == F.col("w.metric")
+    for c in pool:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}"))
+    rows = own.join(whole, same).select(*[f"o.{c}" for c in by], "o.metric", "o.of", "lo", "hi", "pool_lo", "pool_hi")
+    few = F.col("of") < SMALL
+    high = F.when(few, F.col("pool_hi")).otherwise(F.least("hi", "pool_hi"))
+    low = F.when(few, F.col("pool_lo")).otherwise(F.greatest("lo", "pool_lo"))
+    out = []
+    for m, (_, _, _, lowest) in metrics.items():
+        out.append(F.max(F.when(F.col("metric") == m, high)).alias(f"hi_{m}"))
+        if lowest is not None:
+            out.append(F.max(F.when(F.col("metric") == m, low)).alias(f"lo_{m}"))
+    return rows.groupBy(*by).agg(*out)
+
+
+def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), limits: Callable[[DataFrame, tuple[str, ...]], DataFrame] = fences) -> DataFrame:
+    """doc_id, the features, base_failed and kept for every row of docs (doc_id, text and the columns in by). limits: fences,
+    as the SQL of op8_quality has them, or adaptive_fences.
 
     Null and empty texts have no words and fail; null group columns form groups of their own; equal rows get equal
     verdicts; a group of one document accepts all that its base rules accept, up to the fixed floors of the fences; an
     empty table gives no rows; columns named like the features are read from neither input nor output.
     """
     features = stored(text_features(docs, ("doc_id", *by)), "quality")
-    limits = fences(quantile_sketches(features, by), by)
+    limits = limits(quantile_sketches(features, by), by)
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}"))

@@ -42,3 +42,19 @@ def test_stages_and_run(spark, tmp_path):
     for x in out:
         copies[x["doc_id"]] += x["length"] / x["doc_tokens"]
     assert {i: round(n) for i, n in copies.items()} == {i: ids["mixing"].count(i) for i in set(ids["mixing"])}
+
+
+def test_quality_stage_follows_the_groups(spark):
+    """Junk goes where it fills two fifths of a group, where the group is tiny, and below the old fixed cutoffs."""
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        rows.append((i, words(r, 200), "en", f"s{i % 5}", 0))
+    for i in range(40):  # 40 of 100 documents of s0 with 0.8 symbols a word
+        rows.append((1000 + i, " ".join(w + "#" * (k % 5 > 0) for k, w in enumerate(words(r, 200).split())), "en", "s0", 0))
+    for i in range(3):  # 2.5 symbols a word, in a group of their own
+        rows.append((2000 + i, " ".join(w + "#$" + "%" * (k % 2) for k, w in enumerate(words(r, 200).split())), "en", "tiny", 0))
+    rows.append((3000, " ".join(w + "#" * (k % 12 == 0) for k, w in enumerate(words(r, 200).split())), "en", "s1", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"] for x in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 295
