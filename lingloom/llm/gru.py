@@ -192,14 +192,15 @@ def _gradient(p: dict, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarr
 
 
 def train(flat: np.ndarray, codes: np.ndarray, begins: np.ndarray, lanes: int = 64, window: int = 32, rate: float = 0.01) -> np.ndarray:
-    """One pass of Adam over the tokens, cut into lanes and windows; gradients stop at window borders, states do not."""
+    """One pass of Adam over the tokens, cut into lanes and windows; gradients stop at window borders, states do not. Where
+    the lanes do not divide the tokens, some lanes begin with the last token of the one before."""
     flat = flat.copy()
     lanes = max(1, min(lanes, len(codes) // window))
-    steps = len(codes) // lanes
+    steps = -(-len(codes) // lanes)
     if not steps:
         return flat
-    targets = codes[: steps * lanes].reshape(lanes, steps).T
-    starts = begins[: steps * lanes].reshape(lanes, steps).T.copy()
+    place = np.arange(steps)[:, None] + np.arange(lanes) * (len(codes) - steps) // max(1, lanes - 1)
+    targets, starts = codes[place], begins[place]
     starts[0] = True
     inputs = np.where(starts, START, np.roll(targets, 1, axis=0))
     p, h = views(flat), np.zeros((lanes, HIDDEN), np.float32)

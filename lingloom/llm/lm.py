@@ -3,8 +3,8 @@
 1. Blocks of documents are stored as ids into the block's own vocabulary.
 2. Each word's training count is summed over all blocks by a shuffle of the vocabularies, dealt by word, and sent back to
    the blocks that have the word. Nothing but the TOP most frequent words and a few sums reaches the driver.
-3. The recurrent model is trained in rounds: every task goes on from the shared parameters over a fixed share of its blocks'
-   training tokens (another one each round), and the tasks' parameters are averaged.
+3. The recurrent model is trained in rounds: every task goes on from the shared parameters over the round's stretch of its
+   blocks' training tokens, and the tasks' parameters are averaged. The stretches of all rounds make one whole pass.
 4. Every block scores its documents from first to last token.
 """
 
@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .anchors import blocks
-from .common import stored, tasks
+from .common import ranges, stored, tasks
 
 #: The token after a text's last word; no word holds a newline.
 END = b"\n"
 BLOCK = 12 << 20
 ROUNDS = 3
-#: Share of the training tokens that a round learns from.
-SHARE = 1 / 12
+#: Share of the training tokens that a round learns from; ROUNDS * SHARE passes over all of them.
+SHARE = 1 / ROUNDS
 #: Floats of the parameters in a row.
 _PIECE = 4096
 
@@ -179,6 +179,20 @@ def _indexed(table: DataFrame, counted: DataFrame, parts: int, model: dict) -> D
     return left.cogroup(right).applyInArrow(index, "block long, docs binary, words binary, tokens binary")
 
 
+def round_stretch(lengths: np.ndarray, round_no: int, share: float) -> list[tuple[int, int]]:
+    """The token ranges, of documents laid end to end, that a round learns from: share of all tokens, from where the round
+    before it ended, and from the first token again after the last."""
+    total = int(lengths.sum())
+    at, end = round(round_no * share * total), round((round_no + 1) * share * total)
+    out = []
+    while at < end:
+        first = at % total
+        n = min(end - at, total - first)
+        out.append((first, first + n))
+        at += n
+    return out
+
+
 def _trained(indexed: DataFrame, flat: np.ndarray, round_no: int, share: float) -> np.ndarray:
     """The mean of what the tasks make of the shared parameters, weighted by tokens."""
     shared = indexed.sparkSession.sparkContext.broadcast(flat)  # N_PARAMETERS floats
@@ -191,16 +205,17 @@ def _trained(indexed: DataFrame, flat: np.ndarray, round_no: int, share: float)
                 mine = np.flatnonzero(~held)
                 if not len(mine):
                     continue
-                mine = np.roll(np.random.default_rng(11).permutation(mine), -int(round_no * share * len(mine)))
-                mine = mine[: np.searchsorted(np.cumsum(lengths[mine]), share * lengths[~held].sum()) + 1]
+                mine = np.random.default_rng(11).permutation(mine)
                 first = np.cumsum(lengths) - lengths
                 n = lengths[mine]
-                place = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                codes = _unpacked(words)[0].astype(np.int64)[_unpacked(tokens)[place]]
-                begins = np.zeros(len(codes), bool)
-                begins[np.cumsum(n) - n] = True
-                own = gru.train(own, codes, begins)
-                seen += len(codes)
+                start = np.zeros(int(n.sum()), bool)
+                start[np.cumsum(n) - n] = True
+                place = ranges(first[mine], n)
+                codes, tokens = _unpacked(words)[0], _unpacked(tokens)
+                for a, b in round_stretch(n, round_no, share):
+                    part = codes[tokens[place[a:b]]].astype(np.int64)
+                    own = gru.train(own, part, start[a:b])
+                    seen += len(part)
         if seen:
             pieces = [(own[k : k + _PIECE].astype(np.float64) * seen).tobytes() for k in range(0, len(own), _PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "n", "sum"])

@@ -252,3 +252,34 @@ def test_gradient():
         up[k] += 1e-2
         down[k] -= 1e-2
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(grad[k], abs=2e-3)
+
+
+def test_rounds_learn_from_every_token(spark, monkeypatch):
+    """With the production rounds and share, blocks of one, of few and of many documents are passed over as a whole."""
+    for lengths in ([7], [5000, 3, 900], [1] * 50, [300] * 40):
+        n = sum(lengths)
+        seen = np.zeros(n, int)
+        for k in range(lm.ROUNDS):
+            for a, b in lm.round_stretch(np.array(lengths), k, lm.SHARE):
+                seen[a:b] += 1
+        assert (seen == 1).all()
+    for n in (1, 31, 33, 2048, 2049, 2111, 5000):
+        seen = np.zeros(n, int)
+        monkeypatch.setattr(gru, "_gradient", lambda p, inputs, targets, begins, h, grad: (np.add.at(seen, targets, 1), h)[1])
+        gru.train(np.zeros(gru.N_PARAMETERS, np.float32), np.arange(n), np.zeros(n, bool))
+        assert seen.min() == 1 and seen.sum() < n + 64
+
+
+def test_production_training_beats_the_base_on_held_out_text(spark):
+    """Five long documents a block at most, each in words of its own order, so that every document has to be learnt from."""
+    r = random.Random(1)
+    rows = []
+    for i in range(20):
+        names, at, text = ["the", "cat", "sat", "on", "a", "mat"], r.randrange(6), []
+        for _ in range(4000):
+            text.append(names[at])
+            at = (at + 1) % 6 if r.random() < 0.8 else r.randrange(6)
+        rows.append((i, " ".join(text)))
+    out = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), group=None)
+    total = out.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert total[0] > 0.95 * total[1]
