@@ -19,12 +19,14 @@ from lingloom.llm.tokens import vocabulary
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
     verdicts = quality_rules(docs, limits=adaptive_fences).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near copies; documents without words or id stay."""
-    groups = jaccard_components(docs)
+    """The document of the smallest id of every group of near copies; documents without words or id stay.
+    Near: Jaccard similarity of 0.8 or more over five-word shingles."""
+    groups = jaccard_components(docs, shingle=5, num=80, den=100)
     copies = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
@@ -36,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: complete epochs, and once more for the fractional selection."""
-    copies = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    copies = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(docs.columns)
 
 

@@ -30,8 +30,8 @@ from .anchors import blocks
 from .common import mix64, range_hashes, stored, word_bounds
 from .graph import components
 
+#: Words of a shingle, and similar: DEN * intersection >= NUM * union, unless other values are asked for.
 SHINGLE = 3
-#: Similar: DEN * intersection >= NUM * union.
 NUM, DEN = 90, 100
 #: Counters of the sketch of repeated shingles, 4 bytes each, whatever the input.
 COUNTERS = 1 << 20
@@ -46,35 +46,35 @@ SEEN = 1 << 24
 BLOCK = 2 << 20
 
 
-def required(n: int) -> int:
+def required(n: int, num: int = NUM, den: int = DEN) -> int:
     """Shingles that a set of n shares with any similar set of its size or less."""
-    return -(-NUM * n // DEN)
+    return -(-num * n // den)
 
 
-def overlap(a: int, b: int) -> int:
+def overlap(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
     """Shingles that similar sets of a and b share."""
-    return -(-NUM * (a + b) // (NUM + DEN))
+    return -(-num * (a + b) // (num + den))
 
 
-def subset_sizes(n: int) -> list[int]:
+def subset_sizes(n: int, num: int = NUM, den: int = DEN) -> list[int]:
     """Sizes of subsets in which a set of n can meet a similar one: its own, and those of larger partners."""
-    return sorted({t for b in range(n, DEN * n // NUM + 1) if (t := required(b)) <= n})
+    return sorted({t for b in range(n, den * n // num + 1) if (t := required(b, num, den)) <= n})
 
 
-def n_subsets(n: int) -> int:
-    return sum(math.comb(n, t) for t in subset_sizes(n))
+def n_subsets(n: int, num: int = NUM, den: int = DEN) -> int:
+    return sum(math.comb(n, t) for t in subset_sizes(n, num, den))
 
 
-def prefix_length(n: int) -> int:
-    return n - required(n) + 1
+def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
+    return n - required(n, num, den) + 1
 
 
-def dividing_size(histogram: dict[int, int], list_cost: float = 4.0) -> int:
+def dividing_size(histogram: dict[int, int], list_cost: float = 4.0, num: int = NUM, den: int = DEN) -> int:
     """The largest size up to which subsets are cheaper than list entries, of which each costs list_cost times as much
     (it meets sets that are not similar); histogram: size, number of sets."""
     best, total, least = 0, 0.0, 0.0
     for n in range(1, LARGEST_LIGHT + 1):
-        total += histogram.get(n, 1) * (n_subsets(n) - list_cost * prefix_length(n))
+        total += histogram.get(n, 1) * (n_subsets(n, num, den) - list_cost * prefix_length(n, num, den))
         if total <= least:
             best, least = n, total
     return best
@@ -120,23 +120,23 @@ def parity_sketch(values: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def may_be_similar(n_a: int, a: bytes, n_b: int, b: bytes) -> bool:
+def may_be_similar(n_a: int, a: bytes, n_b: int, b: bytes, num: int = NUM, den: int = DEN) -> bool:
     """False only for sets that are not similar."""
-    if DEN * min(n_a, n_b) < NUM * max(n_a, n_b):
+    if den * min(n_a, n_b) < num * max(n_a, n_b):
         return False
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     while len(x) > len(y):
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     while len(y) > len(x):
         y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b - 2 * overlap(n_a, n_b)
+    return int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b - 2 * overlap(n_a, n_b, num, den)
 
 
 def _table(columns: list, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
     """One row a document with text: doc_id, n, sid, sketch; and rows of doc_id null: the counters of a task in pieces
     (n: the number of the piece). A task counts the shingles that it has met before, in another set."""
     types, names = [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "n", "sid", "sketch"]
@@ -146,7 +146,7 @@ def _described(docs: DataFrame) -> DataFrame:
 
         counters, seen = np.zeros(COUNTERS, np.uint32), np.zeros(SEEN, bool)
         for ids, texts in blocks(batches, BLOCK):
-            sets = shingle_sets(texts)
+            sets = shingle_sets(texts, shingle)
             known: dict[int, bytes] = {}
             sids = [set_id(s) for s in sets]
             sketches = []
@@ -186,11 +186,11 @@ def _counters(described: DataFrame) -> np.ndarray:
     return out
 
 
-def _keys(docs: DataFrame, divide: int, counters: np.ndarray) -> DataFrame:
+def _keys(docs: DataFrame, divide: int, counters: np.ndarray, shingle: int, num: int, den: int) -> DataFrame:
     """key, sid, n, pos: the subsets and the list entries of every set, with their place in the set's order (0 of subsets),
     once for a block of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # COUNTERS * 4 bytes
-    both_from = required(divide + 1)
+    both_from = required(divide + 1, num, den)
     types, names = [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["key", "sid", "n", "pos"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _keys(docs: DataFrame, divide: int, counters: np.ndarray) -> DataFrame:
         for _, texts in blocks(batches, BLOCK):
             keys, sids, sizes, places = [], [], [], []
             seen = set()
-            for s in shingle_sets(texts):
+            for s in shingle_sets(texts, shingle):
                 n = len(s)
                 if not n or (i := set_id(s)) in seen:
                     continue
@@ -207,12 +207,12 @@ def _keys(docs: DataFrame, divide: int, counters: np.ndarray) -> DataFrame:
                 if n <= divide:
                     mixed = mix64(s)
                     total = mixed.sum(dtype=np.uint64)
-                    for t in subset_sizes(n):
+                    for t in subset_sizes(n, num, den):
                         away = np.array([mixed[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), n - t)], np.uint64)
                         own.append(mix64(total - away + np.uint64(t << 1 | 1)))
                 if n > divide or n >= both_from:
                     order = np.lexsort((s, counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                    own.append(s[order[: prefix_length(n)]])
+                    own.append(s[order[: prefix_length(n, num, den)]])
                 place = np.zeros(sum(map(len, own)), np.int32)
                 if n > divide or n >= both_from:
                     place[-len(own[-1]) :] = np.arange(len(own[-1]))
@@ -227,7 +227,7 @@ def _keys(docs: DataFrame, divide: int, counters: np.ndarray) -> DataFrame:
     return docs.mapInArrow(emit, "key long, sid long, n int, pos int")
 
 
-def _filtered(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that their sketches do not rule out."""
     x = sketches.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     y = sketches.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -235,13 +235,13 @@ def _filtered(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")]
-            mask = pa.array([may_be_similar(*row) for row in zip(*columns)], pa.bool_())
+            mask = pa.array([may_be_similar(*row, num, den) for row in zip(*columns)], pa.bool_())
             yield batch.select(["a", "b"]).filter(mask)
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, sids: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
     """sid, members (sorted hashes, as bytes) of the given sets."""
     place = F.pmod(F.xxhash64("sid"), F.lit(FILTER_BITS))
     rows = sids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
@@ -252,7 +252,7 @@ def _sets_of(docs: DataFrame, sids: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in blocks(batches, BLOCK):
-            own = {set_id(s): s for s in shingle_sets(texts) if len(s)}
+            own = {set_id(s): s for s in shingle_sets(texts, shingle) if len(s)}
             yield _table([list(own), [s.tobytes() for s in own.values()]], [pa.int64(), pa.binary()], ["sid", "members"])
 
     # the filter's bucket of a set id is Spark's hash, so it is applied by Spark: small rows first, sets only for those that pass
@@ -267,7 +267,7 @@ def _sets_of(docs: DataFrame, sids: DataFrame) -> DataFrame:
     return sets.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets are similar, compared exactly."""
     x = sets.select(F.col("sid").alias("a"), F.col("members").alias("m_a"))
     y = sets.select(F.col("sid").alias("b"), F.col("members").alias("m_b"))
@@ -279,7 +279,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([a, b]))
                 i = int((both[1:] == both[:-1]).sum())
-                mask.append(DEN * i >= NUM * (len(a) + len(b) - i))
+                mask.append(den * i >= num * (len(a) + len(b) - i))
             yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "m_a", "m_b").mapInArrow(compare, "a long, b long")
@@ -294,7 +294,7 @@ def _crossing(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return joined.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(pairs.columns)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, num: int, den: int) -> tuple[DataFrame | None, DataFrame | None]:
     """links and the components they make, once every pair is either a link, no link, or inside a component.
 
     Each set is compared with one candidate at a time, as long as that leaves fewer pairs; then all pairs left are.
@@ -303,7 +303,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple
     for last in (False, True):
         pairs = stored(_crossing(pairs, roots), "pairs")
         one = pairs if last else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        new = stored(_similar(one, sets), "links")
+        new = stored(_similar(one, sets, num, den), "links")
         links = new if links is None else links.union(new)
         if new.limit(1).count():
             roots = components(links)
@@ -313,32 +313,33 @@ def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None) -> tuple
     return links, roots
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) for every row of docs (doc_id, text).
+    Links are between sets of word shingles whose Jaccard similarity is num / den or more.
 
     Null texts and texts without words have no shingles and link with nothing; rows of one id and text are one document;
     a null id is reached and passed on like any other but is never the smallest, unless its component has no other; an
     empty table gives no rows; other columns are ignored. Shingles are compared by 64-bit hash, as are whole sets.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    described = stored(_described(texts), "sets")
+    described = stored(_described(texts, shingle), "sets")
     found = described.where("doc_id IS NOT NULL")
     sketches = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sizes = {r["n"]: r["count"] for r in found.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
-    keys = _keys(texts, dividing_size(sizes), _counters(described)).repartition("key").dropDuplicates(["key", "sid"])
+    keys = _keys(texts, dividing_size(sizes, num=num, den=den), _counters(described), shingle, num, den).repartition("key").dropDuplicates(["key", "sid"])
     shared = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min(F.struct("n", "sid", "pos")).alias("least")).where("in_list > 1")
     lists = stored(keys.join(shared, "key").select("key", "sid", "n", "pos", F.col("least.sid").alias("a"), F.col("least.n").alias("n_a"), F.col("least.pos").alias("p_a")), "lists")
 
     def may_meet(n_a: str, n_b: str, p_a: str, p_b: str):
         """Sizes of similar sets, the smaller first, that share an entry within what both have to look at: of n shingles
         in one order, the first n + 1 less what the two must share."""
-        least = F.ceil((F.col(n_a) + F.col(n_b)) * NUM / (NUM + DEN) - 1e-6)
-        return (DEN * F.col(n_a) >= NUM * F.col(n_b)) & (F.col(p_a) <= F.col(n_a) - least) & (F.col(p_b) <= F.col(n_b) - least)
+        least = F.ceil((F.col(n_a) + F.col(n_b)) * num / (num + den) - 1e-6)
+        return (den * F.col(n_a) >= num * F.col(n_b)) & (F.col(p_a) <= F.col(n_a) - least) & (F.col(p_b) <= F.col(n_b) - least)
 
     first = lists.where((F.col("sid") != F.col("a")) & may_meet("n_a", "n", "p_a", "pos")).select("a", F.col("sid").alias("b")).distinct()
-    first = stored(_filtered(first, sketches), "pairs")
-    sets = stored(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "members")
-    links, roots = _linked(first, sets, None)
+    first = stored(_filtered(first, sketches, num, den), "pairs")
+    sets = stored(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle), "members")
+    links, roots = _linked(first, sets, None, num, den)
 
     # what is left of the lists: pairs of sets in different components
     member = lists.select("key", "sid", "n", "pos")
@@ -352,9 +353,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     y = member.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
     across = x.join(y, "key").where((F.col("r_a") != F.col("r_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & may_meet("n_a", "n_b", "p_a", "p_b"))
     second = across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(_filtered(second, sketches), "pairs")
-    sets = stored(_sets_of(texts, second.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "members")
-    links, roots = _linked(second, sets, links)
+    second = stored(_filtered(second, sketches, num, den), "pairs")
+    sets = stored(_sets_of(texts, second.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle), "members")
+    links, roots = _linked(second, sets, links, num, den)
 
     owned = found.select("doc_id", "n", "sid")
     owned = owned.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))

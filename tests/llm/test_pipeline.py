@@ -58,3 +58,24 @@ def test_quality_stage_follows_the_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x["doc_id"] for x in corpus_pipeline.quality(spark, docs, "").collect()}
     assert not [i for i in kept if i >= 1000] and len(kept) >= 295
+
+
+def test_near_copies_by_five_words_and_null_ids(spark):
+    """A copy with a five-word similarity of 0.8 to 0.9 goes; documents without id survive quality, copies and mixing."""
+    r = random.Random(4)
+    rows, gone = [], set()
+    for i in range(12):
+        base = words(r, 204).split()
+        near = list(base)
+        for k in (50, 100, 150, 175)[: 2 + i % 3]:  # 5 shingles each
+            near[k] = f"changed{i}x{k}"
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (base, near))
+        assert 10 * len(a & b) >= 8 * len(a | b)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        gone.add(2 * i + 1)
+    rows = [(i, t, "en", "s", 0) for i, t in [*rows, (None, words(r, 200))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, ""), "")
+    want = {x[0] for x in rows} - gone
+    assert {x["doc_id"] for x in kept.collect()} == want
+    assert {x["doc_id"] for x in corpus_pipeline.mixing(spark, kept, "").collect()} == want
