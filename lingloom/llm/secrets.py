@@ -105,10 +105,10 @@ def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]
 
 
 def scan_text(text: str | None) -> tuple[list, list]:
-    """Base spans, and all spans by start and then kind; an added span never overlaps a base one."""
+    """Base spans, and all spans by start and then kind; an added span is never wholly inside a base one."""
     text = text or ""
     base = base_spans(text)
-    added = [("named", s, e) for s, e in named_spans(text) if all(e <= b or s >= t for _, b, t in base)]
+    added = [("named", s, e) for s, e in named_spans(text) if not any(b <= s and e <= t for _, b, t in base)]
     return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -139,7 +139,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by [KIND] and n_chars, where there is such a column, brought up to date."""
+    """docs with every span replaced by [KIND] (spans that overlap, by the kind of the first) and n_chars, where there is such a column, brought up to date."""
     names = docs.columns
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

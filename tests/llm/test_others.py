@@ -283,3 +283,13 @@ def test_production_training_beats_the_base_on_held_out_text(spark):
     out = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), group=None)
     total = out.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert total[0] > 0.95 * total[1]
+
+
+def test_secrets_longer_than_their_base_span(spark):
+    """A literal goes whole where the base pattern stops at a special character; the base span stays as it is."""
+    text = 'password = "Tr0ub4dor&3xyz!Q"\nend'
+    base, spans = secrets.scan_text(text)
+    assert base == [("assign", 0, 21)] and spans == [("assign", 0, 21), ("named", 12, 28)]
+    assert secrets.scan_text("password = hunter2hunter2")[1] == [("assign", 0, 25)]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.redact_secrets(df).first()["text"] == '[ASSIGN]"\nend'
