@@ -1,8 +1,9 @@
 """Whole-text tokenisation inside Spark tasks with a vocabulary file of the tokenizers library.
 
 A byte-level vocabulary is applied to each pre-token on its own, so a text's ids are those of its pieces in order. The
-pieces here are words with the space before them and what is left of white space, which no pre-token crosses; each
-distinct piece goes to the library once for a worker process, as long as its cache has room.
+pieces here are the vocabulary's added tokens, and between them words with the space before them and what is left of white
+space, which no pre-token crosses; each distinct piece goes to the library once for a worker process, as long as its cache
+has room.
 """
 
 from __future__ import annotations
@@ -37,16 +38,27 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def pieces(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.added is None or not self.added.search(text):
+            return _PIECE.findall(text)
+        out = []
+        for k, part in enumerate(self.added.split(text)):
+            out += [part] if k % 2 else _PIECE.findall(part)
+        return out
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; what is new in all of them goes to the library in one call."""
-        pieces = [_PIECE.findall(t or "") for t in texts]
+        pieces = [self.pieces(t) for t in texts]
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []

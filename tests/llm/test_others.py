@@ -293,3 +293,15 @@ def test_secrets_longer_than_their_base_span(spark):
     assert secrets.scan_text("password = hunter2hunter2")[1] == [("assign", 0, 25)]
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secrets.redact_secrets(df).first()["text"] == '[ASSIGN]"\nend'
+
+
+def test_coder_equals_the_library_on_added_tokens():
+    """Default settings of the library, on texts that hold the literal of an added token."""
+    from tokenizers import Tokenizer
+
+    library, coder, r = Tokenizer.from_file(tokens.vocabulary()), tokens.Coder(tokens.vocabulary()), random.Random(5)
+    assert np.frombuffer(coder.encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+    parts = ["<|endoftext|>", "<|endoftext|", "a", " ", "  ", "\n", "word", "'s", "12", "漢", "\xa0", "<|"]
+    for _ in range(500):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
