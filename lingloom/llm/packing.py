@@ -112,18 +112,21 @@ def plan_patterns(counts: dict[int, int], room: int, depth: int = 3) -> list[tup
 
 def token_pieces(docs: DataFrame, vocabulary: str, room: int, end_id: int, step: int = STEP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and bin of every window and remainder of every text."""
-    end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_rows = coder(vocabulary).encode_rows
         for batch in batches:
-            rows = []
-            for doc_id, ids in encode_rows(batch):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc_id, at, min(room, n - at), zlib.crc32(ids[4 * at : 4 * (at + room)]), n) for at in range(0, n, room)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 5, schema)], schema=schema)
+            for doc_id, ids, begin in encode_rows(batch, end_id):
+                n = np.diff(begin)
+                pieces = -(-n // room)
+                row = np.repeat(np.arange(len(n)), pieces)
+                start = room * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(room, n[row] - start)
+                raw, at = memoryview(ids.astype("<u4").tobytes()), begin[row] + start
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                columns = [doc_id.take(pa.array(row)), *(pa.array(c, pa.int64()) for c in (start, length, crc, n[row]))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     return rows.withColumn("bin", F.ceil(F.col("length") / step).cast("int"))
