@@ -100,16 +100,18 @@ def occurrences(text: Column, part: Column, overlapping: bool = True) -> Column:
     return F.transform(F.slice(ends, 2, F.size(pieces) - 1), lambda e: e - F.length(part))
 
 
-def windows(text: Column, n: int) -> Column:
+def windows(text: Column, n: int | Column) -> Column:
     """All windows of n characters, as an array."""
+    n = n if isinstance(n, Column) else F.lit(n)
     places = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
-def long_windows(text: Column, n: int, piece: int = 256) -> Column:
+def long_windows(text: Column, n: int | Column, piece: int = 256) -> Column:
     """All windows of n characters of a long text, by way of overlapping pieces: substring() counts from the beginning."""
+    n = n if isinstance(n, Column) else F.lit(n)
     starts = F.sequence(F.lit(1), F.length(text) - (n - 1), F.lit(piece))
-    cut = F.transform(starts, lambda p: F.substring(text, p, F.lit(piece + n - 1)))
+    cut = F.transform(starts, lambda p: F.substring(text, p, F.lit(piece) + n - 1))
     return F.when(F.length(text) >= n, F.flatten(F.transform(cut, lambda s: windows(s, n)))).otherwise(F.array().cast("array<string>"))
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import long_windows
+from ..functions.text import col_class, long_windows
+from ..storage import SMALL, stored
 
-#: A table of more rules (or bigrams) than this is not sent whole to every task; each text gets the ones that occur in it.
-LARGEST_TABLE = 1_000_000
 #: Characters of context on each side of a hit.
 CONTEXT = 12
 HIT = "struct<pos:int,wrong:string,right:string,status:string,reason:string,snippet:string>"
@@ -32,6 +32,16 @@ class RuleIndex:
             for wrong in table:
                 sizes.setdefault(wrong[0], set()).add(len(wrong))
             lengths.update({c: sorted(n, reverse=True) for c, n in sizes.items()})
+        self.begins = self._pattern({w for table in self.tables for w in table})
+
+    @staticmethod
+    def _pattern(forms: set[str]) -> re.Pattern:
+        """Where some form may begin: its first two characters, or its only one."""
+        seconds: dict[str, set[str]] = {}
+        for w in forms:
+            seconds.setdefault(w[0], set()).add(w[1:2])
+        parts = [re.escape(c) + ("" if "" in after else col_class(after)) for c, after in sorted(seconds.items())]
+        return re.compile("|".join(parts) if parts else r"[^\s\S]", re.DOTALL)
 
     def candidates(self, layer: int, text: str, at: int) -> Iterator[tuple[str, str]]:
         for n in self.lengths[layer].get(text[at], ()):
@@ -61,7 +71,9 @@ def apply_to_text(text: str, index: RuleIndex, boundaries: list[int] | None = No
         end = at + len(wrong)
         hits.append({"pos": at, "wrong": wrong, "right": right, "status": status, "reason": reason, "snippet": text[max(0, at - CONTEXT) : end + CONTEXT]})
 
-    while at < len(text):
+    while found := index.begins.search(text, at):
+        out.append(text[at : found.start()])
+        at = found.start()
         chosen = None
         for wrong, right in index.candidates(0, text, at):
             chosen = (wrong, right, None)
@@ -88,14 +100,8 @@ def apply_to_text(text: str, index: RuleIndex, boundaries: list[int] | None = No
             hit(chosen[0], chosen[1], "applied", chosen[2] and f"overruled {chosen[2]}")
             out.append(chosen[1])
             at += len(chosen[0])
-    result, previous = [], ""
-    for c in "".join(out):
-        if c != "…":
-            result.append(c)
-        elif previous != "…":
-            result.append("……")
-        previous = c
-    return "".join(result), hits
+    out.append(text[at:])
+    return re.sub("…+", "……", "".join(out)), hits
 
 
 def _run(texts: pd.Series, boundaries: pd.Series | None, index_of, strict: bool) -> pd.DataFrame:
@@ -106,12 +112,14 @@ def _run(texts: pd.Series, boundaries: pd.Series | None, index_of, strict: bool)
     return pd.DataFrame(rows, columns=["text", "hits"])
 
 
-def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str = "text", boundaries: str | None = None, strict: bool = False, largest: int = LARGEST_TABLE) -> DataFrame:
-    """df with applied: STRUCT<text, hits>. rules: wrong, right, manual; bigrams: bg."""
+def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str = "text", boundaries: str | None = None, strict: bool = False, largest: int = SMALL) -> DataFrame:
+    """df with applied: STRUCT<text, hits>. rules: wrong, right, manual; bigrams: bg. Of more than largest bytes, they are not
+    sent whole to every task: each text gets the ones that occur in it."""
     schema = f"text string, hits array<{HIT}>"
     spark = df.sparkSession
-    n_rules, n_bigrams = rules.limit(largest + 1).count(), bigrams.limit(largest + 1).count()
-    if max(n_rules, n_bigrams) <= largest:
+    rules, bigrams = stored(rules.select("wrong", "right", "manual"), "rules"), stored(bigrams.select("bg"), "bigrams")
+    size = rules.agg(F.sum(F.octet_length("wrong") + F.octet_length("right"))).first()[0] or 0
+    if size + (bigrams.agg(F.sum(F.octet_length("bg"))).first()[0] or 0) <= largest:
         table = spark.sparkContext.broadcast(([tuple(r) for r in rules.select("wrong", "right", "manual").collect()], frozenset(r[0] for r in bigrams.select("bg").collect())))
         cache: dict[int, RuleIndex] = {}
 
@@ -124,7 +132,7 @@ def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str =
         return df.withColumn("applied", rewrite(F.col(text), F.col(boundaries) if boundaries else F.lit(None).cast("array<int>")))
 
     # each text with the rules and bigrams that occur in it, found by equality of windows
-    keyed = df.withColumn("_id", F.monotonically_increasing_id()).persist()
+    keyed = stored(df.withColumn("_id", F.monotonically_increasing_id()), "keyed")  # written, so that ids never change
     sizes = [r[0] for r in rules.select(F.length("wrong")).distinct().collect()]
 
     held = keyed.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*[long_windows(F.col(text), n) for n in sizes or [1]])))).alias("wrong"))

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, occurrences, strip_tags, windows_between
+from ..functions.text import is_blank, long_windows, occurrences, strip_tags, windows_between
 from ..profile import ScriptProfile
+from ..storage import small_or_shuffled, stored
 
 
 def sentences(text: Column, profile: ScriptProfile) -> Column:
@@ -94,37 +95,48 @@ def script_ngrams(df: DataFrame, text: str, profile: ScriptProfile, name: str) -
     return runs.select("book_id", "pair_pos", "sent_pos", F.explode(grams).alias(name)).distinct().withColumn("n", F.length(name))
 
 
+SENTENCE = ["book_id", "pair_pos", "sent_pos"]
+
+
+def with_masks(df: DataFrame, name: str, first: int = 1) -> DataFrame:
+    """df once for every place of the n-gram name from first on, with i and the n-gram without that place, m: two n-grams
+    that differ in one place at most are equal in one of these."""
+    rows = df.withColumn("i", F.explode(F.sequence(F.lit(first), F.length(name))))
+    return rows.withColumn("m", F.concat(F.left(name, F.col("i") - 1), F.lit("\0"), F.substring(F.col(name), F.col("i") + 1, F.lit(LONGEST))))
+
+
 def align_ngrams(sent_pairs: DataFrame, forms: Forms, profile: ScriptProfile) -> DataFrame:
     """book_id, pair_pos, sent_pos, s_ng, t_ng, fixed: source and target n-grams of a sentence that could be each other's
     form; each once a sentence.
 
-    They meet by length and first character: the source's own if it is fixed, else one of its forms. An all-fixed n-gram
-    may differ in one place; any other place must be equal or a listed form.
+    An all-fixed n-gram may differ in one place but its first, so it meets its forms by equality of what is left without a
+    place. Others meet by length and first character, the source's own if it is fixed, else one of its forms; every place
+    must be equal or a listed form.
     """
-    source = script_ngrams(sent_pairs, "src", profile, "s_ng").withColumn("c", char(F.col("s_ng"), F.lit(1)))
-    listed = forms.table(sent_pairs)
-    fixed_first = source.where(~forms.is_convertible(F.col("c"))).withColumn("key", F.col("c"))
-    other_first = source.where(forms.is_convertible(F.col("c"))).join(F.broadcast(listed), F.col("c") == F.col("simp")).drop("simp").withColumnRenamed("trad", "key")
-    source = fixed_first.unionByName(other_first).drop("c")
-    target = script_ngrams(sent_pairs, "tgt", profile, "t_ng").withColumn("key", char(F.col("t_ng"), F.lit(1)))
-    met = source.join(target, ["book_id", "pair_pos", "sent_pos", "n", "key"]).withColumn("fixed", forms.all_fixed(F.col("s_ng")))
+    source = script_ngrams(sent_pairs, "src", profile, "s_ng").withColumn("fixed", forms.all_fixed(F.col("s_ng")))
+    target = script_ngrams(sent_pairs, "tgt", profile, "t_ng")
+    near = with_masks(source.where("fixed"), "s_ng", 2).join(with_masks(target, "t_ng", 2), [*SENTENCE, "n", "i", "m"])
+    mixed = source.where("NOT fixed").withColumn("c", char(F.col("s_ng"), F.lit(1)))
+    fixed_first = mixed.where(~forms.is_convertible(F.col("c"))).withColumn("key", F.col("c"))
+    other_first = mixed.where(forms.is_convertible(F.col("c"))).join(F.broadcast(forms.table(sent_pairs)), F.col("c") == F.col("simp")).drop("simp").withColumnRenamed("trad", "key")
+    met = fixed_first.unionByName(other_first).join(target.withColumn("key", char(F.col("t_ng"), F.lit(1))), [*SENTENCE, "n", "key"])
     s, t = F.col("s_ng"), F.col("t_ng")
     at = lambda c, i: F.substring(c, i, 1)
     placed = every_difference(s, t, lambda i: forms.is_convertible(at(s, i)) & forms.legal(at(s, i), at(t, i)))
-    fits = F.when(F.col("fixed"), hamming(s, t) <= 1).otherwise(placed)
-    return met.where(fits).select("book_id", "pair_pos", "sent_pos", "s_ng", "t_ng", "fixed").distinct()
+    columns = [*SENTENCE, "s_ng", "t_ng", "fixed"]
+    return near.select(columns).unionByName(met.where(placed).select(columns)).distinct()
 
 
 def competitive_abstain(aligned: DataFrame, sent_pairs: DataFrame) -> DataFrame:
-    """aligned without the unequal all-fixed pairs whose target is as close to another window of the source sentence."""
+    """aligned without the unequal all-fixed pairs whose target is as close to another window of the source sentence: such a
+    pair differs in one place, so a rival is a window that is left equal without some place."""
     doubtful = F.col("fixed") & (F.col("s_ng") != F.col("t_ng"))
-    rows = aligned.where(doubtful).join(sent_pairs.select("book_id", "pair_pos", "sent_pos", "src"), ["book_id", "pair_pos", "sent_pos"])
-    s, t, n = F.col("s_ng"), F.col("t_ng"), F.length("s_ng")
-    own = hamming(s, t)
-    windows = F.transform(F.sequence(F.lit(1), F.length("src") - n + 1), lambda i: F.substring(F.col("src"), i, n))
-    # a target that stands in the source as it is has a rival there; the windows are compared for the others only
-    rival = F.contains("src", t) | F.exists(windows, lambda w: (w != s) & (hamming(w, t) <= own))
-    return aligned.where(~doubtful).unionByName(rows.where(~rival).select(aligned.columns))
+    rows = aligned.where(doubtful)
+    texts = sent_pairs.join(rows.select(*SENTENCE, F.length("s_ng").alias("n")).distinct(), SENTENCE)
+    windows = texts.select(*SENTENCE, F.explode(F.array_distinct(long_windows(F.col("src"), F.col("n")))).alias("w"))
+    rivals = with_masks(rows, "t_ng").join(with_masks(windows, "w"), [*SENTENCE, "i", "m"]).where((F.length("w") == F.length("t_ng")) & (F.col("w") != F.col("s_ng")))
+    beaten = rivals.select(*SENTENCE, "s_ng", "t_ng").distinct()
+    return aligned.where(~doubtful).unionByName(rows.join(beaten, [*SENTENCE, "s_ng", "t_ng"], "left_anti").select(aligned.columns))
 
 
 def alignment_counts(aligned: DataFrame) -> DataFrame:
@@ -220,16 +232,20 @@ def apply_replacements(segments: DataFrame, rules: DataFrame, order: tuple[str,
     keys = [F.col(c) for c in order] if order else [-F.length("wrong"), F.col("wrong")]
     fields = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     listed = rules.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(*fields, "wrong", "right"))).alias("_rules"))
-    joined = segments.join(listed, "book_id", "left")
+    joined = segments.join(small_or_shuffled(stored(listed, "replacements")), "book_id", "left")
     new = F.aggregate("_rules", F.col(text), lambda acc, r: F.when(F.contains(acc, r["wrong"]), F.replace(acc, r["wrong"], r["right"])).otherwise(acc))
     return joined.withColumn(text, F.when(F.col("_rules").isNull(), F.col(text)).otherwise(new)).drop("_rules")
 
 
 def consistency_report(segments: DataFrame, rules: DataFrame, keep: int = 5, around: int = 35) -> DataFrame:
     """book_id, wrong, right, s_ng, k, before, after: the first keep places of every rule with their surroundings, markup
-    left out. segments: book_id, seg_pos, text."""
+    left out. segments: book_id, seg_pos (one row each), text; rules: wrong forms of up to LONGEST characters."""
+    rules = small_or_shuffled(stored(rules, "rules"))
     plain = segments.select("book_id", "seg_pos", strip_tags(F.col("text"), empty_too=False).alias("t"))
-    held = plain.join(rules, "book_id").where(F.contains("t", F.col("wrong")))
+    # every text's windows are looked up among the book's wrong forms, all of which are short; most texts have none
+    windows = F.array_distinct(F.flatten(F.array(*[long_windows(F.col("t"), n) for n in range(1, LONGEST + 1)])))
+    found = plain.select("book_id", "seg_pos", F.explode(windows).alias("wrong")).join(rules, ["book_id", "wrong"])
+    held = plain.join(found, ["book_id", "seg_pos"])
     places = held.select("*", F.explode(occurrences(F.col("t"), F.col("wrong"))).alias("p"))
     first = Window.partitionBy("book_id", "wrong").orderBy("seg_pos", "p")
     rows = places.withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep)
@@ -241,8 +257,14 @@ def consistency_report(segments: DataFrame, rules: DataFrame, keep: int = 5, aro
 
 def consistency_rules(pairs: DataFrame, forms: Forms, profile: ScriptProfile) -> DataFrame:
     """The whole pass over pairs (book_id, pair_pos, src, tgt): book_id, wrong, right, s_ng."""
-    sent = sentence_pairs(pairs, profile).persist()
-    counts = alignment_counts(competitive_abstain(align_ngrams(sent, forms, profile), sent)).persist()
+    counts = aligned_counts(pairs, forms, profile)
     limits = pair_counts(pairs)
     majority = majority_form(counts, limits)
     return resolve_rule_conflicts(shrink_rules(normalization_rules(counts, majority, limits, forms), forms))
+
+
+def aligned_counts(pairs: DataFrame, forms: Forms, profile: ScriptProfile) -> DataFrame:
+    """alignment_counts of pairs, worked out once and stored."""
+    sent = sentence_pairs(pairs, profile)
+    aligned = stored(align_ngrams(sent, forms, profile), "aligned")
+    return stored(alignment_counts(competitive_abstain(aligned, sent)), "counts")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col_class, windows_between
 from ..profile import ScriptProfile
+from ..storage import small_or_shuffled, stored
 
 MIN_FREQ = 8
+#: Stands for an entity in a run; no script has it.
+_MARK = "\x01"
 
 
 def script_runs(segments: DataFrame, profile: ScriptProfile, text: str = "text") -> DataFrame:
@@ -58,14 +61,19 @@ def cliff_threshold(counts: DataFrame) -> DataFrame:
     return ends.select("book_id", F.when(F.col("candidates") <= 1, F.col("floor")).otherwise(F.greatest(cut, F.col("floor"))).alias("threshold"))
 
 
+def above_threshold(counts: DataFrame) -> DataFrame:
+    return counts.join(cliff_threshold(counts), "book_id").where(F.col("n") >= F.col("threshold")).select("book_id", "ngram", "n")
+
+
 def occurrence_contexts(entities: DataFrame, segments: DataFrame, profile: ScriptProfile, convertible: str) -> DataFrame:
     """book_id, ngram, prev, n: occurrences (of one entity, not overlapping each other) by the convertible character before
-    them, '' for any other. Only segments that hold an entity's n-gram are looked at."""
+    them, '' for any other. entities is a stored table; while it is small, runs are looked up in it where they are."""
     runs = script_runs(segments, profile).select("book_id", "run")
     grams = windows_between(F.col("run"), profile.ngram_min, profile.ngram_max)
     # an occurrence and the character before it lie in one run, as convertible characters belong to the script
-    held = runs.select("book_id", "run", F.explode(F.array_distinct(grams)).alias("ngram")).join(entities.select("book_id", "ngram"), ["book_id", "ngram"])
-    pieces = F.split("run", F.concat(F.lit(r"\Q"), F.col("ngram"), F.lit(r"\E")), -1)  # each but the last ends where an occurrence begins
+    chosen = small_or_shuffled(entities.select("book_id", "ngram"))
+    held = runs.select("book_id", "run", F.explode(F.array_distinct(grams)).alias("ngram")).join(chosen, ["book_id", "ngram"])
+    pieces = F.split(F.replace("run", F.col("ngram"), F.lit(_MARK)), _MARK, -1)  # each but the last ends where an occurrence begins
     last = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.right(x, F.lit(1)))
     prev = F.explode(F.transform(last, lambda c: F.when(c.rlike(col_class(convertible)), c).otherwise("")))
     return held.select("book_id", "ngram", prev.alias("prev")).groupBy("book_id", "ngram", "prev").agg(F.count("*").alias("n"))
@@ -84,8 +92,8 @@ def left_context_filter(entities: DataFrame, segments: DataFrame, profile: Scrip
 
 def protected_entities(segments: DataFrame, docs: DataFrame, profile: ScriptProfile, convertible: str = "", headwords: DataFrame | None = None, least: int = MIN_FREQ) -> DataFrame:
     """book_id, rank, ngram, n: by count, then shorter ones first, then by text."""
-    counts = above_floor(count_ngrams(segments, profile, convertible, headwords), frequency_floor(docs, least))
-    chosen = counts.join(cliff_threshold(counts), "book_id").where(F.col("n") >= F.col("threshold")).select("book_id", "ngram", "n")
+    counts = stored(above_floor(count_ngrams(segments, profile, convertible, headwords), frequency_floor(docs, least)), "counts")
+    chosen = stored(above_threshold(counts), "entities")
     chosen = left_context_filter(chosen, segments, profile, convertible)
     order = Window.partitionBy("book_id").orderBy(F.desc("n"), F.length("ngram"), "ngram")
     return chosen.select("book_id", F.row_number().over(order).alias("rank"), "ngram", "n")

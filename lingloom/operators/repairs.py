@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import convert_primary, long_windows, next_chars
+from ..storage import sized, small_or_shuffled, stored
 from .consistency import Forms, apply_replacements
 
 # Fixed value: particles whose loss is no error.
@@ -43,16 +44,23 @@ def missing_characters(src: str, expected: str, tgt: str, bigrams: frozenset[str
 
 def diff_repairs(pairs: DataFrame, primary: dict[str, str], forms: dict[str, list[str]], bigrams: DataFrame, droppable: str = DROPPABLE) -> DataFrame:
     """book_id, wrong, right, pair_pos, k: the first repair of every wrong context of a book. Only pairs whose target is
-    not what conversion character by character gives are compared."""
-    spark = pairs.sparkSession
-    own = spark.sparkContext.broadcast(frozenset(r[0] for r in bigrams.select("bg").collect()))  # bounded by the dictionary
+    not what conversion character by character gives are compared; a pair is one row of its book_id and pair_pos."""
+    rows = pairs.withColumn("_e", convert_primary(F.col("src"), primary)).where((F.col("_e") != F.col("tgt")) & F.col("tgt").isNotNull())
+    # a pair gets the bigrams that it can ask for: those of its expected text, or with a second character of another form
+    listed = small_or_shuffled(stored(bigrams.select("bg").distinct(), "bigrams"))
+    both = F.explode(F.array_distinct(F.arrays_zip(long_windows(F.col("_e"), 2).alias("e"), long_windows(F.col("src"), 2).alias("s"))))
+    seen = rows.select("book_id", "pair_pos", both.alias("w")).select("book_id", "pair_pos", "w.e", F.left("w.e", F.lit(1)).alias("a"), F.right("w.s", F.lit(1)).alias("simp"))
+    other = seen.join(F.broadcast(Forms(forms).table(pairs)), "simp").select("book_id", "pair_pos", F.concat("a", "trad").alias("bg"))
+    asked = seen.select("book_id", "pair_pos", F.explode(F.array("e", F.concat("a", "simp"))).alias("bg")).unionByName(other)
+    held = asked.join(listed, "bg").groupBy("book_id", "pair_pos").agg(F.collect_set("bg").alias("_own"))
 
     @F.pandas_udf(REPAIR)
-    def compare(src: pd.Series, expected: pd.Series, tgt: pd.Series) -> pd.Series:
-        return pd.Series([[{"wrong": w, "right": r} for w, r in missing_characters(s, e, t, own.value, forms, droppable)] for s, e, t in zip(src, expected, tgt)])
+    def compare(src: pd.Series, expected: pd.Series, tgt: pd.Series, own: pd.Series) -> pd.Series:
+        known = [frozenset(b) if b is not None else frozenset() for b in own]
+        return pd.Series([[{"wrong": w, "right": r} for w, r in missing_characters(s, e, t, b, forms, droppable)] for s, e, t, b in zip(src, expected, tgt, known)])
 
-    rows = pairs.withColumn("_e", convert_primary(F.col("src"), primary)).where((F.col("_e") != F.col("tgt")) & F.col("tgt").isNotNull())
-    rows = rows.select("book_id", "pair_pos", F.posexplode(compare("src", "_e", "tgt")).alias("k", "x")).select("book_id", "pair_pos", "k", "x.wrong", "x.right")
+    rows = rows.join(held, ["book_id", "pair_pos"], "left")
+    rows = rows.select("book_id", "pair_pos", F.posexplode(compare("src", "_e", "tgt", "_own")).alias("k", "x")).select("book_id", "pair_pos", "k", "x.wrong", "x.right")
     first = Window.partitionBy("book_id", "wrong").orderBy("pair_pos", "k")
     return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("book_id", "wrong", "right", "pair_pos", "k")
 
@@ -76,22 +84,28 @@ def apply_repairs(segments: DataFrame, repairs: DataFrame, text: str = "text") -
 
 
 def fixed_word_candidates(headwords: DataFrame, forms: Forms, pairs: DataFrame, least: int = 4) -> DataFrame:
-    """book_id, word: headwords of least characters or more without convertible ones that stand in a source of the book.
-    Every place of a source is looked up by its first least characters, and compared with the words that begin so."""
-    words = headwords.select("word").distinct().where((F.length("word") >= least) & forms.all_fixed(F.col("word"))).withColumn("_k", F.left("word", F.lit(least)))
-    longest = words.agg(F.max(F.length("word"))).first()[0]
-    if longest is None:
-        return pairs.select("book_id", F.col("src").alias("word")).limit(0)
-    padded = F.concat("src", F.lit("\0" * (longest - least)))
-    seen = pairs.select("book_id", F.explode(F.array_distinct(long_windows(padded, longest))).alias("_w")).withColumn("_k", F.left("_w", F.lit(least)))
-    return seen.join(words, "_k").where(F.startswith("_w", F.col("word"))).select("book_id", "word").distinct()
+    """book_id, word: headwords of least characters or more without convertible ones that stand in a source of the book."""
+    words = headwords.select("word").distinct().where((F.length("word") >= least) & forms.all_fixed(F.col("word")))
+    return _standing(pairs.select("book_id", "pair_pos", "src"), words, "word", least, []).select("book_id", "word").distinct()
+
+
+def _standing(pairs: DataFrame, words: DataFrame, part: str, least: int, by: list[str]) -> DataFrame:
+    """Pairs with the words of which part (least characters or more) stands in the source. The distinct windows of least
+    characters are looked up among the parts' beginnings, and the rest is compared in the row; by: book_id, if words are a
+    book's. Where the words are not small, windows travel without their text."""
+    listed, small = sized(stored(words.withColumn("_k", F.left(part, F.lit(least))), "words"))
+    key = F.explode(F.array_distinct(long_windows(F.col("src"), least))).alias("_k")
+    if small:
+        met = pairs.select("*", key).join(listed, [*by, "_k"])
+    else:
+        met = pairs.select("book_id", "pair_pos", key).join(listed, [*by, "_k"]).join(pairs, ["book_id", "pair_pos"])
+    return met.where(F.contains("src", F.col(part))).drop("_k")
 
 
 def _pair_words(candidates: DataFrame, pairs: DataFrame, part: str) -> DataFrame:
-    """Pairs with the candidates of their book (few a book) of which part stands in the source."""
-    prefix = F.expr("substring(word, 1, length(word) - 1)")
-    joined = pairs.join(candidates, "book_id").withColumn("prefix", prefix)
-    return joined.where(F.contains("src", F.col(part)))
+    """Pairs with the candidates of their book of which part stands in the source."""
+    words = candidates.withColumn("prefix", F.expr("substring(word, 1, length(word) - 1)"))
+    return _standing(pairs, words, part, 3, ["book_id"])
 
 
 def fixed_word_contexts(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -166,5 +180,5 @@ def apply_fixed_word_repairs(segments: DataFrame, repairs: DataFrame, contexts:
 
         return pd.Series([row(t, w) for t, w in zip(texts, words)])
 
-    joined = segments.join(listed, "book_id", "left")
+    joined = segments.join(small_or_shuffled(stored(listed, "words")), "book_id", "left")
     return joined.withColumn(text, repair(F.col(text), F.col("_words"))).drop("_words")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import SMALL, small_or_shuffled, stored
 from . import markup
 
 SEGMENT = "book_id string, doc_id string, seg_pos int, tag string, kind string, text string, mask array<string>"
@@ -126,7 +127,7 @@ def guard_entities(segments: DataFrame, entities: DataFrame, text: str = "text")
                 out.append([{"part": p, "protected": bool(k % 2)} for k, p in enumerate(patterns[key].split(t)) if p])
         return pd.Series(out)
 
-    return segments.join(listed, "book_id", "left").withColumn("parts", cut(F.col(text), F.col("_entities"))).drop("_entities")
+    return segments.join(small_or_shuffled(stored(listed, "entities")), "book_id", "left").withColumn("parts", cut(F.col(text), F.col("_entities"))).drop("_entities")
 
 
 def chunks(text: str, limit: int = 1800, least: int = 100, enders: str = "。！？\n") -> list[str]:
@@ -206,10 +207,10 @@ def pack_batches(df: DataFrame, limit: int = 1800, sep: int = 3, count_first: bo
     return lengths.groupBy(by).applyInPandas(pack, f"{by} {lengths.schema[by].dataType.simpleString()}, {order} {kind}, batch_no int")
 
 
-def convert_phrases(df: DataFrame, phrases: DataFrame, text: str = "text", largest: int = 1_000_000) -> DataFrame:
+def convert_phrases(df: DataFrame, phrases: DataFrame, text: str = "text", largest: int = SMALL) -> DataFrame:
     """df with converted: phrases (simp, trad) replaced from left to right, longest first; results are not looked at again.
 
-    The table goes whole to every task up to largest rows; a larger one is joined to the texts by their windows.
+    The table goes whole to every task up to largest bytes; a larger one is joined to the texts by their windows.
     """
     from .apply_rules import apply_rules
 

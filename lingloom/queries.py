@@ -17,6 +17,7 @@ from .operators import analysis, cache, consistency, entities, quality, repairs,
 from .operators.apply_rules import apply_rules, rule_hit_log, rule_hits
 from .profile import LATIN
 from .sources import logs
+from .storage import spread, stored
 
 FORMS = {"é": ["e", "è"], "è": ["e"], "ê": ["e"], "ç": ["c"], "ü": ["u", "ü"], "ö": ["o", "ö"], "ä": ["a", "ä"], "ñ": ["n", "ñ"], "ó": ["o", "ó"], "í": ["i"]}
 PRIMARY = {k: v[0] for k, v in FORMS.items()}
@@ -98,9 +99,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, doc_id, text, spread over the cores: a small table is one file."""
-    docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "text")
-    n = spark.sparkContext.defaultParallelism
-    return docs.repartition(n)
+    return spread(_read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "text"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +156,7 @@ def cliff_thresholds(spark, sf_dir):
 @query("SELECT book_id, ngram, prev, n FROM contexts")
 def left_contexts(spark, sf_dir):
     docs = books(spark, sf_dir)
-    counts = ngrams_above_floor(spark, sf_dir)
-    chosen = counts.join(entities.cliff_threshold(counts), "book_id").where(F.col("n") >= F.col("threshold")).select("book_id", "ngram", "n")
+    chosen = stored(entities.above_threshold(stored(ngrams_above_floor(spark, sf_dir), "counts")), "entities")
     return entities.occurrence_contexts(chosen, docs, LATIN, CONVERTIBLE)
 
 
@@ -377,62 +375,128 @@ def sentences_split(spark, sf_dir):
     return consistency.split_sentences(books(spark, sf_dir), LATIN).select("doc_id", "sent_pos", "sentence")
 
 
-_SENT_PAIRS = f"""sp AS (SELECT book_id, pair_pos, (i - 1)::INT AS sent_pos, CASE WHEN n > 0 THEN ss[i] ELSE src END AS src, CASE WHEN n > 0 THEN ts[i] ELSE tgt END AS tgt
+_SENT = "book_id, pair_pos, sent_pos"
+_LEGAL = "|" + "|".join(sorted(f"{s}{t}" for s, ts in FORMS.items() for t in ts)) + "|"
+
+
+def _every(a: str, b: str, test: str) -> str:
+    """Whether test (of place {i}) holds wherever two n-grams differ."""
+    return " AND ".join(f"(substr({a}, {i}, 1) = substr({b}, {i}, 1) OR {test.format(i=i)})" for i in range(1, 5))
+
+
+def _legal(a: str, b: str) -> str:
+    return f"contains('{_LEGAL}', '|' || substr({a}, {{i}}, 1) || substr({b}, {{i}}, 1) || '|')"
+
+
+def _off(a: str, b: str) -> str:
+    return "(" + " + ".join(f"(substr({a}, {i}, 1) <> substr({b}, {i}, 1))::INT" for i in range(1, 5)) + ")"
+
+
+def _masked(table: str, gram: str, first: int) -> str:
+    return f"(SELECT *, left({gram}, i - 1) || '_' || substr({gram}, i + 1) AS m FROM (SELECT *, unnest(range({first}, n + 1)) AS i FROM {table}))"
+
+
+def _grams(side: str) -> str:
+    return f"SELECT DISTINCT {_SENT}, n, substr(run, i, n) AS {side[0]}_ng FROM (SELECT *, unnest(range(1, length(run) - n + 2)) AS i FROM (SELECT *, unnest([3, 4]) AS n FROM (SELECT {_SENT}, unnest(regexp_extract_all({side}, '{RUN}')) AS run FROM al_sents)))"
+
+
+def _windows(n: int) -> str:
+    return f"list_transform(range(1, greatest(len(c) - {n - 2}, 1)), lambda i: " + " || ".join(f"c[i + {k}]" for k in range(n)) + ")"
+
+
+def _level(n: int) -> str:
+    """Rules of n characters that no shorter rule left strikes."""
+    shorter = " UNION ALL ".join(f"SELECT * FROM al_left{k}" for k in range(1, n))
+    return f"SELECT * FROM al_uncovered u WHERE length(wrong) = {n}" + (f" AND NOT EXISTS (SELECT 1 FROM ({shorter}) x WHERE x.book_id = u.book_id AND (contains(u.wrong, x.right_form) OR contains(u.right_form, x.wrong)))" if n > 1 else "")
+
+
+_PARTS |= {
+    "al_sents": f"""SELECT book_id, pair_pos, (i - 1)::INT AS sent_pos, CASE WHEN n > 0 THEN ss[i] ELSE src END AS src, CASE WHEN n > 0 THEN ts[i] ELSE tgt END AS tgt
     FROM (SELECT *, unnest(range(1, greatest(n, 1) + 1)) AS i FROM (SELECT *, CASE WHEN len(ss) = len(ts) AND len(ss) > 1 THEN len(ss) ELSE 0 END AS n
-    FROM (SELECT book_id, pair_pos, src, tgt, {_SPLIT.format(c='src')} AS ss, {_SPLIT.format(c='tgt')} AS ts FROM docs))))"""
+    FROM (SELECT book_id, pair_pos, src, tgt, {_SPLIT.format(c='src')} AS ss, {_SPLIT.format(c='tgt')} AS ts FROM docs)))""",
+    "al_source": f"SELECT *, NOT regexp_matches(s_ng, '[{CONVERTIBLE}]') AS fixed FROM ({_grams('src')})",
+    "al_target": _grams("tgt"),
+    "al_keys": "SELECT s.*, c.trad AS key FROM al_source s JOIN char_map c ON c.simp = left(s_ng, 1) WHERE NOT fixed UNION ALL SELECT *, left(s_ng, 1) FROM al_source WHERE NOT fixed AND left(s_ng, 1) NOT IN (SELECT simp FROM char_map)",
+    "al_met": f"""SELECT DISTINCT {_SENT}, s_ng, t_ng, fixed FROM {_masked('(SELECT * FROM al_source WHERE fixed)', 's_ng', 2)} JOIN {_masked('al_target', 't_ng', 2)} USING ({_SENT}, n, i, m)
+    UNION SELECT {_SENT}, s_ng, t_ng, fixed FROM al_keys JOIN (SELECT *, left(t_ng, 1) AS key FROM al_target) USING ({_SENT}, n, key) WHERE {_every('s_ng', 't_ng', _legal('s_ng', 't_ng'))}""",
+    "al_doubtful": "SELECT *, length(t_ng) AS n FROM al_met WHERE fixed AND s_ng <> t_ng",
+    "al_chars": f"SELECT {_SENT}, string_split(src, '') AS c FROM al_sents SEMI JOIN al_doubtful USING ({_SENT})",
+    "al_windows": f"SELECT {_SENT}, 3 AS n, unnest(list_distinct({_windows(3)})) AS w FROM al_chars UNION ALL SELECT {_SENT}, 4, unnest(list_distinct({_windows(4)})) FROM al_chars",
+    "al_beaten": f"SELECT DISTINCT {_SENT}, s_ng, t_ng FROM {_masked('al_doubtful', 't_ng', 1)} JOIN {_masked('al_windows', 'w', 1)} USING ({_SENT}, n, i, m) WHERE w <> s_ng",
+    "al_counts": f"SELECT book_id, s_ng, t_ng, fixed, count(*) AS n FROM al_met ANTI JOIN al_beaten USING ({_SENT}, s_ng, t_ng) GROUP BY ALL",
+    "al_limits": "SELECT book_id, greatest(4, count(*) // 200) AS min_total, greatest(15, count(*) // 50) AS entity_total FROM docs GROUP BY ALL",
+    "al_majority": "SELECT book_id, s_ng, t_ng AS majority, total FROM (SELECT *, (sum(n) OVER (PARTITION BY book_id, s_ng))::BIGINT AS total, row_number() OVER (PARTITION BY book_id, s_ng ORDER BY (fixed AND s_ng = t_ng)::INT DESC, n DESC, t_ng) AS r FROM al_counts) JOIN al_limits USING (book_id) WHERE r = 1 AND total >= min_total",
+    "al_cases": f"""SELECT *, fixed AND majority = s_ng AS truth, {_off('t_ng', 'majority')} <= 1 AS few, {_every('t_ng', 'majority', _legal('s_ng', 'majority'))} AS placed,
+        {_every('t_ng', 'majority', '(' + _legal('s_ng', 't_ng') + ' AND ' + _legal('s_ng', 'majority') + ')')} AS both_legal
+    FROM al_counts JOIN al_majority USING (book_id, s_ng) JOIN (SELECT book_id, s_ng, count(*) AS n_forms FROM al_counts GROUP BY ALL) USING (book_id, s_ng) JOIN al_limits USING (book_id)
+    WHERE n_forms >= 2 AND t_ng <> majority AND n >= 2 AND (fixed OR majority <> s_ng) AND (book_id, t_ng) NOT IN (SELECT (book_id, majority) FROM al_majority) AND (book_id, t_ng) NOT IN (SELECT (book_id, s_ng) FROM al_majority)""",
+    "al_votes": """SELECT book_id, t_ng AS wrong, majority AS right_form, s_ng FROM (SELECT *, row_number() OVER (PARTITION BY book_id, t_ng ORDER BY total DESC, s_ng) AS r FROM al_cases
+    WHERE NOT (truth AND length(s_ng) = 3 AND total < entity_total) AND (truth OR n::DOUBLE / total < 0.33::DOUBLE AND NOT both_legal
+        AND CASE WHEN NOT fixed THEN placed WHEN length(s_ng) < 4 THEN length(s_ng) = 3 AND total >= entity_total AND few ELSE few END)) WHERE r = 1""",
+    "al_last": "SELECT *, (SELECT max(i) FROM range(1, 5) AS x(i) WHERE substr(wrong, i, 1) <> substr(right_form, i, 1))::INT AS k FROM al_votes",
+    "al_shrunk": f"SELECT book_id, left(wrong, k) AS wrong, min(left(right_form, k)) AS right_form, min(s_ng) AS s_ng FROM (SELECT book_id, wrong, right_form, s_ng, CASE WHEN k < 4 AND NOT regexp_matches(left(s_ng, k), '[{CONVERTIBLE}]') THEN length(wrong) ELSE k END AS k FROM al_last) GROUP BY book_id, left(wrong, k) HAVING min(left(right_form, k)) = max(left(right_form, k))",
+    "al_uncovered": "SELECT * FROM al_shrunk a WHERE NOT EXISTS (SELECT 1 FROM al_shrunk b WHERE b.book_id = a.book_id AND length(b.wrong) < length(a.wrong) AND (" + " OR ".join(f"(substr(a.wrong, {i}, length(b.wrong)) = b.wrong AND substr(a.right_form, {i}, length(b.right_form)) = b.right_form)" for i in range(1, 5)) + "))",
+    **{f"al_left{n}": _level(n) for n in range(1, 5)},
+    "al_rules": " UNION ALL ".join(f"SELECT * FROM al_left{n}" for n in range(1, 5)),
+}
 
 
-def _alignment(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, consistency.Forms]:
+def _alignment(spark, sf_dir) -> tuple[DataFrame, DataFrame, consistency.Forms]:
     own, forms = pairs(spark, sf_dir), consistency.Forms(FORMS)
-    sent = consistency.sentence_pairs(own, LATIN)
-    counts = consistency.alignment_counts(consistency.competitive_abstain(consistency.align_ngrams(sent, forms, LATIN), sent))
-    return counts, consistency.pair_counts(own), own, forms
+    return consistency.aligned_counts(own, forms, LATIN), consistency.pair_counts(own), forms
 
 
-@query(_full(_SENT_PAIRS, "SELECT book_id, pair_pos, sent_pos, src, tgt FROM sp"))
+@query("SELECT book_id, pair_pos, sent_pos, src, tgt FROM al_sents")
 def sentences_paired(spark, sf_dir):
     return consistency.sentence_pairs(pairs(spark, sf_dir), LATIN)
 
 
-@query()
+@query("SELECT book_id, s_ng, t_ng, n FROM al_counts")
 def ngrams_aligned(spark, sf_dir):
     return _alignment(spark, sf_dir)[0].select("book_id", "s_ng", "t_ng", "n")
 
 
-@query()
+@query("SELECT book_id, s_ng, majority, total FROM al_majority")
 def majority_forms(spark, sf_dir):
-    counts, limits, *_ = _alignment(spark, sf_dir)
+    counts, limits, _ = _alignment(spark, sf_dir)
     return consistency.majority_form(counts, limits)
 
 
 def _voted(spark, sf_dir) -> tuple[DataFrame, consistency.Forms]:
-    counts, limits, _, forms = _alignment(spark, sf_dir)
+    counts, limits, forms = _alignment(spark, sf_dir)
     return consistency.normalization_rules(counts, consistency.majority_form(counts, limits), limits, forms), forms
 
 
-@query()
+@query("SELECT book_id, wrong, right_form, s_ng FROM al_votes")
 def votes(spark, sf_dir):
     return _voted(spark, sf_dir)[0].withColumnRenamed("right", "right_form")
 
 
-@query()
+@query("SELECT book_id, wrong, right_form, s_ng FROM al_shrunk")
 def votes_shrunk(spark, sf_dir):
     return consistency.shrink_rules(*_voted(spark, sf_dir)).withColumnRenamed("right", "right_form")
 
 
-@query()
+@query("SELECT book_id, wrong, right_form, s_ng FROM al_rules")
 def votes_resolved(spark, sf_dir):
     return consistency.resolve_rule_conflicts(consistency.shrink_rules(*_voted(spark, sf_dir))).withColumnRenamed("right", "right_form")
 
 
-@query()
+@query("""SELECT book_id, pair_pos, md5(list_reduce(list_prepend({'t': tgt, 'w': '', 'r': ''}, coalesce(x, [])), lambda a, b: {'t': CASE WHEN b.w = '' THEN a.t ELSE replace(a.t, b.w, b.r) END, 'w': '', 'r': ''}).t) AS text_md5
+    FROM docs LEFT JOIN (SELECT book_id, list({'t': '', 'w': wrong, 'r': right_form} ORDER BY length(wrong) DESC, wrong) AS x FROM al_rules GROUP BY book_id) USING (book_id)""")
 def votes_applied(spark, sf_dir):
     found = consistency.resolve_rule_conflicts(consistency.shrink_rules(*_voted(spark, sf_dir)))
     done = consistency.apply_replacements(pairs(spark, sf_dir).withColumnRenamed("tgt", "text"), found)
     return done.select("book_id", "pair_pos", F.md5("text").alias("text_md5"))
 
 
-@query()
+_PLACES = " UNION ALL ".join(f"SELECT book_id, pair_pos, unnest(range(1, len(x) + 1)) AS p, unnest(x) AS wrong FROM (SELECT book_id, pair_pos, {_windows(n)} AS x FROM rep_chars)" for n in range(1, 5))
+
+
+@query(_full(f"""rep_text AS (SELECT book_id, pair_pos, regexp_replace(tgt, '<[^>]+>', '', 'g') AS t FROM docs), rep_chars AS (SELECT book_id, pair_pos, string_split(t, '') AS c FROM rep_text), rep_places AS ({_PLACES})""",
+    """SELECT book_id, wrong, right_form, s_ng, k, substr(t, l, p - l + length(wrong) + 35) AS before, substr(t, l, p - l) || right_form || substr(t, p + length(wrong), 35) AS after FROM (
+    SELECT book_id, pair_pos, wrong, right_form, s_ng, p, greatest(p - 35, 1) AS l, (row_number() OVER (PARTITION BY book_id, wrong ORDER BY pair_pos, p))::INT AS k FROM rep_places JOIN al_rules USING (book_id, wrong))
+    JOIN rep_text USING (book_id, pair_pos) WHERE k <= 5"""))
 def votes_reported(spark, sf_dir):
     found = consistency.resolve_rule_conflicts(consistency.shrink_rules(*_voted(spark, sf_dir)))
     segs = pairs(spark, sf_dir).select("book_id", F.col("pair_pos").alias("seg_pos"), F.col("tgt").alias("text"))
@@ -484,7 +548,7 @@ def fixed_words_repaired(spark, sf_dir):
 def _lossy(spark, sf_dir) -> DataFrame:
     """Sentences whose target lost a letter in some places."""
     sent = consistency.sentence_pairs(pairs(spark, sf_dir), LATIN)
-    lost = F.replace(T.convert_primary(F.col("src"), PRIMARY), F.lit("thio"), F.lit("tho"))
+    lost = F.replace(T.convert_primary(F.col("src"), PRIMARY), F.lit("tion"), F.lit("ton"))
     return sent.select("book_id", (F.col("pair_pos") * 100000 + F.col("sent_pos")).alias("pair_pos"), "src", lost.alias("tgt"))
 
 
@@ -580,8 +644,7 @@ def rule_logs_parsed(spark, sf_dir):
 
 def _pages(spark, sf_dir) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select(F.lit("pages").alias("book_id"), F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
-    n = spark.sparkContext.defaultParallelism
-    return pages.repartition(n)
+    return spread(pages)
 
 
 @query()

@@ -61,7 +61,7 @@ def test_rule_application(spark):
     assert apply_to_text("甲乙丙", free, [0, 2], strict=True)[0] == "甲乙丙" and apply_to_text("甲乙丙", free, [0, 1], strict=True)[0] == "甲X"
     df = table(spark, [("b", k, "乙丙…" * 5) for k in range(2)] + [("b", 9, None)], "book_id string, pair_pos long, text string")
     table_ = table(spark, [("乙丙", "X", False)], "wrong string, right string, manual boolean")
-    for largest in (10, 0):
+    for largest in (1000, 0):
         applied = apply_rules(df, table_, table(spark, [("丙x",)], "bg string"), largest=largest)
         assert {r["pair_pos"]: r["applied"]["text"] for r in applied.collect()} == {0: "X……" * 5, 1: "X……" * 5, 9: None}
     log = rule_hit_log(rule_hits(applied)).collect()
