@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,9 +32,9 @@ SENSITIVE = {
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|changeme|change_me|example.*|placeholder|todo|none|null|true|false|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$")
 THRESHOLD = 6.0
 
-_LINE = re.compile(r"[^\n]*[=:][^\n]*")
+_LINE = re.compile(r"[^\n]+")
 _TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_./+@$%!#^&*~-]+)"""
-_PAIR = re.compile(rf"""(?<![\w.-])["']?([A-Za-z_][\w.-]{{0,127}})["']?[\x20\t]*(?:=>|:=|=(?![=~])|:(?![:/]))[\x20\t]*({_TERM}(?:[\x20\t]+\+[\x20\t]+{_TERM})*)""")
+_PAIR = re.compile(rf"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?:=>|:=|=(?![=~])|:(?![:/]))[\x20\t]*({_TERM}(?:[\x20\t]+\+[\x20\t]+{_TERM})*)""")
 _ONE = re.compile(_TERM)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"[A-Za-z_][\w.-]*\Z")
@@ -54,13 +55,36 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(p, 0.0) for p in parts)
 
 
-def literal_score(value: str) -> float:
+class Value:
+    """What is known of a literal, or of several joined: the one literal there is (None of several), its number of
+    characters, and how often it has each. Counts of joined values are sums, so a value costs the same however many
+    literals go into it; they are floats, scaled down where they would overflow."""
+
+    __slots__ = ("only", "counts", "size")
+
+    def __init__(self, text: str = "") -> None:
+        self.only: str | None = text
+        self.counts: dict[str, float] = Counter(text)
+        self.size = float(len(text))
+
+    def joined(self, other: Value) -> Value:
+        if not self.size:
+            return other
+        out = Value()
+        out.only, out.size = None, self.size + other.size
+        scale = 1.0 if out.size < 1e100 else 1e-80
+        out.size *= scale
+        out.counts = {c: (self.counts.get(c, 0.0) + other.counts.get(c, 0.0)) * scale for c in self.counts | other.counts}
+        return out
+
+
+def literal_score(value: Value) -> float:
     """Bits a character, with a bonus for mixed classes; 0 for short values and placeholders."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or " " in value:
+    if value.size < 8 or " " in value.counts or value.only is not None and PLACEHOLDER.match(value.only):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    bits = -sum(p * math.log2(p) for c in value.counts.values() if (p := c / value.size) > 0)
+    chars = "".join(value.counts)
+    classes = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return bits * (0.6 + 0.2 * classes) if classes > 1 else bits * 0.5
 
 
@@ -68,6 +92,8 @@ def lexed_pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]
     """(name, terms) of every assignment; a term is (value, start, end, quoted) with the quotes left out."""
     pairs = []
     for line in _LINE.finditer(text):
+        if "=" not in line.group() and ":" not in line.group():
+            continue
         for m in _PAIR.finditer(text, line.start(), line.end()):
             terms = []
             for t in _ONE.finditer(text, m.start(2), m.end(2)):
@@ -79,28 +105,71 @@ def lexed_pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]
     return pairs
 
 
+def _references(pairs: list) -> list[list[int | None]]:
+    """For every term of every pair, the pair whose value it stands for, or None for a literal: a name's latest assignment
+    before the term, or its first one after it."""
+    by_name: dict[str, list[int]] = {}
+    for k, (name, _) in enumerate(pairs):
+        by_name.setdefault(name, []).append(k)
+    out = []
+    for k, (_, terms) in enumerate(pairs):
+        own: list[int | None] = []
+        for value, _, _, quoted in terms:
+            places = by_name.get(value) if not quoted and _NAME.match(value) else None
+            at = bisect_left(places, k) if places else 0
+            own.append(None if not places or places == [k] else places[at - 1] if at else next(p for p in places if p > k))
+        out.append(own)
+    return out
+
+
+def _values(pairs: list, refers: list[list[int | None]]) -> list[Value]:
+    """The value of every pair, each worked out once; a reference back to a value under way adds nothing."""
+    done: list[Value | None] = [None] * len(pairs)
+    under_way: set[int] = set()
+    for first in range(len(pairs)):
+        stack = [first]
+        while stack:
+            k = stack[-1]
+            if done[k] is not None:
+                stack.pop()
+                continue
+            waits = [] if k in under_way else [r for r in refers[k] if r is not None and done[r] is None and r not in under_way]
+            under_way.add(k)
+            if waits:
+                stack += waits
+                continue
+            value = Value()
+            for (text, _, _, _), r in zip(pairs[k][1], refers[k]):
+                part = Value(text) if r is None else done[r]
+                if part is not None:
+                    value = value.joined(part)
+            done[k] = value
+            under_way.discard(k)
+            stack.pop()
+    return done
+
+
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Literals that reach a sensitive name, directly or through constants of the same text."""
+    """Literals that reach a sensitive name, directly or through constants of the same text, however many steps away."""
     if "=" not in text and ":" not in text:
         return []
     pairs = lexed_pairs(text)
-    constants = {name: terms for name, terms in pairs}
-
-    def resolved(terms: list, seen: frozenset) -> list[tuple[str, int, int]]:
-        out = []
-        for value, start, end, quoted in terms:
-            if not quoted and _NAME.match(value) and value in constants and value not in seen and len(seen) < 16:
-                out += resolved(constants[value], seen | {value})
-            else:
-                out.append((value, start, end))
-        return out
-
-    found = set()
-    for name, terms in pairs:
-        if (weight := name_score(name)) > 0:
-            literals = resolved(terms, frozenset([name]))
-            if weight * literal_score("".join(v for v, _, _ in literals)) >= threshold:
-                found.update((s, e) for _, s, e in literals if e > s)
+    weights = [name_score(name) for name, _ in pairs]
+    if not any(weights):
+        return []
+    refers = _references(pairs)
+    values = _values(pairs, refers)
+    reached = [k for k, w in enumerate(weights) if w > 0 and w * literal_score(values[k]) >= threshold]
+    seen, found = set(reached), set()
+    while reached:
+        k = reached.pop()
+        for (_, start, end, _), r in zip(pairs[k][1], refers[k]):
+            if r is None:
+                if end > start:
+                    found.add((start, end))
+            elif r not in seen:
+                seen.add(r)
+                reached.append(r)
     return sorted(found)
 
 
