@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import shared_dir
 
 #: A word is a run of anything but ASCII white space (the same six characters bytes.split() cuts at).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,18 +19,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            found = spark.sparkContext.getCheckpointDir()
-        path = found
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -43,6 +33,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs, whatever its case, does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key that tells its rows apart, written once so that it never changes, and the key's name."""
+    key = fresh(docs, "row_key")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

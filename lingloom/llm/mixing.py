@@ -56,8 +56,9 @@ def source_targets(totals: DataFrame, max_epochs: int = 3) -> DataFrame:
     return rows.select("source", "source_size", F.least(F.col("w") * F.col("level"), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, max_epochs: int = 3, buckets: int = 1024, whole_documents: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of docs (doc_id, text, source).
+def mix_sources(docs: DataFrame, max_epochs: int = 3, buckets: int = 1024, carried: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and the column carried, if one is given, for every row of docs (doc_id,
+    text, source).
 
     taken is the number of words the mix takes, repeats counted; the document on the border of a budget is taken in part,
     so a source's taken words add up to floor(target). copies is how often a consumer of whole documents takes the row:
@@ -68,7 +69,8 @@ def mix_sources(docs: DataFrame, max_epochs: int = 3, buckets: int = 1024, whole
     are ignored.
     """
     size = word_count(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("q"))
+    more = [carried] if carried else []
+    sized = docs.select("doc_id", "source", *more, size.alias("size"), quality_weight(F.col("text"), size).alias("q"))
     sized = sized.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("q"))
     sized = stored(sized.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * float(buckets)).cast("int")).drop("q"), "mix")
     cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
@@ -76,12 +78,12 @@ def mix_sources(docs: DataFrame, max_epochs: int = 3, buckets: int = 1024, whole
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("offset", F.coalesce(F.sum("cell").over(before), F.lit(0)))
     cells = cells.alias("c").join(totals.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "c.bucket", "c.offset", "t.source_size", "t.target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.bucket") == F.col("c.bucket"))
-    rows = placed.alias("p").join(cells.alias("c"), same).select("p.doc_id", "p.size", "c.source_size", "c.target", (F.col("p.inner") + F.col("c.offset")).alias("before"))
+    rows = placed.alias("p").join(cells.alias("c"), same).select("p.doc_id", *[f"p.{c}" for c in more], "p.size", "c.source_size", "c.target", (F.col("p.inner") + F.col("c.offset")).alias("before"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("epochs", epochs).withColumn("left", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
     copies = F.when(F.col("size") > 0, F.col("epochs") + (part > 0).cast("long")).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return rows.select("doc_id", *more, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), copies.cast("int").alias("copies"))

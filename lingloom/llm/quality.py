@@ -2,13 +2,11 @@
 
 Text features are row-local array expressions. Their distributions are kept per (language, source) in mergeable quantile
 sketches with relative accuracy: logarithmic bins, merged by adding counts. A document is rejected where a feature lies
-beyond the quartile fences of its own group, so that no fixed share of a clean group is lost.
+beyond the quartile fences of its own group; there are no fixed cutoffs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +14,15 @@ from .common import WORD, stored
 from .mixing import SYMBOLS
 
 GAMMA = 1.02
-#: feature: (numerator, denominator, the fence is never below this, the lower fence never above this)
+#: feature: (numerator, denominator, least distance of the quartiles by which its fences are widened (where a clean group's
+#: values are all equal), whether it has a lower fence)
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 0.10, None),
-    "lines": ("n_dup_lines", "n_lines", 0.30, None),
-    "repeats": ("n_repeat_words", "n_words", 0.30, None),
-    "length": ("word_chars", "n_words", 12.0, 2.5),
+    "symbols": ("n_symbols", "n_words", 0.01, False),
+    "lines": ("n_dup_lines", "n_lines", 0.05, False),
+    "repeats": ("n_repeat_words", "n_words", 0.05, False),
+    "length": ("word_chars", "n_words", 0.25, True),
 }
 FENCE = 3.0
-#: Least distance of the quartiles by which adaptive fences are widened: where a clean group's values are all equal.
-SPREAD = {"symbols": 0.01, "lines": 0.05, "repeats": 0.05, "length": 0.25}
 #: Groups of fewer documents with words are judged by their language alone.
 SMALL = 20
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -86,26 +83,14 @@ def quartiles(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*by, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("of").alias("of"))
 
 
-def fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), metrics: dict = METRICS) -> DataFrame:
-    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance, but never inside the
-    fixed floors of METRICS."""
-    rows = quartiles(sketches, by)
-    out = []
-    for m, (_, _, high, low) in metrics.items():
-        span = FENCE * (F.col("q3") - F.col("q1"))
-        out.append(F.max(F.when(F.col("metric") == m, F.greatest(F.lit(high), F.col("q3") + span))).alias(f"hi_{m}"))
-        if low is not None:
-            out.append(F.max(F.when(F.col("metric") == m, F.least(F.lit(low), F.col("q1") - span))).alias(f"lo_{m}"))
-    return rows.groupBy(*by).agg(*out)
-
-
 def adaptive_fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), pool: tuple[str, ...] = ("lang",), metrics: dict = METRICS) -> DataFrame:
-    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance (SPREAD at least).
+    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance.
 
     No fence is wider than that of the sketches pooled by the columns in pool, so that a group full of junk does not set
     its own; groups below SMALL documents have the pooled fence alone.
     """
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.create_map(*[F.lit(x) for m in metrics for x in (m, SPREAD[m])])[F.col("metric")])
+    least = F.create_map(*[F.lit(x) for m, (_, _, spread, _) in metrics.items() for x in (m, spread)])[F.col("metric")]
+    spread = F.greatest(F.col("q3") - F.col("q1"), least)
     widened = lambda rows, by, lo, hi: rows.select(*by, "metric", "of", (F.col("q1") - FENCE * spread).alias(lo), (F.col("q3") + FENCE * spread).alias(hi))
     own = widened(quartiles(sketches, by), by, "lo", "hi").alias("o")
     whole = widened(quartiles(merge_sketches(sketches, pool), pool), pool, "pool_lo", "pool_hi").alias("w")
@@ -117,33 +102,43 @@ def adaptive_fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"
     high = F.when(few, F.col("pool_hi")).otherwise(F.least("hi", "pool_hi"))
     low = F.when(few, F.col("pool_lo")).otherwise(F.greatest("lo", "pool_lo"))
     out = []
-    for m, (_, _, _, lowest) in metrics.items():
+    for m, (_, _, _, two_sided) in metrics.items():
         out.append(F.max(F.when(F.col("metric") == m, high)).alias(f"hi_{m}"))
-        if lowest is not None:
+        if two_sided:
             out.append(F.max(F.when(F.col("metric") == m, low)).alias(f"lo_{m}"))
     return rows.groupBy(*by).agg(*out)
 
 
-def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), limits: Callable[[DataFrame, tuple[str, ...]], DataFrame] = fences) -> DataFrame:
-    """doc_id, the features, base_failed and kept for every row of docs (doc_id, text and the columns in by). limits: fences,
-    as the SQL of op8_quality has them, or adaptive_fences.
-
-    Null and empty texts have no words and fail; null group columns form groups of their own; equal rows get equal
-    verdicts; a group of one document accepts all that its base rules accept, up to the fixed floors of the fences; an
-    empty table gives no rows; columns named like the features are read from neither input nor output.
-    """
-    features = stored(text_features(docs, ("doc_id", *by)), "quality")
-    limits = limits(quantile_sketches(features, by), by)
+def _judged(docs: DataFrame, carried: str, by: tuple[str, ...]) -> DataFrame:
+    """carried (a column of docs), the features, base_failed and kept. Features are worked out once and written."""
+    features = stored(text_features(docs, (carried, *by)), "quality")
+    limits = adaptive_fences(quantile_sketches(features, by), by)
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}"))
     inside = F.lit(True)
-    for m, (a, b, _, low) in METRICS.items():
+    for m, (a, b, _, two_sided) in METRICS.items():
         v = F.col(f"f.{a}") / F.col(f"f.{b}")
         inside = inside & (v <= F.col(f"t.hi_{m}"))
-        if low is not None:
+        if two_sided:
             inside = inside & (v >= F.col(f"t.lo_{m}"))
-    failed = base_failed()
-    judged = features.withColumn("base_failed", failed).alias("f").join(limits.alias("t"), same, "left")
+    judged = features.withColumn("base_failed", base_failed()).alias("f").join(limits.alias("t"), same, "left")
     kept = F.when(F.col("f.base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))
-    return judged.select(*[f"f.{c}" for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"))
+    return judged.select(*[f"f.{c}" for c in (carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """doc_id, the features, base_failed and kept for every row of docs (doc_id, text and the columns in by).
+
+    Null and empty texts have no words and fail; null group columns form groups of their own; equal rows get equal
+    verdicts; a null id stays null; an empty table gives no rows; columns named like the features are read from neither
+    input nor output.
+    """
+    return _judged(docs, "doc_id", by)
+
+
+def keep_quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of docs that the rules keep, each judged by itself; every column, null ids and repeated rows stay as they
+    are. A row travels with its verdict, so texts are not shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *by)
+    return _judged(rows, "row", by).where("kept").select("row.*")

@@ -72,6 +72,8 @@ QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packin
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_VALUE = "CASE WHEN bin IS NULL THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, bin::DOUBLE) END"
+
 SQL = {
     "op4_mixing": rf"""
 WITH d AS (
@@ -130,19 +132,26 @@ WITH w AS (
         {{'metric': 'symbols', 'v': n_symbols::DOUBLE / n_words}}, {{'metric': 'lines', 'v': n_dup_lines::DOUBLE / n_lines}},
         {{'metric': 'repeats', 'v': n_repeat_words::DOUBLE / n_words}}, {{'metric': 'length', 'v': word_chars::DOUBLE / n_words}}]) AS x FROM f WHERE n_words > 0)
     GROUP BY ALL
-), u AS (
-    SELECT *, CASE WHEN bin IS NULL THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, bin::DOUBLE) END AS v, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin NULLS FIRST) AS upto,
-        sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM m
+), mp AS (
+    SELECT lang, metric, bin, sum(n) AS n FROM m GROUP BY ALL
 ), q AS (
-    SELECT lang, source, metric, min(v) FILTER (WHERE upto >= 0.25 * total) AS q1, min(v) FILTER (WHERE upto >= 0.75 * total) AS q3 FROM u GROUP BY ALL
+    SELECT lang, source, metric, max(total) AS of, min(v) FILTER (WHERE upto >= 0.25 * total) AS q1, min(v) FILTER (WHERE upto >= 0.75 * total) AS q3
+    FROM (SELECT *, {_VALUE} AS v, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM m)
+    GROUP BY lang, source, metric
+), qp AS (
+    SELECT lang, metric, min(v) FILTER (WHERE upto >= 0.25 * total) AS q1, min(v) FILTER (WHERE upto >= 0.75 * total) AS q3
+    FROM (SELECT *, {_VALUE} AS v, sum(n) OVER (PARTITION BY lang, metric ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS total FROM mp)
+    GROUP BY lang, metric
+), o AS (
+    SELECT q.lang, q.source, q.metric,
+        CASE WHEN q.of < 20 THEN qp.q3 + 3.0 * greatest(qp.q3 - qp.q1, s.least) ELSE least(q.q3 + 3.0 * greatest(q.q3 - q.q1, s.least), qp.q3 + 3.0 * greatest(qp.q3 - qp.q1, s.least)) END AS hi,
+        CASE WHEN q.of < 20 THEN qp.q1 - 3.0 * greatest(qp.q3 - qp.q1, s.least) ELSE greatest(q.q1 - 3.0 * greatest(q.q3 - q.q1, s.least), qp.q1 - 3.0 * greatest(qp.q3 - qp.q1, s.least)) END AS lo
+    FROM q JOIN qp ON q.lang IS NOT DISTINCT FROM qp.lang AND q.metric = qp.metric
+    JOIN (VALUES ('symbols', 0.01::DOUBLE), ('lines', 0.05::DOUBLE), ('repeats', 0.05::DOUBLE), ('length', 0.25::DOUBLE)) AS s(metric, least) ON q.metric = s.metric
 ), t AS (
-    SELECT lang, source,
-        max(CASE WHEN metric = 'symbols' THEN greatest(0.10, q3 + 3.0 * (q3 - q1)) END) AS hi_symbols,
-        max(CASE WHEN metric = 'lines' THEN greatest(0.30, q3 + 3.0 * (q3 - q1)) END) AS hi_lines,
-        max(CASE WHEN metric = 'repeats' THEN greatest(0.30, q3 + 3.0 * (q3 - q1)) END) AS hi_repeats,
-        max(CASE WHEN metric = 'length' THEN greatest(12.0, q3 + 3.0 * (q3 - q1)) END) AS hi_length,
-        max(CASE WHEN metric = 'length' THEN least(2.5, q1 - 3.0 * (q3 - q1)) END) AS lo_length
-    FROM q GROUP BY ALL
+    SELECT lang, source, max(hi) FILTER (WHERE metric = 'symbols') AS hi_symbols, max(hi) FILTER (WHERE metric = 'lines') AS hi_lines,
+        max(hi) FILTER (WHERE metric = 'repeats') AS hi_repeats, max(hi) FILTER (WHERE metric = 'length') AS hi_length, max(lo) FILTER (WHERE metric = 'length') AS lo_length
+    FROM o GROUP BY lang, source
 ), j AS (
     SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         n_symbols::DOUBLE / n_words <= hi_symbols AND n_dup_lines::DOUBLE / n_lines <= hi_lines AND n_repeat_words::DOUBLE / n_words <= hi_repeats
