@@ -159,12 +159,11 @@ def rule_hits(applied: DataFrame) -> DataFrame:
 
 def rule_hit_log(hits: DataFrame, keep: int = 3) -> DataFrame:
     """book_id, status, wrong, right, n, snippets (the first keep), rank: by kept snippets, then by all hits."""
-    order = Window.partitionBy("book_id", "status", "wrong", "right").orderBy("pair_pos", "pos")
-    first = hits.withColumn("_r", F.row_number().over(order))
-    log = first.groupBy("book_id", "status", "wrong", "right").agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= keep, F.struct("_r", "snippet")))).alias("s"),
-    )
+    hits, rule = stored(hits, "hits"), ["book_id", "status", "wrong", "right"]
+    order = Window.partitionBy(*rule).orderBy("pair_pos", "pos")
+    first = hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)  # tasks pass on so many each
+    first = first.groupBy(*rule).agg(F.array_sort(F.collect_list(F.struct("_r", "snippet"))).alias("s"))
+    log = hits.groupBy(*rule).agg(F.count("*").alias("n")).join(first, rule)
     log = log.withColumn("snippets", F.col("s.snippet")).drop("s")
     ranked = Window.partitionBy("book_id", "status").orderBy(F.desc(F.size("snippets")), F.desc("n"), "wrong", "right")
     return log.withColumn("rank", F.row_number().over(ranked))

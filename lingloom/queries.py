@@ -7,6 +7,7 @@ words of the benchmark, and accented letters are the convertible characters.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +17,9 @@ from .functions import text as T
 from .operators import analysis, cache, consistency, entities, quality, repairs, rules, segments
 from .operators.apply_rules import apply_rules, rule_hit_log, rule_hits
 from .profile import LATIN
-from .sources import logs
-from .storage import spread, stored
+from .sources import books as books_source
+from .sources import dictionaries, logs, tables
+from .storage import shared_dir, spread, stored
 
 FORMS = {"é": ["e", "è"], "è": ["e"], "ê": ["e"], "ç": ["c"], "ü": ["u", "ü"], "ö": ["o", "ö"], "ä": ["a", "ä"], "ñ": ["n", "ñ"], "ó": ["o", "ó"], "í": ["i"]}
 PRIMARY = {k: v[0] for k, v in FORMS.items()}
@@ -42,6 +44,9 @@ def query(sql: str | None = None):
     return register
 
 
+#: A place's next 32 characters, of a list of characters c.
+_AHEAD = "concat(" + ", ".join(f"c[i + {k}]" for k in range(32)) + ")"
+
 # shared parts of the SQL, by name; each may use those before it
 _FROM, _TO = "".join(PRIMARY), "".join(PRIMARY.values())
 _PARTS = {
@@ -207,11 +212,14 @@ _VARIANT_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in VARIANTS.items())
 _WASH = f"translate(r, '{''.join(VARIANTS)}', '{''.join(VARIANTS.values())}')"
 
 
-@query(f"""SELECT wrong, {_WASH} AS right_form, manual FROM (
+_PARTS["ru_merged"] = f"""SELECT wrong, {_WASH} AS right_form, manual FROM (
     SELECT wrong, first(r ORDER BY layer, r) AS r, bool_or(layer = 1) AS manual FROM (
         SELECT w AS wrong, r, 0 AS layer FROM (VALUES {_VARIANT_ROWS}) AS v(w, r)
         UNION ALL SELECT left(word, length(word) - 1) || 'ï', min(word), 1 FROM headwords WHERE length(word) >= 6 GROUP BY 1
-        UNION ALL SELECT wrong, right_form, 3 FROM generated) GROUP BY wrong) WHERE wrong <> {_WASH}""")
+        UNION ALL SELECT wrong, right_form, 3 FROM generated) GROUP BY wrong) WHERE wrong <> {_WASH}"""
+
+
+@query("SELECT wrong, right_form, manual FROM ru_merged")
 def rules_merged(spark, sf_dir):
     return _merged(spark, sf_dir).withColumnRenamed("right", "right_form")
 
@@ -226,18 +234,39 @@ def seam_ranking(spark, sf_dir):
     return rules.seam_report(_scored(spark, sf_dir), 400).withColumnRenamed("right", "right_form")
 
 
-@query()
+# what happens at a place of a text depends on the input alone; which places are visited, on the matches before
+_PARTS |= {
+    "ru_bigrams": "SELECT DISTINCT substr(word, i, 2) AS bg FROM (SELECT word, unnest(range(1, length(word))) AS i FROM headwords)",
+    "ru_places": f"SELECT book_id, doc_id, unnest(range(1, len(c) + 1)) AS p, unnest(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i > 1 THEN c[i - 1] ELSE '' END)) AS b, unnest(list_transform(range(1, len(c) + 1), lambda i: {_AHEAD})) AS w FROM (SELECT book_id, doc_id, string_split(text, '') AS c FROM docs)",
+    "ru_met": """SELECT book_id, doc_id, p, wrong, right_form, manual, length(wrong) AS n, NOT manual AND (b <> '' AND b || left(w, 1) IN (SELECT bg FROM ru_bigrams) OR length(substr(w, length(wrong), 2)) = 2 AND substr(w, length(wrong), 2) IN (SELECT bg FROM ru_bigrams)) AS blocked
+    FROM ru_places JOIN ru_merged r ON left(w, 2) = left(wrong, 2) AND starts_with(w, wrong)""",
+    "ru_tried": "SELECT * FROM (SELECT *, coalesce(bool_or(NOT blocked) OVER (PARTITION BY doc_id, p ORDER BY manual DESC, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ru_met) WHERE NOT late",
+    "ru_open": "SELECT doc_id, p, p + n AS e, CASE WHEN p >= coalesce(max(p + n) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS first FROM ru_tried WHERE NOT blocked",
+    "ru_groups": "SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM ru_open",
+    "ru_next": "SELECT a.doc_id, a.g, a.p, a.e, a.first, b.p AS next, b.e AS next_e FROM ru_groups a ASOF LEFT JOIN ru_groups b ON a.doc_id = b.doc_id AND a.g = b.g AND a.e <= b.p",
+    "ru_taken": "SELECT doc_id, g, p, e, next FROM ru_next WHERE first = 1 UNION ALL SELECT n.doc_id, n.g, n.p, n.e, n.next FROM ru_taken t JOIN ru_next n ON n.doc_id = t.doc_id AND n.g = t.g AND n.p = t.next",
+    "ru_hits": """SELECT book_id, doc_id, p, wrong, right_form, CASE WHEN blocked THEN 'blocked' ELSE 'applied' END AS status FROM ru_tried x
+    WHERE CASE WHEN blocked THEN NOT EXISTS (SELECT 1 FROM ru_taken t WHERE t.doc_id = x.doc_id AND t.p < x.p AND x.p < t.e) ELSE (doc_id, p) IN (SELECT (doc_id, p) FROM ru_taken) END""",
+    "ru_edits": "SELECT doc_id, list({'p': p, 'e': p + length(wrong), 'r': right_form} ORDER BY p) AS x FROM ru_hits WHERE status = 'applied' GROUP BY doc_id",
+}
+
+
+@query("""SELECT d.book_id, d.doc_id AS pair_pos, coalesce(n, 0)::INT AS n_hits,
+    md5(regexp_replace(array_to_string(list_transform(range(0, coalesce(len(x), 0) + 1), lambda k: CASE WHEN k = 0 THEN '' ELSE x[k].r END || CASE WHEN k = coalesce(len(x), 0) THEN substr(text, CASE WHEN k = 0 THEN 1 ELSE x[k].e END) ELSE substr(text, CASE WHEN k = 0 THEN 1 ELSE x[k].e END, x[k + 1].p - CASE WHEN k = 0 THEN 1 ELSE x[k].e END) END), ''), '…+', '……', 'g')) AS text_md5
+    FROM docs d LEFT JOIN ru_edits USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ru_hits GROUP BY doc_id) USING (doc_id)""")
 def rules_applied(spark, sf_dir):
     docs = books(spark, sf_dir).withColumnRenamed("doc_id", "pair_pos")
     applied = apply_rules(docs, _merged(spark, sf_dir), rules.build_bigrams(headwords(spark, sf_dir)))
     return applied.select("book_id", "pair_pos", F.md5("applied.text").alias("text_md5"), F.size("applied.hits").alias("n_hits"))
 
 
-@query()
+@query("""SELECT *, (row_number() OVER (PARTITION BY book_id, status ORDER BY least(n, 3) DESC, n DESC, wrong, right_form))::INT AS rank FROM (
+    SELECT book_id, status, wrong, right_form, count(*) AS n, string_agg(snippet, '|' ORDER BY r) FILTER (WHERE r <= 3) AS snippets FROM (
+    SELECT h.*, substr(text, greatest(p - 12, 1), p + length(wrong) + 12 - greatest(p - 12, 1)) AS snippet, row_number() OVER (PARTITION BY h.book_id, status, wrong, right_form ORDER BY doc_id, p) AS r FROM ru_hits h JOIN docs USING (doc_id)) GROUP BY ALL)""")
 def rule_hit_counts(spark, sf_dir):
     docs = books(spark, sf_dir).withColumnRenamed("doc_id", "pair_pos")
     applied = apply_rules(docs, _merged(spark, sf_dir), rules.build_bigrams(headwords(spark, sf_dir)))
-    return rule_hit_log(rule_hits(applied)).withColumnRenamed("right", "right_form")
+    return rule_hit_log(rule_hits(applied)).withColumnRenamed("right", "right_form").withColumn("snippets", F.array_join("snippets", "|"))
 
 
 # scalars
@@ -518,20 +547,34 @@ def fixed_words(spark, sf_dir):
     return _words(spark, sf_dir)[2]
 
 
-@query()
+_PARTS |= {
+    "fw_words": f"SELECT DISTINCT book_id, word, left(word, length(word) - 1) AS prefix, left(word, 3) AS k FROM docs JOIN headwords ON contains(src, word) WHERE length(word) >= 4 AND NOT regexp_matches(word, '[{CONVERTIBLE}]')",
+    "fw_last": "SELECT book_id, max(pair_pos) AS last FROM docs GROUP BY book_id",
+    "fw_src": f"SELECT book_id, pair_pos, length(src) AS n, unnest(range(1, len(c) + 1)) AS p, unnest(list_transform(range(1, len(c) + 1), lambda i: {_AHEAD})) AS w FROM (SELECT book_id, pair_pos, src, string_split(src || CASE WHEN pair_pos < last THEN chr(10) ELSE '' END, '') AS c FROM docs JOIN fw_last USING (book_id))",
+    "fw_ext": "SELECT book_id, word, list_sort(list(DISTINCT c)) AS x FROM (SELECT s.book_id, word, substr(w, length(word), 1) AS c FROM fw_src s JOIN fw_words f ON s.book_id = f.book_id AND left(w, 3) = k AND starts_with(w, prefix)) WHERE c <> '' AND c <> right(word, 1) GROUP BY ALL",
+    "fw_follow": "SELECT book_id, word, list_sort(list(DISTINCT c)) AS y FROM (SELECT s.book_id, word, substr(w, length(word) + 1, 1) AS c FROM fw_src s JOIN fw_words f ON s.book_id = f.book_id AND left(w, 3) = k AND starts_with(w, word) AND p + length(word) <= n) WHERE c <> '' GROUP BY ALL",
+    "fw_lacking": "SELECT d.book_id, pair_pos, word, prefix, k, tgt FROM docs d JOIN fw_words f ON d.book_id = f.book_id AND contains(src, word) AND NOT contains(tgt, word) AND contains(tgt, prefix)",
+    "fw_tgt": f"SELECT book_id, pair_pos, unnest(list_transform(range(1, len(c) + 1), lambda i: {_AHEAD})) AS w FROM (SELECT book_id, pair_pos, string_split(tgt, '') AS c FROM docs SEMI JOIN fw_lacking USING (book_id, pair_pos))",
+    "fw_seen": "SELECT l.book_id, l.word, prefix, substr(w, length(l.word), 1) AS c FROM fw_tgt t JOIN fw_lacking l ON t.book_id = l.book_id AND t.pair_pos = l.pair_pos AND left(w, 3) = k AND starts_with(w, prefix)",
+    "fw_tallies": "SELECT book_id, word, (count(*) FILTER (WHERE NOT f AND NOT t))::BIGINT AS n_subst, (count(*) FILTER (WHERE NOT f AND t))::BIGINT AS n_trunc, (count(*) FILTER (WHERE f))::BIGINT AS n_false FROM (SELECT s.book_id, s.word, c <> '' AND prefix || c IN (SELECT word FROM headwords) AS f, list_contains(coalesce(y, []), c) AS t FROM fw_seen s LEFT JOIN fw_follow USING (book_id, word)) GROUP BY ALL",
+}
+
+
+@query("SELECT book_id, word, array_to_string(coalesce(x, []), '|') AS extensions, array_to_string(coalesce(y, []), '|') AS followers FROM fw_words LEFT JOIN fw_ext USING (book_id, word) LEFT JOIN fw_follow USING (book_id, word)")
 def fixed_word_contexts(spark, sf_dir):
     own, _, found = _words(spark, sf_dir)
     rows = repairs.fixed_word_contexts(found, own)
     return rows.select("book_id", "word", F.array_join("extensions", "|").alias("extensions"), F.array_join("followers", "|").alias("followers"))
 
 
-@query()
+@query("SELECT book_id, word, n_subst, n_trunc, n_false FROM fw_tallies")
 def fixed_word_tallies(spark, sf_dir):
     own, heads, found = _words(spark, sf_dir)
     return repairs.fixed_word_tallies(repairs.fixed_word_contexts(found, own), own, heads)
 
 
-@query()
+@query("""SELECT book_id, word, n_subst, n_trunc, n_false FROM fw_tallies WHERE n_subst + n_trunc > 0 AND n_subst + n_trunc >= n_false AND (n_subst >= 1 OR n_trunc >= CASE
+    WHEN substr(word, -2, 1) = right(word, 1) OR length(word) = 4 AND substr(word, 1, 1) = substr(word, 2, 1) AND substr(word, 3, 1) = substr(word, 4, 1) THEN 1 ELSE 2 END)""")
 def fixed_word_repairs(spark, sf_dir):
     return repairs.fixed_word_repairs(fixed_word_tallies(spark, sf_dir))
 
@@ -663,21 +706,202 @@ def texts_chunked(spark, sf_dir):
     return segments.chunk_text(books(spark, sf_dir)).select("doc_id", "chunk_pos", F.length("chunk").alias("size"))
 
 
-@query()
+_MARKS = "[。！？…!?.\\n，、]"
+
+
+@query(f"""SELECT doc_id, (len(list_filter(x, lambda q: NOT q)) + CASE WHEN len(x) > 0 AND x[1] THEN 1 ELSE 0 END)::BIGINT AS n_fragments, n_chars FROM (
+    SELECT doc_id, length(text)::BIGINT AS n_chars, list_transform(regexp_extract_all(text, '{_MARKS}+|[^{_MARKS[1:-1]}]+'), lambda q: regexp_full_match(q, '[。！？…!?\\n]+') OR NOT regexp_matches(q, '\\S')) AS x FROM documents) WHERE n_chars > 0""")
 def texts_fragmented(spark, sf_dir):
     return segments.fragment_for_retry(books(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_fragments"), F.sum(F.length("fragment")).alias("n_chars"))
 
 
-@query()
+_BETWEEN = "array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(upper(m[i]), '')), '')"
+
+
+@query(_full("ph AS (SELECT string_agg(word, '|' ORDER BY length(word) DESC, word) AS pat FROM headwords WHERE length(word) >= 3)",
+    f"SELECT doc_id, md5({_BETWEEN}) AS text_md5 FROM (SELECT doc_id, string_split_regex(text, pat) AS a, regexp_extract_all(text, pat) AS m FROM documents, ph)"))
 def phrases_converted(spark, sf_dir):
     phrases = headwords(spark, sf_dir).where(F.length("word") >= 3).select(F.col("word").alias("simp"), F.upper("word").alias("trad"))
     done = segments.convert_phrases(books(spark, sf_dir), phrases)
     return done.select("doc_id", F.md5("converted").alias("text_md5"))
 
 
-@query()
+@query(_full("gd AS (SELECT book_id, string_agg(ngram, '|' ORDER BY length(ngram) DESC, ngram) AS pat FROM chosen ANTI JOIN tails USING (book_id, ngram) GROUP BY book_id)",
+    "SELECT doc_id, (len(list_filter(string_split_regex(text, coalesce(pat, '[^\\s\\S]')), lambda q: q <> '')) + len(regexp_extract_all(text, coalesce(pat, '[^\\s\\S]'))))::INT AS n_parts, len(regexp_extract_all(text, coalesce(pat, '[^\\s\\S]')))::INT AS n_protected FROM docs LEFT JOIN gd USING (book_id)"))
 def entities_guarded(spark, sf_dir):
     docs = books(spark, sf_dir)
     names = entities_ranked(spark, sf_dir)
     guarded = segments.guard_entities(docs, names)
     return guarded.select("doc_id", F.size("parts").alias("n_parts"), F.size(F.filter("parts", lambda p: p["protected"])).alias("n_protected"))
+
+
+# sources, written to the shared folder and read back
+
+
+def _file(df: DataFrame, name: str) -> str:
+    """A one-column table of lines as a text file: a dictionary, so one task writes it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
+
+
+def _dictionary(spark, sf_dir) -> str:
+    """Two lines for every headword, the second with it turned round; comments, and a line without a tab."""
+    words = headwords(spark, sf_dir).repartition(1).sortWithinPartitions("word")
+    lines = F.array(F.concat("word", F.lit("\t"), F.upper("word"), F.lit(" x")), F.concat("word", F.lit("\t "), F.reverse("word")), F.concat(F.lit("#"), "word", F.lit("\tc")), F.col("word"))
+    return _file(words.select(F.explode(lines).alias("value")), "dictionary")
+
+
+_LAST = "CASE WHEN reverse(word) <> word THEN reverse(word) ELSE upper(word) END"
+
+
+@query("""SELECT simp, forms, ((dense_rank() OVER (ORDER BY word) - 1) * 4 + k)::INT AS line_no FROM (
+    SELECT word, unnest([word, word, '#' || word]) AS simp, unnest([upper(word) || '|x', reverse(word), 'c']) AS forms, unnest([0, 1, 2]) AS k FROM headwords)""")
+def char_map_read(spark, sf_dir):
+    return dictionaries.read_char_map(spark, _dictionary(spark, sf_dir)).select("simp", F.array_join("trads", "|").alias("forms"), "line_no")
+
+
+@query(f"SELECT word AS wrong, {_LAST} AS right_form FROM headwords")
+def variants_read(spark, sf_dir):
+    return dictionaries.read_variants(spark, _dictionary(spark, sf_dir)).withColumnRenamed("right", "right_form")
+
+
+@query(f"SELECT word AS simp, {_LAST} AS trad FROM headwords UNION ALL SELECT '#' || word, 'c' FROM headwords")
+def phrases_read(spark, sf_dir):
+    return dictionaries.read_phrases(spark, _dictionary(spark, sf_dir))
+
+
+@query("SELECT 'rule' AS kind, word AS wrong, upper(word) AS right_form FROM headwords WHERE length(word) >= 2 UNION ALL SELECT 'blocked', word, NULL FROM headwords WHERE word LIKE 'a%' UNION ALL SELECT 'threshold', '7', NULL")
+def corrections_read(spark, sf_dir):
+    words = headwords(spark, sf_dir)
+    whole = words.agg(
+        F.map_from_entries(F.collect_list(F.struct("word", F.upper("word").alias("v")))).alias("corrections"),
+        F.collect_list(F.when(F.col("word").like("a%"), F.col("word"))).alias("layer2_blocklist"),
+        F.lit(7).alias("layer2_seam_threshold"),
+    )
+    found, blocked, threshold = dictionaries.read_corrections(spark, _file(whole.select(F.to_json(F.struct("*")).alias("value")), "corrections"))
+    none = F.lit(None).cast("string")
+    rows = found.select(F.lit("rule").alias("kind"), "wrong", F.col("right").alias("right_form"))
+    rows = rows.unionByName(blocked.select(F.lit("blocked").alias("kind"), "wrong", none.alias("right_form")))
+    return rows.unionByName(spark.range(1).select(F.lit("threshold").alias("kind"), F.lit(str(threshold)).alias("wrong"), none.alias("right_form")))
+
+
+@query("SELECT word FROM headwords")
+def headwords_read(spark, sf_dir):
+    entries = headwords(spark, sf_dir).agg(F.to_json(F.collect_list(F.struct(F.col("word").alias("title"), F.length("word").alias("n")))).alias("value"))
+    return dictionaries.read_headwords(spark, _file(entries, "headwords"))
+
+
+def _book_folders(spark, sf_dir) -> str:
+    """A text file of document ids for every book, in a folder of its own."""
+    path = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    rows = _read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("value"))
+    rows.repartition("book_id").write.partitionBy("book_id").text(path)
+    return path
+
+
+@query("SELECT book_id, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS n_bytes FROM docs WHERE book_id <> 'src1' GROUP BY ALL")
+def books_listed(spark, sf_dir):
+    path = _book_folders(spark, sf_dir)
+    files = books_source.list_books(spark, [path, f"{path}/book_id=src0"], f"{path}/book_id=src1", "*.txt")
+    return files.groupBy(F.regexp_extract("path", "book_id=([^/]*)/", 1).alias("book_id")).agg(F.sum("length").alias("n_bytes"))
+
+
+@query(rf"SELECT page_id, stem FROM (SELECT page_id, translate(trim(replace(CASE WHEN regexp_extract(n, '^(.+)\.[^.]*$', 1) = '' THEN n ELSE regexp_extract(n, '^(.+)\.[^.]*$', 1) END, '_zhTW', '')), '{_FROM}', '{_TO}') AS stem FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS n FROM pages)) WHERE stem NOT IN (SELECT word FROM headwords)")
+def books_skipped(spark, sf_dir):
+    files = _read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    return books_source.skip_existing(files, headwords(spark, sf_dir).withColumnRenamed("word", "stem"), PRIMARY).select("page_id", "stem")
+
+
+_XML_URL = "replace(replace(url, '&', '&amp;'), '<', '&lt;')"
+
+
+def _controls(spark, sf_dir) -> DataFrame:
+    """Ten pages a book: page_id in order, and the XML of a table of contents and of a package document."""
+    pages = _read(spark, sf_dir, "pages").where("url IS NOT NULL").withColumn("book_id", F.floor(F.col("page_id") / 10).cast("string"))
+    point = F.concat(F.lit("<navPoint><navLabel><text> "), F.expr(_XML_URL), F.lit("</text></navLabel><navPoint><navLabel><text>p"), F.col("page_id").cast("string"), F.lit("</text></navLabel></navPoint></navPoint>"))
+    item = F.concat(F.lit("<dc:title>"), F.expr(_XML_URL), F.lit("</dc:title><dc:creator>c</dc:creator><meta property='file-as'>p"), F.col("page_id").cast("string"), F.lit("</meta><meta property='other'>o</meta>"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", c.alias("x")))), lambda r: r["x"]), "")
+    both = pages.groupBy("book_id").agg(listed(point).alias("ncx"), listed(item).alias("opf"))
+    return both.select(
+        "book_id",
+        F.concat(F.lit("<ncx xmlns='http://www.daisy.org/z3986/2005/ncx/'><head/><navMap>"), "ncx", F.lit("</navMap></ncx>")).alias("ncx"),
+        F.concat(F.lit("<package xmlns='http://www.idpf.org/2007/opf' xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata>"), "opf", F.lit("</metadata></package>")).alias("opf"),
+    )
+
+
+_IN_BOOK = "SELECT (page_id // 10)::VARCHAR AS book_id, page_id, trim(url) AS url, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS k FROM pages WHERE url IS NOT NULL"
+
+
+@query(f"SELECT book_id, k::VARCHAR AS path, url AS title FROM ({_IN_BOOK}) UNION ALL SELECT book_id, k || ',0', 'p' || page_id FROM ({_IN_BOOK})")
+def navigation_read(spark, sf_dir):
+    rows = segments.extract_navigation(_controls(spark, sf_dir).select("book_id", F.lit("toc").alias("doc_id"), F.col("ncx").alias("content")))
+    return rows.select("book_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "title")
+
+
+@query(f"SELECT book_id, 'title' AS field, k::INT AS idx, url AS value FROM ({_IN_BOOK}) UNION ALL SELECT book_id, 'file-as', k::INT, 'p' || page_id FROM ({_IN_BOOK})")
+def metadata_read(spark, sf_dir):
+    return segments.extract_metadata(_controls(spark, sf_dir).select("book_id", F.col("opf").alias("content"))).select("book_id", "field", "idx", "value")
+
+
+@query("SELECT page_id, doc_pos, md5(html) AS content_md5 FROM (SELECT page_id, html, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id)::INT AS doc_pos FROM pages WHERE html IS NOT NULL)")
+def books_unpacked(spark, sf_dir):
+    """Ten pages a book, zipped where they are and unpacked again; the spine holds them in order of their ids."""
+    pages = _read(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.floor(F.col("page_id") / 10).alias("b"), F.col("page_id").cast("long").alias("page_id"), "html")
+
+    def pack(g):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        ids = sorted(g["page_id"].tolist())
+        text = dict(zip(g["page_id"].tolist(), g["html"]))
+        items = "".join(f"<item id='i{k}' href='p{k}.xhtml' media-type='application/xhtml+xml'/>" for k in reversed(ids))
+        spine = "".join(f"<itemref idref='i{k}'/>" for k in ids)
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr("o/c.opf", f"<package><manifest><item id='n' href='nav.xhtml' media-type='application/xhtml+xml' properties='nav'/>{items}</manifest><spine>{spine}</spine></package>")
+            z.writestr("o/nav.xhtml", "<p>nav</p>")
+            for k in ids:
+                z.writestr(f"o/p{k}.xhtml", text[k])
+        return pd.DataFrame({"path": [f"{int(g['b'].iloc[0])}.epub"], "content": [raw.getvalue()]})
+
+    files = pages.groupBy("b").applyInPandas(pack, "path string, content binary")
+    rows = books_source.unpack_books(files).where("kind = 'doc'")
+    return rows.select(F.regexp_extract("doc_id", r"p(\d+)\.xhtml", 1).cast("long").alias("page_id"), "doc_pos", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT 'counts' AS name, book_id, count(*) AS n, sum(n)::BIGINT AS total FROM counts GROUP BY book_id UNION ALL SELECT 'words', NULL, count(*), sum(length(word))::BIGINT FROM headwords")
+def tables_written(spark, sf_dir):
+    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    tables.write_tables({"counts": ngram_counts(spark, sf_dir), "words": headwords(spark, sf_dir)}, path)
+    counts = spark.read.parquet(f"{path}/counts").groupBy("book_id").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+    words = spark.read.parquet(f"{path}/words").agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("total"))
+    return counts.select(F.lit("counts").alias("name"), F.col("book_id").cast("string").alias("book_id"), "n", "total").unionByName(words.select(F.lit("words").alias("name"), F.lit(None).cast("string").alias("book_id"), "n", "total"))
+
+
+_PAUSED = "regexp_replace(regexp_replace(x, '\\s+([」』])', '\\1', 'g'), '([。？！，、；：])\\s+(\\S)', '\\1\\2', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_PAUSED}) AS text_md5 FROM (SELECT doc_id, translate(replace(text, '. ', ' 」 '), ',', '，') AS x FROM documents)")
+def brackets_restored(spark, sf_dir):
+    text = F.translate(F.replace("text", F.lit(". "), F.lit(" 」 ")), ",", "，")
+    return books(spark, sf_dir).select("doc_id", F.md5(T.restore_brackets(T.protect_brackets(text))).alias("text_md5"))
+
+
+@query()
+def pages_unmasked(spark, sf_dir):
+    """What is masked comes back: the same markup as without a mask."""
+    rows = _pages(spark, sf_dir).withColumn("m", segments.mask_opaque(F.col("content")))
+    return rows.select("doc_id", F.md5(segments.unmask_opaque(F.col("m.text"), F.col("m.mask"))).alias("text_md5"))
+
+
+@query()
+def rules_applied_to_words(spark, sf_dir):
+    """With word boundaries: a guard is overruled where a match is one whole word."""
+    docs = books(spark, sf_dir).withColumnRenamed("doc_id", "pair_pos")
+    cut = F.split("text", r"(?<=[a-zà-öø-ÿ])(?![a-zà-öø-ÿ])|(?<![a-zà-öø-ÿ])(?=[a-zà-öø-ÿ])", -1)
+    starts = F.aggregate(cut, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    applied = apply_rules(docs.withColumn("starts", starts), _merged(spark, sf_dir), rules.build_bigrams(headwords(spark, sf_dir)), boundaries="starts", strict=True)
+    return applied.select("book_id", "pair_pos", F.md5("applied.text").alias("text_md5"), F.size("applied.hits").alias("n_hits"))
