@@ -10,16 +10,19 @@ least t = ceil(0.9 |B|) shingles:
 
 The size that divides the two is where the number of subsets would exceed what the lists cost. Sets just below it do both.
 
-In a list, all sets meet the one smallest set there, never all of each other. Pairs are filtered by a lower bound on their
-difference (the parities of shingles by hash bucket), the rest is compared exactly, and components are contracted; pairs
-of a list whose sets are in one component by then are linked already. Pairs across components are compared in full.
+In a list, all sets first meet the one smallest set there. Pairs are filtered by a lower bound on their difference (the
+parities of shingles by hash bucket), the rest is compared exactly, and components are contracted. Lists that still hold
+several components are looked at again, in blocks of bounded size: of the pairs across components that the bound lets
+through, a spanning forest is compared exactly and contracted, and where one of those comparisons fails, so are in the end
+all pairs across components that the bound lets through. No other pairs of a list are ever rows of a table.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ _PIECE = 1 << 14
 SEEN = 1 << 24
 #: Text of a block of documents.
 BLOCK = 2 << 20
+#: Sets of a list that meet in memory at a time, on each side.
+LIST_BLOCK = 512
 
 
 def required(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -51,6 +56,7 @@ def required(n: int, num: int = NUM, den: int = DEN) -> int:
     return -(-num * n // den)
 
 
+@lru_cache(1 << 16)
 def overlap(a: int, b: int, num: int = NUM, den: int = DEN) -> int:
     """Shingles that similar sets of a and b share."""
     return -(-num * (a + b) // (num + den))
@@ -115,21 +121,32 @@ def set_id(values: np.ndarray) -> int:
 
 def parity_sketch(values: np.ndarray) -> bytes:
     """A bit a bucket: whether an odd number of the shingles fall there. Halves can be folded onto each other."""
-    bits = max(64, 1 << max(0, len(values) - 1).bit_length() >> 1)
+    bits = max(64, 1 << max(0, len(values) - 1).bit_length())
     odd = (np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def may_be_similar(n_a: int, a: bytes, n_b: int, b: bytes, num: int = NUM, den: int = DEN) -> bool:
-    """False only for sets that are not similar."""
-    if den * min(n_a, n_b) < num * max(n_a, n_b):
-        return False
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b - 2 * overlap(n_a, n_b, num, den)
+class Sketched:
+    """A set's size and sketch, and the sketch's foldings as numbers."""
+
+    __slots__ = ("n", "width", "folded")
+
+    def __init__(self, n: int, sketch: bytes) -> None:
+        self.n, self.width = n, len(sketch)
+        self.folded = {self.width: int.from_bytes(sketch, "little")}
+
+    def at(self, width: int) -> int:
+        if width not in self.folded:
+            wide = self.at(2 * width)
+            self.folded[width] = (wide >> 8 * width) ^ (wide & (1 << 8 * width) - 1)
+        return self.folded[width]
+
+    def may_be_similar(self, other: Sketched, num: int = NUM, den: int = DEN) -> bool:
+        """False only for sets that are not similar."""
+        if den * min(self.n, other.n) < num * max(self.n, other.n):
+            return False
+        width = min(self.width, other.width)
+        return (self.at(width) ^ other.at(width)).bit_count() <= self.n + other.n - 2 * overlap(self.n, other.n, num, den)
 
 
 def _table(columns: list, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -235,35 +252,37 @@ def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")]
-            mask = pa.array([may_be_similar(*row, num, den) for row in zip(*columns)], pa.bool_())
+            mask = pa.array([Sketched(n_a, s_a).may_be_similar(Sketched(n_b, s_b), num, den) for n_a, s_a, n_b, s_b in zip(*columns)], pa.bool_())
             yield batch.select(["a", "b"]).filter(mask)
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
-    """sid, members (sorted hashes, as bytes) of the given sets."""
-    place = F.pmod(F.xxhash64("sid"), F.lit(FILTER_BITS))
-    rows = sids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+def _sets_of(docs: DataFrame, owners: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
+    """sid, members (sorted hashes, as bytes) of the given sets. owners: a document of every set, of which a filter of fixed
+    size picks those to read; what it lets through besides is dropped by the join."""
+    needed = owners.join(sids, "sid", "left_semi").select("doc_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    rows = needed.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     found = {r["k"]: bytes(r["bits"]) for r in rows.collect()}  # FILTER_BITS bits at most
     size = 4096
     bits = np.frombuffer(b"".join(found.get(k, b"").ljust(size, b"\0") for k in range(FILTER_BITS // (8 * size) + 2)), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    names = ["sid", "members"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches, BLOCK):
-            own = {set_id(s): s for s in shingle_sets(texts, shingle) if len(s)}
-            yield _table([list(own), [s.tobytes() for s in own.values()]], [pa.int64(), pa.binary()], ["sid", "members"])
+        flat = shared.value
 
-    # the filter's bucket of a set id is Spark's hash, so it is applied by Spark: small rows first, sets only for those that pass
-    flat = shared.value
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = batch.column("p").to_numpy()  # Spark's hash of the id; 1-based buckets of 32768 bits
+                yield batch.filter(pa.array((flat[(p // 32768 + 1) * size + p % 32768 // 8] >> (p % 8)) & 1 == 1))
 
-    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("p").to_numpy()  # 1-based buckets of 32768 bits
-            yield batch.select(["sid", "members"]).filter(pa.array((flat[(p // 32768 + 1) * size + p % 32768 // 8] >> (p % 8)) & 1 == 1))
+        for _, texts in blocks(wanted(), BLOCK):
+            own = {set_id(s): s for s in shingle_sets(texts, shingle) if len(s)}
+            yield _table([list(own), [s.tobytes() for s in own.values()]], [pa.int64(), pa.binary()], names)
 
-    sets = docs.mapInArrow(emit, "sid long, members binary").withColumn("p", place).mapInArrow(passes, "sid long, members binary")
+    sets = docs.withColumn("p", place).mapInArrow(emit, "sid long, members binary")
     return sets.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -285,32 +304,90 @@ def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(x, "a").join(y, "b").select("a", "b", "m_a", "m_b").mapInArrow(compare, "a long, b long")
 
 
-def _crossing(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    if roots is None:
-        return pairs
-    x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("r_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("r_b"))
-    joined = pairs.join(x, "a", "left").join(y, "b", "left")
-    return joined.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(pairs.columns)
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, num: int, den: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """links and the components they make, once every pair is either a link, no link, or inside a component.
-
-    Each set is compared with one candidate at a time, as long as that leaves fewer pairs; then all pairs left are.
-    """
-    roots = components(links) if links is not None else None
-    for last in (False, True):
-        pairs = stored(_crossing(pairs, roots), "pairs")
-        one = pairs if last else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        new = stored(_similar(one, sets, num, den), "links")
-        links = new if links is None else links.union(new)
-        if new.limit(1).count():
-            roots = components(links)
-        if last or not pairs.limit(1).count():
-            break
-        pairs = pairs.join(one, ["a", "b"], "left_anti")
-    return links, roots
+def _in_blocks(member: DataFrame) -> DataFrame:
+    """member (key, sid, n, pos, root) dealt to groups (key, i, j) of bounded size, in which any two of a key's rows of
+    different roots meet. Most lists are one group. In a long one, the rows of the most frequent root never meet each other:
+    their blocks i meet each block j of the rest, and those meet each other in groups of negative i."""
+    counts = member.groupBy("key", "root").agg(F.count("*").alias("c"))
+    lists = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("of")).where("of > most.c")
+    n_blocks = lambda c: F.ceil(c / LIST_BLOCK).cast("int")
+    lists = lists.select("key", F.col("most.root").alias("major"), n_blocks(F.col("most.c")).alias("k"), n_blocks(F.col("of") - F.col("most.c")).alias("m"))
+    rows = member.join(lists, "key")
+    part = lambda of: F.pmod(F.xxhash64("sid"), of).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    group = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own = part(F.col("m"))
+    of_major = F.transform(upto(F.col("m")), lambda j: group(part(F.col("k")), j))
+    of_rest = F.concat(
+        F.transform(upto(F.col("k")), lambda i: group(i, own)),
+        F.transform(F.filter(upto(F.col("m")), lambda x: x != own), lambda x: group(-1 - F.least(x, own), F.greatest(x, own))),
+    )
+    groups = F.explode(F.when(F.col("root") == F.col("major"), of_major).otherwise(of_rest))
+    return rows.select("key", "sid", "n", "pos", "root", groups.alias("g")).select("key", "g.i", "g.j", "sid", "n", "pos", "root")
+
+
+def _across(member: DataFrame, sketches: DataFrame, every: bool, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), the smaller set first, of sets of a list in different components that nothing rules out: all of them, or
+    as many as make a forest over the components of a group."""
+    keys = ["key", "i", "j"]
+    columns = [*keys, "sid", "n", "pos", "root"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+    def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in names)))
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            yield list(group)
+
+    def compatible(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        """Places of the pairs of different roots that neither sizes nor places in the sets' order rule out."""
+        for x, (_, _, _, _, n_a, p_a, r_a, *_) in enumerate(group):
+            for y in range(x + 1, len(group)):
+                _, _, _, _, n_b, p_b, r_b, *_ = group[y]
+                if num * n_b > den * n_a:
+                    break
+                if r_a != r_b:
+                    least = overlap(n_a, n_b, num, den)
+                    if p_a <= n_a - least and p_b <= n_b - least:
+                        yield x, y
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for group in groups(batches, columns):
+            kept = sorted({z for pair in compatible(group) for z in pair}) if len(group) > 1 else []
+            found += [group[z] for z in kept]
+            if len(found) >= 4096:
+                yield _table(list(zip(*found)), types, columns)
+                found = []
+        if found:
+            yield _table(list(zip(*found)), types, columns)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for group in groups(batches, [*columns, "sketch"]):
+            sets = [Sketched(r[4], r[7]) for r in group]
+            above = {r[6]: r[6] for r in group}  # a root's place in the forest
+
+            def top(root: int, above: dict = above) -> int:
+                while above[root] != root:
+                    above[root] = root = above[above[root]]
+                return root
+
+            for x, y in compatible(group):
+                r_a, r_b = group[x][6], group[y][6]
+                if (every or top(r_a) != top(r_b)) and sets[x].may_be_similar(sets[y], num, den):
+                    found.append((group[x][3], group[y][3]))
+                    above[top(r_b)] = top(r_a)
+            if len(found) >= 4096:
+                yield _table(list(zip(*found)), [pa.int64()] * 2, ["a", "b"])
+                found = []
+        if found:
+            yield _table(list(zip(*found)), [pa.int64()] * 2, ["a", "b"])
+
+    # sketches join the few rows that are left without them
+    order = [*keys, "n", "sid"]
+    rows = _in_blocks(member).repartition(*keys).sortWithinPartitions(*order).mapInArrow(with_partner, "key long, i int, j int, sid long, n int, pos int, root long")
+    rows = rows.join(sketches.select("sid", "sketch"), "sid").repartition(*keys).sortWithinPartitions(*order)
+    return rows.mapInArrow(meet, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -324,7 +401,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
     described = stored(_described(texts, shingle), "sets")
     found = described.where("doc_id IS NOT NULL")
-    sketches = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets_once = stored(found.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "sketches")
+    sketches, owners = sets_once.select("sid", "n", "sketch"), sets_once.select("sid", "doc_id")
     sizes = {r["n"]: r["count"] for r in found.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     keys = _keys(texts, dividing_size(sizes, num=num, den=den), _counters(described), shingle, num, den).repartition("key").dropDuplicates(["key", "sid"])
     shared = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min(F.struct("n", "sid", "pos")).alias("least")).where("in_list > 1")
@@ -336,29 +414,40 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
         least = F.ceil((F.col(n_a) + F.col(n_b)) * num / (num + den) - 1e-6)
         return (den * F.col(n_a) >= num * F.col(n_b)) & (F.col(p_a) <= F.col(n_a) - least) & (F.col(p_b) <= F.col(n_b) - least)
 
-    first = lists.where((F.col("sid") != F.col("a")) & may_meet("n_a", "n", "p_a", "pos")).select("a", F.col("sid").alias("b")).distinct()
-    first = stored(_filtered(first, sketches, num, den), "pairs")
-    sets = stored(_sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle), "members")
-    links, roots = _linked(first, sets, None, num, den)
-
-    # what is left of the lists: pairs of sets in different components
+    pairs = lists.where((F.col("sid") != F.col("a")) & may_meet("n_a", "n", "p_a", "pos")).select("a", F.col("sid").alias("b")).distinct()
+    pairs = stored(_filtered(pairs, sketches, num, den), "pairs")
+    tested = links = roots = None
     member = lists.select("key", "sid", "n", "pos")
-    if roots is not None:
-        member = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-    else:
-        member = member.withColumn("root", F.col("sid"))
-    several = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    member = stored(member.join(several, "key"), "lists")
-    x = member.select("key", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
-    y = member.select("key", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
-    across = x.join(y, "key").where((F.col("r_a") != F.col("r_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & may_meet("n_a", "n_b", "p_a", "p_b"))
-    second = across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(_filtered(second, sketches, num, den), "pairs")
-    sets = stored(_sets_of(texts, second.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle), "members")
-    links, roots = _linked(second, sets, links, num, den)
+    for every in (None, False, True):  # the star, a forest, and what it may have hidden
+        if every is not None:
+            if roots is None:
+                rooted = member.withColumn("root", F.col("sid"))
+            else:
+                rooted = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+            several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+            rooted = stored(rooted.join(several, "key"), "lists")
+            member = rooted.drop("root")  # lists of one component are done with
+            let_through = stored(_across(rooted, sketches, every, num, den), "pairs")
+            pairs = stored(let_through.join(tested, ["a", "b"], "left_anti"), "pairs")
+        else:
+            let_through = pairs
+        n_new = 0
+        if pairs.limit(1).count():
+            sets = stored(_sets_of(texts, owners, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle), "members")
+            new = stored(_similar(pairs, sets, num, den), "links")
+            n_new = new.count()
+            links = new if links is None else links.union(new)
+            if n_new:
+                roots = components(links)
+        tested = pairs if tested is None else tested.union(pairs)
+        if every is False and n_new == let_through.count():  # each forest held, so no list has anything left to link
+            break
 
     owned = found.select("doc_id", "n", "sid")
-    owned = owned.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    if roots is None:
+        owned = owned.withColumnRenamed("sid", "root")
+    else:
+        owned = owned.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     own_id = F.when(F.col("doc_id") > F.lit(-(2**63)), F.col("doc_id"))
     least = owned.where("n > 0").groupBy("root").agg(F.min(own_id).alias("component_id"))
     with_text = owned.where("n > 0").join(least, "root").select("doc_id", "n", "component_id")

@@ -59,6 +59,21 @@ def test_near_copies_of_all_sizes(spark):
     check(spark, rows)
 
 
+def test_large_group_just_below_and_above(spark, monkeypatch):
+    """One family whose members are often just below the similarity, with a smallest set like none of them, in lists of
+    several blocks."""
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 8)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base[:111]))]
+    for k in range(60):
+        x = list(base)
+        for _ in range(r.randint(0, 4)):
+            x[r.randrange(100, 120)] = f"v{r.randrange(10**6)}"
+        rows.append((k + 1, " ".join(x)))
+    check(spark, rows)
+
+
 def test_empty_table(none):
     assert jaccard.jaccard_components(none).count() == 0
 
@@ -81,7 +96,7 @@ def test_sketch_never_rules_out_similar_sets():
         b = np.unique(np.r_[a[int(rng.integers(0, n // 10)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 15 + 1))).astype(np.uint64)])
         i = len(np.intersect1d(a, b))
         if 100 * i >= 90 * (len(a) + len(b) - i):
-            assert jaccard.may_be_similar(len(a), jaccard.parity_sketch(a), len(b), jaccard.parity_sketch(b))
+            assert jaccard.Sketched(len(a), jaccard.parity_sketch(a)).may_be_similar(jaccard.Sketched(len(b), jaccard.parity_sketch(b)))
 
 
 def test_components(spark):
