@@ -7,44 +7,50 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingloom.llm.common import shared_dir
+from lingloom.llm.common import fresh, shared_dir, with_row_key
 from lingloom.llm.jaccard import jaccard_components
 from lingloom.llm.mixing import mix_sources
 from lingloom.llm.packing import pack_documents
-from lingloom.llm.quality import adaptive_fences, quality_rules
+from lingloom.llm.quality import keep_quality
 from lingloom.llm.secrets import redact_secrets
 from lingloom.llm.tokens import vocabulary
 
+# Every stage takes rows as they are: null and repeated ids, repeated rows and columns of any name; each row has its own
+# verdict. An empty table goes through as one.
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
-    verdicts = quality_rules(docs, limits=adaptive_fences).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(docs.columns)
+    """Documents that the adaptive quality rules keep; null and empty texts go."""
+    return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near copies; documents without words or id stay.
-    Near: Jaccard similarity of 0.8 or more over five-word shingles."""
-    groups = jaccard_components(docs, shingle=5, num=80, den=100)
-    copies = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of every group of near copies, that of the smallest id (null last; of several, the first in the table).
+    Near: Jaccard similarity of 0.8 or more over five-word shingles. Rows without words stay."""
+    rows, key = with_row_key(docs)
+    groups = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), shingle=5, num=80, den=100).where("n_shingles > 0")
+    groups = groups.select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, F.col("doc_id").alias("own_id")), key)
+    order = F.struct(F.col("own_id").isNull(), "own_id", key)
+    least = groups.groupBy("component_id").agg(F.min(order).alias("least"))
+    copies = groups.join(least, "component_id").where(F.col(key) != F.col(f"least.{key}")).select(key)
+    return rows.join(copies, key, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind."""
+    """All documents, with secrets replaced by their kind; null texts stay null."""
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: complete epochs, and once more for the fractional selection."""
-    copies = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(docs.columns)
+    """Documents as often as the mix takes them: complete epochs, and once more for the fractional selection. Rows without
+    words are not taken."""
+    rows, key = with_row_key(docs)
+    taken = mix_sources(rows, carried=key).where("copies > 0").select(key, F.col("copies").alias(copies := fresh(rows, "copies")))
+    return rows.join(taken, key).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens; null and empty texts are an end id alone."""
     return pack_documents(docs, vocabulary())
 
 
