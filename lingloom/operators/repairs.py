@@ -68,9 +68,7 @@ def diff_repairs(pairs: DataFrame, primary: dict[str, str], forms: dict[str, lis
 def safe_repairs(repairs: DataFrame, pairs: DataFrame, primary: dict[str, str]) -> DataFrame:
     """repairs without those whose wrong context stands in some pair of the book at the same place of the target and of
     what conversion character by character gives: it is right there. Places are met by equality of windows."""
-    sizes = [r[0] for r in repairs.select(F.length("wrong")).distinct().collect()]  # lengths of contexts: 1 to 4
-    if not sizes:
-        return repairs
+    sizes = (1, 2, 3, 4)  # lengths of contexts
     both = pairs.select("book_id", F.col("tgt"), convert_primary(F.col("src"), primary).alias("e"))
     same = [F.filter(F.transform(F.arrays_zip(long_windows(F.col("tgt"), n).alias("x"), long_windows(F.col("e"), n).alias("y")), lambda w: F.when(w["x"] == w["y"], w["x"])), lambda w: w.isNotNull()) for n in sizes]
     same = F.flatten(F.array(*same))

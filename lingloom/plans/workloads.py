@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import all_forms, convert_primary, primary_forms
 from ..operators import analysis, cache, consistency, entities, quality, repairs, rules
 from ..operators.apply_rules import apply_rules, rule_hit_log, rule_hits
-from ..operators.segments import extract_segments, guard_entities, ordered, unmask_opaque
+from ..operators.segments import extract_metadata, extract_navigation, extract_segments, guard_entities, ordered, unmask_opaque
 from ..profile import CJK, ScriptProfile
+from ..storage import stored
 
 
 def mine_rules(headwords: DataFrame, char_map: DataFrame, manual: DataFrame, variants: DataFrame, blocklist: DataFrame | None = None, threshold: int = 0) -> dict[str, DataFrame]:
@@ -38,8 +39,8 @@ def localise(
     profile: ScriptProfile = CJK,
     repair: bool = True,
 ) -> dict[str, DataFrame]:
-    """segments (converted), entities, cache, fallbacks, hits, consistency rules and repairs of docs (book_id, doc_id,
-    doc_pos, kind, content). engine: a function of a column or a table of translations; by default each character in its
+    """segments (converted), navigation, metadata, entities, cache, fallbacks, hits, consistency rules and repairs of docs
+    (book_id, doc_id, doc_pos, kind, content). Rules are applied to what the engine gives, and again to repaired text. engine: a function of a column or a table of translations; by default each character in its
     first form."""
     primary, listed = primary_forms(char_map), all_forms(char_map)
     forms = consistency.Forms(listed)
@@ -47,12 +48,21 @@ def localise(
     found = ordered(extract_segments(content), order=("doc_id", "seg_pos"), name="pair_pos")
     names = entities.protected_entities(found.where("kind <> 'title'"), content, profile, forms.convertible, headwords)
     guarded = guard_entities(found, names)
-    keyed = cache.with_key(found, "zh-CN", "zh-TW")
-    converted, new = cache.convert_segments(keyed, known, engine or (lambda c: convert_primary(c, primary)))
-    converted = converted.withColumn("value", F.coalesce("value", "text"))
-    rewritten = apply_rules(converted.withColumn("value", unmask_opaque(F.col("value"), F.col("mask"))), rule_table, bigrams, "value")
+
+    def convert(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows (text) with value, and the new entries of the cache."""
+        converted, new = cache.convert_segments(cache.with_key(rows, "zh-CN", "zh-TW"), known, engine or (lambda c: convert_primary(c, primary)))
+        return converted.withColumn("value", F.coalesce("value", "text")), new
+
+    converted, new = convert(found)
+    rewritten = stored(apply_rules(converted.withColumn("value", unmask_opaque(F.col("value"), F.col("mask"))), rule_table, bigrams, "value"), "rewritten")
     pairs = rewritten.select("book_id", "pair_pos", F.col("text").alias("src"), F.col("applied.text").alias("tgt"))
-    out = rewritten.select("book_id", "doc_id", "seg_pos", "tag", "kind", F.col("applied.text").alias("text"))
+    out = rewritten.select("book_id", "doc_id", "seg_pos", "pair_pos", "tag", "kind", F.col("applied.text").alias("text"))
+    labels = {
+        "navigation": extract_navigation(docs.where("kind = 'ncx'")).withColumnRenamed("title", "text"),
+        "metadata": extract_metadata(docs.where("kind = 'opf'")).withColumnRenamed("value", "text"),
+    }
+    labels = {name: apply_rules(convert(rows)[0], rule_table, bigrams, "value").withColumn("text", F.col("applied.text")).select(rows.columns) for name, rows in labels.items()}
     lost = {}
     if repair:
         diffs = repairs.safe_repairs(repairs.diff_repairs(pairs, primary, listed, bigrams), pairs, primary)
@@ -60,11 +70,13 @@ def localise(
         contexts = repairs.fixed_word_contexts(words, pairs)
         fixes = repairs.fixed_word_repairs(repairs.fixed_word_tallies(contexts, pairs, headwords))
         out = repairs.apply_fixed_word_repairs(repairs.apply_repairs(out, diffs), fixes, contexts, headwords)
+        out = stored(apply_rules(out, rule_table, bigrams).withColumn("text", F.col("applied.text")).drop("applied"), "repaired")
         lost = {"repairs": diffs, "fixed_words": fixes}
     votes = consistency.consistency_rules(pairs, forms, profile)
     failing, failures = quality.fallback_report(pairs, forms.convertible, profile)
     return {
-        "segments": consistency.apply_replacements(out, votes),
+        "segments": consistency.apply_replacements(out, votes).drop("pair_pos"),
+        **labels,
         "entities": names,
         "guarded": guarded.select("book_id", "doc_id", "seg_pos", "parts"),
         "cache": cache.merge_cache(known, new),
@@ -72,7 +84,7 @@ def localise(
         "fallback_counts": failures,
         "hits": rule_hit_log(rule_hits(rewritten.select("book_id", "pair_pos", "applied"))),
         "consistency": votes,
-        "consistency_report": consistency.consistency_report(out, votes),
+        "consistency_report": consistency.consistency_report(out.select("book_id", F.col("pair_pos").alias("seg_pos"), "text"), votes),
         **lost,
     }
 

@@ -71,9 +71,11 @@ def test_workloads(spark, tmp_path):
     nothing = spark.createDataFrame([], "wrong string, right string")
     mined = mine_rules(heads, char_map, nothing, spark.createDataFrame([("纔", "才")], "wrong string, right string"))
     assert {(r["wrong"], r["right"]) for r in mined["rules"].collect()} == {("頭發", "頭髮"), ("纔", "才")}
-    docs = spark.createDataFrame([("b", "d", 0, "doc", "<p>他的头发很长。</p><p>纔<b>好</b></p>")], "book_id string, doc_id string, doc_pos int, kind string, content string")
+    docs = spark.createDataFrame([("b", "d", 0, "doc", "<p>他的头发很长。</p><p>纔<b>好</b></p>"), ("b", "t", 1, "ncx", NCX.replace("三", "头发")), ("b", "o", 2, "opf", OPF)], "book_id string, doc_id string, doc_pos int, kind string, content string")
     out = localise(docs, char_map, heads, mined["rules"], mined["bigrams"], spark.createDataFrame([], "key string, value string"))
     assert [r["text"] for r in out["segments"].orderBy("seg_pos").collect()] == ["他的頭髮很長。", "才<b>好</b>"]
+    assert [r["text"] for r in out["navigation"].orderBy("path").collect()] == ["一", "二", "頭髮"]
+    assert sorted(r["text"] for r in out["metadata"].collect()) == ["书名", "系列"]
     assert out["hits"].where("status = 'applied'").count() == 2 and out["cache"].count() == 2
     tables.write_tables({"segments": out["segments"], "cache": out["cache"]}, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/segments").count() == 2
