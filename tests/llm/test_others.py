@@ -242,13 +242,13 @@ def test_gradient():
     begins = np.zeros((6, 3), bool)
     begins[0] = begins[3, 1] = True
     inputs = np.where(begins, gru.START, np.roll(codes, 1, axis=0))
-    h0 = np.zeros((3, gru.HIDDEN), np.float32)
+    h0 = np.zeros((gru.HIDDEN, 3), np.float32)
 
     def loss(x):
         p, h, total = gru.views(x), h0, 0.0
         for t in range(6):
-            h = gru.step(p, inputs[t], h * (~begins[t])[:, None])[0]
-            total -= gru.log_probabilities(p, h, codes[t], np.zeros(gru.GROUPS)).sum()
+            h = gru.step(p, p["x"][:, inputs[t]], h * ~begins[t])[0]
+            total -= gru.log_probabilities(p, np.r_[h, np.ones((1, 3))], codes[t], np.zeros(gru.GROUPS)).sum()
         return total / 18
 
     grad = np.zeros_like(flat)
@@ -310,3 +310,31 @@ def test_coder_equals_the_library_on_added_tokens():
     for _ in range(500):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
         assert coder.encode([t])[0].tolist() == encoded(t)
+
+
+def test_secrets_through_many_constants():
+    """Any number of steps, each worked out once; names are read in the order of the text, and may be long."""
+    chain = 'a0 = "Tr0ub4dor3xyzQ9"\n' + "".join(f"a{k} = a{k - 1}\n" for k in range(1, 3000)) + "my_secret = a2999\n"
+    assert secrets.named_spans(chain) == [(6, 21)]
+    wide = 'v0 = "Tr0ub4dor3xyzQ9"\n' + "".join(f"v{k} = {' + '.join([f'v{k - 1}'] * 4)}\n" for k in range(1, 40)) + "password_x = v39\n"
+    assert secrets.named_spans(wide) == [(6, 21)]
+    again = 'tok="Tr0ub4dor3xyzQ9"; passwd_ref=tok; tok="no"'
+    assert secrets.named_spans(again) == [(5, 20)]
+    assert secrets.named_spans('db_secret = later\nlater = "Tr0ub4dor3xyzQ9"') == [(27, 42)]
+    assert secrets.named_spans('a = b\nb = a + "Tr0ub4dor3xyzQ9"\nsecret_k = a\n') == [(15, 30)]
+    assert secrets.named_spans("x" * 200 + '_password = "Tr0ub4dor3xyzQ9"')
+    assert secrets.scan_text("x" * 1_000_000 + " = y\n" + "word " * 200_000) == ([], [])
+
+
+def test_fences_differ_from_fixed_cutoffs(spark):
+    """One share of symbols is an outlier in a clean source and usual in another: only the groups' quantiles can tell."""
+    r = random.Random(3)
+
+    def text(share):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) + ("#" if r.random() < share else "") for _ in range(300))
+
+    rows = [(i, text(0.0), "en", "clean") for i in range(200)] + [(1000 + i, text(r.uniform(0.05, 0.15)), "en", "code") for i in range(200)]
+    rows += [(2000, text(0.07), "en", "clean"), (2001, text(0.07), "en", "code"), (2002, text(0.9), "en", "code")]
+    kept = {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (kept[2000], kept[2001], kept[2002]) == (False, True, False)
+    assert sum(kept[i] for i in range(200)) >= 195 and sum(kept[1000 + i] for i in range(200)) >= 190
