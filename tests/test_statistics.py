@@ -205,3 +205,49 @@ def test_alignment_against_brute_force(spark):
     wanted = {a: (min(v)[2], -sum(n for _, n, _ in v)) for a, v in votes.items() if -sum(n for _, n, _ in v) >= 4}
     got = {m["s_ng"]: (m["majority"], m["total"]) for m in consistency.majority_form(counts, consistency.pair_counts(pairs)).collect()}
     assert got == wanted
+
+
+def test_diff_repairs_against_brute_force(spark):
+    """Sentences of letters that differ, some of which lost one: every loss and nothing else is found, contexts that stand
+    somewhere as they are stay, and the rest is put back."""
+    import random
+
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, expected = [], {}
+    for k in range(120):
+        src = "".join(r.sample(letters, r.randint(4, 10)))
+        i = r.randrange(len(src)) if r.random() < 0.6 else None
+        tgt = src if i is None else src[:i] + src[i + 1 :]
+        rows.append((src, tgt))
+        if i is not None:
+            head, tail = tgt[max(0, i - 2) : i], tgt[i : i + 2]
+            expected.setdefault(head + tail, head + src[i] + tail)
+    own = pairs_of(spark, rows)
+    found = repairs.diff_repairs(own, {}, {}, table(spark, [("ab",)], "bg string"))
+    assert {x["wrong"]: x["right"] for x in found.collect()} == expected
+    standing = {t[p : p + n] for s, t in rows for n in range(1, 5) for p in range(len(t) - n + 1) if s[p : p + n] == t[p : p + n]}
+    safe = repairs.safe_repairs(found, own, {})
+    assert {x["wrong"] for x in safe.collect()} == set(expected) - standing
+    order = sorted(((x["pair_pos"], x["k"], x["wrong"], x["right"]) for x in safe.collect()))
+    done = {x["pair_pos"]: x["text"] for x in repairs.apply_repairs(own.withColumnRenamed("tgt", "text"), safe).collect()}
+    for k, (_, text) in enumerate(rows):
+        for _, _, wrong, right in order:
+            text = text.replace(wrong, right)
+        assert done[k] == text
+
+
+def test_look_ups_in_tables_of_any_size(spark, monkeypatch):
+    """Words that are too many for every task are met by their windows, with the same rows."""
+    heads = table(spark, [("abcd",), ("bcde",), ("xyzw",), ("abcdefgh",)], "word string")
+    own = pairs_of(spark, [("--abcde--abcd", "--abce--abcd"), ("abcdefgh", "abcdefg"), ("none", "none"), ("xyz", "xyz")])
+
+    def rows():
+        found = repairs.fixed_word_candidates(heads, FORMS, own)
+        contexts = repairs.fixed_word_contexts(found, own)
+        return [sorted(tuple(map(str, x)) for x in df.collect()) for df in (found, contexts, repairs.fixed_word_tallies(contexts, own, heads))]
+
+    small = rows()
+    assert [w for _, w in small[0]] == ["abcd", "abcdefgh", "bcde"]
+    monkeypatch.setattr(repairs, "sized", lambda df: (df, False))
+    assert rows() == small
