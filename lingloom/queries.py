@@ -238,22 +238,37 @@ def seam_ranking(spark, sf_dir):
 _PARTS |= {
     "ru_bigrams": "SELECT DISTINCT substr(word, i, 2) AS bg FROM (SELECT word, unnest(range(1, length(word))) AS i FROM headwords)",
     "ru_places": f"SELECT book_id, doc_id, unnest(range(1, len(c) + 1)) AS p, unnest(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i > 1 THEN c[i - 1] ELSE '' END)) AS b, unnest(list_transform(range(1, len(c) + 1), lambda i: {_AHEAD})) AS w FROM (SELECT book_id, doc_id, string_split(text, '') AS c FROM docs)",
-    "ru_met": """SELECT book_id, doc_id, p, wrong, right_form, manual, length(wrong) AS n, NOT manual AND (b <> '' AND b || left(w, 1) IN (SELECT bg FROM ru_bigrams) OR length(substr(w, length(wrong), 2)) = 2 AND substr(w, length(wrong), 2) IN (SELECT bg FROM ru_bigrams)) AS blocked
-    FROM ru_places JOIN ru_merged r ON left(w, 2) = left(wrong, 2) AND starts_with(w, wrong)""",
-    "ru_tried": "SELECT * FROM (SELECT *, coalesce(bool_or(NOT blocked) OVER (PARTITION BY doc_id, p ORDER BY manual DESC, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM ru_met) WHERE NOT late",
-    "ru_open": "SELECT doc_id, p, p + n AS e, CASE WHEN p >= coalesce(max(p + n) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS first FROM ru_tried WHERE NOT blocked",
-    "ru_groups": "SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM ru_open",
-    "ru_next": "SELECT a.doc_id, a.g, a.p, a.e, a.first, b.p AS next, b.e AS next_e FROM ru_groups a ASOF LEFT JOIN ru_groups b ON a.doc_id = b.doc_id AND a.g = b.g AND a.e <= b.p",
-    "ru_taken": "SELECT doc_id, g, p, e, next FROM ru_next WHERE first = 1 UNION ALL SELECT n.doc_id, n.g, n.p, n.e, n.next FROM ru_taken t JOIN ru_next n ON n.doc_id = t.doc_id AND n.g = t.g AND n.p = t.next",
-    "ru_hits": """SELECT book_id, doc_id, p, wrong, right_form, CASE WHEN blocked THEN 'blocked' ELSE 'applied' END AS status FROM ru_tried x
-    WHERE CASE WHEN blocked THEN NOT EXISTS (SELECT 1 FROM ru_taken t WHERE t.doc_id = x.doc_id AND t.p < x.p AND x.p < t.e) ELSE (doc_id, p) IN (SELECT (doc_id, p) FROM ru_taken) END""",
-    "ru_edits": "SELECT doc_id, list({'p': p, 'e': p + length(wrong), 'r': right_form} ORDER BY p) AS x FROM ru_hits WHERE status = 'applied' GROUP BY doc_id",
 }
 
 
-@query("""SELECT d.book_id, d.doc_id AS pair_pos, coalesce(n, 0)::INT AS n_hits,
+def _applied(r: str, blocked: str) -> dict[str, str]:
+    """Parts that apply rules, with names that begin with r. blocked: whether a match is, in terms of b (the character before),
+    w (the text from it on) and wrong."""
+    return {
+        f"{r}_met": f"SELECT book_id, doc_id, p, wrong, right_form, manual, length(wrong) AS n, NOT manual AND ({blocked}) AS blocked FROM ru_places JOIN ru_merged ON left(w, 2) = left(wrong, 2) AND starts_with(w, wrong)",
+        f"{r}_tried": f"SELECT * FROM (SELECT *, coalesce(bool_or(NOT blocked) OVER (PARTITION BY doc_id, p ORDER BY manual DESC, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM {r}_met) WHERE NOT late",
+        f"{r}_open": f"SELECT doc_id, p, p + n AS e, CASE WHEN p >= coalesce(max(p + n) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS first FROM {r}_tried WHERE NOT blocked",
+        f"{r}_groups": f"SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM {r}_open",
+        f"{r}_next": f"SELECT a.doc_id, a.g, a.p, a.e, a.first, b.p AS next FROM {r}_groups a ASOF LEFT JOIN {r}_groups b ON a.doc_id = b.doc_id AND a.g = b.g AND a.e <= b.p",
+        f"{r}_taken": f"SELECT doc_id, g, p, e, next FROM {r}_next WHERE first = 1 UNION ALL SELECT n.doc_id, n.g, n.p, n.e, n.next FROM {r}_taken t JOIN {r}_next n ON n.doc_id = t.doc_id AND n.g = t.g AND n.p = t.next",
+        f"{r}_hits": f"""SELECT book_id, doc_id, p, wrong, right_form, CASE WHEN blocked THEN 'blocked' ELSE 'applied' END AS status FROM {r}_tried x
+            WHERE CASE WHEN blocked THEN NOT EXISTS (SELECT 1 FROM {r}_taken t WHERE t.doc_id = x.doc_id AND t.p < x.p AND x.p < t.e) ELSE (doc_id, p) IN (SELECT (doc_id, p) FROM {r}_taken) END""",
+        f"{r}_edits": f"SELECT doc_id, list({{'p': p, 'e': p + length(wrong), 'r': right_form}} ORDER BY p) AS x FROM {r}_hits WHERE status = 'applied' GROUP BY doc_id",
+        f"{r}_texts": f"""SELECT d.book_id, d.doc_id AS pair_pos, coalesce(n, 0)::INT AS n_hits,
     md5(regexp_replace(array_to_string(list_transform(range(0, coalesce(len(x), 0) + 1), lambda k: CASE WHEN k = 0 THEN '' ELSE x[k].r END || CASE WHEN k = coalesce(len(x), 0) THEN substr(text, CASE WHEN k = 0 THEN 1 ELSE x[k].e END) ELSE substr(text, CASE WHEN k = 0 THEN 1 ELSE x[k].e END, x[k + 1].p - CASE WHEN k = 0 THEN 1 ELSE x[k].e END) END), ''), '…+', '……', 'g')) AS text_md5
-    FROM docs d LEFT JOIN ru_edits USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ru_hits GROUP BY doc_id) USING (doc_id)""")
+    FROM docs d LEFT JOIN {r}_edits USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM {r}_hits GROUP BY doc_id) USING (doc_id)""",
+    }
+
+
+_PARTS |= _applied("ru", "b <> '' AND b || left(w, 1) IN (SELECT bg FROM ru_bigrams) OR length(substr(w, length(wrong), 2)) = 2 AND substr(w, length(wrong), 2) IN (SELECT bg FROM ru_bigrams)")
+# strictly by words: a match has to be one whole run of letters, or of other characters
+_RUN_OF = RUN.removesuffix("+")
+_IS = lambda c: f"regexp_matches({c}, '{_RUN_OF}')"
+_PARTS |= _applied("rw", f"""NOT ((b = '' OR {_IS('b')} <> {_IS('left(w, 1)')}) AND (length(w) = length(wrong) OR {_IS('substr(w, length(wrong), 1)')} <> {_IS('substr(w, length(wrong) + 1, 1)')})
+    AND (regexp_full_match(wrong, '{_RUN_OF}*') OR NOT regexp_matches(wrong, '{_RUN_OF}')))""")
+
+
+@query("SELECT book_id, pair_pos, n_hits, text_md5 FROM ru_texts")
 def rules_applied(spark, sf_dir):
     docs = books(spark, sf_dir).withColumnRenamed("doc_id", "pair_pos")
     applied = apply_rules(docs, _merged(spark, sf_dir), rules.build_bigrams(headwords(spark, sf_dir)))
@@ -579,7 +594,21 @@ def fixed_word_repairs(spark, sf_dir):
     return repairs.fixed_word_repairs(fixed_word_tallies(spark, sf_dir))
 
 
-@query()
+_PARTS |= {
+    "fw_fixes": """SELECT book_id, word FROM fw_tallies WHERE n_subst + n_trunc > 0 AND n_subst + n_trunc >= n_false AND (n_subst >= 1 OR n_trunc >= CASE
+    WHEN substr(word, -2, 1) = right(word, 1) OR length(word) = 4 AND substr(word, 1, 1) = substr(word, 2, 1) AND substr(word, 3, 1) = substr(word, 4, 1) THEN 1 ELSE 2 END)""",
+    "fw_heads": "SELECT left(word, length(word) - 1) AS prefix, list(right(word, 1)) AS h FROM headwords GROUP BY 1",
+    "fw_lists": "SELECT book_id, list({'t': '', 'w': f.word, 'p': left(f.word, length(f.word) - 1), 'x': coalesce(x, []), 'y': coalesce(y, []), 'h': coalesce(h, [])} ORDER BY f.word) AS fixes FROM fw_fixes f LEFT JOIN fw_ext USING (book_id, word) LEFT JOIN fw_follow USING (book_id, word) LEFT JOIN fw_heads ON prefix = left(f.word, length(f.word) - 1) GROUP BY book_id",
+}
+# what a prefix and the character after it become
+_NEXT = "substr(m, length(b.w))"
+_MENDED = f"CASE WHEN {_NEXT} = right(b.w, 1) OR {_NEXT} <> '' AND (list_contains(b.h, {_NEXT}) OR list_contains(b.x, {_NEXT})) THEN b.p || {_NEXT} ELSE b.w || CASE WHEN list_contains(b.y, {_NEXT}) THEN {_NEXT} ELSE '' END END"
+_CUT_AT = "'(?s)' || b.p || '.?'"
+
+
+@query(f"""SELECT book_id, pair_pos, md5(CASE WHEN fixes IS NULL THEN tgt ELSE list_reduce(list_prepend({{'t': tgt, 'w': '', 'p': '', 'x': []::VARCHAR[], 'y': []::VARCHAR[], 'h': []::VARCHAR[]}}, fixes),
+    lambda a, b: {{'t': CASE WHEN NOT contains(a.t, b.p) THEN a.t ELSE array_to_string(list_transform(list_zip(string_split_regex(a.t, {_CUT_AT}), list_append(list_transform(regexp_extract_all(a.t, {_CUT_AT}), lambda m: {_MENDED}), '')), lambda z: z[1] || z[2]), '') END,
+        'w': '', 'p': '', 'x': []::VARCHAR[], 'y': []::VARCHAR[], 'h': []::VARCHAR[]}}).t END) AS text_md5 FROM docs LEFT JOIN fw_lists USING (book_id)""")
 def fixed_words_repaired(spark, sf_dir):
     own, heads, found = _words(spark, sf_dir)
     contexts = repairs.fixed_word_contexts(found, own)
@@ -701,7 +730,19 @@ def pages_masked(spark, sf_dir):
     return rows.select("doc_id", F.md5("m.text").alias("text_md5"), F.size("m.mask").alias("n_masked"))
 
 
-@query()
+_PARTS |= {
+    "tc_texts": "SELECT doc_id, length(text) AS n, string_split(text, '') AS c FROM documents WHERE length(text) > 1800",
+    "tc_ends": "SELECT doc_id, unnest(list_filter(range(1, len(c) + 1), lambda i: contains('。！？' || chr(10), c[i]))) AS p FROM tc_texts",
+    "tc_next": "SELECT f.doc_id, f.p AS f, e.p AS next FROM (SELECT doc_id, p FROM tc_ends UNION ALL SELECT doc_id, 0 FROM tc_texts) f ASOF JOIN tc_ends e ON f.doc_id = e.doc_id AND f.p + 100 <= e.p",
+    "tc_cuts": "SELECT doc_id, next AS p FROM tc_next WHERE f = 0 UNION ALL SELECT n.doc_id, n.next FROM tc_cuts t JOIN tc_next n ON n.doc_id = t.doc_id AND n.f = t.p",
+    "tc_bounds": "SELECT doc_id, p FROM tc_cuts UNION SELECT doc_id, n FROM tc_texts",
+    "tc_starts": "SELECT doc_id, p FROM tc_bounds UNION ALL SELECT doc_id, 0 FROM tc_texts",
+    "tc_hops": "SELECT a.doc_id, a.s, CASE WHEN a.e > a.s THEN a.e ELSE x.p END AS e FROM (SELECT s.doc_id, s.p AS s, b.p AS e FROM tc_starts s ASOF LEFT JOIN tc_bounds b ON s.doc_id = b.doc_id AND s.p + 1800 >= b.p) a ASOF JOIN tc_bounds x ON a.doc_id = x.doc_id AND a.s < x.p",
+    "tc_chunks": "SELECT doc_id, 0 AS k, s, e FROM tc_hops WHERE s = 0 UNION ALL SELECT h.doc_id, k + 1, h.s, h.e FROM tc_chunks t JOIN tc_hops h ON h.doc_id = t.doc_id AND h.s = t.e",
+}
+
+
+@query("SELECT doc_id, k::INT AS chunk_pos, (e - s)::INT AS size FROM tc_chunks UNION ALL SELECT doc_id, 0, length(text)::INT FROM documents WHERE length(text) <= 1800")
 def texts_chunked(spark, sf_dir):
     return segments.chunk_text(books(spark, sf_dir)).select("doc_id", "chunk_pos", F.length("chunk").alias("size"))
 
@@ -897,7 +938,7 @@ def pages_unmasked(spark, sf_dir):
     return rows.select("doc_id", F.md5(segments.unmask_opaque(F.col("m.text"), F.col("m.mask"))).alias("text_md5"))
 
 
-@query()
+@query("SELECT book_id, pair_pos, n_hits, text_md5 FROM rw_texts")
 def rules_applied_to_words(spark, sf_dir):
     """With word boundaries: a guard is overruled where a match is one whole word."""
     docs = books(spark, sf_dir).withColumnRenamed("doc_id", "pair_pos")
