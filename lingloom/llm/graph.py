@@ -20,13 +20,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        new = stored(small, "edges")
-        # stars: no node is both above and below an edge, and none has two edges down
-        above, below = new.groupBy("u").count(), new.select(F.col("v").alias("u")).distinct()
-        e = new
-        if not above.where("count > 1").select("u").union(above.join(below, "u", "left_semi").select("u")).limit(1).count():
+        e = stored(small, "edges")
+        # stars: no node has two edges down, and none has an edge down and one from above
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if not ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").limit(1).count():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots with further edges: the components' roots are joined, of which there are fewer than nodes."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")).where("a <> b")
+    above = components(ends).withColumnRenamed("root", "top")
+    moved = roots.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(moved.union(above.select("node", F.col("top").alias("root"))).distinct(), "roots")

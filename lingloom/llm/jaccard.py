@@ -10,11 +10,10 @@ least t = ceil(0.9 |B|) shingles:
 
 The size that divides the two is where the number of subsets would exceed what the lists cost. Sets just below it do both.
 
-In a list, all sets first meet the one smallest set there. Pairs are filtered by a lower bound on their difference (the
-parities of shingles by hash bucket), the rest is compared exactly, and components are contracted. Lists that still hold
-several components are looked at again, in blocks of bounded size: of the pairs across components that the bound lets
-through, a spanning forest is compared exactly and contracted, and where one of those comparisons fails, so are in the end
-all pairs across components that the bound lets through. No other pairs of a list are ever rows of a table.
+Lists are looked at in blocks of bounded size. Pairs are filtered by sizes, places in the sets' order and a lower bound on
+their difference (the parities of shingles by hash bucket). Of those that are let through, a spanning forest of each block is
+compared exactly, and components are contracted. Where one of those comparisons fails, all pairs across components that the
+filters let through in the lists that still hold several are compared as well. No other pairs are ever rows of a table.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anchors import blocks
 from .common import mix64, range_hashes, stored, word_bounds
-from .graph import components
+from .graph import components, joined_components
 
 #: Words of a shingle, and similar: DEN * intersection >= NUM * union, unless other values are asked for.
 SHINGLE = 3
@@ -121,7 +120,7 @@ def set_id(values: np.ndarray) -> int:
 
 def parity_sketch(values: np.ndarray) -> bytes:
     """A bit a bucket: whether an odd number of the shingles fall there. Halves can be folded onto each other."""
-    bits = max(64, 1 << max(0, len(values) - 1).bit_length())
+    bits = max(64, 2 << max(0, len(values) - 1).bit_length())
     odd = (np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -244,20 +243,6 @@ def _keys(docs: DataFrame, divide: int, counters: np.ndarray, shingle: int, num:
     return docs.mapInArrow(emit, "key long, sid long, n int, pos int")
 
 
-def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that their sketches do not rule out."""
-    x = sketches.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    y = sketches.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "s_a", "n_b", "s_b")]
-            mask = pa.array([Sketched(n_a, s_a).may_be_similar(Sketched(n_b, s_b), num, den) for n_a, s_a, n_b, s_b in zip(*columns)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(mask)
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, "a long, b long")
-
-
 def _sets_of(docs: DataFrame, owners: DataFrame, sids: DataFrame, shingle: int) -> DataFrame:
     """sid, members (sorted hashes, as bytes) of the given sets. owners: a document of every set, of which a filter of fixed
     size picks those to read; what it lets through besides is dropped by the join."""
@@ -366,6 +351,7 @@ def _across(member: DataFrame, sketches: DataFrame, every: bool, num: int, den:
         for group in groups(batches, [*columns, "sketch"]):
             sets = [Sketched(r[4], r[7]) for r in group]
             above = {r[6]: r[6] for r in group}  # a root's place in the forest
+            left = len(above)
 
             def top(root: int, above: dict = above) -> int:
                 while above[root] != root:
@@ -376,7 +362,11 @@ def _across(member: DataFrame, sketches: DataFrame, every: bool, num: int, den:
                 r_a, r_b = group[x][6], group[y][6]
                 if (every or top(r_a) != top(r_b)) and sets[x].may_be_similar(sets[y], num, den):
                     found.append((group[x][3], group[y][3]))
-                    above[top(r_b)] = top(r_a)
+                    if not every:
+                        above[top(r_b)] = top(r_a)
+                        left -= 1
+                        if left == 1:
+                            break
             if len(found) >= 4096:
                 yield _table(list(zip(*found)), [pa.int64()] * 2, ["a", "b"])
                 found = []
@@ -405,43 +395,23 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM,
     sketches, owners = sets_once.select("sid", "n", "sketch"), sets_once.select("sid", "doc_id")
     sizes = {r["n"]: r["count"] for r in found.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     keys = _keys(texts, dividing_size(sizes, num=num, den=den), _counters(described), shingle, num, den).repartition("key").dropDuplicates(["key", "sid"])
-    shared = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min(F.struct("n", "sid", "pos")).alias("least")).where("in_list > 1")
-    lists = stored(keys.join(shared, "key").select("key", "sid", "n", "pos", F.col("least.sid").alias("a"), F.col("least.n").alias("n_a"), F.col("least.pos").alias("p_a")), "lists")
-
-    def may_meet(n_a: str, n_b: str, p_a: str, p_b: str):
-        """Sizes of similar sets, the smaller first, that share an entry within what both have to look at: of n shingles
-        in one order, the first n + 1 less what the two must share."""
-        least = F.ceil((F.col(n_a) + F.col(n_b)) * num / (num + den) - 1e-6)
-        return (den * F.col(n_a) >= num * F.col(n_b)) & (F.col(p_a) <= F.col(n_a) - least) & (F.col(p_b) <= F.col(n_b) - least)
-
-    pairs = lists.where((F.col("sid") != F.col("a")) & may_meet("n_a", "n", "p_a", "pos")).select("a", F.col("sid").alias("b")).distinct()
-    pairs = stored(_filtered(pairs, sketches, num, den), "pairs")
-    tested = links = roots = None
-    member = lists.select("key", "sid", "n", "pos")
-    for every in (None, False, True):  # the star, a forest, and what it may have hidden
-        if every is not None:
-            if roots is None:
-                rooted = member.withColumn("root", F.col("sid"))
-            else:
-                rooted = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
-            several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-            rooted = stored(rooted.join(several, "key"), "lists")
-            member = rooted.drop("root")  # lists of one component are done with
-            let_through = stored(_across(rooted, sketches, every, num, den), "pairs")
-            pairs = stored(let_through.join(tested, ["a", "b"], "left_anti"), "pairs")
-        else:
-            let_through = pairs
-        n_new = 0
-        if pairs.limit(1).count():
-            sets = stored(_sets_of(texts, owners, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), shingle), "members")
-            new = stored(_similar(pairs, sets, num, den), "links")
-            n_new = new.count()
-            links = new if links is None else links.union(new)
-            if n_new:
-                roots = components(links)
-        tested = pairs if tested is None else tested.union(pairs)
-        if every is False and n_new == let_through.count():  # each forest held, so no list has anything left to link
+    shared = keys.groupBy("key").agg(F.count("*").alias("in_list")).where("in_list > 1").select("key")
+    member = stored(keys.join(shared, "key").select("key", "sid", "n", "pos"), "lists")
+    rooted = member.withColumn("root", F.col("sid"))
+    tested = roots = None
+    for every in (False, True):  # forests, and what they may have hidden
+        let_through = stored(_across(rooted, sketches, every, num, den), "pairs")
+        pairs = let_through if tested is None else stored(let_through.join(tested, ["a", "b"], "left_anti"), "pairs")
+        sets = stored(_sets_of(texts, owners, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), shingle), "members")
+        links = stored(_similar(pairs, sets, num, den), "links")
+        n_links = links.count()
+        if n_links:
+            roots = stored(components(links), "roots") if roots is None else joined_components(roots, links)
+        if every or n_links == pairs.count():  # each forest held, so no list has anything left to link
             break
+        tested = pairs
+        if roots is not None:
+            rooted = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
 
     owned = found.select("doc_id", "n", "sid")
     if roots is None:
