@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import small_or_shuffled
 from .common import WORD, stored
 from .mixing import SYMBOLS
 
@@ -109,10 +110,9 @@ def adaptive_fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"
     return rows.groupBy(*by).agg(*out)
 
 
-def _judged(docs: DataFrame, carried: str, by: tuple[str, ...]) -> DataFrame:
-    """carried (a column of docs), the features, base_failed and kept. Features are worked out once and written."""
-    features = stored(text_features(docs, (carried, *by)), "quality")
-    limits = adaptive_fences(quantile_sketches(features, by), by)
+def _judged(features: DataFrame, limits: DataFrame, carried: str, by: tuple[str, ...]) -> DataFrame:
+    """carried (a column of features), the features, base_failed and kept. limits are a row a group: they go to every task
+    while they are small, so that rows need not move to meet them."""
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}"))
@@ -122,7 +122,7 @@ def _judged(docs: DataFrame, carried: str, by: tuple[str, ...]) -> DataFrame:
         inside = inside & (v <= F.col(f"t.hi_{m}"))
         if two_sided:
             inside = inside & (v >= F.col(f"t.lo_{m}"))
-    judged = features.withColumn("base_failed", base_failed()).alias("f").join(limits.alias("t"), same, "left")
+    judged = features.withColumn("base_failed", base_failed()).alias("f").join(small_or_shuffled(stored(limits, "fences")).alias("t"), same, "left")
     kept = F.when(F.col("f.base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))
     return judged.select(*[f"f.{c}" for c in (carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"))
 
@@ -134,11 +134,14 @@ def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) ->
     verdicts; a null id stays null; an empty table gives no rows; columns named like the features are read from neither
     input nor output.
     """
-    return _judged(docs, "doc_id", by)
+    features = stored(text_features(docs, ("doc_id", *by)), "quality")
+    return _judged(features, adaptive_fences(quantile_sketches(features, by), by), "doc_id", by)
 
 
 def keep_quality(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of docs that the rules keep, each judged by itself; every column, null ids and repeated rows stay as they
-    are. A row travels with its verdict, so texts are not shuffled."""
+    are. Features are worked out twice, for the fences and for the verdict of the row at hand, so texts are neither shuffled
+    nor stored."""
+    limits = adaptive_fences(quantile_sketches(text_features(docs.select("text", *by), by), by), by)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *by)
-    return _judged(rows, "row", by).where("kept").select("row.*")
+    return _judged(text_features(rows, ("row", *by)), limits, "row", by).where("kept").select("row.*")

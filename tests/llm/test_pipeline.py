@@ -79,3 +79,24 @@ def test_near_copies_by_five_words_and_null_ids(spark):
     want = {x[0] for x in rows} - gone
     assert {x["doc_id"] for x in kept.collect()} == want
     assert {x["doc_id"] for x in corpus_pipeline.mixing(spark, kept, "").collect()} == want
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, one id with several texts, repeated rows, columns of odd names, and an empty table."""
+    r = random.Random(6)
+    a, b, c, d = (words(r, 200) for _ in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, d), (8, d), (9, None)]
+    rows = [(i, t, "en", "s", 0, 1, 2, 3, 4) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, row_key long, `row` int, n_words int"
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in kept.collect()) == sorted((i or 0, t) for i, t, *_ in rows if t)
+    once = corpus_pipeline.near_duplicates(spark, kept, "")
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in once.collect()) == sorted([(0, a), (0, b), (7, c), (7, d)])
+    mixed = corpus_pipeline.mixing(spark, corpus_pipeline.secrets(spark, once, ""), "")
+    assert mixed.columns == docs.columns and sorted(x["text"] for x in mixed.collect()) == sorted([a, b, c, d])
+    assert {x["doc_id"] for x in corpus_pipeline.packing(spark, mixed, "").collect()} == {None, 7}
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
