@@ -4,17 +4,31 @@ Every window of a fixed length holds an anchor, the leftmost smallest-hashed gra
 place. So all windows can be compared by meeting only at anchors: an anchor is sent once, with the text of all windows
 that chose it, to the part of the cluster that its gram belongs to. Contexts that are equal in a block of documents are
 sent once, with the list of their places, which is what keeps large groups of copies from piling up in one task.
+
+Prefixes are of variable length. The bytes of contexts are summed by their gram first; contexts whose gram holds more than a
+share of what a part may hold in memory are split by a prefix of half a window, which every window has on one side of its
+anchor, and where that holds too much as well, by whole windows. The number of parts follows from the bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ranges, tasks
+
+#: Bytes of contexts that a part should hold.
+PART_BYTES = 16 << 20
+#: Counters for each part that the bytes call for, by gram or longer prefix, and the share of a part above which a counter's
+#: contexts are split.
+COUNTERS, SHARE = 32, 0.25
+#: Bytes of contexts for a byte of text, about.
+SPREAD = 3
 #: Text of the documents that one block of map-side work holds.
 BLOCK_BYTES = 4 << 20
 SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
@@ -73,22 +87,134 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, empty: bo
         yield ids, texts
 
 
-def spans_of(docs: DataFrame, exchange: Callable, meet: Callable, parts: int, block: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, s, e (as often as found): exchange gives (part, blob) rows of a block, meet the spans of a part's blobs."""
+@dataclass
+class Runs:
+    """Runs of windows with one anchor in a block of texts: places of the anchors and of the first and last windows. size
+    gives the bytes of runs (low, high), and gram, half and whole the 64-bit hashes of the gram, of half a window and of a
+    whole one that begin at given places."""
+
+    anchor: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    window: int
+    gram_width: int
+    size: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    gram: Callable[[np.ndarray], np.ndarray]
+    half: Callable[[np.ndarray], np.ndarray]
+    whole: Callable[[np.ndarray], np.ndarray]
+
+    @property
+    def half_width(self) -> int:
+        return (self.window + 1) // 2
+
+    def halves(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, low, high and hash of the runs that which picks, cut in two: windows that hold half a window from their
+        anchor on, and those that hold one that ends with the gram."""
+        a, low, high = self.anchor[which], self.low[which], self.high[which]
+        edge = a - (self.window - self.half_width)
+        right, left = np.maximum(low, edge), np.minimum(high, edge - 1)
+        r, x = right <= high, low <= left
+        start = np.r_[a[r], a[x] + self.gram_width - self.half_width]
+        return np.r_[a[r], a[x]], np.r_[right[r], low[x]], np.r_[high[r], left[x]], self.half(start)
+
+
+@dataclass
+class Deal:
+    """The number of parts and of counters, and the counters of grams and of half windows whose contexts are too many for one
+    part."""
+
+    parts: int
+    counters: int
+    heavy: np.ndarray
+    heavier: np.ndarray
+
+    def counter(self, key: np.ndarray) -> np.ndarray:
+        return key % np.uint64(self.counters)
+
+    def hot(self, runs: Runs) -> np.ndarray:
+        """Whether the counter of every run is heavy."""
+        return np.isin(self.counter(runs.gram(runs.anchor)), self.heavy)
+
+    def apply(self, runs: Runs) -> np.ndarray:
+        """Splits runs as far as need be; the part of each."""
+        hot, parts = self.hot(runs), np.uint64(self.parts)
+        part = runs.gram(runs.anchor) % parts
+        if not hot.any():
+            return part.astype(np.int64)
+        a, low, high, key = runs.halves(hot)
+        hotter = np.isin(self.counter(key), self.heavier)
+        n = (high - low + 1)[hotter]
+        one = ranges(low[hotter], n)
+        part = np.r_[part[~hot], key[~hotter] % parts, runs.whole(one) % parts]
+        runs.anchor = np.r_[runs.anchor[~hot], a[~hotter], np.repeat(a[hotter], n)]
+        runs.low, runs.high = np.r_[runs.low[~hot], low[~hotter], one], np.r_[runs.high[~hot], high[~hotter], one]
+        return part.astype(np.int64)
+
+
+def _heavy(docs: DataFrame, find: Callable, count: Callable[[Runs], tuple[np.ndarray, np.ndarray]], block: int) -> np.ndarray:
+    """The counters whose contexts are too many for one part. count: counter and bytes of a block's runs."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for _, texts in blocks(batches, block):
+            if (runs := find(texts)) is not None:
+                counter, size = count(runs)
+                if len(counter):
+                    new = np.bincount(counter.astype(np.int64), weights=size).astype(np.int64)
+                    new[: len(total)] += total[: len(new)]
+                    total = new if len(new) >= len(total) else np.r_[new, total[len(new) :]]
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["counter", "size"])
+
+    sums = docs.mapInArrow(measure, "counter long, size long").groupBy("counter").agg(F.sum("size").alias("size"))
+    # of counters above a share of a part there are few: not more than parts over that share
+    return np.array([r["counter"] for r in sums.where(F.col("size") > int(PART_BYTES * SHARE)).select("counter").collect()], np.uint64)
+
+
+def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None) -> Deal:
+    """How the contexts of docs are dealt, from sums over all of them. parts: a number to use in place of the one that the
+    bytes call for."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    needed = max(1, -(-SPREAD * total // PART_BYTES))
+    none = np.zeros(0, np.uint64)
+    deal = Deal(parts or max(tasks(docs.sparkSession), needed), needed * COUNTERS, none, none)
+
+    def by_gram(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+        return deal.counter(runs.gram(runs.anchor)), runs.size(runs.low, runs.high)
+
+    heavy = _heavy(docs, find, by_gram, block)
+    if len(heavy):
+        first = replace(deal, heavy=heavy)
+
+        def by_half(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+            _, low, high, key = runs.halves(first.hot(runs))
+            return first.counter(key), runs.size(low, high)
+
+        deal = replace(first, heavier=_heavy(docs, find, by_half, block))
+    return deal
+
+
+def spans_of(docs: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
+    """doc_id, s, e (as often as found): find gives the runs of a block's texts, exchange (part, blob) rows of a block's runs
+    once they are dealt, meet the spans of a part's blobs."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    deal = dealt(texts, find, block, parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches, block):
-            rows = exchange(ids, texts, parts)
+        for ids, own in blocks(batches, block):
+            if (runs := find(own)) is None:
+                continue
+            part = deal.apply(runs)
+            rows = exchange(ids, own, runs, part)
             for at in range(0, len(rows), 256):
-                part, blob = zip(*rows[at : at + 256])
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], names=["part", "blob"])
+                number, blob = zip(*rows[at : at + 256])
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blob, pa.binary())], names=["part", "blob"])
 
     def receive(table: pa.Table) -> pa.Table:
         columns = meet(table["blob"].to_pylist())
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPAN_SCHEMA)
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "part int, blob binary")
-    return sent.groupBy("part").applyInArrow(receive, "doc_id long, s long, e long")
+    return texts.mapInArrow(send, "part long, blob binary").groupBy("part").applyInArrow(receive, "doc_id long, s long, e long")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]]) -> DataFrame:

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import anchor_runs, sliding_anchor, spans_of, with_spans
-from .common import merged, mix64, tasks
+from .anchors import Runs, anchor_runs, sliding_anchor, spans_of, with_spans
+from .common import merged, mix64
 
 WINDOW = 400
 GRAM = 16
@@ -142,23 +143,53 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]) -> tuple[list[tuple[in
     return order, lcp
 
 
-def exchange(ids: list[int], texts: list[bytes], parts: int, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, bytes]]:
-    """(part, blob): the front-coded run of every part that the block has anchors of, with left texts and places."""
-    import zstandard
+@dataclass
+class Bytes(Runs):
+    """Runs over bytes, with the block's text."""
+
+    text: bytes = b""
+    ends: np.ndarray | None = None
+    doc: np.ndarray | None = None
+
+
+def find(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Bytes | None:
+    """The runs of a block's windows."""
+    import xxhash
 
     text = b"".join(texts)
     buf = np.frombuffer(text, np.uint8)
     if len(buf) < window:
-        return []
+        return None
     ends = np.cumsum([len(t) for t in texts])
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     grams = gram_hashes(buf, gram)
     anchor = sliding_anchor(grams, window - gram + 1)
     place = np.flatnonzero(doc[: len(anchor)] == doc[window - 1 :])
     anchor, low, high = anchor_runs(anchor[place], place)
+    if not len(anchor):
+        return None
+
+    def hashed(at: np.ndarray, width: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(text[k : k + width]) for k in at.tolist()), np.uint64, len(at)) >> np.uint64(20)
+
+    return Bytes(
+        anchor, low, high, window, gram,
+        size=lambda low, high: high + window - low,
+        gram=lambda at: grams[at] >> np.uint64(20),
+        half=lambda at: hashed(at, (window + 1) // 2),
+        whole=lambda at: hashed(at, window),
+        text=text, ends=ends, doc=doc,
+    )
+
+
+def exchange(ids: list[int], texts: list[bytes], runs: Bytes, part: np.ndarray) -> list[tuple[int, bytes]]:
+    """(part, blob): the front-coded run of every part that the block has anchors of, with left texts and places."""
+    import zstandard
+
+    text, ends, doc, window = runs.text, runs.ends, runs.doc, runs.window
+    anchor, low, high = runs.anchor, runs.low, runs.high
     found: dict[int, dict[tuple[bytes, bytes], list[int]]] = {}
-    part = ((grams[anchor] >> np.uint64(20)) % np.uint64(parts)).tolist()
-    for k, (p, a, lo, hi) in enumerate(zip(part, anchor.tolist(), low.tolist(), high.tolist())):
+    for k, (p, a, lo, hi) in enumerate(zip(part.tolist(), anchor.tolist(), low.tolist(), high.tolist())):
         found.setdefault(p, {}).setdefault((text[a : hi + window], text[lo:a]), []).append(k)
     begin, of_doc, doc_ids = ends - [len(t) for t in texts], doc[anchor], np.array(ids, np.int64)
     pack = zstandard.ZstdCompressor(level=3)
@@ -275,8 +306,7 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list]:
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """doc_id, s, e: runs of bytes covered by strings of window bytes that stand twice or more in docs (doc_id, text)."""
-    parts = parts or 8 * tasks(docs.sparkSession)
-    return spans_of(docs, lambda ids, texts, n: exchange(ids, texts, n, window, min(GRAM, window)), lambda blobs: meet(blobs, window), parts)
+    return spans_of(docs, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), parts=parts)
 
 
 def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:

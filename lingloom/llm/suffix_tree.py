@@ -1,8 +1,8 @@
 """Substring dedup over words with prefix-partitioned suffix trees.
 
 Suffixes are word sequences cut at the window length, below which nothing is asked of the tree. They are split by prefix:
-first over the cluster, by the gram of words at the anchor their window holds, and in a task by as many further words as
-it takes: the subtree below a gram is built breadth-first, a few words of all its suffixes at a time, and a suffix that is
+first over the cluster, by the gram of words at the anchor their window holds, or by a longer prefix where a gram's suffixes
+are more than a task should hold (see anchors), and in a task by as many further words as it takes: the subtree below a gram is built breadth-first, a few words of all its suffixes at a time, and a suffix that is
 alone below its node is a leaf and not looked at again. What is left at the window's depth are the deep internal nodes:
 repeats. A node's smallest doc_id says in which documents a repeat goes.
 """
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import anchor_runs, sliding_anchor, spans_of, with_spans
-from .common import merged, mix64, range_hashes, ranges, tasks, word_bounds
+from .anchors import Runs, anchor_runs, sliding_anchor, spans_of, with_spans
+from .common import merged, mix64, range_hashes, ranges, word_bounds
 
 WINDOW = 13
 GRAM = 2
@@ -31,20 +32,37 @@ def _steps(window: int) -> list[tuple[int, int]]:
     return [(d, min(d + 5, window)) for d in range(0, window, 5)] if window != WINDOW else list(STEPS)
 
 
-def exchange(ids: list[int], texts: list[bytes], parts: int, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, bytes]]:
-    """(part, blob) for every part that the block has anchors of."""
-    import zstandard
+@dataclass
+class Words(Runs):
+    """Runs over words, with the block's text."""
+
+    text: bytes = b""
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    doc: np.ndarray | None = None
+    first_word: np.ndarray | None = None
 
+
+def find(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Words | None:
+    """The runs of a block's windows."""
     plain = [b" ".join(t.split()) for t in texts]
     text = b"\n".join(plain) + b"\n"
     buf = np.frombuffer(text, np.uint8)
     starts, ends = word_bounds(buf)
     if len(starts) < window:
-        return []
+        return None
     doc_end = np.cumsum([len(p) + 1 for p in plain])
     doc = np.searchsorted(doc_end, starts, "right")
     first_word = np.searchsorted(starts, doc_end - np.array([len(p) + 1 for p in plain]))
     words = range_hashes(buf, starts, ends)
+
+    def hashed(at: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of width words from each place on."""
+        out = words[at].copy()
+        for k in range(1, width):
+            out = mix64(out + np.uint64(2 * k + 1) * words[at + k])
+        return out >> np.uint64(20)
+
     grams = words[: len(words) - gram + 1].copy()
     for k in range(1, gram):
         grams = mix64(grams + np.uint64(2 * k + 1) * words[k : len(words) - gram + 1 + k])
@@ -52,7 +70,23 @@ def exchange(ids: list[int], texts: list[bytes], parts: int, window: int = WINDO
     place = np.flatnonzero(doc[: len(anchor)] == doc[window - 1 :])
     anchor, low, high = anchor_runs(anchor[place], place)
     if not len(anchor):
-        return []
+        return None
+    return Words(
+        anchor, low, high, window, gram,
+        size=lambda low, high: ends[high + window - 1] - starts[low],
+        gram=lambda at: grams[at] >> np.uint64(20),
+        half=lambda at: hashed(at, (window + 1) // 2),
+        whole=lambda at: hashed(at, window),
+        text=text, starts=starts, ends=ends, doc=doc, first_word=first_word,
+    )
+
+
+def exchange(ids: list[int], texts: list[bytes], runs: Words, part: np.ndarray) -> list[tuple[int, bytes]]:
+    """(part, blob) for every part that the block has anchors of."""
+    import zstandard
+
+    text, starts, ends, doc, first_word = runs.text, runs.starts, runs.ends, runs.doc, runs.first_word
+    anchor, low, high, window, gram = runs.anchor, runs.low, runs.high, runs.window, runs.gram_width
     slices = [text[a:b] for a, b in zip(starts[low].tolist(), ends[high + window - 1].tolist())]
     index: dict[tuple, int] = {}
     at = (anchor - low).tolist()
@@ -61,7 +95,7 @@ def exchange(ids: list[int], texts: list[bytes], parts: int, window: int = WINDO
     head = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])
     rep = order[head]  # first place of each distinct context
     n_places = np.diff(np.r_[head, len(order)])
-    part = (grams[anchor[rep]] >> np.uint64(20)) % np.uint64(parts)
+    part = part[rep]
     gram_at, gram_len = starts[anchor[rep]] - starts[low[rep]], ends[anchor[rep] + gram - 1] - starts[anchor[rep]]
     by_part = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(part[by_part].astype(np.int64)) != 0, True])
@@ -183,8 +217,7 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """doc_id, s, e: runs of words covered by windows of docs (doc_id, text) that also start in a smaller doc_id."""
-    parts = parts or 4 * tasks(docs.sparkSession)
-    return spans_of(docs, lambda ids, texts, n: exchange(ids, texts, n, window, min(GRAM, window)), lambda blobs: meet(blobs, window), parts, BLOCK)
+    return spans_of(docs, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), BLOCK, parts)
 
 
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lingloom.llm import suffix_array, suffix_tree
+from lingloom.llm import anchors, suffix_array, suffix_tree
 from lingloom.llm.anchors import sliding_anchor
 
 from .conftest import TEXTS
@@ -64,6 +64,50 @@ def test_empty_table_and_null_ids(spark, none):
     assert {r["doc_id"]: r["n_removed"] for r in suffix_tree.drop_repeated_words(df).collect()} == {None: 0, 5: 0, 6: 200}
 
 
+def deal_of(r, parts):
+    """Some counters heavy, and some of those heavier."""
+    some = lambda: np.array(sorted(r.sample(range(100), r.choice([0, 30, 80]))), np.uint64)
+    return anchors.Deal(parts, 100, some(), some())
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_exchange_of_words_finds_what_brute_force_finds(seed):
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcdef") for _ in range(r.randint(1, 20))) for _ in range(5)]
+    rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(0, 6)))) for i in range(r.randint(1, 12))]
+    window = r.choice([2, 3, 5, 8, 13])
+    gram, deal, blobs = min(window, r.choice([1, 2])), deal_of(r, 3), {}
+    for b in range(3):
+        ids, texts = [i for i, _ in rows[b::3]], [t.encode() for _, t in rows[b::3]]
+        if (runs := suffix_tree.find(texts, window, gram)) is not None:
+            part = deal.apply(runs)
+            for p, x in suffix_tree.exchange(ids, texts, runs, part):
+                blobs.setdefault(p, []).append(x)
+    got = {i: np.zeros(len(t.split()), bool) for i, t in rows}
+    for x in blobs.values():
+        for d, s, e in zip(*suffix_tree.meet(x, window)):
+            got[d][s:e] = True
+    assert [(i, int(got[i].sum())) for i, _ in rows] == [(i, n) for i, _, n, _ in kept_words(rows, window)]
+
+
+def test_parts_follow_the_bytes_and_hot_prefixes_are_split(spark, monkeypatch):
+    """One phrase with differing words around it fills most rows: its gram is too much for a part, and so is its half window;
+    results stay those of brute force and no part holds much more than it should."""
+    r = random.Random(8)
+    phrase = " ".join(f"p{k}" for k in range(9))
+    rows = [(i, " ".join([f"x{r.randrange(40)}", f"y{r.randrange(40)}", phrase, f"z{r.randrange(40)}", f"u{r.randrange(40)}"] * 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(anchors, "PART_BYTES", 4000)
+    deal = anchors.dealt(df, lambda texts: suffix_tree.find(texts), 1 << 20)
+    assert deal.parts >= anchors.SPREAD * sum(len(t) for _, t in rows) // 4000 and len(deal.heavy) and len(deal.heavier)
+    runs = suffix_tree.find([t.encode() for _, t in rows])
+    before = np.bincount((runs.gram(runs.anchor) % np.uint64(deal.parts)).astype(int), weights=runs.size(runs.low, runs.high)).max()
+    part = deal.apply(runs)
+    assert np.bincount(part, weights=runs.size(runs.low, runs.high)).max() < before / 4
+    got = sorted(tuple(x) for x in suffix_tree.drop_repeated_words(df).drop("kept").collect())
+    assert got == kept_words(rows, 13)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_exchange_of_blocks_finds_what_brute_force_finds(seed):
     r = random.Random(seed)
@@ -73,9 +117,13 @@ def test_exchange_of_blocks_finds_what_brute_force_finds(seed):
     window = r.choice([3, 8, 20, 40])
     gram = min(window, r.choice([1, 3, 5, 8]))
     blobs = {}
+    deal = deal_of(r, 3)
     for b in range(3):
-        for p, x in suffix_array.exchange([i for i, _ in rows[b::3]], [t for _, t in rows[b::3]], 3, window, gram):
-            blobs.setdefault(p, []).append(x)
+        ids, texts = [i for i, _ in rows[b::3]], [t for _, t in rows[b::3]]
+        if (runs := suffix_array.find(texts, window, gram)) is not None:
+            part = deal.apply(runs)
+            for p, x in suffix_array.exchange(ids, texts, runs, part):
+                blobs.setdefault(p, []).append(x)
     got = {i: np.zeros(len(t), bool) for i, t in rows}
     for x in blobs.values():
         for d, s, e in zip(*suffix_array.meet(x, window)):
