@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def quantised(vec: Column, scale: float = 1024.0) -> Column:
     """floor(scale * x) of every component as long."""
@@ -55,8 +57,9 @@ def _statistics(x: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndar
     return total / np.sqrt(length), np.sqrt(np.maximum(square - total * total / length, 0))
 
 
-def _search(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """The k best of base for each query, as (query_id, vec_id, score)."""
+def _search(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, bars: np.ndarray | None = None) -> list[tuple]:
+    """Of the k best of base for each query, as (query_id, vec_id, score), those that reach the query's bar, a score that k
+    candidates are known to reach (nan: none is known)."""
     order = np.argsort(ids, kind="stable")
     base, ids = base[order], ids[order]
     b, q = base.astype(np.float64), queries.astype(np.float64)
@@ -67,9 +70,9 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: n
     found = []
     for i, query_id in enumerate(query_ids):
         rows = np.flatnonzero(ids != query_id)
-        bar = None
+        bar = None if bars is None or np.isnan(bars[i]) else bars[i]
         for (bm, bd), (qm, qd) in levels:
-            if len(rows) <= k:
+            if len(rows) <= k and bar is None:
                 break
             bound = bm[rows] @ qm[i] + bd[rows] @ qd[i] + slack
             if bar is None:  # the k most promising candidates give a first k-th best score
@@ -78,7 +81,7 @@ def _search(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: n
             rows = rows[bound >= bar]
         score = score_of(rows, i)
         best = np.lexsort((ids[rows], -score))[:k]
-        found += [(int(query_id), int(ids[rows[j]]), int(score[j])) for j in best]
+        found += [(int(query_id), int(ids[rows[j]]), int(score[j])) for j in best if bars is None or np.isnan(bars[i]) or score[j] >= bars[i]]
     return found
 
 
@@ -90,8 +93,9 @@ def exact_top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     gives no rows, vectors of unequal length are compared as if padded with zeros, a repeated row counts as often as it
     stands there, other columns are ignored. Products beyond 64 bits are not defined.
 
-    Rows are dealt into blocks by a hash of their id, so that copies of one vector spread; a block of queries meets each
-    block of base in one task of bounded size, which returns k rows for each query.
+    Rows are dealt into blocks by a hash of their id, so that copies of one vector spread. A block of queries first meets
+    one block of base, which gives each query a bar; then it meets the others, each in a task of bounded size, which returns
+    what reaches the bar, k rows at most for each query.
     """
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     base, queries = clean(base), clean(queries)
@@ -103,17 +107,27 @@ def exact_top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
     def block(of: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
 
-    left = queries.withColumn("qb", block(query_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = base.withColumn("vb", block(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def meet(q: pa.Table, b: pa.Table) -> pa.Table:
         rows = []
         if q.num_rows and b.num_rows:
-            rows = _search(_matrix(q["v"], width), q["id"].to_numpy(), _matrix(b["v"], width), b["id"].to_numpy(), k)
+            bars = np.nextafter(q["bar"].cast(pa.float64(), safe=False).fill_null(float("nan")).to_numpy(), -np.inf)
+            rows = _search(_matrix(q["v"], width), q["id"].to_numpy(), _matrix(b["v"], width), b["id"].to_numpy(), k, bars)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], schema=schema)
 
-    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(meet, "query_id long, vec_id long, score long")
+
+    left, right = queries.withColumn("qb", block(query_blocks)), base.withColumn("vb", block(blocks))
+    # the first block of base that a block of queries meets is that of its number, more or less
+    partners = F.filter(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda x: x % blocks == F.col("vb"))
+    no_bar = left.withColumn("bar", F.lit(None).cast("long")).withColumn("vb", F.col("qb") % blocks)
+    first = stored(met(no_bar, right.withColumn("qb", F.explode(partners))), "first")
+    bars = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") == k, F.min("score")).alias("bar"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x != F.col("qb") % blocks)
+    rest = F.filter(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda x: x % blocks != F.col("vb"))
+    second = met(left.join(bars, "id", "left").withColumn("vb", F.explode(others)), right.withColumn("qb", F.explode(rest)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = first.unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
