@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import output_stem
 
+#: What comes before the path in a file's name.
+_STORE = "^[a-z][a-z0-9+.-]*:(//[^/]*)?"
 DOCS = "book_id string, doc_id string, doc_pos int, kind string, content string"
 
 
@@ -21,8 +24,8 @@ def list_books(spark: SparkSession, dirs: list[str], exclude_dir: str | None = N
     """path, modificationTime, length, content of every book file below dirs, each once, without those below exclude_dir."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(dirs)
     if exclude_dir:
-        inside = exclude_dir.rstrip("/") + "/"
-        files = files.where(~F.contains(F.concat(F.lit("/"), "path"), F.lit(inside)) if "://" in inside else ~F.regexp_replace("path", r"^[a-z]+:/*", "/").startswith(inside))
+        inside = re.sub(_STORE, "", exclude_dir).rstrip("/") + "/"
+        files = files.where(~F.regexp_replace("path", _STORE, "").startswith(inside))
     return files.dropDuplicates(["path"])
 
 
