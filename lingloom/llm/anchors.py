@@ -171,9 +171,9 @@ def _heavy(docs: DataFrame, find: Callable, count: Callable[[Runs], tuple[np.nda
     return np.array([r["counter"] for r in sums.where(F.col("size") > int(PART_BYTES * SHARE)).select("counter").collect()], np.uint64)
 
 
-def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None) -> Deal:
+def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None, split: bool = True) -> Deal:
     """How the contexts of docs are dealt, from sums over all of them. parts: a number to use in place of the one that the
-    bytes call for."""
+    bytes call for; without split, every gram's contexts stay together and nothing is summed first."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     needed = max(1, -(-SPREAD * total // PART_BYTES))
     none = np.zeros(0, np.uint64)
@@ -182,7 +182,7 @@ def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None)
     def by_gram(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
         return deal.counter(runs.gram(runs.anchor)), runs.size(runs.low, runs.high)
 
-    heavy = _heavy(docs, find, by_gram, block)
+    heavy = _heavy(docs, find, by_gram, block) if split else none
     if len(heavy):
         first = replace(deal, heavy=heavy)
 
@@ -194,11 +194,11 @@ def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None)
     return deal
 
 
-def spans_of(docs: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
+def spans_of(docs: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None, split: bool = True) -> DataFrame:
     """doc_id, s, e (as often as found): find gives the runs of a block's texts, exchange (part, blob) rows of a block's runs
     once they are dealt, meet the spans of a part's blobs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    deal = dealt(texts, find, block, parts)
+    deal = dealt(texts, find, block, parts, split)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, own in blocks(batches, block):

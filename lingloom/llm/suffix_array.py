@@ -306,7 +306,7 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list]:
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
     """doc_id, s, e: runs of bytes covered by strings of window bytes that stand twice or more in docs (doc_id, text)."""
-    return spans_of(docs, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), parts=parts)
+    return spans_of(docs, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), parts=parts, split=False)
 
 
 def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
