@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import convert_primary, long_windows, next_chars
 from ..storage import sized, small_or_shuffled, stored
 from .consistency import Forms, apply_replacements
+from .diff import edits
 
 # Fixed value: particles whose loss is no error.
 DROPPABLE = "在了的地得也都就才還又已把被向給讓對於對從从往至及們么啊喔嘛呢嘍噢哦之個些"
@@ -23,10 +22,10 @@ def missing_characters(src: str, expected: str, tgt: str, bigrams: frozenset[str
     what was expected: an edit that drops one character, or leaves one of two in a legal form."""
     own = {expected[k : k + 2] for k in range(len(expected) - 1)}
     found = []
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, expected, tgt, autojunk=False).get_opcodes():
-        if kind == "delete" and b - a == 1:
+    for a, b, c, d in edits(expected, tgt):
+        if b - a == 1 and d == c:
             right = expected[b : b + 1]
-        elif kind == "replace" and b - a == 2 and d - c == 1 and tgt[c] in (forms.get(src[a + 1]) or [src[a + 1]]):
+        elif b - a == 2 and d - c == 1 and tgt[c] in (forms.get(src[a + 1]) or [src[a + 1]]):
             right = tgt[c]
         else:
             continue
