@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .binary import read_tokens, write_tokens
 from .common import shared_dir
 from .jaccard import jaccard_components
@@ -68,7 +69,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets, op13_alignment)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
