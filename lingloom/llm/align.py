@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,6 +30,8 @@ BLOCK = 1 << 20
 ENTRIES, KEY_BYTES = 300_000, 24 << 20
 #: Pairs that every task gets, and pairs that a task adds up before it passes them on.
 FREQUENT, SUMMED = 1 << 21, 1 << 21
+#: Links that are spelled out at a time.
+STRETCH = 1 << 21
 _PIECE = re.compile(rb" +[^ ]*")
 
 _WORKERS: dict[tuple[str, str], Aligner] = {}
@@ -126,19 +127,12 @@ def piece_tokens(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
-def shared_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(tokens of a, tokens of b) up to each byte where tokens of both end. a, b: lengths of the tokens, of one sum."""
-    out, i, j, at_a, at_b = [], 0, 0, 0, 0
-    while i < len(a):
-        if at_a <= at_b:
-            at_a += a[i]
-            i += 1
-        while at_b < at_a:
-            at_b += b[j]
-            j += 1
-        if at_a == at_b:
-            out.append((i, j))
-    return out
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of the values of each."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[new], np.add.reduceat(values, new) if len(new) else values
 
 
 class Aligner:
@@ -148,6 +142,7 @@ class Aligner:
         self.coder_a, self.coder_b = PlainCoder(path_a), PieceCoder(path_b)
         self.bytes_a, self.bytes_b = TokenBytes(byte_level_tokens(self.coder_a.tokenizer)), TokenBytes(piece_tokens(self.coder_b.model))
         self.size_b = len(self.bytes_b.n)
+        self.decimals = TokenBytes([b"%d," % i for i in range(max(len(self.bytes_a.n), self.size_b))])
         self._forget()
 
     def _forget(self) -> None:
@@ -157,32 +152,48 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)  # groups, links, where its pairs begin, how many they are
         self.pairs = np.zeros((2, 0), np.int64)  # pair, links
 
-    def _align(self, a: list[int], b: list[int]) -> tuple[str, int, int, Counter]:
-        """The groups of a window as text, how many groups and links it has, and the links of each pair."""
-        groups, links, pairs, i, j = [], 0, Counter(), 0, 0
-        for k, m in shared_ends(self.bytes_a.n[a].tolist(), self.bytes_b.n[b].tolist()):
-            own_a, own_b = a[i:k], b[j:m]
-            groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            links += len(own_a) * len(own_b)
-            many = Counter(own_b)
-            for x, n in Counter(own_a).items():
-                for y, w in many.items():
-                    pairs[x * self.size_b + y] += n * w
-            i, j = k, m
-        return ";".join(groups), len(groups), links, pairs
-
     def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        rows, pairs, at = [], [], self.pairs.shape[1]
-        for key in keys:
-            text, groups, links, own = self._align(np.frombuffer(key[0], np.uint32).tolist(), np.frombuffer(key[1], np.uint32).tolist())
-            self.entries[key] = len(self.texts)
-            self.texts.append(text)
-            rows.append((groups, links, at, len(own)))
-            pairs += own.items()
-            at += len(own)
-            self.held += len(key[0]) + len(key[1]) + len(text) + 32 * len(own)
-        self.counts = np.concatenate([self.counts, np.array(rows, np.int64)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64).reshape(-1, 2).T], axis=1)
+        """Aligns windows that were not met before, all at once: as both sides' windows have the same bytes, one count of bytes
+        runs through all of them."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.uint32).astype(np.int64) for side in (0, 1))
+        end_a, end_b = np.cumsum(self.bytes_a.n[a]), np.cumsum(self.bytes_b.n[b])
+        last_a = np.cumsum(np.fromiter((len(k[0]) // 4 for k in keys), np.int64, len(keys)))
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        many_a, many_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
+        until = np.searchsorted(shared, end_a[last_a - 1], "right")  # each window's groups end here
+        links = np.r_[0, np.cumsum(many_a * many_b)][until]
+        # pairs of ids, a stretch of a's tokens at a time where groups are large
+        window = np.repeat(np.arange(len(keys)), np.diff(last_a, prepend=0))
+        times, first = many_b[group_a], np.cumsum(many_b) - many_b
+        stretch = np.cumsum(times) // STRETCH
+        pairs, n = [], []
+        space = len(self.bytes_a.n) * self.size_b
+        for low, high in zip(cuts := np.flatnonzero(np.diff(stretch, prepend=-1)), [*cuts[1:], len(a)]):
+            own = slice(low, high)
+            pair = np.repeat(window[own] * space + a[own] * self.size_b, times[own]) + b[ranges(first[group_a[own]], times[own])]
+            pair, count = np.unique(pair, return_counts=True)
+            pairs.append(pair)
+            n.append(count)
+        pair, n = summed(np.concatenate(pairs), np.concatenate(n))
+        upto = np.searchsorted(pair, np.arange(1, len(keys) + 1) * space)
+        # the groups as text: each id with a mark behind it
+        place_a = np.arange(len(a)) + first[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(many_a)[group_b]
+        ids, marks = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        marks[place_a[np.cumsum(many_a) - 1]], marks[place_b[np.cumsum(many_b) - 1]] = ord("|"), ord(";")
+        size = self.decimals.n[ids]
+        out = self.decimals.flat[ranges(self.decimals.at[ids], size)]
+        ends = np.cumsum(size)
+        out[ends - 1] = marks
+        text, to = out.tobytes().decode("ascii"), ends[place_b[np.cumsum(many_b) - 1][until - 1]].tolist()
+        self.entries.update(zip(keys, range(len(self.texts), len(self.texts) + len(keys))))
+        self.texts += [text[i : j - 1] for i, j in zip([0, *to[:-1]], to)]
+        rows = np.stack([np.diff(until, prepend=0), np.diff(links, prepend=0), self.pairs.shape[1] + np.r_[0, upto[:-1]], np.diff(upto, prepend=0)], axis=1)
+        self.counts = np.concatenate([self.counts, rows])
+        self.pairs = np.concatenate([self.pairs, np.stack([pair % space, n])], axis=1)
+        self.held += 4 * len(ids) + len(text) + 16 * len(pair)
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
         """For each text: a row of (n_a, n_b, n_groups, n_links), its groups, its distinct pairs in order (id of a times the
@@ -222,11 +233,7 @@ class Aligner:
         pair, links = self.pairs[:, ranges(counts[:, 2], counts[:, 3])]
         space = len(self.bytes_a.n) * self.size_b
         pair = pair + np.repeat(of, counts[:, 3]) * space
-        order = np.argsort(pair, kind="stable")
-        pair, links = pair[order], links[order]
-        new = np.flatnonzero(np.diff(pair, prepend=-1))
-        links = np.add.reduceat(links, new) if len(new) else links[:0]
-        pair = pair[new]
+        pair, links = summed(pair, links)
         cut = np.searchsorted(pair, np.arange(1, len(texts)) * space)
         if len(self.entries) > ENTRIES or self.held > 4 * KEY_BYTES:
             self._forget()
