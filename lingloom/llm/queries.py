@@ -12,6 +12,7 @@ from .binary import read_tokens, write_tokens
 from .common import shared_dir
 from .jaccard import jaccard_components
 from .lm import score_documents
+from .merkle import merkle_manifest
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
@@ -69,11 +70,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(documents(spark, sf_dir))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets, op12_merkle, op13_alignment)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -164,4 +169,41 @@ WITH w AS (
     FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(inside, false) END AS kept FROM j""",
+    "op12_merkle": """
+WITH RECURSIVE bits AS (
+    SELECT i, i AS v, 0 AS k FROM range(256) AS x(i) UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), f AS (
+    SELECT *, row_number() OVER () AS id,
+        CASE WHEN doc_id IS NULL THEN '-' ELSE length(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+            || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+        CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+        doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 7 = 0 AS hit
+    FROM documents, crc
+), l AS (
+    SELECT id, doc_id, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE length(n_chars::VARCHAR) || ':' || n_chars END || tail) AS leaf,
+        CASE WHEN hit THEN sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END || tail) END AS altered
+    FROM f
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l
+), nodes AS (
+    SELECT lang, 0 AS level, pos AS i, leaf AS h, n FROM p
+    UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2, n
+), subroots AS (
+    SELECT lang, h, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS m FROM nodes WHERE n = 1
+), upper AS (
+    SELECT 0 AS level, place AS i, h, m AS n FROM subroots
+    UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM upper WHERE n > 1 GROUP BY level, i // 2, n
+), ways AS (
+    SELECT p.id, level, h, i < (pos >> level) AS is_left FROM p JOIN nodes ON nodes.lang IS NOT DISTINCT FROM p.lang AND i = xor(pos >> level, 1::BIGINT)
+    UNION ALL SELECT p.id, height + level, u.h, i < (place >> level) FROM p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN upper u ON i = xor(place >> level, 1::BIGINT)
+), proofs AS (
+    SELECT id, sha256(string_agg(h, '' ORDER BY level)) AS proof_sha256 FROM ways GROUP BY id
+), climb AS (
+    SELECT p.id, 0 AS level, coalesce(altered, leaf) AS h, height + (SELECT max(level) FROM upper) AS top FROM p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+    UNION ALL SELECT c.id, c.level + 1, sha256(CASE WHEN w.id IS NULL THEN c.h WHEN is_left THEN w.h || c.h ELSE c.h || w.h END), top FROM climb c LEFT JOIN ways w ON w.id = c.id AND w.level = c.level WHERE c.level < top
+)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN climb c ON c.id = p.id AND c.level = top JOIN upper r ON r.n = 1 LEFT JOIN proofs ON proofs.id = p.id""",
 }
