@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .align import align_tokenizers
 from .binary import read_tokens, write_tokens
+from .classifier import classify
 from .common import shared_dir
 from .jaccard import jaccard_components
 from .lm import score_documents
@@ -70,6 +71,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op11_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(documents(spark, sf_dir))
 
@@ -78,7 +83,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets, op12_merkle, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packing, op4_mixing, op5_topk, op6_lm, op7_jaccard, op8_quality, op9_binary, op10_secrets, op11_classifier, op12_merkle, op13_alignment)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
