@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, tasks
+from ..storage import small_or_shuffled
+from .common import ranges, stored, tasks
 
 #: Bytes of contexts that a part should hold.
 PART_BYTES = 16 << 20
@@ -31,7 +32,9 @@ COUNTERS, SHARE = 32, 0.25
 SPREAD = 3
 #: Text of the documents that one block of map-side work holds.
 BLOCK_BYTES = 4 << 20
-SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+SPAN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("text_key", pa.int64())])
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
 def sliding_anchor(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -87,6 +90,41 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, empty: bo
         yield ids, texts
 
 
+def keyed(docs: DataFrame, nulls: bool) -> DataFrame:
+    """own_id, doc_id, text, text_key of docs. text_key is 0 where no other row has the row's id; else it is a hash of the
+    text, so that rows of one id and other texts are told apart, and rows of one id and text are one another's equals.
+    own_id is the id as it stands; with nulls, rows of null id get one in doc_id (and a hash) to take part like others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
+    again = stored(rows.groupBy("own_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("own_id").alias("again")), "again")  # reads ids only
+    own_hash = F.xxhash64("text")
+    own_hash = F.when(own_hash == 0, F.lit(1).cast("long")).otherwise(own_hash)
+    some = F.col("own_id").isNull()
+    if again.where("again IS NOT NULL").limit(1).count():
+        rows = rows.join(small_or_shuffled(again.where("again IS NOT NULL")), F.col("own_id") == F.col("again"), "left")
+        some = some | F.col("again").isNotNull()
+    doc_id = F.coalesce("own_id", F.lit(NO_ID)) if nulls else F.col("own_id")
+    return rows.select("own_id", doc_id.alias("doc_id"), "text", F.when(some, own_hash).otherwise(F.lit(0).cast("long")).alias("text_key"))
+
+
+def keyed_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Ids, keys and UTF-8 texts of the rows with id and text, in blocks of about size bytes."""
+    ids, keys, texts, total = [], [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for i, t, k in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "text_key"))):
+                if i is not None and t:
+                    ids.append(i)
+                    keys.append(k)
+                    texts.append(t.encode())
+                    total += len(texts[-1])
+                    if total >= size:
+                        yield ids, keys, texts
+                        ids, keys, texts, total = [], [], [], 0
+    if ids:
+        yield ids, keys, texts
+
+
 @dataclass
 class Runs:
     """Runs of windows with one anchor in a block of texts: places of the anchors and of the first and last windows. size
@@ -194,33 +232,34 @@ def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None,
     return deal
 
 
-def spans_of(docs: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None, split: bool = True) -> DataFrame:
-    """doc_id, s, e (as often as found): find gives the runs of a block's texts, exchange (part, blob) rows of a block's runs
-    once they are dealt, meet the spans of a part's blobs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    deal = dealt(texts, find, block, parts, split)
+def spans_of(rows: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None, split: bool = True) -> DataFrame:
+    """doc_id, s, e, text_key (as often as found) of rows as keyed() gives them: find gives the runs of a block's texts,
+    exchange (part, blob) rows of a block's runs once they are dealt, meet the spans of a part's blobs."""
+    deal = dealt(rows.select("doc_id", "text"), find, block, parts, split)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, own in blocks(batches, block):
+        for ids, keys, own in keyed_blocks(batches, block):
             if (runs := find(own)) is None:
                 continue
             part = deal.apply(runs)
-            rows = exchange(ids, own, runs, part)
-            for at in range(0, len(rows), 256):
-                number, blob = zip(*rows[at : at + 256])
+            found = exchange(ids, own, runs, part, keys)
+            for at in range(0, len(found), 256):
+                number, blob = zip(*found[at : at + 256])
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blob, pa.binary())], names=["part", "blob"])
 
     def receive(table: pa.Table) -> pa.Table:
         columns = meet(table["blob"].to_pylist())
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPAN_SCHEMA)
 
-    return texts.mapInArrow(send, "part long, blob binary").groupBy("part").applyInArrow(receive, "doc_id long, s long, e long")
+    sent = rows.select("doc_id", "text", "text_key").mapInArrow(send, "part long, blob binary")
+    return sent.groupBy("part").applyInArrow(receive, "doc_id long, s long, e long, text_key long")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """doc_id and what cut(text, starts, ends of its spans) returns, for every row of docs."""
-    of_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of_doc, "doc_id", "left")
+def with_spans(rows: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """doc_id and what cut(text, starts, ends of its spans) returns, for every row as keyed() gives them. A span is taken once,
+    however many equal rows it was found in."""
+    of_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    rows = rows.join(of_doc, ["doc_id", "text_key"], "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
     none = np.zeros(0, np.int64)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

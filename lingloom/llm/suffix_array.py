@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Runs, anchor_runs, sliding_anchor, spans_of, with_spans
+from .anchors import Runs, anchor_runs, keyed, sliding_anchor, spans_of, with_spans
 from .common import merged, mix64
 
 WINDOW = 400
@@ -182,7 +182,7 @@ def find(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Bytes |
     )
 
 
-def exchange(ids: list[int], texts: list[bytes], runs: Bytes, part: np.ndarray) -> list[tuple[int, bytes]]:
+def exchange(ids: list[int], texts: list[bytes], runs: Bytes, part: np.ndarray, keys: list[int] | None = None) -> list[tuple[int, bytes]]:
     """(part, blob): the front-coded run of every part that the block has anchors of, with left texts and places."""
     import zstandard
 
@@ -192,6 +192,7 @@ def exchange(ids: list[int], texts: list[bytes], runs: Bytes, part: np.ndarray)
     for k, (p, a, lo, hi) in enumerate(zip(part.tolist(), anchor.tolist(), low.tolist(), high.tolist())):
         found.setdefault(p, {}).setdefault((text[a : hi + window], text[lo:a]), []).append(k)
     begin, of_doc, doc_ids = ends - [len(t) for t in texts], doc[anchor], np.array(ids, np.int64)
+    keys = np.array(keys or [0] * len(ids), np.int64)
     pack = zstandard.ZstdCompressor(level=3)
     rows = []
     for p, contexts in found.items():
@@ -205,6 +206,7 @@ def exchange(ids: list[int], texts: list[bytes], runs: Bytes, part: np.ndarray)
             np.array([len(contexts[c]) for c in order], np.uint32),
             doc_ids[of_doc[places]],
             (low[places] - begin[of_doc[places]]).astype(np.uint32),
+            keys[of_doc[places]] if keys.any() else None,
         )
         rows.append((p, pack.compress(pickle.dumps(content, 5))))
     return rows
@@ -244,8 +246,8 @@ def _left_common(rows: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np
     return np.maximum(np.r_[0, n], np.r_[n, 0])
 
 
-def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list]:
-    """doc_id, first and last byte (exclusive) of runs of windows that stand elsewhere too."""
+def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list, list]:
+    """doc_id, first and last byte (exclusive) and text_key of runs of windows that stand elsewhere too."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
@@ -255,7 +257,7 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list]:
         runs.append(decoded(content[0]))
         left_ends = np.cumsum(content[1]).tolist()
         lefts = [content[2][e - n : e] for e, n in zip(left_ends, content[1].tolist())]
-        contents.append((lefts, np.cumsum(content[3]) - content[3], content[3], content[4], content[5]))
+        contents.append((lefts, np.cumsum(content[3]) - content[3], content[3], content[4], content[5], content[6]))
     order, lcp = merge_runs(runs)
     lcp = np.array(lcp, np.int64)
     rights = [len(runs[r][1][i]) for r, i in order]
@@ -291,30 +293,31 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list]:
                 if n >= least:  # windows that begin n to least bytes to the left
                     here = int(n_left[k])
                     spans.setdefault(k, []).append((here - n, here - least + window))
-    docs, starts, ends = [], [], []
+    docs, starts, ends, keys = [], [], [], []
     for k, own in spans.items():
         r, i = order[k]
-        _, first, n, doc, low = contents[r]
+        _, first, n, doc, low, key = contents[r]
         s, e = merged(np.array([x[0] for x in own]), np.array([x[1] for x in own]))
         for j in range(int(first[i]), int(first[i]) + int(n[i])):
             for x, y in zip(s.tolist(), e.tolist()):
                 docs.append(int(doc[j]))
                 starts.append(int(low[j]) + x)
                 ends.append(int(low[j]) + y)
-    return docs, starts, ends
+                keys.append(0 if key is None else int(key[j]))
+    return docs, starts, ends, keys
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
-    """doc_id, s, e: runs of bytes covered by strings of window bytes that stand twice or more in docs (doc_id, text)."""
-    return spans_of(docs, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), parts=parts, split=False)
+def repeated_bytes(rows: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
+    """doc_id, s, e, text_key: runs of bytes covered by strings of window bytes that stand twice or more in rows (keyed)."""
+    return spans_of(rows, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), parts=parts, split=False)
 
 
 def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every row of docs.
 
     Null and empty texts have no bytes; texts shorter than a window lose nothing; all of several equal texts that are long
-    enough go, as do repeats within one text; a repeated row is a copy like any other; rows of one id are taken to hold one
-    text; rows of null id are kept as they are and make no other row lose bytes; an empty table gives no rows; other
+    enough go, as do repeats within one text; a repeated row is a copy like any other; rows of one id
+    or of null id are rows like any other; an empty table gives no rows; other
     columns are ignored.
     """
 
@@ -329,4 +332,5 @@ def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept
 
     result = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("kept", pa.binary(), "binary")]
-    return with_spans(docs, repeated_bytes(docs, window), cut, result)
+    rows = keyed(docs, nulls=True)
+    return with_spans(rows, repeated_bytes(rows, window), cut, result)

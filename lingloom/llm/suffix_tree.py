@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Runs, anchor_runs, sliding_anchor, spans_of, with_spans
+from .anchors import Runs, anchor_runs, keyed, sliding_anchor, spans_of, with_spans
 from .common import merged, mix64, range_hashes, ranges, word_bounds
 
 WINDOW = 13
@@ -81,7 +81,7 @@ def find(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Words |
     )
 
 
-def exchange(ids: list[int], texts: list[bytes], runs: Words, part: np.ndarray) -> list[tuple[int, bytes]]:
+def exchange(ids: list[int], texts: list[bytes], runs: Words, part: np.ndarray, keys: list[int] | None = None) -> list[tuple[int, bytes]]:
     """(part, blob) for every part that the block has anchors of."""
     import zstandard
 
@@ -99,7 +99,7 @@ def exchange(ids: list[int], texts: list[bytes], runs: Words, part: np.ndarray)
     gram_at, gram_len = starts[anchor[rep]] - starts[low[rep]], ends[anchor[rep] + gram - 1] - starts[anchor[rep]]
     by_part = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(part[by_part].astype(np.int64)) != 0, True])
-    doc_ids = np.array(ids, np.int64)
+    doc_ids, keys = np.array(ids, np.int64), np.array(keys or [0] * len(ids), np.int64)
     pack = zstandard.ZstdCompressor(level=LEVEL)
     rows = []
     for a, b in zip(edges[:-1], edges[1:]):
@@ -112,6 +112,7 @@ def exchange(ids: list[int], texts: list[bytes], runs: Words, part: np.ndarray)
             n_places[own].astype(np.uint32),
             np.diff(doc_ids[doc[anchor[places]]], prepend=0),
             (low[places] - first_word[doc[anchor[places]]]).astype(np.uint32),
+            keys[doc[anchor[places]]] if keys.any() else None,
         )
         rows.append((int(part[own[0]]), pack.compress(pickle.dumps(content, 5))))
     return rows
@@ -162,30 +163,31 @@ def deep_nodes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     return alive, head
 
 
-def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, first and last word (exclusive) of runs of windows that stand in a smaller document too."""
+def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, first and last word (exclusive) and text_key of runs of windows that stand in a smaller document too."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    contexts, grams, counts, docs, lows = [], [], [], [], []
+    contexts, grams, counts, docs, lows, keys = [], [], [], [], [], []
     for blob in blobs:
-        text, gram_at, gram_len, n, doc, low = pickle.loads(unpack.decompress(blob))
+        text, gram_at, gram_len, n, doc, low, key = pickle.loads(unpack.decompress(blob))
         own = text.split(b"\n")
         contexts += own
         grams += [c[a : a + k] for c, a, k in zip(own, gram_at.tolist(), gram_len.tolist())]
         counts.append(n)
         docs.append(np.cumsum(doc))
         lows.append(low)
-    count, doc, low = (np.concatenate(x).astype(np.int64) for x in (counts, docs, lows))
+        keys.append(np.zeros(len(low), np.int64) if key is None else key)
+    count, doc, low, key = (np.concatenate(x).astype(np.int64) for x in (counts, docs, lows, keys))
     prefix: dict[bytes, int] = {}
     of = np.fromiter((prefix.setdefault(g, len(prefix)) for g in grams), np.int64, len(grams))
     live = np.flatnonzero((np.bincount(of, weights=count)[of] > 1))  # below its prefix it isn't alone
     none = np.zeros(0, np.int64)
     if not len(live):
-        return none, none, none
+        return none, none, none, none
     live = live[np.argsort(of[live], kind="stable")]
     place = ranges((np.cumsum(count) - count)[live], count[live])
-    count, doc, low = count[live], doc[place], low[place]
+    count, doc, low, key = count[live], doc[place], low[place], key[place]
     text = b"\n".join([contexts[k] for k in live.tolist()]) + b"\n"
     del contexts, grams
     buf = np.frombuffer(text, np.uint8)
@@ -209,23 +211,23 @@ def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     at = low[place] + (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n))
     at, place = at[gone], place[gone]
     if not len(at):
-        return none, none, none
+        return none, none, none, none
     begin = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
     last = np.r_[begin[1:] - 1, len(at) - 1]
-    return doc[place[begin]], at[begin], at[last] + window
+    return doc[place[begin]], at[begin], at[last] + window, key[place[begin]]
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
-    """doc_id, s, e: runs of words covered by windows of docs (doc_id, text) that also start in a smaller doc_id."""
-    return spans_of(docs, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), BLOCK, parts)
+def repeated_words(rows: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
+    """doc_id, s, e, text_key: runs of words covered by windows of rows (keyed) that also start in a smaller doc_id."""
+    return spans_of(rows, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), BLOCK, parts)
 
 
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by spaces) for every row of docs.
 
     Null and empty texts have no words; texts shorter than a window lose nothing; of equal texts the one of the smallest
-    id stays; rows of one id are taken to hold one text, and being of no smaller id leave each other alone; rows of null
-    id are kept as they are and make no other row lose words; an empty table gives no rows; other columns are ignored.
+    id stays; rows of one id, being of no smaller id, leave each other alone, and each loses what its own text repeats;
+    rows of null id, which is neither smaller nor larger, are kept as they are and make no other row lose words; an empty table gives no rows; other columns are ignored.
     """
 
     def cut(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
@@ -243,4 +245,5 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return n, removed, hashlib.sha256(kept).hexdigest(), kept.decode()
 
     result = [("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("kept", pa.string(), "string")]
-    return with_spans(docs, repeated_words(docs, window), cut, result)
+    rows = keyed(docs, nulls=False)
+    return with_spans(rows, repeated_words(rows, window), cut, result)

@@ -85,7 +85,7 @@ def test_exchange_of_words_finds_what_brute_force_finds(seed):
                 blobs.setdefault(p, []).append(x)
     got = {i: np.zeros(len(t.split()), bool) for i, t in rows}
     for x in blobs.values():
-        for d, s, e in zip(*suffix_tree.meet(x, window)):
+        for d, s, e, _ in zip(*suffix_tree.meet(x, window)):
             got[d][s:e] = True
     assert [(i, int(got[i].sum())) for i, _ in rows] == [(i, n) for i, _, n, _ in kept_words(rows, window)]
 
@@ -126,7 +126,7 @@ def test_exchange_of_blocks_finds_what_brute_force_finds(seed):
                 blobs.setdefault(p, []).append(x)
     got = {i: np.zeros(len(t), bool) for i, t in rows}
     for x in blobs.values():
-        for d, s, e in zip(*suffix_array.meet(x, window)):
+        for d, s, e, _ in zip(*suffix_array.meet(x, window)):
             got[d][s:e] = True
     for i, gone in removed_bytes(rows, window):
         assert (got[i] == gone).all()
@@ -147,3 +147,21 @@ def test_merge_of_runs_is_a_suffix_array():
 def test_anchor_is_the_leftmost_smallest():
     h = np.random.default_rng(0).integers(0, 50, 500).astype(np.uint64) << np.uint64(24)
     assert sliding_anchor(h, 7).tolist() == [i + int(np.argmin(h[i : i + 7])) for i in range(494)]
+
+
+def brute_rows(rows, window):
+    """Bytes left of every row: all that no string elsewhere, in whatever row, repeats."""
+    return Counter((i, np.frombuffer(t, np.uint8)[~gone].tobytes()) for (i, gone), (_, t) in zip(removed_bytes(rows, window), rows))
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    """Texts that are no copies stay whole, whatever other rows of their id lose; null ids lose bytes and no words."""
+    texts = ["-".join(f"{c}{k}" for k in range(120)) for c in "abcd"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[3] + "z"), (4, "x" + texts[1]), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], bytes(r["kept"])) for r in suffix_array.drop_repeated_bytes(df).collect())
+    assert got == brute_rows([(i, (t or "").encode()) for i, t in rows], 400) and got[2, texts[1].encode()] == 0 and got[3, b"z"] == 1
+    rows = [(i, t and t.replace("-", " ")) for i, t in rows]
+    df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_removed"]) for r in suffix_tree.drop_repeated_words(df).collect())
+    assert got == Counter([(1, 0), (2, 120), (2, 120), (2, 0), (None, 0), (None, 0), (None, 0), (3, 0), (4, 119), (4, 0), (5, 0)])
