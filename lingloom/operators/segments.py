@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import SMALL, small_or_shuffled, stored
 from . import markup
+from .batches import batch_numbers, pack_batches  # noqa: F401
 
 SEGMENT = "book_id string, doc_id string, seg_pos int, tag string, kind string, text string, mask array<string>"
 # Metadata fields and properties that hold text to convert.
@@ -181,32 +182,6 @@ def fragment_for_retry(df: DataFrame, text: str = "text") -> DataFrame:
     return _pieces(df, fragments, text, "frag_pos", "fragment")
 
 
-def batch_numbers(lengths: list[int], limit: int, sep: int, count_first: bool) -> list[int]:
-    """Greedy batches in order. The separator counts between items, or with count_first once for every item."""
-    out, batch, size, n = [], 0, 0, 0
-    for k in lengths:
-        add = k + (sep if count_first or n else 0)
-        if n and size + add > limit:
-            batch, size, n = batch + 1, 0, 0
-            add = k + (sep if count_first else 0)
-        size, n = size + add, n + 1
-        out.append(batch)
-    return out
-
-
-def pack_batches(df: DataFrame, limit: int = 1800, sep: int = 3, count_first: bool = False, by: str = "book_id", order: str = "seg_pos", text: str = "text") -> DataFrame:
-    """by, order, batch_no of every row. Only lengths travel to the book's task; give a finer by where a book is huge and
-    batches need not span its documents."""
-    lengths = df.select(by, order, F.length(text).alias("size"))
-    kind = lengths.schema[order].dataType.simpleString()
-
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        return g[[by, order]].assign(batch_no=pd.array(batch_numbers(g["size"].fillna(0).astype(int).tolist(), limit, sep, count_first), "int32"))
-
-    return lengths.groupBy(by).applyInPandas(pack, f"{by} {lengths.schema[by].dataType.simpleString()}, {order} {kind}, batch_no int")
-
-
 def convert_phrases(df: DataFrame, phrases: DataFrame, text: str = "text", largest: int = SMALL) -> DataFrame:
     """df with converted: phrases (simp, trad) replaced from left to right, longest first; results are not looked at again.
 

@@ -109,3 +109,19 @@ def test_guards_and_phrases(spark):
     for largest in (1000, 0):
         done = segments.convert_phrases(spark.createDataFrame([("正中央盘子里…中央",)], "text string"), phrases, largest=largest).first()
         assert done["converted"] == "正乙…里…甲"
+
+
+def test_pack_batches_over_many_chunks(spark):
+    """Books cut into chunks of a few rows, many of which no batch or several begin in: the greedy batches of whole books."""
+    import random
+
+    from lingloom.operators.batches import batch_numbers, pack_batches
+
+    r = random.Random(4)
+    for rows, limit, sep, first, longest in ((3, 40, 3, False, 12), (5, 30, 0, False, 50), (4, 25, 5, True, 9), (7, 60, 0, True, 4)):
+        books = {b: [r.choice([0, 0, r.randint(0, longest), None]) for _ in range(r.randint(1, 60))] for b in ("x", "y", None, "z")}
+        table = [(b, k, None if n is None else "a" * n) for b, own in books.items() for k, n in enumerate(own)]
+        df = spark.createDataFrame(r.sample(table, len(table)), "book_id string, seg_pos long, text string").repartition(3)
+        got = {(x["book_id"], x["seg_pos"]): x["batch_no"] for x in pack_batches(df, limit, sep, first, rows=rows).collect()}
+        assert got == {(b, k): n for b, own in books.items() for k, n in enumerate(batch_numbers([x or 0 for x in own], limit, sep, first))}
+    assert pack_batches(df.limit(0)).count() == 0
