@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col_class, long_windows
+from ..functions.text import long_windows
 from ..storage import SMALL, stored
 
 #: Characters of context on each side of a hit.
@@ -18,7 +19,7 @@ HIT = "struct<pos:int,wrong:string,right:string,status:string,reason:string,snip
 
 
 class RuleIndex:
-    """Rules by text, and the lengths to try at a first character, longest first."""
+    """Rules by text, and an automaton of all of their forms, which reads a text once whatever their number."""
 
     def __init__(self, rules: list[tuple[str, str, bool]], bigrams: set[str] | frozenset[str] = frozenset()) -> None:
         self.bigrams = bigrams
@@ -26,28 +27,19 @@ class RuleIndex:
         for wrong, right, manual in rules:
             if wrong and wrong != right:
                 self.tables[0 if manual else 1][wrong] = right
-        self.lengths: tuple[dict[str, list[int]], ...] = ({}, {})
-        for table, lengths in zip(self.tables, self.lengths):
-            sizes: dict[str, set[int]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for table in self.tables:
             for wrong in table:
-                sizes.setdefault(wrong[0], set()).add(len(wrong))
-            lengths.update({c: sorted(n, reverse=True) for c, n in sizes.items()})
-        self.begins = self._pattern({w for table in self.tables for w in table})
-
-    @staticmethod
-    def _pattern(forms: set[str]) -> re.Pattern:
-        """Where some form may begin: its first two characters, or its only one."""
-        seconds: dict[str, set[str]] = {}
-        for w in forms:
-            seconds.setdefault(w[0], set()).add(w[1:2])
-        parts = [re.escape(c) + ("" if "" in after else col_class(after)) for c, after in sorted(seconds.items())]
-        return re.compile("|".join(parts) if parts else r"[^\s\S]", re.DOTALL)
-
-    def candidates(self, layer: int, text: str, at: int) -> Iterator[tuple[str, str]]:
-        for n in self.lengths[layer].get(text[at], ()):
-            wrong = text[at : at + n]
-            if (right := self.tables[layer].get(wrong)) is not None and len(wrong) == n:
-                yield wrong, right
+                self.automaton.add_word(wrong, wrong)
+        self.automaton.make_automaton()
+
+    def places(self, text: str) -> list[tuple[int, list[str]]]:
+        """Where some form stands, in order, with the forms that do, longest first."""
+        found: dict[int, list[str]] = {}
+        if len(self.automaton):
+            for end, wrong in self.automaton.iter(text):
+                found.setdefault(end + 1 - len(wrong), []).append(wrong)
+        return [(at, sorted(found[at], key=len, reverse=True)) for at in sorted(found)]
 
     def guard(self, text: str, at: int, end: int) -> str | None:
         """The pair of characters across an edge of text[at:end] that is a known bigram; the left edge is looked at first."""
@@ -71,32 +63,28 @@ def apply_to_text(text: str, index: RuleIndex, boundaries: list[int] | None = No
         end = at + len(wrong)
         hits.append({"pos": at, "wrong": wrong, "right": right, "status": status, "reason": reason, "snippet": text[max(0, at - CONTEXT) : end + CONTEXT]})
 
-    while found := index.begins.search(text, at):
-        out.append(text[at : found.start()])
-        at = found.start()
-        chosen = None
-        for wrong, right in index.candidates(0, text, at):
-            chosen = (wrong, right, None)
-            break
-        if chosen is None:
-            for wrong, right in index.candidates(1, text, at):
-                end = at + len(wrong)
-                reason = index.guard(text, at, end)
-                one_word = starts is not None and at in starts and end in starts and not any(k in starts for k in range(at + 1, end))
-                if reason is not None:
-                    edge = at if reason.startswith("left") else end
-                    if starts is None or edge not in starts or not one_word:
-                        hit(wrong, right, "blocked", reason)
-                        continue
-                elif strict and starts is not None and not one_word:
-                    hit(wrong, right, "blocked", "unaligned")
+    for place, forms in index.places(text):
+        if place < at:
+            continue
+        out.append(text[at:place])
+        at = place
+        wrong = next((w for w in forms if w in index.tables[0]), None)
+        chosen = None if wrong is None else (wrong, index.tables[0][wrong], None)
+        for wrong in forms if chosen is None else ():
+            right, end = index.tables[1][wrong], at + len(wrong)
+            reason = index.guard(text, at, end)
+            one_word = starts is not None and at in starts and end in starts and not any(k in starts for k in range(at + 1, end))
+            if reason is not None:
+                edge = at if reason.startswith("left") else end
+                if starts is None or edge not in starts or not one_word:
+                    hit(wrong, right, "blocked", reason)
                     continue
-                chosen = (wrong, right, reason)
-                break
-        if chosen is None:
-            out.append(text[at])
-            at += 1
-        else:
+            elif strict and starts is not None and not one_word:
+                hit(wrong, right, "blocked", "unaligned")
+                continue
+            chosen = (wrong, right, reason)
+            break
+        if chosen is not None:
             hit(chosen[0], chosen[1], "applied", chosen[2] and f"overruled {chosen[2]}")
             out.append(chosen[1])
             at += len(chosen[0])
