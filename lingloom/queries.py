@@ -149,8 +149,8 @@ def ngram_counts(spark, sf_dir):
 @query("SELECT book_id, ngram, n, floor FROM candidates")
 def ngrams_above_floor(spark, sf_dir):
     docs = books(spark, sf_dir)
-    counts = entities.count_ngrams(docs, LATIN, CONVERTIBLE, headwords(spark, sf_dir))
-    return entities.above_floor(counts, entities.frequency_floor(docs)).select("book_id", "ngram", "n", "floor")
+    runs = stored(entities.counted_runs(docs, LATIN), "runs")
+    return entities.frequent_ngrams(runs, entities.frequency_floor(docs), LATIN, CONVERTIBLE, headwords(spark, sf_dir))
 
 
 @query("SELECT book_id, threshold FROM thresholds")
@@ -161,8 +161,9 @@ def cliff_thresholds(spark, sf_dir):
 @query("SELECT book_id, ngram, prev, n FROM contexts")
 def left_contexts(spark, sf_dir):
     docs = books(spark, sf_dir)
-    chosen = stored(entities.above_threshold(stored(ngrams_above_floor(spark, sf_dir), "counts")), "entities")
-    return entities.occurrence_contexts(chosen, docs, LATIN, CONVERTIBLE)
+    runs = stored(entities.counted_runs(docs, LATIN), "runs")
+    counts = stored(entities.frequent_ngrams(runs, entities.frequency_floor(docs), LATIN, CONVERTIBLE, headwords(spark, sf_dir)), "counts")
+    return entities.occurrence_contexts(stored(entities.above_threshold(counts), "entities"), runs, LATIN, CONVERTIBLE)
 
 
 # rules
