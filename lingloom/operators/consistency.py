@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, long_windows, occurrences, strip_tags, windows_between
 from ..profile import ScriptProfile
 from ..storage import small_or_shuffled, stored
+from .replace import replace_in_order, resolve_rule_conflicts
 
 
 def sentences(text: Column, profile: ScriptProfile) -> Column:
@@ -198,43 +198,10 @@ def shrink_rules(rules: DataFrame, forms: Forms) -> DataFrame:
     return cut.groupBy("book_id", "wrong").agg(F.min("right").alias("right"), F.max("right").alias("_m"), F.min("s_ng").alias("s_ng")).where(F.col("right") == F.col("_m")).drop("_m")
 
 
-def sweep_conflicts(rules: list[tuple[str, str]]) -> set[str]:
-    """Wrong forms to drop, shorter rules having their way: rules that a shorter one covers, and then rules whose wrong
-    form holds a shorter rule's right one or the other way round."""
-    ordered = sorted(rules, key=lambda x: (len(x[0]), x[0]))
-    gone = set()
-    for k, (wide, result) in enumerate(ordered):
-        for short, fixed in ordered[:k]:
-            if len(short) < len(wide) and any(wide.startswith(short, p) and result[p : p + len(fixed)] == fixed for p in range(len(wide))):
-                gone.add(wide)
-                break
-    for k, (short, fixed) in enumerate(ordered):
-        if short not in gone:
-            for wide, result in ordered[k + 1 :]:
-                if wide not in gone and len(short) < len(wide) and (fixed in wide or short in result):
-                    gone.add(wide)
-    return gone
-
-
-def resolve_rule_conflicts(rules: DataFrame) -> DataFrame:
-    """rules (book_id, wrong, right, s_ng) without those that sweep_conflicts drops from a book's rules, which are few."""
-
-    def sweep(df: pd.DataFrame) -> pd.DataFrame:
-        gone = sweep_conflicts(list(zip(df["wrong"], df["right"])))
-        return df[~df["wrong"].isin(gone)]
-
-    return rules.groupBy("book_id").applyInPandas(sweep, rules.schema)
-
-
 def apply_replacements(segments: DataFrame, rules: DataFrame, order: tuple[str, ...] | None = None, text: str = "text") -> DataFrame:
     """segments with the book's rules applied one after the other to the whole text, longest wrong form first, or by the
     given columns."""
-    keys = [F.col(c) for c in order] if order else [-F.length("wrong"), F.col("wrong")]
-    fields = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    listed = rules.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(*fields, "wrong", "right"))).alias("_rules"))
-    joined = segments.join(small_or_shuffled(stored(listed, "replacements")), "book_id", "left")
-    new = F.aggregate("_rules", F.col(text), lambda acc, r: F.when(F.contains(acc, r["wrong"]), F.replace(acc, r["wrong"], r["right"])).otherwise(acc))
-    return joined.withColumn(text, F.when(F.col("_rules").isNull(), F.col(text)).otherwise(new)).drop("_rules")
+    return replace_in_order(segments, rules, [F.col(c) for c in order] if order else [-F.length("wrong"), F.col("wrong")], text)
 
 
 def consistency_report(segments: DataFrame, rules: DataFrame, keep: int = 5, around: int = 35) -> DataFrame:

@@ -1,7 +1,11 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lingloom.operators import analysis, cache, consistency, entities, repairs, rules
 from lingloom.operators.apply_rules import RuleIndex, apply_rules, apply_to_text, rule_hit_log, rule_hits
+from lingloom.operators.replace import replace_in_order
 from lingloom.profile import CJK
 from lingloom.sources.logs import parse_rule_logs
 
@@ -90,8 +94,8 @@ def test_sentences(spark):
 
 
 def test_conflicts_and_shrinking(spark):
-    assert consistency.sweep_conflicts([("雪底下", "雪之下"), ("雪之下的", "雪底下的")]) == {"雪之下的"}
-    assert consistency.sweep_conflicts([("甲乙", "甲丙"), ("X甲乙", "X甲丙")]) == {"X甲乙"}
+    assert sweep_conflicts([("雪底下", "雪之下"), ("雪之下的", "雪底下的")]) == {"雪之下的"}
+    assert sweep_conflicts([("甲乙", "甲丙"), ("X甲乙", "X甲丙")]) == {"X甲乙"}
     rows = table(spark, [("b", "雪底下不", "雪之下不", "雪之下不"), ("b", "麗子我", "莉子我", "丽子我"), ("b", "麗子他", "莉子他", "丽子他")], "book_id string, wrong string, right string, s_ng string")
     got = {(r["wrong"], r["right"]) for r in consistency.shrink_rules(rows, FORMS).collect()}
     assert got == {("雪底下不", "雪之下不"), ("麗", "莉")}
@@ -251,3 +255,55 @@ def test_look_ups_in_tables_of_any_size(spark, monkeypatch):
     assert [w for _, w in small[0]] == ["abcd", "abcdefgh", "bcde"]
     monkeypatch.setattr(repairs, "sized", lambda df: (df, False))
     assert rows() == small
+
+
+def sweep_conflicts(rules: list[tuple[str, str]]) -> set[str]:
+    """Wrong forms to drop, shorter rules having their way: rules that a shorter one covers, and then rules whose wrong
+    form holds a shorter rule's right one or the other way round."""
+    ordered = sorted(rules, key=lambda x: (len(x[0]), x[0]))
+    gone = set()
+    for k, (wide, result) in enumerate(ordered):
+        for short, fixed in ordered[:k]:
+            if len(short) < len(wide) and any(wide.startswith(short, p) and result[p : p + len(fixed)] == fixed for p in range(len(wide))):
+                gone.add(wide)
+                break
+    for k, (short, fixed) in enumerate(ordered):
+        if short not in gone:
+            for wide, result in ordered[k + 1 :]:
+                if wide not in gone and len(short) < len(wide) and (fixed in wide or short in result):
+                    gone.add(wide)
+    return gone
+
+
+def random_rules(r, letters, n, sizes=(1, 2, 3, 4)):
+    rules = {}
+    for _ in range(n):
+        k = r.choice(sizes)
+        rules["".join(r.choices(letters, k=k))] = "".join(r.choices(letters, k=k if r.random() < 0.8 else r.randint(0, 4)))
+    return [(w, x) for w, x in rules.items() if w != x]
+
+
+def test_conflicts_against_a_sweep_through_the_list(spark):
+    r = random.Random(8)
+    books = {f"b{b}": random_rules(r, "abcdef", r.randint(0, 25)) for b in range(40)}
+    rows = table(spark, [(b, w, x, "s") for b, own in books.items() for w, x in own], "book_id string, wrong string, right string, s_ng string")
+    left = {(x["book_id"], x["wrong"]) for x in consistency.resolve_rule_conflicts(rows).collect()}
+    gone = {b: sweep_conflicts(own) for b, own in books.items()}
+    assert left == {(b, w) for b, own in books.items() for w, _ in own if w not in gone[b]}
+    assert 0 < len(left) < sum(map(len, books.values()))
+
+
+@pytest.mark.parametrize("largest", [1 << 20, 0])
+def test_replacements_in_order_by_brute_force(spark, largest):
+    """Rules whose results other rules replace again, before and after them in order; null and empty texts; books without rules;
+    rules that go to every task, and rules that are looked up."""
+    r = random.Random(12)
+    books = {f"b{b}": [(w, x, r.randint(0, 5)) for w, x in random_rules(r, "abc", 9)] for b in range(8)} | {"none": []}
+    texts = [(k, r.choice([*books]), r.choice([None, "", *["".join(r.choices("abc", k=r.randint(1, 30))) for _ in range(9)]])) for k in range(150)]
+    rules = table(spark, [(b, w, x, p) for b, own in books.items() for w, x, p in own], "book_id string, wrong string, right string, p int")
+    segments = table(spark, texts, "k long, book_id string, text string").repartition(3)
+    found = {x["k"]: x["text"] for x in replace_in_order(segments, rules, [F.col("p"), F.col("wrong")], largest=largest).collect()}
+    for k, b, t in texts:
+        for w, x, _ in sorted(books[b], key=lambda y: (y[2], y[0])):
+            t = t and t.replace(w, x)
+        assert found[k] == t
