@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingloom.llm.common import fresh, shared_dir, with_row_key
+from lingloom.llm.common import fresh, shared_dir, stored, with_row_key
 from lingloom.llm.jaccard import jaccard_components
 from lingloom.llm.mixing import mix_sources
 from lingloom.llm.packing import pack_documents
 from lingloom.llm.quality import keep_quality
 from lingloom.llm.secrets import redact_secrets
 from lingloom.llm.tokens import vocabulary
+from lingloom.storage import small_or_shuffled
 
 # Every stage takes rows as they are: null and repeated ids, repeated rows and columns of any name; each row has its own
 # verdict. An empty table goes through as one.
@@ -33,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("own_id").isNull(), "own_id", key)
     least = groups.groupBy("component_id").agg(F.min(order).alias("least"))
     copies = groups.join(least, "component_id").where(F.col(key) != F.col(f"least.{key}")).select(key)
-    return rows.join(copies, key, "left_anti").select(docs.columns)
+    return rows.join(small_or_shuffled(stored(copies, "copies")), key, "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words are not taken."""
     rows, key = with_row_key(docs)
     taken = mix_sources(rows, carried=key).where("copies > 0").select(key, F.col("copies").alias(copies := fresh(rows, "copies")))
-    return rows.join(taken, key).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(docs.columns)
+    return rows.join(small_or_shuffled(stored(taken, "taken")), key).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select([f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

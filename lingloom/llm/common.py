@@ -6,10 +6,10 @@ import re
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import shared_dir, small_or_shuffled
 
 #: A word is a run of anything but ASCII white space (the same six characters bytes.split() cuts at).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,9 +42,18 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key that tells its rows apart, written once so that it never changes, and the key's name."""
+    """docs with a key that tells its rows apart and never changes, and the key's name. Rows read straight from Parquet files
+    have theirs from their file and place in it, so they are not written again; of others a copy is written with the key."""
     key = fresh(docs, "row_key")
-    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":  # more than a scan of files
+        return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    path, file_no, own = (fresh(docs, x) for x in ("path", "file_no", "file_path"))
+    place = docs.metadataColumn("_metadata")
+    found = docs.select(place.getField("file_path").alias(path)).distinct()
+    number = Window.orderBy(path)  # one row a file
+    files = small_or_shuffled(stored(found.select(path, F.row_number().over(number).cast("long").alias(file_no)), "files"))
+    rows = docs.withColumns({own: place.getField("file_path"), key: place.getField("row_index")}).join(files, F.col(own) == F.col(path))
+    return rows.withColumn(key, F.shiftleft(file_no, 40) + F.col(key)).drop(own, path, file_no), key
 
 
 def tasks(spark: SparkSession) -> int:

@@ -2,7 +2,11 @@
 
 Text features are row-local array expressions. Their distributions are kept per (language, source) in mergeable quantile
 sketches with relative accuracy: logarithmic bins, merged by adding counts. A document is rejected where a feature lies
-beyond the quartile fences of its own group; there are no fixed cutoffs.
+beyond the quartile fences of its own group, worked out on the sketches' scale; there are no fixed cutoffs.
+
+A share is sketched as (count + 1) / (size + 1): texts without a single symbol or repeat then differ by their length, so
+quartiles of groups that are mostly clean are not all zero. It is judged as count / (size + 1), so what has none is never
+outside, whatever its length, and one symbol in a short text is not taken for a habit.
 """
 
 from __future__ import annotations
@@ -15,17 +19,17 @@ from .common import WORD, stored
 from .mixing import SYMBOLS
 
 GAMMA = 1.02
-#: feature: (numerator, denominator, least distance of the quartiles by which its fences are widened (where a clean group's
-#: values are all equal), whether it has a lower fence)
+#: feature: (counted, out of how many, whether it has a lower fence)
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 0.01, False),
-    "lines": ("n_dup_lines", "n_lines", 0.05, False),
-    "repeats": ("n_repeat_words", "n_words", 0.05, False),
-    "length": ("word_chars", "n_words", 0.25, True),
+    "symbols": ("n_symbols", "n_words", False),
+    "lines": ("n_dup_lines", "n_lines", False),
+    "repeats": ("n_repeat_words", "n_words", False),
+    "length": ("word_chars", "n_words", True),
 }
-FENCE = 3.0
-#: Groups of fewer documents with words are judged by their language alone.
-SMALL = 20
+#: Fences lie so many distances of the quartiles beyond them.
+FENCE = 3
+#: Groups of fewer documents are judged by their language alone; a language of fewer has quartiles at least so many bins apart.
+SMALL, ROOM = 20, 10
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -62,12 +66,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _bin(a: Column, b: Column) -> Column:
+    return F.ceil(F.log(a / b) / F.log(F.lit(GAMMA))).cast("int")
+
+
 def quantile_sketches(features: DataFrame, by: tuple[str, ...] = ("lang", "source"), metrics: dict = METRICS) -> DataFrame:
-    """One row (by, metric, bin, n) a bin: value v > 0 is in bin ceil(log(v) / log(GAMMA)), 0 in none (null)."""
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(a) / F.col(b)).alias("v")) for m, (a, b, _, _) in metrics.items()])
-    long = features.where(F.col("n_words") > 0).select(*by, F.explode(values).alias("x")).select(*by, "x.metric", "x.v")
-    bins = F.when(F.col("v") > 0, F.ceil(F.log("v") / F.log(F.lit(GAMMA))).cast("int"))
-    return long.groupBy(*by, "metric", bins.alias("bin")).count().withColumnRenamed("count", "n")
+    """One row (by, metric, bin, n) a bin, over the documents that pass the base rules: value v is in bin
+    ceil(log(v) / log(GAMMA))."""
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), _bin(F.col(a) + 1, F.col(b) + 1).alias("bin")) for m, (a, b, _) in metrics.items()])
+    # not a filter, which would be pushed below the features and work them out again for each of their parts
+    long = features.select(*by, F.explode(F.when(~base_failed(), values)).alias("x")).select(*by, "x.metric", "x.bin")
+    return long.groupBy(*by, "metric", "bin").count().withColumnRenamed("count", "n")
 
 
 def merge_sketches(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -76,25 +85,27 @@ def merge_sketches(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """by, metric, q1, q3, of: quartiles and number of values of each sketch."""
-    order = Window.partitionBy(*by, "metric").orderBy(F.col("bin").asc_nulls_first())
+    """by, metric, q1, q3, of: the bins of the quartiles and the number of values of each sketch."""
+    order = Window.partitionBy(*by, "metric").orderBy("bin")
     rows = sketches.withColumn("upto", F.sum("n").over(order)).withColumn("of", F.sum("n").over(Window.partitionBy(*by, "metric")))
-    value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin").cast("double")))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), value))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("of"), F.col("bin")))
     return rows.groupBy(*by, "metric").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("of").alias("of"))
 
 
 def adaptive_fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"), pool: tuple[str, ...] = ("lang",), metrics: dict = METRICS) -> DataFrame:
-    """by, lo_<metric>, hi_<metric>: quartiles of each sketch, widened by FENCE times their distance.
+    """by, lo_<metric>, hi_<metric>: the last bins inside, which are the quartiles of each sketch, widened by FENCE times their
+    distance (of one bin at least, the sketches' accuracy).
 
     No fence is wider than that of the sketches pooled by the columns in pool, so that a group full of junk does not set
     its own; groups below SMALL documents have the pooled fence alone.
     """
-    least = F.create_map(*[F.lit(x) for m, (_, _, spread, _) in metrics.items() for x in (m, spread)])[F.col("metric")]
-    spread = F.greatest(F.col("q3") - F.col("q1"), least)
-    widened = lambda rows, by, lo, hi: rows.select(*by, "metric", "of", (F.col("q1") - FENCE * spread).alias(lo), (F.col("q3") + FENCE * spread).alias(hi))
-    own = widened(quartiles(sketches, by), by, "lo", "hi").alias("o")
-    whole = widened(quartiles(merge_sketches(sketches, pool), pool), pool, "pool_lo", "pool_hi").alias("w")
+
+    def widened(rows: DataFrame, by: tuple[str, ...], lo: str, hi: str, room: Column) -> DataFrame:
+        spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), room)
+        return rows.select(*by, "metric", "of", (F.col("q1") - spread).alias(lo), (F.col("q3") + spread).alias(hi))
+
+    own = widened(quartiles(sketches, by), by, "lo", "hi", F.lit(1)).alias("o")
+    whole = widened(quartiles(merge_sketches(sketches, pool), pool), pool, "pool_lo", "pool_hi", F.when(F.col("of") < SMALL, ROOM).otherwise(1)).alias("w")
     same = F.col("o.metric") == F.col("w.metric")
     for c in pool:
         same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"w.{c}"))
@@ -103,7 +114,7 @@ def adaptive_fences(sketches: DataFrame, by: tuple[str, ...] = ("lang", "source"
     high = F.when(few, F.col("pool_hi")).otherwise(F.least("hi", "pool_hi"))
     low = F.when(few, F.col("pool_lo")).otherwise(F.greatest("lo", "pool_lo"))
     out = []
-    for m, (_, _, _, two_sided) in metrics.items():
+    for m, (_, _, two_sided) in metrics.items():
         out.append(F.max(F.when(F.col("metric") == m, high)).alias(f"hi_{m}"))
         if two_sided:
             out.append(F.max(F.when(F.col("metric") == m, low)).alias(f"lo_{m}"))
@@ -117,11 +128,12 @@ def _judged(features: DataFrame, limits: DataFrame, carried: str, by: tuple[str,
     for c in by:
         same = same & F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}"))
     inside = F.lit(True)
-    for m, (a, b, _, two_sided) in METRICS.items():
-        v = F.col(f"f.{a}") / F.col(f"f.{b}")
-        inside = inside & (v <= F.col(f"t.hi_{m}"))
+    for m, (a, b, two_sided) in METRICS.items():
+        n, of = F.col(f"f.{a}"), F.col(f"f.{b}") + 1
         if two_sided:
-            inside = inside & (v >= F.col(f"t.lo_{m}"))
+            inside = inside & _bin(n + 1, of).between(F.col(f"t.lo_{m}"), F.col(f"t.hi_{m}"))
+        else:
+            inside = inside & ((n == 0) | (_bin(F.greatest(n, F.lit(1)), of) <= F.col(f"t.hi_{m}")))
     judged = features.withColumn("base_failed", base_failed()).alias("f").join(small_or_shuffled(stored(limits, "fences")).alias("t"), same, "left")
     kept = F.when(F.col("f.base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False)))
     return judged.select(*[f"f.{c}" for c in (carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"))

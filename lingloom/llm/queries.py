@@ -87,8 +87,6 @@ QUERIES = {f.__name__: f for f in (op1_suffix_tree, op2_suffix_array, op3_packin
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_VALUE = "CASE WHEN bin IS NULL THEN 0.0::DOUBLE ELSE pow(1.02::DOUBLE, bin::DOUBLE) END"
-
 SQL = {
     "op4_mixing": rf"""
 WITH d AS (
@@ -141,39 +139,36 @@ WITH w AS (
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
     FROM w LEFT JOIN r USING (id) LEFT JOIN li USING (id)
+), failing AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+), v AS (
+    SELECT id, lang, source, x.metric AS metric, ceil(ln((x.a + 1)::DOUBLE / (x.b + 1)) / ln(1.02::DOUBLE))::INT AS bin,
+        CASE WHEN x.metric = 'length' THEN ceil(ln((x.a + 1)::DOUBLE / (x.b + 1)) / ln(1.02::DOUBLE))::INT WHEN x.a > 0 THEN ceil(ln(x.a::DOUBLE / (x.b + 1)) / ln(1.02::DOUBLE))::INT END AS own
+    FROM (SELECT id, lang, source, unnest([{{'metric': 'symbols', 'a': n_symbols, 'b': n_words}}, {{'metric': 'lines', 'a': n_dup_lines, 'b': n_lines}},
+        {{'metric': 'repeats', 'a': n_repeat_words, 'b': n_words}}, {{'metric': 'length', 'a': word_chars, 'b': n_words}}]) AS x FROM failing WHERE NOT base_failed)
 ), m AS (
-    SELECT lang, source, x.metric AS metric, CASE WHEN x.v > 0 THEN ceil(ln(x.v) / ln(1.02::DOUBLE))::INT END AS bin, count(*) AS n
-    FROM (SELECT lang, source, unnest([
-        {{'metric': 'symbols', 'v': n_symbols::DOUBLE / n_words}}, {{'metric': 'lines', 'v': n_dup_lines::DOUBLE / n_lines}},
-        {{'metric': 'repeats', 'v': n_repeat_words::DOUBLE / n_words}}, {{'metric': 'length', 'v': word_chars::DOUBLE / n_words}}]) AS x FROM f WHERE n_words > 0)
-    GROUP BY ALL
+    SELECT lang, source, metric, bin, count(*) AS n FROM v GROUP BY ALL
 ), mp AS (
     SELECT lang, metric, bin, sum(n) AS n FROM m GROUP BY ALL
 ), q AS (
-    SELECT lang, source, metric, max(total) AS of, min(v) FILTER (WHERE upto >= 0.25 * total) AS q1, min(v) FILTER (WHERE upto >= 0.75 * total) AS q3
-    FROM (SELECT *, {_VALUE} AS v, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM m)
+    SELECT lang, source, metric, max(total) AS of, min(bin) FILTER (WHERE upto >= 0.25 * total) AS q1, min(bin) FILTER (WHERE upto >= 0.75 * total) AS q3
+    FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM m)
     GROUP BY lang, source, metric
 ), qp AS (
-    SELECT lang, metric, min(v) FILTER (WHERE upto >= 0.25 * total) AS q1, min(v) FILTER (WHERE upto >= 0.75 * total) AS q3
-    FROM (SELECT *, {_VALUE} AS v, sum(n) OVER (PARTITION BY lang, metric ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS total FROM mp)
-    GROUP BY lang, metric
-), o AS (
+    SELECT lang, metric, q1 - 3 * greatest(q3 - q1, CASE WHEN of < 20 THEN 10 ELSE 1 END) AS lo, q3 + 3 * greatest(q3 - q1, CASE WHEN of < 20 THEN 10 ELSE 1 END) AS hi FROM (
+        SELECT lang, metric, max(total) AS of, min(bin) FILTER (WHERE upto >= 0.25 * total) AS q1, min(bin) FILTER (WHERE upto >= 0.75 * total) AS q3
+        FROM (SELECT *, sum(n) OVER (PARTITION BY lang, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, metric) AS total FROM mp)
+        GROUP BY lang, metric)
+), t AS (
     SELECT q.lang, q.source, q.metric,
-        CASE WHEN q.of < 20 THEN qp.q3 + 3.0 * greatest(qp.q3 - qp.q1, s.least) ELSE least(q.q3 + 3.0 * greatest(q.q3 - q.q1, s.least), qp.q3 + 3.0 * greatest(qp.q3 - qp.q1, s.least)) END AS hi,
-        CASE WHEN q.of < 20 THEN qp.q1 - 3.0 * greatest(qp.q3 - qp.q1, s.least) ELSE greatest(q.q1 - 3.0 * greatest(q.q3 - q.q1, s.least), qp.q1 - 3.0 * greatest(qp.q3 - qp.q1, s.least)) END AS lo
+        CASE WHEN q.of < 20 THEN qp.hi ELSE least(q.q3 + 3 * greatest(q.q3 - q.q1, 1), qp.hi) END AS hi,
+        CASE WHEN q.of < 20 THEN qp.lo ELSE greatest(q.q1 - 3 * greatest(q.q3 - q.q1, 1), qp.lo) END AS lo
     FROM q JOIN qp ON q.lang IS NOT DISTINCT FROM qp.lang AND q.metric = qp.metric
-    JOIN (VALUES ('symbols', 0.01::DOUBLE), ('lines', 0.05::DOUBLE), ('repeats', 0.05::DOUBLE), ('length', 0.25::DOUBLE)) AS s(metric, least) ON q.metric = s.metric
-), t AS (
-    SELECT lang, source, max(hi) FILTER (WHERE metric = 'symbols') AS hi_symbols, max(hi) FILTER (WHERE metric = 'lines') AS hi_lines,
-        max(hi) FILTER (WHERE metric = 'repeats') AS hi_repeats, max(hi) FILTER (WHERE metric = 'length') AS hi_length, max(lo) FILTER (WHERE metric = 'length') AS lo_length
-    FROM o GROUP BY lang, source
-), j AS (
-    SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        n_symbols::DOUBLE / n_words <= hi_symbols AND n_dup_lines::DOUBLE / n_lines <= hi_lines AND n_repeat_words::DOUBLE / n_words <= hi_repeats
-            AND word_chars::DOUBLE / n_words <= hi_length AND word_chars::DOUBLE / n_words >= lo_length AS inside
-    FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
+), o AS (
+    SELECT id, bool_or(coalesce(own > hi OR v.metric = 'length' AND own < lo, false)) AS outside
+    FROM v JOIN t ON v.lang IS NOT DISTINCT FROM t.lang AND v.source IS NOT DISTINCT FROM t.source AND v.metric = t.metric GROUP BY id
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(inside, false) END AS kept FROM j""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outside, true) AS kept FROM failing LEFT JOIN o USING (id)""",
     "op12_merkle": """
 WITH RECURSIVE bits AS (
     SELECT i, i AS v, 0 AS k FROM range(256) AS x(i) UNION ALL SELECT i, xor(v >> 1, 3988292384 * (v & 1)), k + 1 FROM bits WHERE k < 8

@@ -338,3 +338,24 @@ def test_fences_differ_from_fixed_cutoffs(spark):
     kept = {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert (kept[2000], kept[2001], kept[2002]) == (False, True, False)
     assert sum(kept[i] for i in range(200)) >= 195 and sum(kept[1000 + i] for i in range(200)) >= 190
+
+
+def test_no_fixed_fence_gives_the_same_verdicts(spark):
+    """Sources that differ in all features: each metric's fences differ between groups, and whatever single fence is put in
+    the place of a metric's, verdicts of several documents change."""
+    r, rows = random.Random(9), []
+    for g in range(4):
+        for i in range(80):
+            bad = i < 6  # junk by its group's measure: its features are those of groups further on
+            level = g + 3 if bad else g
+            body = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2 + level, 6 + level))) for _ in range(r.randint(120, 400))]
+            body = [w + "#" * (r.random() < 0.03 * 2**level) for w in body]
+            rows.append((1000 * g + i, " ".join(body), "en", f"s{g}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    features = quality.text_features(docs).cache()
+    fences = {x["source"]: x for x in quality.adaptive_fences(quality.quantile_sketches(features)).collect()}
+    bins = {m: [(x["source"], math.ceil(math.log((x[a] + (m == "length")) / (x[b] + 1)) / math.log(quality.GAMMA)) if x[a] else -(10**6)) for x in features.collect()] for m, (a, b, _) in quality.METRICS.items()}
+    for m in ("symbols", "length"):
+        high = {s: x[f"hi_{m}"] for s, x in fences.items()}
+        assert len(set(high.values())) == 4
+        assert min(sum((b > high[s]) != (b > fixed) for s, b in bins[m]) for fixed in range(min(high.values()) - 1, max(high.values()) + 2)) >= 5
