@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, long_windows, occurrences, strip_tags, windows_between
 from ..profile import ScriptProfile
-from ..storage import small_or_shuffled, stored
+from ..storage import sized, stored
+from .finder import standing
 from .replace import replace_in_order, resolve_rule_conflicts
 
 
@@ -207,12 +208,14 @@ def apply_replacements(segments: DataFrame, rules: DataFrame, order: tuple[str,
 def consistency_report(segments: DataFrame, rules: DataFrame, keep: int = 5, around: int = 35) -> DataFrame:
     """book_id, wrong, right, s_ng, k, before, after: the first keep places of every rule with their surroundings, markup
     left out. segments: book_id, seg_pos (one row each), text; rules: wrong forms of up to LONGEST characters."""
-    rules = small_or_shuffled(stored(rules, "rules"))
+    rules, small = sized(stored(rules, "rules"))
     plain = segments.select("book_id", "seg_pos", strip_tags(F.col("text"), empty_too=False).alias("t"))
-    # every text's windows are looked up among the book's wrong forms, all of which are short; most texts have none
-    windows = F.array_distinct(F.flatten(F.array(*[long_windows(F.col("t"), n) for n in range(1, LONGEST + 1)])))
-    found = plain.select("book_id", "seg_pos", F.explode(windows).alias("wrong")).join(rules, ["book_id", "wrong"])
-    held = plain.join(found, ["book_id", "seg_pos"])
+    if small:  # most texts have none
+        held = plain.select("*", F.explode(standing(F.col("t"), rules.select("wrong"))).alias("wrong")).join(rules, ["book_id", "wrong"])
+    else:  # every text's windows are looked up among the book's wrong forms, all of which are short
+        windows = F.array_distinct(F.flatten(F.array(*[long_windows(F.col("t"), n) for n in range(1, LONGEST + 1)])))
+        found = plain.select("book_id", "seg_pos", F.explode(windows).alias("wrong")).join(rules, ["book_id", "wrong"])
+        held = plain.join(found, ["book_id", "seg_pos"])
     places = held.select("*", F.explode(occurrences(F.col("t"), F.col("wrong"))).alias("p"))
     first = Window.partitionBy("book_id", "wrong").orderBy("seg_pos", "p")
     rows = places.withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep)

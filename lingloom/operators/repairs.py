@@ -10,6 +10,7 @@ from ..functions.text import convert_primary, long_windows, next_chars
 from ..storage import sized, small_or_shuffled, stored
 from .consistency import Forms, apply_replacements
 from .diff import edits
+from .finder import standing
 
 # Fixed value: particles whose loss is no error.
 DROPPABLE = "在了的地得也都就才還又已把被向給讓對於對從从往至及們么啊喔嘛呢嘍噢哦之個些"
@@ -67,12 +68,15 @@ def diff_repairs(pairs: DataFrame, primary: dict[str, str], forms: dict[str, lis
 def safe_repairs(repairs: DataFrame, pairs: DataFrame, primary: dict[str, str]) -> DataFrame:
     """repairs without those whose wrong context stands in some pair of the book at the same place of the target and of
     what conversion character by character gives: it is right there. Places are met by equality of windows."""
-    sizes = (1, 2, 3, 4)  # lengths of contexts
     both = pairs.select("book_id", F.col("tgt"), convert_primary(F.col("src"), primary).alias("e"))
-    same = [F.filter(F.transform(F.arrays_zip(long_windows(F.col("tgt"), n).alias("x"), long_windows(F.col("e"), n).alias("y")), lambda w: F.when(w["x"] == w["y"], w["x"])), lambda w: w.isNotNull()) for n in sizes]
-    same = F.flatten(F.array(*same))
-    standing = both.select("book_id", F.explode(F.array_distinct(same)).alias("wrong"))
-    return repairs.join(standing, ["book_id", "wrong"], "left_anti")
+    listed, small = sized(stored(repairs.select("wrong").distinct(), "wrong"))
+    if small:
+        same = standing(F.col("tgt"), listed, F.col("e"))
+    else:
+        every = [F.filter(F.transform(F.arrays_zip(long_windows(F.col("tgt"), n).alias("x"), long_windows(F.col("e"), n).alias("y")), lambda w: F.when(w["x"] == w["y"], w["x"])), lambda w: w.isNotNull()) for n in (1, 2, 3, 4)]
+        same = F.array_distinct(F.flatten(F.array(*every)))  # contexts have one to four characters
+    right = both.select("book_id", F.explode(same).alias("wrong"))
+    return repairs.join(right, ["book_id", "wrong"], "left_anti")
 
 
 def apply_repairs(segments: DataFrame, repairs: DataFrame, text: str = "text") -> DataFrame:
@@ -87,15 +91,15 @@ def fixed_word_candidates(headwords: DataFrame, forms: Forms, pairs: DataFrame,
 
 
 def _standing(pairs: DataFrame, words: DataFrame, part: str, least: int, by: list[str]) -> DataFrame:
-    """Pairs with the words of which part (least characters or more) stands in the source. The distinct windows of least
-    characters are looked up among the parts' beginnings, and the rest is compared in the row; by: book_id, if words are a
-    book's. Where the words are not small, windows travel without their text."""
+    """Pairs with the words of which part (least characters or more) stands in the source; by: book_id, if words are a book's.
+    While the words are small, they are found in the row, and a pair is copied for what stands in it alone. Beyond that the
+    distinct windows of least characters, without their texts, meet the parts' beginnings, and the rest is compared."""
     listed, small = sized(stored(words.withColumn("_k", F.left(part, F.lit(least))), "words"))
-    key = F.explode(F.array_distinct(long_windows(F.col("src"), least))).alias("_k")
     if small:
-        met = pairs.select("*", key).join(listed, [*by, "_k"])
-    else:
-        met = pairs.select("book_id", "pair_pos", key).join(listed, [*by, "_k"]).join(pairs, ["book_id", "pair_pos"])
+        found = pairs.select("*", F.explode(standing(F.col("src"), listed.select(part))).alias(part))
+        return found.join(listed.drop("_k"), [*by, part])
+    key = F.explode(F.array_distinct(long_windows(F.col("src"), least))).alias("_k")
+    met = pairs.select("book_id", "pair_pos", key).join(listed, [*by, "_k"]).join(pairs, ["book_id", "pair_pos"])
     return met.where(F.contains("src", F.col(part))).drop("_k")
 
 
@@ -166,16 +170,31 @@ def apply_fixed_word_repairs(segments: DataFrame, repairs: DataFrame, contexts:
     heads = headwords.select(F.expr("substring(word, 1, length(word) - 1)").alias("prefix"), F.right("word", F.lit(1)).alias("c")).distinct()
     rows = repairs.select("book_id", "word").join(contexts, ["book_id", "word"]).withColumn("prefix", F.expr("substring(word, 1, length(word) - 1)"))
     rows = rows.join(heads, "prefix", "left").groupBy("book_id", "word", "extensions", "followers").agg(F.array_sort(F.collect_set("c")).alias("heads"))
-    listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("word", "extensions", "followers", "heads"))).alias("_words"))
+    rows, small = sized(stored(rows.select("book_id", "word", "extensions", "followers", "heads"), "words"))
+    fields = ("extensions", "followers", "heads")
+
+    if small:
+        books: dict = {}
+        for w in rows.orderBy("book_id", "word").collect():  # of a checked size
+            books.setdefault(w["book_id"], []).append({"word": w["word"], **{k: set(w[k]) for k in fields}})
+        shared = segments.sparkSession.sparkContext.broadcast(books)
+
+        @F.pandas_udf("string")
+        def repair_all(own: pd.Series, texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else repair_fixed_words(t, shared.value.get(b, ())) for b, t in zip(own, texts)], dtype=object)
+
+        return segments.withColumn(text, repair_all(F.col("book_id"), F.col(text)))
+
+    listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("word", *fields))).alias("_words"))
 
     @F.pandas_udf("string")
     def repair(texts: pd.Series, words: pd.Series) -> pd.Series:
         def row(t, own):
             if t is None or own is None:
                 return t
-            return repair_fixed_words(t, [{"word": w["word"], **{k: set(w[k]) for k in ("extensions", "followers", "heads")}} for w in own])
+            return repair_fixed_words(t, [{"word": w["word"], **{k: set(w[k]) for k in fields}} for w in own])
 
         return pd.Series([row(t, w) for t, w in zip(texts, words)])
 
-    joined = segments.join(small_or_shuffled(stored(listed, "words")), "book_id", "left")
+    joined = segments.join(stored(listed, "words"), "book_id", "left")
     return joined.withColumn(text, repair(F.col(text), F.col("_words"))).drop("_words")

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import SMALL, small_or_shuffled, stored
+from ..functions.text import long_windows
+from ..storage import SMALL, sized, stored
 from . import markup
 from .batches import batch_numbers, pack_batches  # noqa: F401
 
@@ -108,27 +109,51 @@ def extract_metadata(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("field").isin(*META_FIELDS, *META_PROPERTIES) & (F.col("value") != ""))
 
 
-def guard_entities(segments: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
-    """segments with parts: ARRAY<STRUCT<part, protected>>, cut at the entities of their book, longer ones first."""
-    listed = entities.groupBy("book_id").agg(F.array_sort(F.collect_set("ngram")).alias("_entities"))
-
-    @F.pandas_udf("array<struct<part:string,protected:boolean>>")
-    def cut(texts: pd.Series, own: pd.Series) -> pd.Series:
-        patterns: dict[tuple, re.Pattern] = {}
-        out = []
-        for t, e in zip(texts, own):
-            if t is None:
-                out.append(None)
-            elif e is None or not len(e):
-                out.append([{"part": t, "protected": False}] if t else [])
-            else:
-                key = tuple(e)
-                if key not in patterns:
-                    patterns[key] = re.compile("(" + "|".join(re.escape(x) for x in sorted(key, key=lambda x: (-len(x), x))) + ")")
-                out.append([{"part": p, "protected": bool(k % 2)} for k, p in enumerate(patterns[key].split(t)) if p])
-        return pd.Series(out)
-
-    return segments.join(small_or_shuffled(stored(listed, "entities")), "book_id", "left").withColumn("parts", cut(F.col(text), F.col("_entities"))).drop("_entities")
+PARTS = "array<struct<part:string,protected:boolean>>"
+
+
+def protected_parts(text: str | None, pattern: re.Pattern | None) -> list[dict] | None:
+    """A text cut at what the pattern finds; null: null."""
+    if text is None:
+        return None
+    parts = [text] if pattern is None else pattern.split(text)
+    return [{"part": p, "protected": bool(k % 2)} for k, p in enumerate(parts) if p]
+
+
+def _longest_first(entities) -> re.Pattern | None:
+    return re.compile("(" + "|".join(re.escape(x) for x in sorted(entities, key=lambda x: (-len(x), x))) + ")") if len(entities) else None
+
+
+def guard_entities(segments: DataFrame, entities: DataFrame, text: str = "text", largest: int = SMALL) -> DataFrame:
+    """segments with parts: ARRAY<STRUCT<part, protected>>, cut at the entities of their book, longer ones first. Up to largest
+    bytes every task has all entities by book; beyond it each text gets those that its windows meet in a join."""
+    listed, small = sized(stored(entities.where("ngram <> ''").select("book_id", "ngram").distinct(), "entities"), largest)
+    if small:
+        books: dict = {}
+        for r in listed.collect():  # of a checked size
+            books.setdefault(r["book_id"], []).append(r["ngram"])
+        shared, patterns = segments.sparkSession.sparkContext.broadcast(books), {}
+
+        @F.pandas_udf(PARTS)
+        def cut(own: pd.Series, texts: pd.Series) -> pd.Series:
+            for b in set(own) - set(patterns):
+                patterns[b] = _longest_first(shared.value.get(b, ()))
+            return pd.Series([protected_parts(t, patterns[b]) for b, t in zip(own, texts)], dtype=object)
+
+        return segments.withColumn("parts", cut(F.col("book_id"), F.col(text)))
+
+    sizes = [r[0] for r in listed.select(F.length("ngram")).distinct().collect()]  # of entities, which are short
+    key = F.xxhash64(text)  # texts of one key share their entities; one that a text does not hold cuts nothing
+    every = F.array_distinct(F.flatten(F.array(*[long_windows(F.col(text), n) for n in sizes])))
+    met = segments.select("book_id", key.alias("_key"), F.explode(every).alias("ngram")).join(listed, ["book_id", "ngram"])
+    met = met.groupBy("book_id", "_key").agg(F.collect_set("ngram").alias("_own"))
+
+    @F.pandas_udf(PARTS)
+    def cut_own(texts: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([protected_parts(t, None if o is None else _longest_first(o)) for t, o in zip(texts, own)], dtype=object)
+
+    rows = segments.withColumn("_key", key).join(met, ["book_id", "_key"], "left")
+    return rows.withColumn("parts", cut_own(F.col(text), F.col("_own"))).select(*segments.columns, "parts")
 
 
 def chunks(text: str, limit: int = 1800, least: int = 100, enders: str = "。！？\n") -> list[str]:

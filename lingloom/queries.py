@@ -751,10 +751,14 @@ def texts_chunked(spark, sf_dir):
 _MARKS = "[。！？…!?.\\n，、]"
 
 
-@query(f"""SELECT doc_id, (len(list_filter(x, lambda q: NOT q)) + CASE WHEN len(x) > 0 AND x[1] THEN 1 ELSE 0 END)::BIGINT AS n_fragments, n_chars FROM (
-    SELECT doc_id, length(text)::BIGINT AS n_chars, list_transform(regexp_extract_all(text, '{_MARKS}+|[^{_MARKS[1:-1]}]+'), lambda q: regexp_full_match(q, '[。！？…!?\\n]+') OR NOT regexp_matches(q, '\\S')) AS x FROM documents) WHERE n_chars > 0""")
+@query(f"""SELECT doc_id, (len(list_filter(x, lambda q: NOT q)) + CASE WHEN len(x) > 0 AND x[1] THEN 1 ELSE 0 END)::BIGINT AS n_fragments, n_chars,
+    md5(array_to_string(list_transform(p, lambda q, i: CASE WHEN i > 1 AND x[i] THEN q ELSE chr(1) || q END), '')) AS fragments_md5 FROM (
+    SELECT *, list_transform(p, lambda q: regexp_full_match(q, '[。！？…!?\\n]+') OR NOT regexp_matches(q, '\\S')) AS x FROM (
+    SELECT doc_id, length(text)::BIGINT AS n_chars, regexp_extract_all(text, '{_MARKS}+|[^{_MARKS[1:-1]}]+') AS p FROM documents)) WHERE n_chars > 0""")
 def texts_fragmented(spark, sf_dir):
-    return segments.fragment_for_retry(books(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_fragments"), F.sum(F.length("fragment")).alias("n_chars"))
+    pieces = segments.fragment_for_retry(books(spark, sf_dir))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frag_pos", "fragment"))), lambda x: F.concat(F.lit("\x01"), x["fragment"])), "")
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("n_fragments"), F.sum(F.length("fragment")).alias("n_chars"), F.md5(joined).alias("fragments_md5"))
 
 
 _BETWEEN = "array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(upper(m[i]), '')), '')"
@@ -769,12 +773,15 @@ def phrases_converted(spark, sf_dir):
 
 
 @query(_full("gd AS (SELECT book_id, string_agg(ngram, '|' ORDER BY length(ngram) DESC, ngram) AS pat FROM chosen ANTI JOIN tails USING (book_id, ngram) GROUP BY book_id)",
-    "SELECT doc_id, (len(list_filter(string_split_regex(text, coalesce(pat, '[^\\s\\S]')), lambda q: q <> '')) + len(regexp_extract_all(text, coalesce(pat, '[^\\s\\S]'))))::INT AS n_parts, len(regexp_extract_all(text, coalesce(pat, '[^\\s\\S]')))::INT AS n_protected FROM docs LEFT JOIN gd USING (book_id)"))
+    """SELECT doc_id, (len(list_filter(a, lambda q: q <> '')) + len(m))::INT AS n_parts, len(m)::INT AS n_protected,
+        md5(array_to_string(list_filter(flatten(list_transform(range(1, len(a) + 1), lambda i: [CASE WHEN a[i] <> '' THEN '0' || a[i] END, '1' || m[i]])), lambda q: q IS NOT NULL), chr(1))) AS parts_md5
+    FROM (SELECT doc_id, string_split_regex(text, coalesce(pat, '[^\\s\\S]')) AS a, regexp_extract_all(text, coalesce(pat, '[^\\s\\S]')) AS m FROM docs LEFT JOIN gd USING (book_id))"""))
 def entities_guarded(spark, sf_dir):
     docs = books(spark, sf_dir)
     names = entities_ranked(spark, sf_dir)
     guarded = segments.guard_entities(docs, names)
-    return guarded.select("doc_id", F.size("parts").alias("n_parts"), F.size(F.filter("parts", lambda p: p["protected"])).alias("n_protected"))
+    marked = F.array_join(F.transform("parts", lambda p: F.concat(F.when(p["protected"], "1").otherwise("0"), p["part"])), "\x01")
+    return guarded.select("doc_id", F.size("parts").alias("n_parts"), F.size(F.filter("parts", lambda p: p["protected"])).alias("n_protected"), F.md5(marked).alias("parts_md5"))
 
 
 # sources, written to the shared folder and read back

@@ -103,8 +103,9 @@ def test_segments(spark):
 def test_guards_and_phrases(spark):
     segs = spark.createDataFrame([("b", "春日部春日"), ("c", "春日")], "book_id string, text string")
     names = spark.createDataFrame([("b", "春日"), ("b", "春日部")], "book_id string, ngram string")
-    got = {r["book_id"]: [(p["part"], p["protected"]) for p in r["parts"]] for r in segments.guard_entities(segs, names).collect()}
-    assert got == {"b": [("春日部", True), ("春日", True)], "c": [("春日", False)]}
+    for largest in (1000, 0):
+        got = {r["book_id"]: [(p["part"], p["protected"]) for p in r["parts"]] for r in segments.guard_entities(segs, names, largest=largest).collect()}
+        assert got == {"b": [("春日部", True), ("春日", True)], "c": [("春日", False)]}
     phrases = spark.createDataFrame([("中央", "甲"), ("中央盘子", "乙…"), ("甲", "x")], "simp string, trad string")
     for largest in (1000, 0):
         done = segments.convert_phrases(spark.createDataFrame([("正中央盘子里…中央",)], "text string"), phrases, largest=largest).first()
