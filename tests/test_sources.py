@@ -37,7 +37,7 @@ def test_books(spark, tmp_path):
     left = books.skip_existing(files, spark.createDataFrame([("發",)], "stem string"), {"发": "發"})
     assert sorted(r["stem"] for r in left.collect()) == ["broken", "y"]
     docs = books.unpack_books(left)
-    rows = docs.orderBy("doc_pos").collect()
+    rows = docs.where("kind <> 'error'").orderBy("doc_pos").collect()
     assert [(r["doc_id"], r["kind"]) for r in rows] == [("o/content.opf", "opf"), ("o/a.xhtml", "doc"), ("o/b.xhtml", "doc"), ("o/toc.ncx", "ncx")]
     assert "�" in rows[2]["content"]
     nav = extract_navigation(docs.where("kind = 'ncx'")).collect()
@@ -83,3 +83,34 @@ def test_workloads(spark, tmp_path):
     (tmp_path / "logs/x_consistency.txt").write_text("=== 後處理修正紀錄 (1)\n[001] 天後 → 天后  (1+ 次)\n  …今天後來…\n", encoding="utf-8")
     report = analyse_logs(logs.read_rule_logs(spark, f"{tmp_path}/logs"), heads)
     assert report["ranking"].first()["wrong"] == "天後"
+
+
+def test_broken_and_large_containers(spark, monkeypatch):
+    """What is no container, a cut one, a broken package document and a broken entry are rows that say so; other entries of the
+    same container are read; a container of many megabytes comes entry by entry."""
+    import io
+    import zipfile
+
+    def packed(entries, kind=zipfile.ZIP_STORED):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", kind) as z:
+            for name, text in entries:
+                z.writestr(name, text)
+        return raw.getvalue()
+
+    opf = "<package><manifest>%s</manifest><spine/></package>"
+    item = "<item id='i{0}' href='{0}.xhtml' media-type='application/xhtml+xml'/>"
+    whole = packed([("c.opf", opf % (item.format("a") + item.format("b"))), ("a.xhtml", "<p>first text</p>"), ("b.xhtml", "<p>second</p>")])
+    large = packed([("c.opf", opf % "".join(item.format(k) for k in range(40)))] + [(f"{k}.xhtml", chr(97 + k % 26) * 500_000) for k in range(40)], zipfile.ZIP_DEFLATED)
+    files = {
+        "none": b"no container", "null": None, "cut": whole[:-30], "opf": packed([("c.opf", "<package><manifest>"), ("a.xhtml", "x")]),
+        "entry": whole.replace(b"first text", b"other text"), "large": large, "fine": whole,
+    }
+    rows = books.unpack_books(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()
+    by = {n: sorted((r["doc_pos"], r["doc_id"], r["kind"]) for r in rows if r["book_id"] == n) for n in files}
+    assert by["none"] == by["null"] == by["cut"] == [(0, None, "error")]
+    assert [x[2] for x in by["opf"]] == ["opf", "error"]
+    assert by["entry"] == [(0, "c.opf", "opf"), (1, "a.xhtml", "error"), (2, "b.xhtml", "doc")]
+    assert [x[2] for x in by["fine"]] == ["opf", "doc", "doc"]
+    assert len(by["large"]) == 41 and sum(len(r["content"]) for r in rows if r["book_id"] == "large" and r["kind"] == "doc") == 20_000_000
+    assert all((r["error"] is not None) == (r["kind"] == "error") == (r["content"] is None) for r in rows)
