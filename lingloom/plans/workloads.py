@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import all_forms, convert_primary, primary_forms
 from ..operators import analysis, cache, consistency, entities, quality, repairs, rules
 from ..operators.apply_rules import apply_rules, rule_hit_log, rule_hits
-from ..operators.segments import extract_metadata, extract_navigation, extract_segments, guard_entities, ordered, unmask_opaque
+from ..operators.segments import extract_metadata, extract_navigation, extract_segments, fragment_for_retry, guard_entities, ordered, unmask_opaque
 from ..profile import CJK, ScriptProfile
 from ..storage import stored
 
@@ -40,8 +40,9 @@ def localise(
     repair: bool = True,
 ) -> dict[str, DataFrame]:
     """segments (converted), navigation, metadata, entities, cache, fallbacks, hits, consistency rules and repairs of docs
-    (book_id, doc_id, doc_pos, kind, content). Rules are applied to what the engine gives, and again to repaired text. engine: a function of a column or a table of translations; by default each character in its
-    first form."""
+    (book_id, doc_id, doc_pos, kind, content). The engine gets what stands between the protected entities, and what it loses
+    text of once more in fragments. Rules are applied to what it gives, and again to repaired text. engine: a function of a
+    column or a table of translations; by default each character in its first form."""
     primary, listed = primary_forms(char_map), all_forms(char_map)
     forms = consistency.Forms(listed)
     content = docs.where("kind = 'doc'")
@@ -54,7 +55,26 @@ def localise(
         converted, new = cache.convert_segments(cache.with_key(rows, "zh-CN", "zh-TW"), known, engine or (lambda c: convert_primary(c, primary)))
         return converted.withColumn("value", F.coalesce("value", "text")), new
 
-    converted, new = convert(found)
+    def convert_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """book_id, pair_pos, value: pieces (book_id, pair_pos, k, text, protected) converted, but for protected ones, and put
+        together again; and the new entries of the cache."""
+        done, new = convert(pieces.where("NOT protected"))
+        both = done.select("book_id", "pair_pos", "k", "value").unionByName(pieces.where("protected").select("book_id", "pair_pos", "k", F.col("text").alias("value")))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "")
+        return both.groupBy("book_id", "pair_pos").agg(joined.alias("value")), new
+
+    place = ["book_id", "pair_pos"]
+    parts = stored(guarded.select(*place, F.posexplode("parts").alias("k", "x")).select(*place, "k", F.col("x.part").alias("text"), F.col("x.protected").alias("protected")), "parts")
+    values, new = convert_pieces(parts)
+    converted = stored(found.join(values, place, "left").withColumn("value", F.coalesce("value", "text")), "converted")
+    # what lost text is cut at its marks and converted once more; a second failure leaves the first result
+    lossy = converted.where(quality.needs_fallback(F.col("text"), F.col("value"))).select(*place, "text")
+    pieces = fragment_for_retry(lossy).select(*place, F.col("frag_pos").alias("k"), F.col("fragment").alias("text"), F.lit(False).alias("protected"))
+    again, more = convert_pieces(pieces)
+    converted = converted.join(again.withColumnRenamed("value", "again"), place, "left")
+    better = F.col("again").isNotNull() & ~quality.needs_fallback(F.col("text"), F.col("again"))
+    converted = converted.withColumn("value", F.when(better, F.col("again")).otherwise(F.col("value"))).drop("again")
+    new = new.unionByName(more.join(new.select("key"), "key", "left_anti"))
     rewritten = stored(apply_rules(converted.withColumn("value", unmask_opaque(F.col("value"), F.col("mask"))), rule_table, bigrams, "value"), "rewritten")
     pairs = rewritten.select("book_id", "pair_pos", F.col("text").alias("src"), F.col("applied.text").alias("tgt"))
     out = rewritten.select("book_id", "doc_id", "seg_pos", "pair_pos", "tag", "kind", F.col("applied.text").alias("text"))

@@ -114,3 +114,22 @@ def test_broken_and_large_containers(spark, monkeypatch):
     assert [x[2] for x in by["fine"]] == ["opf", "doc", "doc"]
     assert len(by["large"]) == 41 and sum(len(r["content"]) for r in rows if r["book_id"] == "large" and r["kind"] == "doc") == 20_000_000
     assert all((r["error"] is not None) == (r["kind"] == "error") == (r["content"] is None) for r in rows)
+
+
+def test_localise_guards_entities_and_retries(spark):
+    """Names that are frequent do not reach the engine; what the engine cuts short is converted in fragments."""
+    from pyspark.sql import functions as F
+
+    name = "春日见"
+    html = "".join(f"<p>{name}来了。</p>" for _ in range(12)) + "<p>一二三四五六七八九十。甲乙丙丁，戊己庚。</p>"
+    docs = spark.createDataFrame([("b", "d", 0, "doc", html)], "book_id string, doc_id string, doc_pos int, kind string, content string")
+    char_map = spark.createDataFrame([("发", ["發"], 0), ("见", ["見"], 1)], "simp string, trads array<string>, line_no int")
+    one = spark.createDataFrame([("好",)], "word string")
+    rules = spark.createDataFrame([], "wrong string, right string, manual boolean")
+    engine = lambda c: F.when(F.length(c) > 12, F.left(c, F.lit(2))).otherwise(F.upper(F.translate(c, "来春", "來X")))
+    char_map = char_map.where("simp = '发'")
+    out = localise(docs, char_map, one, rules, spark.createDataFrame([], "bg string"), spark.createDataFrame([], "key string, value string"), engine=engine, repair=False)
+    texts = [r["text"] for r in out["segments"].orderBy("seg_pos").collect()]
+    assert [r["ngram"] for r in out["entities"].collect()][:1] != [] and all("X" not in t for t in texts)
+    assert texts[-1] == "一二三四五六七八九十。甲乙丙丁，戊己庚。"
+    assert texts[0].startswith(name)
