@@ -700,7 +700,10 @@ def rules_ranked(spark, sf_dir):
     return analysis.rank_rules(_metrics(spark, sf_dir)).select("wrong", F.col("right").alias("right_form"), "seam", "n_snippets")
 
 
-@query(_full(_SNIPS, "SELECT file, wrong, right_form, trim(snippet) AS snippet, count(*) AS n FROM snips WHERE trim(snippet) <> '' GROUP BY ALL"))
+_LOGGED = _full(_SNIPS, "SELECT file, wrong, right_form, trim(snippet) AS snippet, count(*) AS n FROM snips WHERE trim(snippet) <> '' GROUP BY ALL")
+
+
+@query(_LOGGED)
 def rule_logs_parsed(spark, sf_dir):
     """Snippets written as log lines, and read back from them."""
     near = _neighbours(spark, sf_dir)
@@ -712,6 +715,17 @@ def rule_logs_parsed(spark, sf_dir):
     return parsed.groupBy("file", "wrong", "right_form", "snippet").agg(F.count("*").alias("n"))
 
 
+@query(_LOGGED)
+def rule_logs_read(spark, sf_dir):
+    """Snippets written into log files, a folder of them for every book, and read back."""
+    first = F.format_string("[%03d] %s → %s  (1+ 次)", F.lit(1), "wrong", "right")
+    log = F.array_join(F.array(F.lit(logs.APPLIED), first, F.concat(F.lit("  …"), "snippet", F.lit("…")), F.lit("=== other")), "\n")
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    _neighbours(spark, sf_dir).select(F.col("file").alias("book"), log.alias("value")).write.partitionBy("book").text(path)
+    found = logs.read_rule_logs(spark, path, "*.txt")
+    return found.select(F.regexp_extract("file", "book=([^/]*)/", 1).alias("file"), "wrong", F.col("right").alias("right_form"), "snippet").groupBy("file", "wrong", "right_form", "snippet").agg(F.count("*").alias("n"))
+
+
 # markup and sequential helpers
 
 

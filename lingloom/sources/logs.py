@@ -32,7 +32,7 @@ def parse_rule_logs(lines: DataFrame) -> DataFrame:
     return rows.select("file", "rule.wrong", "rule.right", "pos", text.alias("snippet"))
 
 
-def read_rule_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """parse_rule_logs of all logs in a folder."""
-    raw = spark.read.option("pathGlobFilter", "*_consistency.txt").text(folder, wholetext=True).withColumn("file", F.input_file_name())
+def read_rule_logs(spark: SparkSession, folder: str, pattern: str = "*_consistency.txt") -> DataFrame:
+    """parse_rule_logs of all logs in a folder whose names fit the pattern."""
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).withColumn("file", F.input_file_name())
     return parse_rule_logs(raw.select("file", F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("pos", "line")))
