@@ -209,11 +209,12 @@ def _heavy(docs: DataFrame, find: Callable, count: Callable[[Runs], tuple[np.nda
     return np.array([r["counter"] for r in sums.where(F.col("size") > int(PART_BYTES * SHARE)).select("counter").collect()], np.uint64)
 
 
-def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None, split: bool = True) -> Deal:
+def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None, split: bool = True, spread: int = SPREAD) -> Deal:
     """How the contexts of docs are dealt, from sums over all of them. parts: a number to use in place of the one that the
-    bytes call for; without split, every gram's contexts stay together and nothing is summed first."""
+    bytes call for; without split, every gram's contexts stay together and nothing is summed first. spread: bytes of contexts
+    for a byte of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    needed = max(1, -(-SPREAD * total // PART_BYTES))
+    needed = max(1, -(-spread * total // PART_BYTES))
     none = np.zeros(0, np.uint64)
     deal = Deal(parts or max(tasks(docs.sparkSession), needed), needed * COUNTERS, none, none)
 
@@ -232,10 +233,14 @@ def dealt(docs: DataFrame, find: Callable, block: int, parts: int | None = None,
     return deal
 
 
-def spans_of(rows: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None, split: bool = True) -> DataFrame:
-    """doc_id, s, e, text_key (as often as found) of rows as keyed() gives them: find gives the runs of a block's texts,
-    exchange (part, blob) rows of a block's runs once they are dealt, meet the spans of a part's blobs."""
-    deal = dealt(rows.select("doc_id", "text"), find, block, parts, split)
+def spans_of(
+    rows: DataFrame, find: Callable, exchange: Callable, meet: Callable, block: int = BLOCK_BYTES, parts: int | None = None,
+    split: bool = True, schema: pa.Schema = SPAN_SCHEMA, spread: int = SPREAD,
+) -> DataFrame:
+    """doc_id, s, e, text_key (as often as found) of rows as keyed() gives them, and what else of long columns schema has: find
+    gives the runs of a block's texts, exchange (part, blob) rows of a block's runs once they are dealt, meet the spans of a
+    part's blobs."""
+    deal = dealt(rows.select("doc_id", "text"), find, block, parts, split, spread)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, own in keyed_blocks(batches, block):
@@ -249,29 +254,48 @@ def spans_of(rows: DataFrame, find: Callable, exchange: Callable, meet: Callable
 
     def receive(table: pa.Table) -> pa.Table:
         columns = meet(table["blob"].to_pylist())
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPAN_SCHEMA)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     sent = rows.select("doc_id", "text", "text_key").mapInArrow(send, "part long, blob binary")
-    return sent.groupBy("part").applyInArrow(receive, "doc_id long, s long, e long, text_key long")
+    return sent.groupBy("part").applyInArrow(receive, ", ".join(f"{n} long" for n in schema.names))
 
 
-def with_spans(rows: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """doc_id and what cut(text, starts, ends of its spans) returns, for every row as keyed() gives them. A span is taken once,
-    however many equal rows it was found in."""
-    of_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with every text that is not empty compressed."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = pa.array([pack.compress(t.encode()) if t else None for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in part.schema.names], names=part.schema.names)
+
+
+def with_spans(rows: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple], result: list[tuple[str, pa.DataType, str]], packed: bool = False) -> DataFrame:
+    """doc_id and what cut(text, starts, ends of its spans) returns, for every row as keyed() gives them; cut also gets what
+    else of columns the spans have. A span is taken once, however many equal rows it was found in. With packed, texts are
+    compressed on their way, each for itself."""
+    fields = ["s", "e", *(c for c in spans.columns if c not in SPAN_SCHEMA.names)]
+    of_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*fields)).alias("spans"))
+    if packed:
+        rows = rows.mapInArrow(pack_texts, "own_id long, doc_id long, text binary, text_key long")
     rows = rows.join(of_doc, ["doc_id", "text_key"], "left").select(F.col("own_id").alias("doc_id"), "text", "spans")
     none = np.zeros(0, np.int64)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             spans = batch.column("spans")
             for k, text in enumerate(batch.column("text").to_pylist()):
-                s = e = none
+                own = [none] * len(fields)
                 if spans[k].is_valid:
-                    values = spans[k].values
-                    s, e = values.field("s").to_numpy(), values.field("e").to_numpy()
-                out.append(cut((text or "").encode(), s, e))
+                    own = [spans[k].values.field(f).to_numpy() for f in fields]
+                raw = unpack.decompress(text) if packed and text else (text or "").encode()
+                out.append(cut(raw, *own))
             columns = list(zip(*out)) or [()] * len(result)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, (_, t, _) in zip(columns, result))], names=["doc_id", *(n for n, _, _ in result)])
 

@@ -18,7 +18,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
 from .secrets import scan_secrets
-from .suffix_array import drop_repeated_bytes
+from .suffix_array import PASSAGE, drop_repeated_bytes
 from .suffix_tree import drop_repeated_words
 from .tokens import vocabulary
 from .topk import exact_top_k, quantised, usable
@@ -33,7 +33,7 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_bytes(documents(spark, sf_dir)).drop("kept")
+    return drop_repeated_bytes(documents(spark, sf_dir), short=PASSAGE).drop("kept")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,23 +10,34 @@ A suffix travels with the text to its left as far as windows over its anchor rea
 that begins a bytes to the left of them where their left texts share a bytes and their right texts W - a. So below every
 node of the suffix array's tree (an interval of depth D), a window that begins at least W - D to the left repeats where the
 left texts of two suffixes of the node share that much, which neighbours in the order of the reversed left texts show.
+
+One exchange serves a second, shorter window as well. The anchor of a long window is that of every short one in it that
+holds the anchor, so the short windows need only the anchors that no long window has, with contexts of their own reach;
+those of the long ones hold all else. Of the short windows only those count that another row holds, not the same one again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import Runs, anchor_runs, keyed, sliding_anchor, spans_of, with_spans
-from .common import merged, mix64
+from .anchors import SPAN_SCHEMA, SPREAD, Runs, anchor_runs, keyed, sliding_anchor, spans_of, with_spans
+from .common import merged, mix64, ranges
 
 WINDOW = 400
+#: Bytes of the shorter passages that are counted besides: those of more than 50 words, a word and its space taken as five bytes.
+PASSAGE = 256
 GRAM = 16
+#: Bytes of contexts for a byte of text, about, with both windows.
+SPREAD_BOTH = 4
+#: Members of nodes that are compared at a time.
+MEMBERS = 1 << 18
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -152,20 +163,29 @@ class Bytes(Runs):
     doc: np.ndarray | None = None
 
 
-def find(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Bytes | None:
-    """The runs of a block's windows."""
+def find(texts: list[bytes], window: int = WINDOW, gram: int = GRAM, short: int | None = None) -> Bytes | None:
+    """The runs of a block's windows. With short, those of windows of short bytes at other anchors follow, for which high is
+    moved so that high + window is where their last window ends; they can not be split."""
     import xxhash
 
     text = b"".join(texts)
     buf = np.frombuffer(text, np.uint8)
-    if len(buf) < window:
+    if len(buf) < (short or window):
         return None
     ends = np.cumsum([len(t) for t in texts])
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     grams = gram_hashes(buf, gram)
-    anchor = sliding_anchor(grams, window - gram + 1)
-    place = np.flatnonzero(doc[: len(anchor)] == doc[window - 1 :])
-    anchor, low, high = anchor_runs(anchor[place], place)
+
+    def placed(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        anchor = sliding_anchor(grams, width - gram + 1)
+        place = np.flatnonzero(doc[: len(anchor)] == doc[width - 1 :])
+        return anchor_runs(anchor[place], place)
+
+    anchor, low, high = placed(window)
+    if short:
+        a, first, last = placed(short)
+        new = ~np.isin(a, anchor)
+        anchor, low, high = np.r_[anchor, a[new]], np.r_[low, first[new]], np.r_[high, last[new] + short - window]
     if not len(anchor):
         return None
 
@@ -199,14 +219,16 @@ def exchange(ids: list[int], texts: list[bytes], runs: Bytes, part: np.ndarray,
         order = sorted(contexts)
         places = np.array([k for c in order for k in contexts[c]], np.int64)
         left = [c[1] for c in order]
+        rows_here, row = np.unique(of_doc[places], return_inverse=True)
         content = (
             front_coded([c[0] for c in order]),
             np.array([len(x) for x in left], np.uint32),
             b"".join(left),
             np.array([len(contexts[c]) for c in order], np.uint32),
-            doc_ids[of_doc[places]],
+            row.astype(np.uint32),
             (low[places] - begin[of_doc[places]]).astype(np.uint32),
-            keys[of_doc[places]] if keys.any() else None,
+            doc_ids[rows_here],
+            keys[rows_here],
         )
         rows.append((p, pack.compress(pickle.dumps(content, 5))))
     return rows
@@ -234,103 +256,152 @@ def _rows(texts: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _left_common(rows: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Most that each of the ordered reversed left texts shares with a neighbour."""
-    a, b = order[:-1], order[1:]
+def _left_common(rows: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What each of the reversed left texts a shares with the one of b beside it."""
     n = np.empty(len(a), np.int64)
     for at in range(0, len(a), 4096):
         differ = rows[a[at : at + 4096]] != rows[b[at : at + 4096]]
         differ[:, -1] = True
         n[at : at + 4096] = differ.argmax(1)
-    n = np.minimum(n, np.minimum(lengths[a], lengths[b]))
-    return np.maximum(np.r_[0, n], np.r_[n, 0])
+    return np.minimum(n, np.minimum(lengths[a], lengths[b]))
+
+
+def most_of_others(n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Most that each text shares with one of another owner (-1: there is none), from what each shares with the next one (-1:
+    nothing to do with it)."""
+    left, right = np.r_[-1, n], np.r_[n, -1]
+    # running minima within texts of one owner in a row, which a lower step for each keeps apart
+    step = (int(n.max(initial=0)) + 2) * np.cumsum(np.r_[False, owner[1:] != owner[:-1]])
+    left = np.minimum.accumulate(left - step) + step
+    right = np.minimum.accumulate((right + step)[::-1])[::-1] - step
+    return np.maximum(left, right)
 
 
-def meet(blobs: list[bytes], window: int = WINDOW) -> tuple[list, list, list, list]:
-    """doc_id, first and last byte (exclusive) and text_key of runs of windows that stand elsewhere too."""
+def _node_batches(nodes: np.ndarray, size: int = MEMBERS) -> Iterator[np.ndarray]:
+    """Nodes (depth, first, last exclusive) in batches of about size members."""
+    if len(nodes):
+        batch = np.cumsum(nodes[:, 2] - nodes[:, 1]) // size
+        yield from np.split(nodes, np.flatnonzero(np.diff(batch)) + 1)
+
+
+def meet(blobs: list[bytes], window: int = WINDOW, short: int | None = None) -> tuple[np.ndarray, ...]:
+    """doc_id, first and last byte (exclusive) and text_key of runs of windows that stand elsewhere too; with short, also
+    whether a run is one of windows of short bytes that stand in another row (0 or 1)."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    runs, contents = [], []
+    runs, lefts_of, fields, n_rows, n_places = [], [], [], 0, 0
     for blob in blobs:
-        content = pickle.loads(unpack.decompress(blob))
-        runs.append(decoded(content[0]))
-        left_ends = np.cumsum(content[1]).tolist()
-        lefts = [content[2][e - n : e] for e, n in zip(left_ends, content[1].tolist())]
-        contents.append((lefts, np.cumsum(content[3]) - content[3], content[3], content[4], content[5], content[6]))
+        coded, left_lengths, left, count, row, low, ids, keys = pickle.loads(unpack.decompress(blob))
+        runs.append(decoded(coded))
+        lefts_of.append([left[e - n : e] for e, n in zip(np.cumsum(left_lengths).tolist(), left_lengths.tolist())])
+        first = np.cumsum(count, dtype=np.int64) - count
+        # the row that holds a context, or -1 if several do
+        least, most = np.minimum.reduceat(row, first), np.maximum.reduceat(row, first)
+        owner = np.where(least == most, n_rows + least.astype(np.int64), -1)
+        fields.append((count.astype(np.int64), first + n_places, owner, low.astype(np.int64), ids[row], keys[row]))
+        n_rows, n_places = n_rows + len(ids), n_places + len(row)
     order, lcp = merge_runs(runs)
     lcp = np.array(lcp, np.int64)
-    rights = [len(runs[r][1][i]) for r, i in order]
-    lefts = [contents[r][0][i] for r, i in order]
-    count = np.array([contents[r][2][i] for r, i in order], np.int64)
-    n_left, n_right = np.array([len(x) for x in lefts], np.int64), np.array(rights, np.int64)
+    lefts = [lefts_of[r][i] for r, i in order]
+    n_left, n_right = np.array([len(x) for x in lefts], np.int64), np.array([len(runs[r][1][i]) for r, i in order], np.int64)
+    count, first, owner, low, ids, keys = (np.concatenate(x) for x in zip(*fields))
+    begin = np.cumsum([0, *map(len, lefts_of)])
+    place = np.array([begin[r] + i for r, i in order], np.int64)
+    count, first, owner = count[place], first[place], owner[place]
+    owner = np.where(owner < 0, -1 - np.arange(len(owner)), owner)
     # of window starts a to the left of the anchor, each context has those from window - n_right to n_left
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for k in np.flatnonzero(count > 1).tolist():
-        spans[k] = [(0, int(n_left[k] + n_right[k]))]
-    nodes = [x for x in tree_intervals(lcp) if x[0] + int(n_left[x[1] : x[2]].max()) >= window]
-    if nodes:
-        used = np.zeros(len(order), bool)
-        for _, a, b in nodes:
-            used[a:b] = True
-        used = np.flatnonzero(used)
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]  # context, first and last byte in it
+    for kind, whole in enumerate(((count > 1) & (n_left + n_right >= window), (owner < 0) & bool(short))):
+        k = np.flatnonzero(whole)
+        found[kind].append((k, np.zeros(len(k), np.int64), (n_left + n_right)[k]))
+
+    def mark(kind: int, members: np.ndarray, depth: np.ndarray, most: np.ndarray, width: int) -> None:
+        least = np.maximum(width - np.minimum(depth, n_right[members]), 0)
+        hit = most >= least  # windows that begin most to least bytes to the left
+        k = members[hit]
+        found[kind].append((k, n_left[k] - most[hit], n_left[k] - least[hit] + width))
+
+    width = short or window
+    nodes = np.array(tree_intervals(lcp), np.int64).reshape(-1, 3)
+    if len(nodes):
+        longest = np.maximum.reduceat(np.r_[n_left, 0], nodes[:, 1:].ravel())[::2]
+        nodes = nodes[nodes[:, 0] + longest >= width]
+    used = np.zeros(len(order) + 1, np.int64)
+    np.add.at(used, nodes[:, 1], 1)
+    np.add.at(used, nodes[:, 2], -1)
+    used = np.flatnonzero(np.cumsum(used) > 0)
+    if len(used):
         reverse = [lefts[k][::-1] for k in used.tolist()]
         at = np.full(len(order), -1, np.int64)
         at[used] = np.arange(len(used))
         by_left = np.empty(len(used), np.int64)
         by_left[sorted(range(len(used)), key=reverse.__getitem__)] = np.arange(len(used))
         rows, lengths = _rows(reverse, int(max(map(len, reverse), default=0))), n_left[used]
-        for depth, a, b in nodes:
-            members = at[a:b]
-            members = members[lengths[members] >= window - depth]
-            if len(members) < 2:
-                continue
-            members = members[np.argsort(by_left[members])]
-            most = _left_common(rows, lengths, members)
-            for m, n in zip(members.tolist(), most.tolist()):
-                k = int(used[m])
-                least = max(window - depth, int(window - n_right[k]), 0)
-                if n >= least:  # windows that begin n to least bytes to the left
-                    here = int(n_left[k])
-                    spans.setdefault(k, []).append((here - n, here - least + window))
-    docs, starts, ends, keys = [], [], [], []
-    for k, own in spans.items():
-        r, i = order[k]
-        _, first, n, doc, low, key = contents[r]
-        s, e = merged(np.array([x[0] for x in own]), np.array([x[1] for x in own]))
-        for j in range(int(first[i]), int(first[i]) + int(n[i])):
-            for x, y in zip(s.tolist(), e.tolist()):
-                docs.append(int(doc[j]))
-                starts.append(int(low[j]) + x)
-                ends.append(int(low[j]) + y)
-                keys.append(0 if key is None else int(key[j]))
-    return docs, starts, ends, keys
-
-
-def repeated_bytes(rows: DataFrame, window: int = WINDOW, parts: int | None = None) -> DataFrame:
-    """doc_id, s, e, text_key: runs of bytes covered by strings of window bytes that stand twice or more in rows (keyed)."""
-    return spans_of(rows, lambda texts: find(texts, window, min(GRAM, window)), exchange, lambda blobs: meet(blobs, window), parts=parts, split=False)
-
-
-def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    for batch in _node_batches(nodes):
+        size = batch[:, 2] - batch[:, 1]
+        members, node = at[ranges(batch[:, 1], size)], np.repeat(np.arange(len(batch)), size)
+        able = lengths[members] >= width - batch[node, 0]
+        members, node = members[able], node[able]
+        by_node = np.argsort(node * len(used) + by_left[members])
+        members, node = members[by_node], node[by_node]
+        n = np.full(max(len(members) - 1, 0), -1, np.int64)
+        beside = np.flatnonzero(node[1:] == node[:-1])
+        n[beside] = _left_common(rows, lengths, members[beside], members[beside + 1])
+        k, depth = used[members], batch[node, 0]
+        if len(k):
+            mark(0, k, depth, np.maximum(np.r_[-1, n], np.r_[n, -1]), window)
+            if short:
+                mark(1, k, depth, most_of_others(n, owner[k]), short)
+    out = []
+    step = int((n_left + n_right).max(initial=0)) + 2
+    for kind in (0, 1) if short else (0,):
+        k, s, e = (np.concatenate(x) for x in zip(*found[kind]))
+        s, e = merged(k * step + s, k * step + e)
+        k = s // step
+        span, of = np.repeat(np.arange(len(k)), count[k]), ranges(first[k], count[k])
+        s, e = s - k * step, e - k * step
+        out.append((ids[of], low[of] + s[span], low[of] + e[span], keys[of], np.full(len(of), kind)))
+    return tuple(np.concatenate(x) for x in zip(*out))[: 5 if short else 4]
+
+
+def repeated_bytes(rows: DataFrame, window: int = WINDOW, parts: int | None = None, short: int | None = None) -> DataFrame:
+    """doc_id, s, e, text_key: runs of bytes covered by strings of window bytes that stand twice or more in rows (keyed). With
+    short, a column passage tells them (0) from runs covered by strings of short bytes that stand in two or more rows (1)."""
+    if short and not min(GRAM, window) <= short <= window:
+        raise ValueError(f"short has to lie between {min(GRAM, window)} and {window}")
+    schema, spread = (SPAN_SCHEMA.append(pa.field("passage", pa.int64())), SPREAD_BOTH) if short else (SPAN_SCHEMA, SPREAD)
+    return spans_of(
+        rows, lambda texts: find(texts, window, min(GRAM, window), short), exchange, lambda blobs: meet(blobs, window, short),
+        parts=parts, split=False, schema=schema, spread=spread,
+    )
+
+
+def drop_repeated_bytes(docs: DataFrame, window: int = WINDOW, short: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for every row of docs.
 
     Null and empty texts have no bytes; texts shorter than a window lose nothing; all of several equal texts that are long
     enough go, as do repeats within one text; a repeated row is a copy like any other; rows of one id
     or of null id are rows like any other; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. With short, n_shared comes before kept: the bytes, removed or not, covered by strings of short
+    bytes that stand in another row as well.
     """
 
-    def cut(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple:
-        n = len(text)
+    def cut(text: bytes, s: np.ndarray, e: np.ndarray, *passage: np.ndarray) -> tuple:
+        n, more = len(text), ()
+        if short:
+            of_passage = passage[0] == 1
+            a, b = merged(s[of_passage], np.minimum(e, n)[of_passage])
+            s, e, more = s[~of_passage], e[~of_passage], (int((b - a).sum()),)
         s, e = merged(s, np.minimum(e, n))
         parts, at = [], 0
         for a, b in zip(s.tolist(), e.tolist()):
             parts.append(text[at:a])
             at = b
         kept = b"".join([*parts, text[at:]])
-        return n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept
+        return n, n - len(kept), len(s), hashlib.sha256(kept).hexdigest(), *more, kept
 
-    result = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("kept", pa.binary(), "binary")]
+    result = [("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
+    result += [("n_shared", pa.int64(), "long")] if short else []
     rows = keyed(docs, nulls=True)
-    return with_spans(rows, repeated_bytes(rows, window), cut, result)
+    return with_spans(rows, repeated_bytes(rows, window, short=short), cut, [*result, ("kept", pa.binary(), "binary")], packed=True)

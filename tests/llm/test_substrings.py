@@ -165,3 +165,64 @@ def test_rows_of_one_id_and_of_none(spark):
     df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string").repartition(3)
     got = Counter((r["doc_id"], r["n_removed"]) for r in suffix_tree.drop_repeated_words(df).collect())
     assert got == Counter([(1, 0), (2, 120), (2, 120), (2, 0), (None, 0), (None, 0), (None, 0), (3, 0), (4, 119), (4, 0), (5, 0)])
+
+
+def shared_bytes(rows, width):
+    """For every row, which bytes are covered by strings that another row holds."""
+    holders = {}
+    for k, (_, t) in enumerate(rows):
+        for at in range(len(t) - width + 1):
+            holders.setdefault(t[at : at + width], set()).add(k)
+    out = []
+    for i, t in rows:
+        own = np.zeros(len(t), bool)
+        for at in range(len(t) - width + 1):
+            if len(holders[t[at : at + width]]) > 1:
+                own[at : at + width] = True
+        out.append((i, own))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_one_exchange_serves_a_short_window_too(seed):
+    r = random.Random(seed)
+    letters = b"ab" if seed % 3 == 0 else b"abcdefgh"
+    pool = [bytes(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(6)]
+    rows = [(i, b"".join(r.choice(pool) + bytes(r.choice(letters) for _ in range(r.randint(0, 8))) for _ in range(r.randint(0, 6)))) for i in range(r.randint(1, 12))]
+    window = r.choice([8, 20, 40])
+    short = r.choice([w for w in (3, 5, 8, 13, 20, 30, 40) if w <= window])
+    gram = min(short, r.choice([1, 3, 5, 8]))
+    blobs = {}
+    for b in range(3):
+        ids, texts = [i for i, _ in rows[b::3]], [t for _, t in rows[b::3]]
+        if (runs := suffix_array.find(texts, window, gram, short)) is not None:
+            part = anchors.Deal(3, 100, np.zeros(0, np.uint64), np.zeros(0, np.uint64)).apply(runs)
+            for p, x in suffix_array.exchange(ids, texts, runs, part):
+                blobs.setdefault(p, []).append(x)
+    got = {i: np.zeros((2, len(t)), bool) for i, t in rows}
+    for x in blobs.values():
+        for d, s, e, _, passage in zip(*suffix_array.meet(x, window, short)):
+            got[d][passage, s:e] = True
+    for (i, gone), (_, shared) in zip(removed_bytes(rows, window), shared_bytes(rows, short)):
+        assert (got[i][0] == gone).all() and (got[i][1] == shared).all()
+
+
+def test_passages_shorter_than_the_window(spark):
+    """A passage of 55 words in three rows is no repeat of 400 bytes, so nothing goes for it, but it is told; what a text
+    repeats within itself is not, and rows of one id or of none are rows like any other."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage, again = some(55), some(55)
+    assert suffix_array.PASSAGE <= len(passage) < suffix_array.WINDOW and len(again) < suffix_array.WINDOW
+    rows = [(1, f"{some(90)} {passage} {some(70)}"), (2, f"{passage} {some(20)}"), (None, passage), (3, some(300)), (4, f"{again} {some(9)} {again}"), (5, passage[:255]), (6, None), (7, "")]
+    whole = some(200)
+    rows += [(8, whole), (8, whole), (8, some(80)), (9, passage[:300]), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_removed"], r["n_shared"], bytes(r["kept"])) for r in suffix_array.drop_repeated_bytes(df, short=suffix_array.PASSAGE).collect())
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    found = zip(raw, removed_bytes(raw, suffix_array.WINDOW), shared_bytes(raw, suffix_array.PASSAGE))
+    assert got == Counter((i, int(gone.sum()), int(own.sum()), np.frombuffer(t, np.uint8)[~gone].tobytes()) for (i, t), (_, gone), (_, own) in found)
+    told = {i: n for i, _, n, _ in got}
+    assert told[1] >= len(passage) and told[2] >= len(passage) and told[9] == 300 and not told[3] and not told[4] and not told[5]
+    assert suffix_array.drop_repeated_bytes(df.limit(0), short=suffix_array.PASSAGE).count() == 0
