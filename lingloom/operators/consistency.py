@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, long_windows, occurrences, strip_tags, windows_between
 from ..profile import ScriptProfile
 from ..storage import sized, stored
+from .alignment import counted_in_place
 from .finder import standing
 from .replace import replace_in_order, resolve_rule_conflicts
 
@@ -234,7 +235,16 @@ def consistency_rules(pairs: DataFrame, forms: Forms, profile: ScriptProfile) ->
 
 
 def aligned_counts(pairs: DataFrame, forms: Forms, profile: ScriptProfile) -> DataFrame:
-    """alignment_counts of pairs, worked out once and stored."""
+    """alignment_counts of pairs, worked out once and stored. A sentence is aligned in its row, so that no n-gram is shuffled
+    but in counts; only pairs of which several share a key meet in joins, as one."""
+    pairs = pairs.where("book_id IS NOT NULL AND pair_pos IS NOT NULL")
+    again = stored(pairs.groupBy("book_id", "pair_pos").count().where("count > 1").select("book_id", "pair_pos"), "again")
     sent = sentence_pairs(pairs, profile)
-    aligned = stored(align_ngrams(sent, forms, profile), "aligned")
-    return stored(alignment_counts(competitive_abstain(aligned, sent)), "counts")
+    local = lambda df: counted_in_place(df, forms.forms, profile.run_regex, profile.align_min, profile.align_max)
+    if again.limit(1).count():
+        own = sentence_pairs(pairs.join(again, ["book_id", "pair_pos"], "left_semi"), profile)
+        aligned = stored(align_ngrams(own, forms, profile), "aligned")
+        rows = local(sent.join(again, ["book_id", "pair_pos"], "left_anti")).unionByName(alignment_counts(competitive_abstain(aligned, own)))
+    else:
+        rows = local(sent)
+    return stored(rows.groupBy("book_id", "s_ng", "t_ng", "fixed").agg(F.sum("n").alias("n")), "counts")
