@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from ..functions.text import convert_primary, long_windows, next_chars
 from ..storage import sized, small_or_shuffled, stored
 from .consistency import Forms, apply_replacements
 from .diff import edits
-from .finder import standing
+from .finder import automaton_of, standing
 
 # Fixed value: particles whose loss is no error.
 DROPPABLE = "在了的地得也都就才還又已把被向給讓對於對從从往至及們么啊喔嘛呢嘍噢哦之個些"
@@ -109,31 +113,119 @@ def _pair_words(candidates: DataFrame, pairs: DataFrame, part: str) -> DataFrame
     return _standing(pairs, words, part, 3, ["book_id"])
 
 
+#: Distinct rows that a task gathers before it passes them on.
+MOST = 200_000
+
+
+def _gathered(pairs: DataFrame, words: DataFrame, columns: list[str], schema: str, parts, gather, told=lambda found, _: found) -> DataFrame:
+    """What gather(found, automaton of the parts, *columns) counts in found, for every row of pairs with words of its book.
+    words: a table of a checked size; parts(word): what is looked for. One row a key of told(found, words by their part) and
+    its count, so far as one task saw them, with the book before and the count after."""
+    books: dict = {}
+    for r in words.select("book_id", "word").distinct().collect():
+        books.setdefault(r["book_id"], {}).setdefault(parts(r["word"]), []).append(r["word"])
+    shared = pairs.sparkSession.sparkContext.broadcast(books)
+    kind = pairs.schema["book_id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders: dict = {}
+        found: dict = {}
+        type_ = names = None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for book in found:
+                if own := told(found[book], shared.value[book]):
+                    arrays = [pa.array(x) for x in zip(*own)]
+                    yield pa.RecordBatch.from_arrays([pa.array([book] * len(own), type_), *arrays, pa.array(own.values(), pa.int64())], names)
+
+        names = [f.split()[0] for f in f"book_id {kind}, {schema}, n bigint".split(", ")]
+        for batch in batches:
+            type_ = batch.schema.field("book_id").type
+            for book, *own in zip(*(batch.column(c).to_pylist() for c in ("book_id", *columns))):
+                if book is not None and book in shared.value:
+                    if book not in finders:
+                        finders[book] = automaton_of(shared.value[book])
+                    gather(found.setdefault(book, Counter()), finders[book], *own)
+            if sum(map(len, found.values())) >= MOST:
+                yield from rows()
+                found.clear()
+        yield from rows()
+
+    return pairs.select("book_id", *columns).mapInArrow(count, f"book_id {kind}, {schema}, n bigint")
+
+
+def _contexts_in_row(found: Counter, finder, src: str | None, ends: bool | None) -> None:
+    """Has (prefix, the two characters after it), one before the end of src, there a newline or nothing."""
+    if src:
+        tail = "\n" if ends else ""
+        dict.update(found, {(p, src[end + 1 : end + 3] or tail): 1 for end, p in finder.iter(src)})
+
+
+def _contexts_told(found: Counter, words: dict[str, list[str]]) -> dict:
+    """(word, kind, character): x after the word's prefix, if it isn't the word's last one; y after the word."""
+    out = {}
+    for prefix, two in found:
+        for word in words[prefix]:
+            if two[:1] != word[-1]:
+                if two:
+                    out[word, "x", two[0]] = 1
+            elif len(two) == 2:
+                out[word, "y", two[1]] = 1
+    return out
+
+
+def _lacking_in_row(found: Counter, finder, src: str | None, tgt: str | None) -> None:
+    """Counts (word, character) after every place in tgt of the prefix of a word that src has and tgt lacks."""
+    if src is None or tgt is None or src == tgt:
+        return
+    for word in {w for _, w in finder.iter(src)}.difference(w for _, w in finder.iter(tgt)):
+        prefix = word[:-1]
+        p = tgt.find(prefix)
+        while p >= 0:
+            found[word, tgt[p + len(prefix) : p + len(word)]] += 1
+            p = tgt.find(prefix, p + 1)
+
+
 def fixed_word_contexts(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """book_id, word, extensions, followers: characters after the word's prefix other than its last one (a newline at the
-    end of every source but a book's last), and characters after the whole word."""
-    last_pos = pairs.groupBy("book_id").agg(F.max("pair_pos").alias("_last"))
+    end of every source but a book's last), and characters after the whole word. Worked out once and stored. While the words
+    are small, they are looked up in the row, and what leaves a task are distinct characters alone."""
+    candidates, small = sized(stored(candidates.select("book_id", "word"), "words"))
+    last_pos = small_or_shuffled(stored(pairs.groupBy("book_id").agg(F.max("pair_pos").alias("_last")), "last"))
+    none = F.array().cast("array<string>")
+    if small:
+        own = pairs.join(last_pos, "book_id").withColumn("ends", F.col("pair_pos") < F.col("_last"))
+        rows = _gathered(own, candidates, ["src", "ends"], "word string, kind string, c string", lambda w: w[:-1], _contexts_in_row, _contexts_told)
+        each = lambda k, c: F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("c")))).alias(c)
+        found = rows.groupBy("book_id", "word").agg(each("x", "extensions"), each("y", "followers"))
+        out = candidates.join(found, ["book_id", "word"], "left")
+        return stored(out.select("book_id", "word", F.coalesce("extensions", none).alias("extensions"), F.coalesce("followers", none).alias("followers")), "contexts")
     held = _pair_words(candidates, pairs, "prefix").join(last_pos, "book_id")
     text = F.when(F.col("pair_pos") < F.col("_last"), F.concat("src", F.lit("\n"))).otherwise(F.col("src"))
     nexts, after = next_chars(text, F.col("prefix")), next_chars(F.col("src"), F.col("word"))
     rows = held.select("book_id", "word", F.filter(nexts, lambda c: (c != "") & (c != F.right("word", F.lit(1)))).alias("x"), F.filter(after, lambda c: c != "").alias("y"))
     each = lambda c: rows.select("book_id", "word", F.explode(F.array_distinct(c)).alias(c)).groupBy("book_id", "word").agg(F.array_sort(F.collect_set(c)).alias(c))
     out = candidates.join(each("x"), ["book_id", "word"], "left").join(each("y"), ["book_id", "word"], "left")
-    none = F.array().cast("array<string>")
-    return out.select("book_id", "word", F.coalesce("x", none).alias("extensions"), F.coalesce("y", none).alias("followers"))
+    return stored(out.select("book_id", "word", F.coalesce("x", none).alias("extensions"), F.coalesce("y", none).alias("followers")), "contexts")
 
 
 def fixed_word_tallies(contexts: DataFrame, pairs: DataFrame, headwords: DataFrame) -> DataFrame:
     """book_id, word, n_subst, n_trunc, n_false: occurrences of the prefix in targets that lack a word which their source
     has; false if the prefix and the next character are a headword, truncated before a known follower, else substituted,
-    the end of the target included."""
-    held = _pair_words(contexts, pairs, "word").where(~F.contains("tgt", F.col("word")))
-    nexts = next_chars(F.col("tgt"), F.col("prefix"))
-    rows = held.select("book_id", "word", "prefix", "followers", F.explode(nexts).alias("c")).withColumn("other", F.concat("prefix", "c"))
+    the end of the target included. While the words are small, a task passes on counts by word and next character alone."""
+    words, small = sized(stored(contexts.select("book_id", "word").distinct(), "words"))
+    if small:
+        rows = _gathered(pairs, words, ["src", "tgt"], "word string, c string", lambda w: w, _lacking_in_row)
+        rows = rows.groupBy("book_id", "word", "c").agg(F.sum("n").alias("n")).join(contexts.select("book_id", "word", "followers"), ["book_id", "word"])
+        rows = rows.withColumn("other", F.concat(F.expr("substring(word, 1, length(word) - 1)"), "c"))
+    else:
+        held = _pair_words(contexts, pairs, "word").where(~F.contains("tgt", F.col("word")))
+        rows = held.select("book_id", "word", "prefix", "followers", F.explode(next_chars(F.col("tgt"), F.col("prefix"))).alias("c"))
+        rows = rows.withColumn("other", F.concat("prefix", "c")).withColumn("n", F.lit(1))
     rows = rows.join(headwords.select(F.col("word").alias("other"), F.lit(True).alias("_h")).distinct(), "other", "left")
     false = (F.col("c") != "") & F.coalesce("_h", F.lit(False))
     trunc = ~false & F.array_contains("followers", F.col("c"))
-    n = lambda c: F.sum(c.cast("long"))
+    n = lambda c: F.sum(F.col("n") * c.cast("long"))
     return rows.groupBy("book_id", "word").agg(n(~false & ~trunc).alias("n_subst"), n(trunc).alias("n_trunc"), n(false).alias("n_false"))
 
 

@@ -307,3 +307,25 @@ def test_replacements_in_order_by_brute_force(spark, largest):
         for w, x, _ in sorted(books[b], key=lambda y: (y[2], y[0])):
             t = t and t.replace(w, x)
         assert found[k] == t
+
+
+def test_fixed_words_leave_their_row_as_counts(spark, monkeypatch):
+    """Texts aren't copied for the words in them, and what tasks gather gives the rows of the joins."""
+    r = random.Random(8)
+    heads = table(spark, [("".join(r.choices("abc", k=r.randint(4, 6))),) for _ in range(80)], "word string").distinct()
+    rows = [("".join(r.choices("abc\n ", (4, 4, 4, 1, 1), k=60)) + r.choice(("", "abca", "bcab")),) for _ in range(60)]
+    rows = [("b" if k % 3 else None if k % 2 else "c", k, s, None if k == 7 else "".join(c for c in s if r.random() > 0.05)) for k, (s,) in enumerate(rows)] + [("b", 90, None, "abc")]
+    own = table(spark, rows, "book_id string, pair_pos long, src string, tgt string")
+
+    def found():
+        contexts = repairs.fixed_word_contexts(words, own)
+        return [sorted(tuple(map(str, x)) for x in df.collect()) for df in (contexts, repairs.fixed_word_tallies(contexts, own, heads))]
+
+    words = repairs.fixed_word_candidates(heads, FORMS, own).localCheckpoint()
+    with monkeypatch.context() as m:
+        m.setattr(repairs, "sized", lambda df: (df, False))
+        expected = found()
+        m.setattr(repairs, "sized", lambda df: (df, True))
+        m.setattr(repairs, "_pair_words", None)
+        m.setattr(repairs, "MOST", 20)
+        assert found() == expected and len(expected[1]) > 5
