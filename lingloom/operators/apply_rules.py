@@ -50,18 +50,47 @@ class RuleIndex:
         return None
 
 
-def apply_to_text(text: str, index: RuleIndex, boundaries: list[int] | None = None, strict: bool = False) -> tuple[str, list[dict]]:
-    """The rewritten text and its hits. Neighbours are read from the input; what a rule wrote is not looked at again.
+class Edges:
+    """Where runs of the characters of a pattern begin or end in a text, and its ends, as a set that is asked."""
+
+    def __init__(self, text: str, inside: dict[str, bool], pattern: re.Pattern) -> None:
+        self.text, self.inside, self.pattern = text, inside, pattern
+
+    def _in(self, c: str) -> bool:
+        if c not in self.inside:
+            self.inside[c] = self.pattern.fullmatch(c) is not None
+        return self.inside[c]
+
+    def __contains__(self, k: int) -> bool:
+        return k == 0 or k == len(self.text) or self._in(self.text[k - 1]) != self._in(self.text[k])
+
+
+def converted(text: str, index: RuleIndex) -> str:
+    """apply_to_text's text by manual rules alone: no guard is asked for."""
+    best = {end + 1 - len(w): w for end, w in index.automaton.iter(text)} if len(index.automaton) else {}  # a place's longest comes last
+    out, at = [], 0
+    for place in sorted(best):
+        if place >= at:
+            out.append(text[at:place])
+            out.append(index.tables[0][best[place]])
+            at = place + len(best[place])
+    out.append(text[at:])
+    return re.sub("…+", "……", "".join(out))
+
+
+def apply_to_text(text: str, index: RuleIndex, boundaries: list[int] | Edges | None = None, strict: bool = False, keep: bool = True) -> tuple[str, list]:
+    """The rewritten text and its hits, or None for each of them if they are not to be kept. Neighbours are read from the
+    input; what a rule wrote is not looked at again.
 
     boundaries: starts of the words of text. A guard is overruled where its two characters are of different words and the
     match is one whole word; strict: unguarded matches must be one whole word too.
     """
-    starts = None if boundaries is None else {*boundaries, len(text)}
+    starts = boundaries if boundaries is None or isinstance(boundaries, Edges) else {*boundaries, len(text)}
     out, hits, at = [], [], 0
 
     def hit(wrong: str, right: str, status: str, reason: str | None) -> None:
         end = at + len(wrong)
-        hits.append({"pos": at, "wrong": wrong, "right": right, "status": status, "reason": reason, "snippet": text[max(0, at - CONTEXT) : end + CONTEXT]})
+        hits.append(None if not keep else {"pos": at, "wrong": wrong, "right": right, "status": status, "reason": reason, "snippet": text[max(0, at - CONTEXT) : end + CONTEXT]})
 
     for place, forms in index.places(text):
         if place < at:
@@ -92,18 +121,37 @@ def apply_to_text(text: str, index: RuleIndex, boundaries: list[int] | None = No
     return re.sub("…+", "……", "".join(out)), hits
 
 
-def _run(texts: pd.Series, boundaries: pd.Series | None, index_of, strict: bool) -> pd.DataFrame:
-    rows = []
-    for k, t in enumerate(texts):
-        b = None if boundaries is None or boundaries.iloc[k] is None else list(boundaries.iloc[k])
-        rows.append((None, []) if t is None else apply_to_text(t, index_of(k), b, strict))
-    return pd.DataFrame(rows, columns=["text", "hits"])
+#: Characters of text that are rewritten at once: hits are many times larger than what they stand for.
+SLICE = 1 << 20
 
 
-def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str = "text", boundaries: str | None = None, strict: bool = False, largest: int = SMALL) -> DataFrame:
-    """df with applied: STRUCT<text, hits>. rules: wrong, right, manual; bigrams: bg. Of more than largest bytes, they are not
-    sent whole to every task: each text gets the ones that occur in it."""
-    schema = f"text string, hits array<{HIT}>"
+def _run(texts: pd.Series, boundaries: pd.Series | None, index_of, strict: bool, keep: bool, words: str | None) -> Iterator[pd.DataFrame]:
+    rows, size, columns = [], 0, ["text", "hits" if keep else "n_hits"]
+    pattern, inside = words and re.compile(words), {}
+    for k, t in enumerate(texts):
+        if t is None:
+            rows.append((None, [] if keep else 0))
+        else:
+            b = None if boundaries is None or boundaries.iloc[k] is None else list(boundaries.iloc[k])
+            index = index_of(k)
+            if not keep and not words and b is None and not index.tables[1]:
+                text, hits = converted(t, index), ()
+            else:
+                text, hits = apply_to_text(t, index, Edges(t, inside, pattern) if words else b, strict, keep)
+            rows.append((text, hits if keep else len(hits)))
+            size += len(t)
+        if size >= SLICE:
+            yield pd.DataFrame(rows, columns=columns)
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str = "text", boundaries: str | None = None, strict: bool = False, largest: int = SMALL, hits: bool = True, words: str | None = None) -> DataFrame:
+    """df with applied: STRUCT<text, hits>, or STRUCT<text, n_hits> with hits=False. rules: wrong, right, manual; bigrams: bg. Of
+    more than largest bytes, they are not sent whole to every task: each text gets the ones that occur in it. boundaries: a
+    column of the starts of words; or words: a pattern of one character, where runs of such and of others are the words."""
+    schema = f"text string, hits array<{HIT}>" if hits else "text string, n_hits int"
     spark = df.sparkSession
     rules, bigrams = stored(rules.select("wrong", "right", "manual"), "rules"), stored(bigrams.select("bg"), "bigrams")
     size = rules.agg(F.sum(F.octet_length("wrong") + F.octet_length("right"))).first()[0] or 0
@@ -115,7 +163,7 @@ def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str =
         def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             index = cache.setdefault(0, RuleIndex(*table.value))
             for texts, bounds in parts:
-                yield _run(texts, bounds if boundaries else None, lambda k: index, strict)
+                yield from _run(texts, bounds if boundaries else None, lambda k: index, strict, hits, words)
 
         return df.withColumn("applied", rewrite(F.col(text), F.col(boundaries) if boundaries else F.lit(None).cast("array<int>")))
 
@@ -128,12 +176,14 @@ def apply_rules(df: DataFrame, rules: DataFrame, bigrams: DataFrame, text: str =
     pairs = keyed.select("_id", F.explode(F.array_distinct(long_windows(F.col(text), 2))).alias("bg")).join(bigrams.select("bg"), "bg").groupBy("_id").agg(F.collect_list("bg").alias("_bigrams"))
 
     @F.pandas_udf(schema)
-    def rewrite_own(texts: pd.Series, bounds: pd.Series, own_rules: pd.Series, own_bigrams: pd.Series) -> pd.DataFrame:
-        def index_of(k: int) -> RuleIndex:
-            found = own_rules.iloc[k] if own_rules.iloc[k] is not None else []
-            return RuleIndex([(r["wrong"], r["right"], r["manual"]) for r in found], frozenset(own_bigrams.iloc[k] if own_bigrams.iloc[k] is not None else ()))
+    def rewrite_own(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, bounds, own_rules, own_bigrams in parts:
+
+            def index_of(k: int, own_rules=own_rules, own_bigrams=own_bigrams) -> RuleIndex:
+                found = own_rules.iloc[k] if own_rules.iloc[k] is not None else []
+                return RuleIndex([(r["wrong"], r["right"], r["manual"]) for r in found], frozenset(own_bigrams.iloc[k] if own_bigrams.iloc[k] is not None else ()))
 
-        return _run(texts, bounds if boundaries else None, index_of, strict)
+            yield from _run(texts, bounds if boundaries else None, index_of, strict, hits, words)
 
     joined = keyed.join(own, "_id", "left").join(pairs, "_id", "left")
     bounds = F.col(boundaries) if boundaries else F.lit(None).cast("array<int>")

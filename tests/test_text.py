@@ -126,3 +126,24 @@ def test_pack_batches_over_many_chunks(spark):
         got = {(x["book_id"], x["seg_pos"]): x["batch_no"] for x in pack_batches(df, limit, sep, first, rows=rows).collect()}
         assert got == {(b, k): n for b, own in books.items() for k, n in enumerate(batch_numbers([x or 0 for x in own], limit, sep, first))}
     assert pack_batches(df.limit(0)).count() == 0
+
+
+def test_words_by_pattern_are_those_of_their_starts(spark):
+    """Rules with word boundaries: a pattern asked in place gives what a list of starts gives, and hits may be counted alone."""
+    import random
+    import re
+
+    from lingloom.operators.apply_rules import apply_rules
+
+    r = random.Random(5)
+    texts = [None, ""] + ["".join(r.choices("abcd ,", (4, 4, 4, 4, 3, 1), k=r.randint(1, 60))) for _ in range(200)]
+    rows = [(k, t, None if t is None else sorted({0, *(e for m in re.finditer("[a-d]+", t) for e in m.span())})) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, text string, starts array<int>")
+    forms = sorted({"".join(r.choices("abcd ", k=r.randint(1, 3))) for _ in range(30)})
+    rules = spark.createDataFrame([(w, w.upper() + "x", r.random() < 0.1) for w in forms], "wrong string, right string, manual boolean")
+    bigrams = spark.createDataFrame([("ab",), ("cd",), (" a",)], "bg string")
+    for strict in (True, False):
+        for largest in (10_000, 0):
+            want = {x["k"]: (x["applied"]["text"], len(x["applied"]["hits"])) for x in apply_rules(df, rules, bigrams, boundaries="starts", strict=strict, largest=largest).collect()}
+            got = {x["k"]: tuple(x["applied"]) for x in apply_rules(df, rules, bigrams, strict=strict, largest=largest, hits=False, words="[a-d]").collect()}
+            assert got == want and any(n for _, n in got.values())
