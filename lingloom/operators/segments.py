@@ -219,7 +219,7 @@ def convert_phrases(df: DataFrame, phrases: DataFrame, text: str = "text", large
     # ellipses are not this operator's business, so they are kept out of the way
     kept = df.withColumn("_t", F.replace(F.col(text), F.lit("…"), F.lit(_KEPT)))
     rules = rules.select(F.replace("wrong", F.lit("…"), F.lit(_KEPT)).alias("wrong"), F.replace("right", F.lit("…"), F.lit(_KEPT)).alias("right"), "manual")
-    done = apply_rules(kept, rules, none, "_t", largest=largest)
+    done = apply_rules(kept, rules, none, "_t", largest=largest, hits=False)
     return done.withColumn("converted", F.replace(F.col("applied.text"), F.lit(_KEPT), F.lit("…"))).drop("_t", "applied")
 
 
