@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..functions.text import long_windows
 from ..storage import SMALL, sized, stored
 from . import markup
 from .batches import batch_numbers, pack_batches  # noqa: F401
+from .finder import automaton_of
 
 SEGMENT = "book_id string, doc_id string, seg_pos int, tag string, kind string, text string, mask array<string>"
 # Metadata fields and properties that hold text to convert.
@@ -112,16 +114,51 @@ def extract_metadata(docs: DataFrame) -> DataFrame:
 PARTS = "array<struct<part:string,protected:boolean>>"
 
 
-def protected_parts(text: str | None, pattern: re.Pattern | None) -> list[dict] | None:
-    """A text cut at what the pattern finds; null: null."""
-    if text is None:
-        return None
-    parts = [text] if pattern is None else pattern.split(text)
-    return [{"part": p, "protected": bool(k % 2)} for k, p in enumerate(parts) if p]
-
-
-def _longest_first(entities) -> re.Pattern | None:
-    return re.compile("(" + "|".join(re.escape(x) for x in sorted(entities, key=lambda x: (-len(x), x))) + ")") if len(entities) else None
+def protected_parts(text: str, finder) -> tuple[list[str], list[bool]]:
+    """A text cut at what the automaton finds, the longest at the first place, and which parts those are."""
+    best = {end + 1 - len(w): w for end, w in finder.iter(text)} if len(finder) else {}  # a place's longest comes last
+    parts, protected, at = [], [], 0
+    for place in sorted(best):
+        if place >= at:
+            if place > at:
+                parts.append(text[at:place])
+                protected.append(False)
+            parts.append(best[place])
+            protected.append(True)
+            at = place + len(best[place])
+    if at < len(text):
+        parts.append(text[at:])
+        protected.append(False)
+    return parts, protected
+
+
+#: Characters of text that are cut at once.
+SLICE = 1 << 20
+
+
+def _cut(texts: pa.Array, finders: Iterable) -> Iterator[pa.Array]:
+    """The parts of every text by its automaton, as columns and some texts at a time: objects for all of a batch's parts take
+    many times its memory. Null: null."""
+    ends, parts, protected, nulls, size = [0], [], [], [], 0
+
+    def array() -> pa.Array:
+        cut = pa.StructArray.from_arrays([pa.array(parts, pa.string()), pa.array(protected, pa.bool_())], ["part", "protected"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cut, mask=pa.array(nulls, pa.bool_()))
+
+    for t, finder in zip(texts, finders):
+        t = t.as_py()
+        if t is not None:
+            own = protected_parts(t, finder)
+            parts += own[0]
+            protected += own[1]
+            size += len(t)
+        nulls.append(t is None)
+        ends.append(len(parts))
+        if size >= SLICE:
+            yield array()
+            ends, parts, protected, nulls, size = [0], [], [], [], 0
+    if nulls:
+        yield array()
 
 
 def guard_entities(segments: DataFrame, entities: DataFrame, text: str = "text", largest: int = SMALL) -> DataFrame:
@@ -132,13 +169,15 @@ def guard_entities(segments: DataFrame, entities: DataFrame, text: str = "text",
         books: dict = {}
         for r in listed.collect():  # of a checked size
             books.setdefault(r["book_id"], []).append(r["ngram"])
-        shared, patterns = segments.sparkSession.sparkContext.broadcast(books), {}
+        shared, finders = segments.sparkSession.sparkContext.broadcast(books), {}
 
-        @F.pandas_udf(PARTS)
-        def cut(own: pd.Series, texts: pd.Series) -> pd.Series:
-            for b in set(own) - set(patterns):
-                patterns[b] = _longest_first(shared.value.get(b, ()))
-            return pd.Series([protected_parts(t, patterns[b]) for b, t in zip(own, texts)], dtype=object)
+        @F.arrow_udf(PARTS)
+        def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for own, texts in batches:
+                own = own.to_pylist()
+                for b in set(own) - set(finders):
+                    finders[b] = automaton_of(shared.value.get(b, ()))
+                yield from _cut(texts, (finders[b] for b in own))
 
         return segments.withColumn("parts", cut(F.col("book_id"), F.col(text)))
 
@@ -148,9 +187,10 @@ def guard_entities(segments: DataFrame, entities: DataFrame, text: str = "text",
     met = segments.select("book_id", key.alias("_key"), F.explode(every).alias("ngram")).join(listed, ["book_id", "ngram"])
     met = met.groupBy("book_id", "_key").agg(F.collect_set("ngram").alias("_own"))
 
-    @F.pandas_udf(PARTS)
-    def cut_own(texts: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([protected_parts(t, None if o is None else _longest_first(o)) for t, o in zip(texts, own)], dtype=object)
+    @F.arrow_udf(PARTS)
+    def cut_own(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, own in batches:
+            yield from _cut(texts, (automaton_of(o.as_py() or ()) for o in own))
 
     rows = segments.withColumn("_key", key).join(met, ["book_id", "_key"], "left")
     return rows.withColumn("parts", cut_own(F.col(text), F.col("_own"))).select(*segments.columns, "parts")

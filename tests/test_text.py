@@ -128,6 +128,33 @@ def test_pack_batches_over_many_chunks(spark):
     assert pack_batches(df.limit(0)).count() == 0
 
 
+def test_guards_and_phrases_hold_little_at_once(spark, monkeypatch):
+    """Cut and converted some texts at a time, as columns and without hits: the parts of the alternation, longest first."""
+    import random
+    import re
+
+    from lingloom.operators import apply_rules
+
+    monkeypatch.setattr(segments, "SLICE", 100)
+    monkeypatch.setattr(apply_rules, "SLICE", 100)
+    monkeypatch.setattr(apply_rules, "apply_to_text", None)  # would make a row of fields for every hit
+    r = random.Random(3)
+    texts = [None, "", "……a…"] + ["".join(r.choices("abc…", k=r.randint(1, 90))) for _ in range(300)]
+    names = sorted({"".join(r.choices("abc", k=r.randint(1, 4))) for _ in range(25)} - {"a", "b", "c"})
+    table = spark.createDataFrame([(r.choice("xy"), k, t) for k, t in enumerate(texts)], "book_id string, k int, text string").repartition(2)
+    pattern = re.compile("(" + "|".join(sorted(names, key=lambda w: (-len(w), w))) + ")")
+    for largest in (10_000, 0):
+        got = segments.guard_entities(table, spark.createDataFrame([("x", n) for n in names], "book_id string, ngram string"), largest=largest).collect()
+        assert len(got) == len(texts)
+        for row in got:
+            t = texts[row["k"]]
+            cut = (pattern.split(t) if row["book_id"] == "x" else [t]) if t is not None else None
+            expected = None if t is None else [(p, bool(k % 2)) for k, p in enumerate(cut) if p]
+            assert (row["parts"] if t is None else [(p["part"], p["protected"]) for p in row["parts"]]) == expected
+        done = segments.convert_phrases(table, spark.createDataFrame([(n, n.upper()) for n in names], "simp string, trad string"), largest=largest).collect()
+        assert {x["k"]: x["converted"] for x in done} == {k: t and pattern.sub(lambda m: m[0].upper(), t) for k, t in enumerate(texts)}
+
+
 def test_words_by_pattern_are_those_of_their_starts(spark):
     """Rules with word boundaries: a pattern asked in place gives what a list of starts gives, and hits may be counted alone."""
     import random
