@@ -25,7 +25,7 @@ def strip(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return F.coalesce(strip(col) == "", F.lit(True))
+    return ~F.coalesce(F.rlike(col, F.lit(r"(?U)\S")), F.lit(False))
 
 
 def primary_forms(char_map: DataFrame) -> dict[str, str]:

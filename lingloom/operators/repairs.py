@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import convert_primary, long_windows, next_chars
@@ -25,7 +25,6 @@ REPAIR = "array<struct<wrong:string,right:string>>"
 def missing_characters(src: str, expected: str, tgt: str, bigrams: frozenset[str], forms: dict[str, list[str]], droppable: str = DROPPABLE) -> list[tuple[str, str]]:
     """(wrong, right) contexts of up to two characters on each side of every place where target lacks one character of
     what was expected: an edit that drops one character, or leaves one of two in a legal form."""
-    own = {expected[k : k + 2] for k in range(len(expected) - 1)}
     found = []
     for a, b, c, d in edits(expected, tgt):
         if b - a == 1 and d == c:
@@ -37,7 +36,7 @@ def missing_characters(src: str, expected: str, tgt: str, bigrams: frozenset[str
         lost, left = expected[a], expected[a - 1] if a else ""
         around = {left + lost, lost + right}
         known = bool(around & bigrams)
-        in_source = lost not in droppable and bool(around & own)
+        in_source = lost not in droppable and any(len(n) == 2 and n in expected for n in around)
         if not (known or in_source) or any(n and n not in tgt for n in (left, right)):
             continue
         head, tail = tgt[max(0, c - 2) : c], tgt[c : c + 2]
@@ -50,8 +49,16 @@ def diff_repairs(pairs: DataFrame, primary: dict[str, str], forms: dict[str, lis
     """book_id, wrong, right, pair_pos, k: the first repair of every wrong context of a book. Only pairs whose target is
     not what conversion character by character gives are compared; a pair is one row of its book_id and pair_pos."""
     rows = pairs.withColumn("_e", convert_primary(F.col("src"), primary)).where((F.col("_e") != F.col("tgt")) & F.col("tgt").isNotNull())
+    listed, small = sized(stored(bigrams.where(F.length("bg") == 2).select("bg").distinct(), "bigrams"))
+    if small:
+        shared = pairs.sparkSession.sparkContext.broadcast(frozenset(r["bg"] for r in listed.collect()))
+
+        @F.pandas_udf(REPAIR)
+        def compare_all(src: pd.Series, expected: pd.Series, tgt: pd.Series) -> pd.Series:
+            return pd.Series([[{"wrong": w, "right": r} for w, r in missing_characters(s, e, t, shared.value, forms, droppable)] for s, e, t in zip(src, expected, tgt)], dtype=object)
+
+        return _first_repairs(rows, compare_all("src", "_e", "tgt"))
     # a pair gets the bigrams that it can ask for: those of its expected text, or with a second character of another form
-    listed = small_or_shuffled(stored(bigrams.select("bg").distinct(), "bigrams"))
     both = F.explode(F.array_distinct(F.arrays_zip(long_windows(F.col("_e"), 2).alias("e"), long_windows(F.col("src"), 2).alias("s"))))
     seen = rows.select("book_id", "pair_pos", both.alias("w")).select("book_id", "pair_pos", "w.e", F.left("w.e", F.lit(1)).alias("a"), F.right("w.s", F.lit(1)).alias("simp"))
     other = seen.join(F.broadcast(Forms(forms).table(pairs)), "simp").select("book_id", "pair_pos", F.concat("a", "trad").alias("bg"))
@@ -64,14 +71,20 @@ def diff_repairs(pairs: DataFrame, primary: dict[str, str], forms: dict[str, lis
         return pd.Series([[{"wrong": w, "right": r} for w, r in missing_characters(s, e, t, b, forms, droppable)] for s, e, t, b in zip(src, expected, tgt, known)])
 
     rows = rows.join(held, ["book_id", "pair_pos"], "left")
-    rows = rows.select("book_id", "pair_pos", F.posexplode(compare("src", "_e", "tgt", "_own")).alias("k", "x")).select("book_id", "pair_pos", "k", "x.wrong", "x.right")
-    first = Window.partitionBy("book_id", "wrong").orderBy("pair_pos", "k")
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("book_id", "wrong", "right", "pair_pos", "k")
+    return _first_repairs(rows, compare("src", "_e", "tgt", "_own"))
+
+
+def _first_repairs(rows: DataFrame, found: Column) -> DataFrame:
+    """The first repair of every wrong context of a book; tasks pass on one each."""
+    rows = rows.select("book_id", "pair_pos", F.posexplode(found).alias("k", "x"))
+    first = rows.groupBy("book_id", F.col("x.wrong").alias("wrong")).agg(F.min(F.struct("pair_pos", "k", F.col("x.right").alias("right"))).alias("m"))
+    return first.select("book_id", "wrong", "m.right", "m.pair_pos", "m.k")
 
 
 def safe_repairs(repairs: DataFrame, pairs: DataFrame, primary: dict[str, str]) -> DataFrame:
     """repairs without those whose wrong context stands in some pair of the book at the same place of the target and of
     what conversion character by character gives: it is right there. Places are met by equality of windows."""
+    repairs = stored(repairs, "repairs")
     both = pairs.select("book_id", F.col("tgt"), convert_primary(F.col("src"), primary).alias("e"))
     listed, small = sized(stored(repairs.select("wrong").distinct(), "wrong"))
     if small:
@@ -79,7 +92,7 @@ def safe_repairs(repairs: DataFrame, pairs: DataFrame, primary: dict[str, str])
     else:
         every = [F.filter(F.transform(F.arrays_zip(long_windows(F.col("tgt"), n).alias("x"), long_windows(F.col("e"), n).alias("y")), lambda w: F.when(w["x"] == w["y"], w["x"])), lambda w: w.isNotNull()) for n in (1, 2, 3, 4)]
         same = F.array_distinct(F.flatten(F.array(*every)))  # contexts have one to four characters
-    right = both.select("book_id", F.explode(same).alias("wrong"))
+    right = both.select("book_id", F.explode(same).alias("wrong")).distinct()
     return repairs.join(right, ["book_id", "wrong"], "left_anti")
 
 
