@@ -37,10 +37,43 @@ def test_alignment_in_place_is_that_of_the_joins(spark, monkeypatch, least, most
     assert expected and sorted_rows(consistency.aligned_counts(pairs, forms, profile)) == expected
     one = pairs.where("pair_pos > 0")
     expected = sorted_rows(by_joins(one, forms, profile))
-    for name, value in (("MOST", 50), ("LONG", 5), ("LISTED", 1), ("KEPT", 3)):
-        monkeypatch.setattr(alignment, name, value)
-    parts = alignment.counted_in_place(consistency.sentence_pairs(one, profile).where("book_id IS NOT NULL"), LISTED, "[a-z]+", least, most)
-    assert sorted_rows(parts.groupBy("book_id", "s_ng", "t_ng", "fixed").agg(F.sum("n").alias("n"))) == expected
+    sent = consistency.sentence_pairs(one, profile).where("book_id IS NOT NULL").coalesce(1)
+    for room in (None, 3, 0):  # books and sentences at once; none: one by one
+        with monkeypatch.context() as m:
+            for name, value in (("MOST", 50), ("WAITING", 200), ("SENTENCES", 7), ("LONG", 5), ("LISTED", 1), ("KEPT", 3)) if room is not None or least == 2 else ():
+                m.setattr(alignment, name, value)
+            if room is not None:
+                m.setattr(alignment.Packed, "room", lambda self: room)
+            parts = alignment.counted_in_place(sent, LISTED, "[a-z]+", least, most)
+            assert sorted_rows(parts.groupBy("book_id", "s_ng", "t_ng", "fixed").agg(F.sum("n").alias("n"))) == expected
+
+
+def test_alignment_of_more_characters_than_have_numbers():
+    """Every batch brings new characters, so that numbers get longer until sentences are aligned one by one."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    class Frame:
+        schema = {"book_id": type("", (), {"dataType": type("", (), {"simpleString": staticmethod(lambda: "string")})})}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    r, rows, expected = random.Random(2), [], Counter()
+    for k in range(60):
+        src = "".join(chr(0x4E00 + r.randrange(20 + k * k * 5)) for _ in range(60)) + r.choice(("", "x一丁", "\U0001f600"))
+        rows.append((r.choice("pq"), src, "".join(c for c in src.replace("x", "a") if r.random() < 0.97)))
+    for most in (4, 6):
+        aligner, books = alignment.Aligner(LISTED, "[一-龥a-z]+", 3, most), {}
+        for b, s, t in rows:
+            aligner.align(s, t, *books.setdefault(b, (Counter(), Counter())))
+        expected = {**{(b, g, g, True): n for b, (same, _) in books.items() for g, n in same.items()}, **{(b, *k): n for b, (_, other) in books.items() for k, n in other.items()}}
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows[k : k + 4])], ["book_id", "src", "tgt"]) for k in range(0, 60, 4)]
+        got: Counter = Counter()
+        for batch in alignment.counted_in_place(Frame(), LISTED, "[一-龥a-z]+", 3, most)(iter(batches)):
+            for *key, n in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                got[tuple(key)] += n
+        assert dict(got) == expected
 
 
 def written(spark):
